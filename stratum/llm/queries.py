@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .exact_top_k import exact_top_k
+from .language_id import language_id
+from .mixing import mix
+from .near_duplicates import near_duplicates
+from .neighbours import approximate_neighbours
 from .packing import pack
+from .quality import quality
 from .token_files import tokens_round_trip
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_neighbours(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -19,9 +45,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_packing": op8_packing,
-    "op9_token_files": op9_token_files,
+    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op6_neighbours, op8_packing, op9_token_files, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
