@@ -1,0 +1,135 @@
+"""Versioned Parquet tables with append, replace, range replace and keyed upsert.
+
+A table is a folder of versions and a small pointer file. A write reads the current version, writes the
+next one, and then moves the pointer, so readers see the old rows or the new ones. Files are reached
+through Hadoop's file system, so any store that Spark writes will do; the pointer's move is atomic
+where the store's rename is.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..fixed import IDENTIFIER
+from ..operators.writes import assert_unique, replace_range, upsert
+
+
+class NoSuchTable(LookupError):
+    """The table has no version."""
+
+
+def identifier(name: str) -> str:
+    if not re.fullmatch(IDENTIFIER, name):
+        raise ValueError(f"not an identifier: {name!r}")
+    return name
+
+
+class Store:
+    """Tables under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
+    def _pointer(self, table: str) -> str:
+        return f"{self.root}/{identifier(table)}/_CURRENT"
+
+    def version(self, table: str) -> int | None:
+        fs, path = self._fs(self._pointer(table))
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return int(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def exists(self, table: str) -> bool:
+        return self.version(table) is not None
+
+    def path(self, table: str, version: int) -> str:
+        return f"{self.root}/{identifier(table)}/v={version}"
+
+    def read(self, table: str) -> DataFrame:
+        version = self.version(table)
+        if version is None:
+            raise NoSuchTable(table)
+        return self.spark.read.parquet(self.path(table, version))
+
+    def _publish(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        version = (self.version(table) or 0) + 1
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table, version))
+        self._point(table, version)
+        return version
+
+    def _point(self, table: str, version: int) -> None:
+        pointer = self._pointer(table)
+        fs, path = self._fs(pointer)
+        _, staged = self._fs(f"{pointer}.{uuid.uuid4().hex}")
+        stream = fs.create(staged, True)
+        stream.write(bytearray(str(version).encode()))
+        stream.close()
+        if fs.exists(path):
+            fs.delete(path, False)
+        fs.rename(staged, path)
+
+    def create(self, table: str, schema: T.StructType) -> None:
+        """An empty table, if there is none."""
+        if not self.exists(table):
+            self._publish(table, self.spark.createDataFrame([], schema))
+
+    def append(self, table: str, df: DataFrame) -> int:
+        """Add rows to the current version, whose files stay as they are; gives their number."""
+        n = df.count()
+        version = self.version(table)
+        if version is None:
+            self._publish(table, df)
+        elif n:
+            df.write.mode("append").parquet(self.path(table, version))
+        return n
+
+    def replace(self, table: str, df: DataFrame) -> int:
+        """All rows anew; the table must be there. An empty frame empties it."""
+        old = self.read(table)
+        self._publish(table, df.select(*[F.col(f.name).cast(f.dataType) for f in old.schema]))
+        return self.read(table).count()
+
+    def dynamic_load(self, table: str, df: DataFrame) -> int:
+        """All rows anew, with the frame's own columns."""
+        self._publish(table, df)
+        return self.read(table).count()
+
+    def replace_range(self, table: str, batch: DataFrame, date: str) -> int:
+        """Rows in the batch's span of dates make way for the batch."""
+        if not batch.take(1):
+            return 0
+        self._publish(table, replace_range(self.read(table), batch, date))
+        return batch.count()
+
+    def upsert(self, table: str, batch: DataFrame, key: str) -> int:
+        """Rows of a key make way for the batch's row of that key; a key twice in the batch is an error."""
+        assert_unique(batch, key)
+        self._publish(table, upsert(self.read(table), batch, key) if self.exists(table) else batch)
+        return batch.count()
+
+    def publish_together(self, frames: dict[str, DataFrame]) -> None:
+        """Write new versions of several tables first, and move their pointers only when all are written."""
+        versions = {}
+        for table, df in frames.items():
+            versions[table] = (self.version(table) or 0) + 1
+            df.write.mode("overwrite").parquet(self.path(table, versions[table]))
+        for table, version in versions.items():
+            self._point(table, version)
+
+    def tables(self, names: list[str]) -> list[tuple[str, int]]:
+        """(name, number of columns) of the tables that are there, by name."""
+        return sorted((n, len(self.read(n).columns)) for n in names if self.exists(n))
