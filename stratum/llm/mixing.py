@@ -137,15 +137,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as in docs."""
-    own = F.xxhash64(*[F.col(c) for c in docs.columns])
-    taken = copies(docs, key=own, **options).groupBy("key", "doc_id").agg(F.sum("copies").alias("__copies")).where("__copies > 0").withColumnsRenamed({"key": "__key", "doc_id": "__doc_id"})
-    once = _joined(docs, own, taken)
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
-
-
-def _joined(docs: DataFrame, own: Column, taken: DataFrame) -> DataFrame:
-    """Each distinct row of docs once, with the copies that it and its equals have together."""
-    rows = docs.withColumn("__key", own)
-    both = rows.join(taken, "__key").where(F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    return both.dropDuplicates(["__key", "doc_id"])
+    """The rows of docs, each as often as the mix takes it; columns as in docs.
+
+    Rows equal in id, text and source share their copies among them as evenly as can be.
+    """
+    key = F.xxhash64("doc_id", "text", "source")
+    taken = copies(docs, **options).groupBy("key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__equals")).where("__copies > 0").withColumnRenamed("key", "__key")
+    rows = docs.withColumn("__own", key).join(taken, F.col("__own") == F.col("__key"))
+    nth = F.expr("row_number() over (partition by __own order by __own)")
+    own = F.floor(F.col("__copies") / F.col("__equals")) + (F.col("__nth") <= F.col("__copies") % F.col("__equals")).cast("long")
+    rows = rows.withColumn("__nth", nth).withColumn("__times", own).where("__times > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*docs.columns)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -38,9 +38,9 @@ from .textops import Words, buffers, mix, slices
 
 #: Longest extension of a prefix, shingles, and the verification cost of a set's shingle against a prefix hit.
 MOST_MATCHES, VERIFY_COST = 4, 0.05
-DOCS_PER_BUCKET, DOCS_PER_BIN, BLOCK_SHINGLES = 8192, 1024, 4_000_000
+DOCS_PER_BUCKET, DOCS_PER_BIN, BLOCK_SHINGLES = 8192, 1024, 1_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STAGE = "kind int, bucket long, doc_id long, n int, s int, first boolean, fa long, fb long, fas binary, fbs binary, refs binary, tokens binary, counts binary"
+_STAGE = "kind int, bucket long, doc_id long, tag long, n int, s int, first boolean, fa long, fb long, fas binary, fbs binary, refs binary, tokens binary, counts binary"
 _U8, _U4 = "<u8", "<u4"
 
 
@@ -80,7 +80,7 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
 
 def _emit(columns: dict) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    types = {"kind": pa.int32(), "bucket": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "s": pa.int32(), "first": pa.bool_(), "fa": pa.int64(), "fb": pa.int64()}
+    types = {"kind": pa.int32(), "bucket": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "n": pa.int32(), "s": pa.int32(), "first": pa.bool_(), "fa": pa.int64(), "fb": pa.int64()}
     names = [x.split()[0] for x in _STAGE.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), types.get(c, pa.binary())) for c in names], names)
 
@@ -129,7 +129,7 @@ def _send(k: int, percent: int, share: float, buckets: int):
                         first = own[: max(s, n - needed(n, percent) + MOST_MATCHES)].copy()
                         held.append((*key, first))
                         size += len(first)
-                yield _emit(out | {"kind": [0] * batch.num_rows, "doc_id": batch.column("doc_id")})
+                yield _emit(out | {"kind": [0] * batch.num_rows, "doc_id": batch.column("doc_id"), "tag": batch.column("tag")})
                 if size > 3_000_000:
                     yield from flush()
                     size = 0
@@ -340,9 +340,13 @@ def _whole(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = DOCS_PER_BUCKET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs, whole texts compared on k-word shingles at percent/100 Jaccard."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = DOCS_PER_BUCKET, block_shingles: int = BLOCK_SHINGLES, tag: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs, whole texts compared on k-word shingles at percent/100 Jaccard.
+
+    tag: a long worked out for each row, to be returned with it.
+    """
+    more = [] if tag is None else ["tag"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("long") if tag is None else tag).alias("tag"))
     share = min(0.9, 2.0 * (100 - percent) / 100)
     buckets = max(4, -(-docs.select(id_col).count() // docs_per_bucket))
     sent = rows.mapInArrow(_send(k, percent, share, buckets), _STAGE)
@@ -353,7 +357,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     prefixes = written(documents.where("first").unionByName(counted).groupBy("bucket").applyInArrow(_prefixes(percent, share), _PREFIXES), "prefixes")
     drop_written(counted)
 
-    docs_ = documents.select("doc_id", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
+    docs_ = documents.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
     held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
 
     token = prefixes.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
@@ -380,6 +384,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = connected_components(edges)
     classes = found.join(held, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("component"))
     of_set = held.join(found.join(classes, "root").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))
-    some = docs_.where("n_shingles > 0").join(of_set, "fp").select("doc_id", F.col("n_shingles").cast("long"), F.col("component").alias("component_id"))
-    none = docs_.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"))
+    some = docs_.where("n_shingles > 0").join(of_set, "fp").select("doc_id", F.col("n_shingles").cast("long"), F.col("component").alias("component_id"), *more)
+    none = docs_.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"), *more)
     return some.unionByName(none)

@@ -13,7 +13,9 @@ from .mixing import mix
 from .near_duplicates import near_duplicates
 from .neighbours import approximate_neighbours
 from .packing import pack
+from .preferences import preferences
 from .quality import quality
+from .secrets import secrets
 from .token_files import tokens_round_trip
 
 
@@ -33,10 +35,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_neighbours(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op6_neighbours, op8_packing, op9_token_files, op10_quality)
+    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op7_preferences": """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  f AS (SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t) WHERE n = 1),
+  n1 AS (SELECT *, row_number() OVER (PARTITION BY role, text, conv_id % 64 ORDER BY conv_id) AS n FROM f),
+  p1 AS (SELECT role, text, min(conv_id) AS a, max(conv_id) AS b, count(*) AS c FROM n1 GROUP BY role, text, conv_id % 64, (n - 1) // 2),
+  n2 AS (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY a) AS n FROM p1 WHERE c = 1),
+  p2 AS (SELECT min(a) AS a, max(a) AS b, count(*) AS c FROM n2 GROUP BY role, text, (n - 1) // 2),
+  p AS (SELECT a AS chosen_id, b AS rejected_id FROM p1 WHERE c = 2 UNION ALL SELECT a, CASE WHEN c = 2 THEN b END FROM p2),
+  s AS (SELECT p.*, t.*, 'chosen' AS side FROM p JOIN t ON t.conv_id = chosen_id UNION ALL SELECT p.*, t.*, 'rejected' FROM p JOIN t ON t.conv_id = rejected_id),
+  at_turn AS (SELECT chosen_id, rejected_id, turn, list(role || ' ' || text ORDER BY role, text) FILTER (side = 'chosen') AS x, list(role || ' ' || text ORDER BY role, text) FILTER (side = 'rejected') AS y,
+    max(CASE WHEN role = 'assistant' THEN turn END) AS spoken FROM s GROUP BY ALL),
+  parting AS (SELECT chosen_id AS c, rejected_id AS r, CASE WHEN rejected_id IS NULL THEN max(spoken) ELSE min(CASE WHEN x IS DISTINCT FROM y THEN turn END) END AS parts FROM at_turn GROUP BY chosen_id, rejected_id)
+SELECT chosen_id, rejected_id, CASE WHEN parts IS NULL OR turn < parts THEN 'prompt' ELSE side END AS part, turn, role,
+  '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered, CAST(NOT (parts IS NULL OR turn < parts) AND role = 'assistant' AS INTEGER) AS loss
+FROM s JOIN parting ON chosen_id = c AND rejected_id IS NOT DISTINCT FROM r WHERE side = 'chosen' OR NOT (parts IS NULL OR turn < parts)""",
+}
