@@ -44,13 +44,13 @@ def _head(path: str) -> bytes:
         return f.read(PROBE_BYTES)
 
 
-def detect_encoding(head: bytes) -> str:
-    """The encoding that the byte order mark names, else the first that decodes the head."""
+def detect_encoding(head: bytes, cut_off: bool = False) -> str:
+    """The encoding that the byte order mark names, else the first that decodes the head; cut_off: whether it may end inside a character."""
     for mark, encoding in BOMS.items():
         if head.startswith(mark):
             return encoding
     for encoding in TRIAL_ENCODINGS:
-        for cut in range(4):  # the head may end inside a character
+        for cut in range(4 if cut_off else 1):
             try:
                 head[: len(head) - cut].decode(encoding)
                 return encoding
@@ -100,7 +100,7 @@ def peek(path: str, encoding: str | None = None, separator: str | None = None) -
     """Layout of a file from its head: a title line and a missing header are told from the fields they have."""
     head = _head(path)
     size = os.path.getsize(path)
-    encoding = encoding or detect_encoding(head)
+    encoding = encoding or detect_encoding(head, size > len(head))
     lines = _lines(head, encoding, size <= len(head))
     if not lines:
         raise ValueError(f"{path} has no line with text")
@@ -121,7 +121,7 @@ def read_text_rows(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     names = layout.columns
     raw = [f"__c{i}" for i in range(len(names))]
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in raw], T.StructField("__over", T.StringType()), T.StructField("__line", T.StringType())])
-    java = {"latin-1": "ISO-8859-1", "cp1252": "windows-1252", "gbk": "GBK"}.get(layout.encoding, layout.encoding)
+    java = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "gbk": "GBK"}.get(layout.encoding, layout.encoding)
     reader = spark.read.schema(schema).option("sep", layout.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").option("quote", '"').option("escape", '"')
     if layout.encoding not in ("utf-8", "latin-1"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
