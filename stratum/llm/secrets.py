@@ -65,7 +65,10 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """candidate, left_words, right_words, path, label: findings whose truth is known as they are made by rule."""
+    """candidate, left_words, right_words, path, label: findings whose truth is known as they are made by rule.
+
+    A bounded table of one partition, so that the forest's draws do not depend on the cluster.
+    """
     h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256)
     b = F.base64(F.unhex(h))
     plain = F.regexp_replace(b, "[^A-Za-z0-9]", "")
@@ -87,6 +90,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (1, F.concat(F.lit("eyJ"), F.substring(long_, 1, 30), F.lit("."), F.substring(long_, 20, 30)), F.concat(word, pick("", "token: ", "Authorization: Bearer "))),
         (1, F.concat(F.substring(plain, 1, 10), pick("!", "#7", "_9", "@2")), F.concat(word, pick("password: ", "pwd=", "passwd = \""))),
         (1, F.lit("-----BEGIN RSA PRIVATE KEY-----"), word),
+        (1, F.substring(h, F.lit(1), (F.col("id") % 17 + 10).cast("int")), F.concat(word, pick("password=", "passwd: ", "pwd = \"", "secret=", "token=", "PASSWORD="))),
+        (1, F.translate(F.substring(h, 3, 18), "abcd", "4703"), F.concat(word, pick("password=", "pwd: ", "secret = '", "token=", "PASSWORD="))),
+        (1, F.substring(plain, F.lit(1), (F.col("id") % 13 + 10).cast("int")), F.concat(word, name)),
         (0, hex40, F.concat(word, hashed)),
         (0, F.substring(h, 1, 32), F.concat(word, hashed)),
         (0, dashed, F.concat(word, pick("id: ", "uuid = ", "request ", ""))),
@@ -102,7 +108,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     ]
     one = lambda i: F.element_at(F.array(*[k[i] if isinstance(k[i], Column) else F.lit(k[i]) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
     path = pick("", "src", "app/config.yaml", "deploy/.env", "docs/readme", "tests/test_app", "src0", "crawl")
-    return spark.range(rows).select(one(1).alias("candidate"), one(2).alias("left_words"), pick("\" and", " ,", "'", "", "\"!!").alias("right_words"), path.alias("path"), one(0).cast("double").alias("label"))
+    return spark.range(0, rows, 1, 1).select(one(1).alias("candidate"), one(2).alias("left_words"), pick("\" and", " ,", "'", "", "\"!!").alias("right_words"), path.alias("path"), one(0).cast("double").alias("label"))
 
 
 class Forest:
