@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship_package(spark)
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(F.pmod(id_crc("doc_id"), F.lit(5)) != 0)
     model = quality.learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
-    return quality.score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, keep=tuple(docs.columns), names=("__score", "__predicted")).where("__predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,19 +149,19 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> A
     return model.fit(np.concatenate(bags).astype(np.float64), first, found["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: AttentionPool, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and predicted of each row, after the columns named in keep."""
+def score(docs: DataFrame, model: AttentionPool, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """doc_id, score and predicted (or as names has it) of each row, after the columns named in keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 y = np.clip(model.score(*passages(batch.column("__text"))), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(y, pa.float64()), pa.array((y >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(y, pa.float64()), pa.array((y >= threshold).astype(np.int32), pa.int32())], [*kept, *names])
 
     rows = docs.select(*[c for c in keep if c != "doc_id"], F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     schema = rows.drop("__text").schema
-    names = schema.names
-    return rows.mapInArrow(run, T.StructType([*schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    kept = schema.names
+    return rows.mapInArrow(run, T.StructType([*schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
