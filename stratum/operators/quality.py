@@ -44,6 +44,21 @@ def stale_days(df: DataFrame, date: str, now: Column) -> DataFrame:
     return df.agg(F.max(F.col(date)).alias("newest")).withColumn("age_days", F.datediff(now, F.col("newest")))
 
 
+def outliers(df: DataFrame, columns: list[str], deviations: float = 3.0) -> DataFrame:
+    """column_name and the number of values further from the mean than that many standard deviations. Two jobs, for any number of columns."""
+    c = lambda x: F.col(f"`{x}`").cast("double")
+    row = df.agg(*[f(c(x)).alias(f"{n}{i}") for i, x in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    far = [F.count_if(F.abs(c(x) - F.lit(row[f"m{i}"])) > F.lit(row[f"s{i}"]) * deviations).alias(x) for i, x in enumerate(columns)]
+    one = df.agg(*far)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(f"`{x}`").alias("outliers")) for x in columns])).alias("x")).select("x.*")
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule and the number of rows for which its condition, over any columns, is false; a missing value breaks no rule. One job."""
+    one = df.agg(*[F.count_if(~r).alias(f"r{i}") for i, r in enumerate(rules.values())])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, n in enumerate(rules)])).alias("x")).select("x.*")
+
+
 def check(df: DataFrame, critical: list[str], rates: list[str], key: str | None = None, price: str | None = None, quantity: str | None = None, threshold: float = NULL_RATE_THRESHOLD) -> DataFrame:
     """All figures and the status, as one row of one job.
 

@@ -134,6 +134,18 @@ def quality_freshness(spark, sf_dir):
     return quality.stale_days(table(spark, sf_dir, "events"), "ts", F.lit("2030-01-01").cast("date")).withColumn("age_days", F.col("age_days").cast("long"))
 
 
+@_register(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (abs({c} - m) > 2 * s) AS outliers FROM lineitem, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem)" for c in ("l_quantity", "l_extendedprice"))
+)
+def quality_outliers(spark, sf_dir):
+    return quality.outliers(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], 2.0)
+
+
+@_register("SELECT 'tax' AS rule, count(*) FILTER (NOT l_tax <= l_discount) AS violations FROM lineitem UNION ALL SELECT 'price', count(*) FILTER (NOT l_extendedprice >= l_quantity) FROM lineitem")
+def quality_cross_columns(spark, sf_dir):
+    return quality.violations(table(spark, sf_dir, "lineitem"), {"tax": F.col("l_tax") <= F.col("l_discount"), "price": F.col("l_extendedprice") >= F.col("l_quantity")})
+
+
 @_register(f"SELECT {_ODS_COLUMNS}, order_amount FROM clean", True)
 def clean_first_detail(spark, sf_dir):
     return _clean(spark, sf_dir)

@@ -43,3 +43,11 @@ def test_by_schema(spark, monkeypatch):
     monkeypatch.setenv("QUALITY_NULL_THRESHOLD", "0.6")
     assert quality.schema_check(df, schema).first().warnings == []
     assert RuntimeSchema(quality_null_threshold=0.2).threshold() == 0.2
+
+
+def test_outliers_and_rules(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(float(i % 3), 5.0) for i in range(50)] + [(100.0, None)], "a double, b double")
+    assert {r.column_name: r.outliers for r in quality.outliers(df, ["a", "b"]).collect()} == {"a": 1, "b": 0}
+    assert {r.rule: r.violations for r in quality.violations(df, {"low": F.col("a") < F.col("b"), "some": F.col("a") >= 1}).collect()} == {"low": 0, "some": 17}
