@@ -64,6 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+  s AS (SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+  g AS (SELECT row, len(s) AS n, unnest(s) AS g FROM s),
+  links AS (SELECT a.row AS a, b.row AS b FROM g a JOIN g b ON a.g = b.g AND a.row <> b.row AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+    GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  reach(row, other) AS (SELECT row, row FROM s UNION SELECT r.row, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id FROM reach r JOIN s x ON r.row = x.row JOIN s y ON r.other = y.row GROUP BY x.row, x.doc_id, x.s""",
     "op3_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
