@@ -19,11 +19,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a fresh local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where all executors see it: under spark.checkpoint.dir, else under the context's checkpoint folder; where neither is set, as in tests, a local one becomes that."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="stratum-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratum-shared-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
 
 
