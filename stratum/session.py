@@ -21,11 +21,15 @@ def session(app: str = "stratum", master: str | None = None, **conf: object) ->
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch to a Python worker where the session leaves Spark's default: rows here are whole texts.
+BATCH_ROWS = "1000"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each application, whatever their path is."""
+    """Give Python workers this package, once for each application, whatever their path is, and batches that fit their memory."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
