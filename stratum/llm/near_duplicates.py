@@ -130,7 +130,7 @@ def _send(k: int, percent: int, share: float, buckets: int):
                         held.append((*key, first))
                         size += len(first)
                 yield _emit(out | {"kind": [0] * batch.num_rows, "doc_id": batch.column("doc_id"), "tag": batch.column("tag")})
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     size = 0
         yield from flush()

@@ -55,7 +55,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most that many text bytes (a longer text stays whole), to bound memory."""
     texts = batch.column(column)
     if batch.num_rows == 0:
@@ -124,7 +124,7 @@ class WordTable:
     Memory is bounded: past that many words the table is emptied with reset() and filled anew.
     """
 
-    def __init__(self, fill: Callable[[list[bytes]], None], reset: Callable[[], None], most: int = 2_000_000):
+    def __init__(self, fill: Callable[[list[bytes]], None], reset: Callable[[], None], most: int = 1_000_000):
         self.fill, self.reset, self.most = fill, reset, most
         self._empty()
 
