@@ -1,7 +1,7 @@
 """Operator 5: secret scans, whose candidates a random forest accepts or drops.
 
-One pattern marks candidates in a text: values assigned to a secret-like name, keys of known
-shapes, private key blocks, and long runs of key letters with a digit. Each candidate is described by
+One pattern marks candidates in a text: values assigned to a name that has a secret-like word in it
+(DB_PASSWORD, dbPassword, auth_token, SECRET_KEY_BASE), keys of known shapes, private key blocks, and long runs of key letters with a digit. Each candidate is described by
 its length, character transitions, dictionary coverage, the document's path and the words
 beside it; a random forest, trained from labelled findings, gives the probability that it is a secret.
 The findings to learn from are made by rule in labelled_findings() and can be replaced by a table
@@ -21,10 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, THRESHOLD, TREES, DEPTH, FINDINGS = "\x01", "\x02", 0.5, 20, 6, 3000
-NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|signing|client)[_ -]?(?:key|secret|token)"
+_KEYS = "api|access|private|signing|client|secret|encryption|master"
+NAMES = rf"pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:{_KEYS})[_ -]?(?:key|secret|token)"
+#: The same as one hump of a camel-case name.
+HUMPS = r"Pass(?:[Ww]ord|[Ww]d|[Pp]hrase)?|Pwd|PWD|Secret|Token|Credentials?|Auth(?:orization)?|Bearer|(?:Api|API|Access|Private|Signing|Client|Encryption|Master)Key"
 _LETTERS = r"A-Za-z0-9+/_\-"
+_IN_NAME = r"[A-Za-z0-9_.\-]"
+_ASSIGN = r"[\"']?\]?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}[\"']?"
+#: A whole identifier that is assigned and has one of NAMES anywhere in it, or two words such as 'api key'. What is possessive here keeps the search linear.
+_NAMED = rf"(?<!{_IN_NAME})(?=(?:(?i:{_KEYS})[ ])?{_IN_NAME}++{_ASSIGN})(?=(?i:{_IN_NAME}*?(?:{NAMES})))(?:(?i:{_KEYS})[ ](?i:key|secret|token))?{_IN_NAME}*+{_ASSIGN}(?i:bearer\s)?"
 PATTERN = (
-    rf"((?i:\b(?:{NAMES}))[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?(?i:bearer\s)?)([^\s\"'<>\x01\x02]{{8,512}})"
+    rf"({_NAMED})((?<=\")[^\s\"\x01\x02]{{8,512}}|(?<=')[^\s'\x01\x02]{{8,512}}|[^\s\"'<>\x01\x02]{{8,512}})"
     r"|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]{1,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"
     rf"|((?<![{_LETTERS}])(?=[A-Za-z+/_\-]{{0,100}}[0-9])[{_LETTERS}]{{20,}}={{0,2}})"
 )
@@ -55,7 +62,8 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
         flag(c.rlike("^(?:[0-9a-f]{20,}|[0-9A-F]{20,})$")),
         flag(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
         flag(c.rlike("|".join(KINDS.values()))),
-        flag(left.rlike(rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?(?:bearer\s)?$")),
+        flag(left.rlike(rf"(?i)(?:{NAMES}){_IN_NAME}*+{_ASSIGN}(?:bearer\s)?$")),
+        flag(left.rlike(rf"(?:(?<![A-Za-z])(?i:{NAMES})|(?<![A-Z])(?:{HUMPS}))s?(?![a-z]){_IN_NAME}*+{_ASSIGN}(?i:bearer\s)?$")),
         flag(left.rlike(rf"(?i)\b(?:{NAMES})\b")),
         flag(left.rlike(BESIDE_HASH)),
         flag(left.rlike(BESIDE_EXAMPLE) | right.rlike(BESIDE_EXAMPLE)),
@@ -79,6 +87,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     number = F.conv(F.substring(h, 1, 12), 16, 10)
     hex40, up40 = F.substring(h, 1, 40), F.upper(F.substring(h, 1, 40))
     dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    within = pick("DB_PASSWORD=", "auth_token=", "dbPassword: \"", "SECRET_KEY = \"", "smtp.password=", "MYSQL_ROOT_PASSWORD: ", "userPassword = '", "\"clientSecret\": \"", "aws_secret_access_key = ", "x-api-key: ", "SECRET_KEY_BASE=", "sessionToken: '", "REDIS_PWD=")
+    other = pick("author: ", "Authors = ", "compass: ", "passage: \"", "secretary: ", "tokenizer = \"", "authority: ", "bypass=", "passenger: ", "author=\"", "passed: ", "encompasses: ")
+    mark = pick("!", "&", "@", "#", "$", "%", "^", "*", "?")
     hashed = pick("commit ", "sha1: ", "md5 = ", "checksum ", "revision ", "digest: ", "uuid: ", "etag ", "build ")
     kinds = [
         (1, hex40, F.concat(word, name)),
@@ -93,6 +104,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (1, F.substring(h, F.lit(1), (F.col("id") % 17 + 10).cast("int")), F.concat(word, pick("password=", "passwd: ", "pwd = \"", "secret=", "token=", "PASSWORD="))),
         (1, F.translate(F.substring(h, 3, 18), "abcd", "4703"), F.concat(word, pick("password=", "pwd: ", "secret = '", "token=", "PASSWORD="))),
         (1, F.substring(plain, F.lit(1), (F.col("id") % 13 + 10).cast("int")), F.concat(word, name)),
+        (1, F.concat(F.substring(plain, F.lit(1), (F.col("id") % 6 + 6).cast("int")), mark, F.substring(plain, F.lit(20), (F.col("id") % 5 + 1).cast("int"))), F.concat(word, within)),
+        (1, F.substring(plain, F.lit(1), (F.col("id") % 13 + 9).cast("int")), F.concat(word, within)),
+        (1, F.concat(pick("Tr", "xK", "summer", "Winter", "blue", "q", "Dragon"), F.substring(h, 1, 3), pick("door", "Fox", "rain", "k", "ship"), mark, (F.col("id") % 90 + 10).cast("string"), pick("x", "Z", "", "!")), F.concat(word, pick("password: ", "pwd=", "DB_PASSWORD=", "dbPassword: \"", "\"password\": \"", "ADMIN_PASS="))),
         (0, hex40, F.concat(word, hashed)),
         (0, F.substring(h, 1, 32), F.concat(word, hashed)),
         (0, dashed, F.concat(word, pick("id: ", "uuid = ", "request ", ""))),
@@ -104,6 +118,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (0, F.concat(F.lit("1234567890abcdef"), pick("1234567890abcdef", "12345678", "0000")), F.concat(word, name)),
         (0, F.concat(pick("get_user_by_name_", "list_all_items_in_", "request_handler_for_"), (F.col("id") % 50).cast("string"), pick("_version", "_test", "_data")), word),
         (0, F.concat(F.lit("https/www/static/assets/"), F.substring(h, 1, 6), F.lit("/image/page")), word),
+        (0, F.concat(pick("Christopher", "Elisabeth", "northwest", "Department", "Alexandria", "function", "Katharina", "government", "something", "Fernandez"), pick("", ",", ".", "-Smith", ";")), F.concat(word, other)),
+        (0, pick("required", "optional,", "undefined;", "forgotten", "somebody", "incorrect.", "expired,", "request.body.password", "process.env.DB_PASSWORD", "getpass.getpass()", "os.environ.get(", "password_hash", "function(request)", "string,", "encrypted."), F.concat(word, pick("password: ", "token: ", "secret = ", "PASSWORD=", "dbPassword: ", "auth: ", "auth_token = "))),
+        (0, F.concat(pick("/usr/share/", "http://www.", "/etc/", "lib/modules."), pick("document/", "common.", "words/"), pick("overview", "settings.page", "introduction")), F.concat(word, pick("passage: ", "auth_path=", "token_file = \"", "author: ", "secret_dir="))),
         (0, hex40, pick("the tree ", "see ", "at object ", "parent ", "merged ")),
     ]
     one = lambda i: F.element_at(F.array(*[k[i] if isinstance(k[i], Column) else F.lit(k[i]) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))

@@ -65,3 +65,22 @@ def test_odd_rows(spark):
     clean = secrets.redact(odd(spark))
     assert clean.columns == odd(spark).columns
     assert sorted(map(str, clean.collect())) == sorted(map(str, odd(spark).collect())) and secrets.redact(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ("set DB_PASSWORD=Tr0ub4dor&3x here", "Tr0ub4dor&3x"),
+        ("auth_token=abc12345xyz", "abc12345xyz"),
+        ('dbPassword: "Tr0ub4dor&3x"', "Tr0ub4dor&3x"),
+        ('SECRET_KEY = "x9!kd82ja@lq"', "x9!kd82ja@lq"),
+        ("SECRET_KEY_BASE=q7Rk29Zp4w", "q7Rk29Zp4w"),
+        ('{"user": "ann", "clientSecret": "k8#Lq2<zV9\'w"}', "k8#Lq2<zV9'w"),
+        ("os.environ['SMTP_PASSWORD'] = 'hT7$kq!2z'", "hT7$kq!2z"),
+        ("my api key: kQ83jZx0Lm", "kQ83jZx0Lm"),
+        ("author: Christopher, and others", None),
+        ("compass: northwest of it", None),
+    ],
+)
+def test_names_within_identifiers(spark, text, secret):
+    test_kinds(spark, text, secret)
