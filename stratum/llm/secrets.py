@@ -30,10 +30,15 @@ _IN_NAME = r"[A-Za-z0-9_.\-]"
 _ASSIGN = r"[\"']?\]?\s{0,3}(?::=|=>|={1,3}|:)\s{0,3}[\"']?"
 #: A whole identifier that is assigned and has one of NAMES anywhere in it, or two words such as 'api key'. What is possessive here keeps the search linear.
 _NAMED = rf"(?<!{_IN_NAME})(?=(?:(?i:{_KEYS})[ ])?{_IN_NAME}++{_ASSIGN})(?=(?i:{_IN_NAME}*?(?:{NAMES})))(?:(?i:{_KEYS})[ ](?i:key|secret|token))?{_IN_NAME}*+{_ASSIGN}(?i:bearer\s)?"
+_HEADER, _FOOTER = (rf"-----{x} [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+#: A block up to its END line, whatever is between; one that is cut off ends with its key letters.
+_BLOCK = rf"{_HEADER}(?:(?:(?!-----BEGIN )[\s\S])*?{_FOOTER}|(?=(?:\s|\\[nr]){{1,4}}[A-Za-z0-9+/]{{40}})[A-Za-z0-9+/=\s\\]*+)?"
+_SIGNED = r"eyJ[0-9A-Za-z_-]{10,}(?:\.[0-9A-Za-z_-]*){0,3}\.[0-9A-Za-z_-]+"
+_PLAIN = r"(?!-----BEGIN )(?:(?<=\")[^\s\"\x01\x02]{8,}|(?<=')[^\s'\x01\x02]{8,}|[^\s\"'<>\x01\x02]{8,})"
 PATTERN = (
-    rf"({_NAMED})((?<=\")[^\s\"\x01\x02]{{8,512}}|(?<=')[^\s'\x01\x02]{{8,512}}|[^\s\"'<>\x01\x02]{{8,512}})"
-    r"|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]{1,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"
-    rf"|((?<![{_LETTERS}])(?=[A-Za-z+/_\-]{{0,100}}[0-9])[{_LETTERS}]{{20,}}={{0,2}})"
+    rf"((?<![{_LETTERS}]){_SIGNED}|{_BLOCK})"
+    rf"|({_NAMED})({_BLOCK}|{_PLAIN})"
+    rf"|((?<![{_LETTERS}])(?=[A-Za-z+/_\-]*+[0-9])[{_LETTERS}]{{20,}}={{0,2}})"
 )
 KINDS = {"private_key": r"^-----BEGIN ", "cloud_key_id": r"^(?:AKIA|ASIA)[0-9A-Z]{16}$", "forge_token": r"^gh[pousr]_[0-9A-Za-z]{30,}$", "signed_token": r"^eyJ[0-9A-Za-z_-]{10,}\."}
 #: Words that fill keys that are none, and names in code.
@@ -90,6 +95,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     within = pick("DB_PASSWORD=", "auth_token=", "dbPassword: \"", "SECRET_KEY = \"", "smtp.password=", "MYSQL_ROOT_PASSWORD: ", "userPassword = '", "\"clientSecret\": \"", "aws_secret_access_key = ", "x-api-key: ", "SECRET_KEY_BASE=", "sessionToken: '", "REDIS_PWD=")
     other = pick("author: ", "Authors = ", "compass: ", "passage: \"", "secretary: ", "tokenizer = \"", "authority: ", "bypass=", "passenger: ", "author=\"", "passed: ", "encompasses: ")
     mark = pick("!", "&", "@", "#", "$", "%", "^", "*", "?")
+    more = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("id") % 47 + 2), lambda i: F.base64(F.unhex(F.sha2(F.concat(h, i.cast("string")), 256)))), "")
     hashed = pick("commit ", "sha1: ", "md5 = ", "checksum ", "revision ", "digest: ", "uuid: ", "etag ", "build ")
     kinds = [
         (1, hex40, F.concat(word, name)),
@@ -107,12 +113,17 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (1, F.concat(F.substring(plain, F.lit(1), (F.col("id") % 6 + 6).cast("int")), mark, F.substring(plain, F.lit(20), (F.col("id") % 5 + 1).cast("int"))), F.concat(word, within)),
         (1, F.substring(plain, F.lit(1), (F.col("id") % 13 + 9).cast("int")), F.concat(word, within)),
         (1, F.concat(pick("Tr", "xK", "summer", "Winter", "blue", "q", "Dragon"), F.substring(h, 1, 3), pick("door", "Fox", "rain", "k", "ship"), mark, (F.col("id") % 90 + 10).cast("string"), pick("x", "Z", "", "!")), F.concat(word, pick("password: ", "pwd=", "DB_PASSWORD=", "dbPassword: \"", "\"password\": \"", "ADMIN_PASS="))),
+        (1, more, F.concat(word, within)),
+        (1, F.regexp_replace(more, "[^A-Za-z0-9]", ""), F.concat(word, name)),
+        (1, F.concat(F.lit("eyJ"), F.substring(long_, 1, 20), F.lit("."), F.regexp_replace(more, "[^A-Za-z0-9]", ""), F.lit("."), F.substring(long_, 20, 30)), F.concat(word, pick("", "token: ", "Authorization: Bearer ", "id_token=\""))),
+        (1, F.concat(F.lit("-----BEGIN "), pick("RSA ", "", "ENCRYPTED ", "EC "), F.lit("PRIVATE KEY-----"), pick("\n", "\\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n"), more, pick("\n", "\\n"), F.lit("-----END PRIVATE KEY-----")), F.concat(word, pick("", "\"private_key\": \"", "private_key = \"", "key: "))),
         (0, hex40, F.concat(word, hashed)),
         (0, F.substring(h, 1, 32), F.concat(word, hashed)),
         (0, dashed, F.concat(word, pick("id: ", "uuid = ", "request ", ""))),
         (0, F.concat(pick("your_api_key_here_", "example_token_", "insert-token-here-", "changeme_password_", "dummy_secret_value_"), (F.col("id") % 97).cast("string")), F.concat(word, name)),
         (0, F.concat(pick("password", "changeme", "example", "placeholder", "test_token"), (F.col("id") % 9).cast("string")), F.concat(word, name)),
         (0, F.concat(F.lit("src/main/java/com/"), F.substring(h, 1, 3), pick("/service/handler", "/config/version", "/index/list")), word),
+        (0, F.repeat(pick("/assets/image", "data-list-item/", "get_user_by_name,", "function(request);"), (F.col("id") % 40 + 4).cast("int")), F.concat(word, pick("author: ", "auth_path=", "", "token: "))),
         (0, F.concat(number, number), F.concat(word, pick("card ", "order ", "", "phone "))),
         (0, F.repeat(F.substring(h, 1, 1), 24), F.concat(word, name)),
         (0, F.concat(F.lit("1234567890abcdef"), pick("1234567890abcdef", "12345678", "0000")), F.concat(word, name)),
@@ -171,7 +182,7 @@ def forest(spark: SparkSession) -> Forest:
 def _segments(text: Column) -> Column:
     """The text cut before each candidate; all but the first begin with a candidate that ends at CLOSE."""
     clean = F.translate(text, OPEN + CLOSE, "  ")
-    return F.split(F.regexp_replace(clean, F.lit(PATTERN), F.lit(f"$1{OPEN}$2$3$4{CLOSE}")), OPEN)
+    return F.split(F.regexp_replace(clean, F.lit(PATTERN), F.lit(f"$2{OPEN}$1$3$4{CLOSE}")), OPEN)
 
 
 def _candidate(segment: Column) -> Column:

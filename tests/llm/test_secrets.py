@@ -84,3 +84,29 @@ def test_odd_rows(spark):
 )
 def test_names_within_identifiers(spark, text, secret):
     test_kinds(spark, text, secret)
+
+
+def _letters(n):
+    return "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n // 64 + 1))[:n].translate(str.maketrans("0123ab", "KqZxPw"))
+
+
+_BODY = "\n".join(_letters(10_000)[i : i + 64] for i in range(0, 10_000, 64))
+_RSA = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+WHOLE = {
+    "long token": ('token = "{}" end', _letters(2000)),
+    "named key": ('{{"private_key": "{}", "x": 1}}', _RSA.format(_BODY[:500] + "\nshort==").replace("\n", "\\n")),
+    "encrypted key": ("see\n{}\nend", _RSA.format("Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,1F0A-3B\n\n" + _BODY[:650])),
+    "long key": ("see\n{}\nend", _RSA.format(_BODY)),
+    "cut-off key": ("see {}", _RSA.format(_BODY[:650] + "\nKq9").split("\n-----END")[0]),
+    "signed token": ("sent eyJ{} ok", None),
+}
+
+
+def test_whole_candidates(spark):
+    """Of each secret no letter stays, and it is one finding."""
+    signed = f"eyJ{_letters(40)}.{_letters(90)[45:]}.{_letters(140)[97:]}"
+    cases = [(form.format(s), s, form.format("[SECRET]")) if s else (f"sent {signed} ok", signed, "sent [SECRET] ok") for form, s in WHOLE.values()]
+    docs = frame(spark, *[text for text, _, _ in cases])
+    found = {r.doc_id: (r.digest, r.length) for r in secrets.secrets(docs).collect()}
+    assert found == {i: (hashlib.sha256(s.encode()).hexdigest(), len(s)) for i, (_, s, _) in enumerate(cases)}
+    assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == [clean for _, _, clean in cases]
