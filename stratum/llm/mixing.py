@@ -4,11 +4,13 @@ A source's target share of all words, over its own words, is the number of copie
 documents ought to have. The whole part is taken as it is. The fractions are rounded together:
 two documents with fractions p, q and sizes a, b exchange word mass, so that p*a + q*b stays, until
 one of them has no copy or a whole one; which of the two ways is drawn so that each document's
-expected fraction stays. A source's large documents (over its median size) are rounded first; what
-their last one misses is spread over the fractions of the small ones, so that a source's words
-hit the target up to half a small document: the last one of all is rounded to the nearer side.
+expected fraction stays. A source's longest documents come first, one by one from the longest on: each
+exchanges mass with all shorter ones together, whose common fraction takes up what it misses. Then the
+others over the median size are rounded, whose last one exchanges with those below in the same way.
+So a source's words hit the target up to half a small document: the last one of all is rounded to
+the nearer side, as is one that is longer than all shorter ones together can make up for.
 
-The rounding is a reduction tree: documents are dealt by a hash into groups of at most a few dozen; a
+Below the longest, the rounding is a reduction tree: documents are dealt by a hash into groups of at most a few dozen; a
 group is folded by `aggregate` and leaves one document undecided; the undecided ones form the next
 level, until each source has one, which is drawn on its own. Every draw is a hash of the documents
 met, so reruns agree. All of it is DataFrame and SQL functions.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, written
 
 GROUP, MOST_COPIES = 32, 3
+#: Documents of a source that are settled one by one; they are one row of an array.
+LONGEST = 512
 _TINY = 1e-9
 
 
@@ -53,9 +57,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _snapped(p: Column) -> Column:
+    return F.when(F.abs(p) < _TINY, 0.0).when(F.abs(p - 1) < _TINY, 1.0).otherwise(p)
+
+
 def _item(p: Column, like: Column) -> Column:
-    whole = F.when(F.abs(p) < _TINY, 0.0).when(F.abs(p - 1) < _TINY, 1.0).otherwise(p)
-    return F.struct(like["key"].alias("key"), like["rid"].alias("rid"), whole.alias("p"), like["size"].alias("size"))
+    return F.struct(like["key"].alias("key"), like["rid"].alias("rid"), _snapped(p).alias("p"), like["size"].alias("size"))
 
 
 def _draw(*columns: Column) -> Column:
@@ -77,8 +84,36 @@ def _exchange(state: Column, x: Column, seed: int) -> Column:
     return _let(pair, lambda w: F.when(_is_whole(w["a"]), F.struct(w["b"].alias("held"), F.concat(state["out"], F.array(w["a"])).alias("out"))).otherwise(F.struct(w["a"].alias("held"), F.concat(state["out"], F.array(w["b"])).alias("out"))))
 
 
-def _round(items: DataFrame, seed: int, nearest: bool, group: int = GROUP) -> DataFrame:
-    """rid and bit of each item of items(source, key, rid, p, size) with 0 < p < 1 and size > 0.
+def _settled(p: Column, size: Column, q: Column, mass: Column, draw: Column) -> Column:
+    """bit of an item with fraction p and q of all items below it, mass words with the common fraction q, after their exchange.
+
+    Where the items below run out, the item is rounded to the nearer side and they take up what they can.
+    """
+    amounts = F.struct(F.least((1.0 - p) * size, q * mass).alias("give"), F.least(p * size, (1.0 - q) * mass).alias("take"))
+    moved = _let(amounts, lambda m: F.when(draw * (m["give"] + m["take"]) < m["take"], m["give"]).otherwise(-m["take"]))
+    bit = F.when(p + moved / size > 0.5, 1.0).otherwise(0.0)
+    left = lambda b: F.when(mass > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + (p - b) * size / mass))).otherwise(0.0)
+    return _let(bit, lambda b: F.struct(b.alias("bit"), _snapped(left(b)).alias("q")))
+
+
+def _longest(open_: DataFrame, seed: int, most: int = LONGEST) -> DataFrame:
+    """source, out (rid and bit of its longest documents) and p, the fraction of its other ones, of open_(source, key, rid, p, size), p being one for a source."""
+    nth = F.expr("row_number() over (partition by source order by size desc, key, rid)")
+    first = open_.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "rid", "size"))).alias("items"))
+    whole = open_.groupBy("source").agg(F.sum("size").alias("mass"), F.max("p").alias("p")).withColumnRenamed("source", "of")
+
+    def step(state: Column, x: Column) -> Column:
+        rest = state["mass"] - x["size"]
+        done = _settled(state["p"], x["size"], state["p"], rest, _draw(x["key"], x["nth"], F.lit(seed)))
+        return _let(done, lambda d: F.struct(d["q"].alias("p"), rest.alias("mass"), F.concat(state["out"], F.array(F.struct(x["rid"].alias("rid"), d["bit"].cast("int").alias("bit")))).alias("out")))
+
+    start = F.struct(F.col("p"), F.col("mass"), F.array().cast("array<struct<rid:bigint,bit:int>>").alias("out"))
+    both = first.join(whole, F.col("source").eqNullSafe(F.col("of")))
+    return written(both.select("source", F.aggregate("items", start, step).alias("s")).select("source", "s.out", "s.p"), "longest")
+
+
+def _round(items: DataFrame, seed: int, nearest: bool, group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
+    """rid and bit of each item of items(source, key, rid, p, size) with size > 0, and the undecided one of each source unless it is rounded to the nearer side.
 
     Items of a source are dealt to leaves by hash; leaf i of a level belongs to leaf i / group of the next.
     """
@@ -86,7 +121,7 @@ def _round(items: DataFrame, seed: int, nearest: bool, group: int = GROUP) -> Da
     leaves = items.join(counts, items["source"].eqNullSafe(counts["source"])).drop(counts["source"])
     level = leaves.select("source", F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("n") / group)).alias("leaf"), F.struct("key", "rid", "p", "size").alias("item"))
     leaf_count = counts.agg(F.ceil(F.max("n") / group)).first()[0] or 0
-    decided = None
+    decided = undecided = None
     while leaf_count:
         items_ = F.array_sort(F.collect_list("item"))
         empty = F.array().cast("array<struct<key:bigint,rid:bigint,p:double,size:double>>")
@@ -94,18 +129,18 @@ def _round(items: DataFrame, seed: int, nearest: bool, group: int = GROUP) -> Da
         folded = folded.select("source", "leaf", F.aggregate(F.slice("items", 2, F.size("items")), F.struct(F.element_at("items", 1).alias("held"), empty.alias("out")), lambda state, x: _exchange(state, x, seed)).alias("s"))
         last = leaf_count == 1
         held = F.col("s.held")
-        if last:  # the root: what is left undecided is drawn on its own, or rounded
-            side = lambda h: F.lit(0.5) if nearest else _draw(h["key"], F.lit(seed + 1))
-            held = _let(held, lambda h: F.struct(h["key"].alias("key"), h["rid"].alias("rid"), F.when(_is_whole(h), h["p"]).when(side(h) < h["p"], 1.0).otherwise(0.0).alias("p"), h["size"].alias("size")))
+        if last and nearest:  # the root: what is left undecided is rounded
+            held = _let(held, lambda h: F.struct(h["key"].alias("key"), h["rid"].alias("rid"), F.when(h["p"] > 0.5, 1.0).otherwise(0.0).alias("p"), h["size"].alias("size")))
         folded = written(folded.select("source", "leaf", held.alias("held"), F.col("s.out").alias("out")), "level")
         done = F.concat("out", F.filter(F.array("held"), _is_whole))
         bits = folded.select(F.explode(done).alias("d")).select(F.col("d.rid").alias("rid"), F.col("d.p").cast("int").alias("bit"))
         decided = bits if decided is None else decided.unionByName(bits)
         if last:
+            undecided = folded.where(~_is_whole(F.col("held"))).select("source", "held.*")
             break
         level = folded.where(~_is_whole(F.col("held"))).select("source", F.floor(F.col("leaf") / group).alias("leaf"), F.col("held").alias("item"))
         leaf_count = -(-leaf_count // group)
-    return decided if decided is not None else items.select("rid", F.lit(0).alias("bit")).where("false")
+    return (decided if decided is not None else items.select("rid", F.lit(0).alias("bit")).where("false")), undecided
 
 
 def copies(docs: DataFrame, most_copies: int = MOST_COPIES, seed: int = 20, key: Column | None = None) -> DataFrame:
@@ -118,16 +153,24 @@ def copies(docs: DataFrame, most_copies: int = MOST_COPIES, seed: int = 20, key:
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most_copies)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     known = known.withColumn("whole", F.floor(rate + _TINY)).withColumn("p", F.greatest(F.lit(0.0), rate - F.col("whole")))
     open_ = known.where((F.col("p") > _TINY) & (F.col("size") > 0)).select("source", "key", "rid", "p", F.col("size").cast("double").alias("size"))
-    middle = open_.groupBy("source").agg(F.expr("percentile_approx(size, 0.5)").alias("middle")).withColumnRenamed("source", "of")
-    open_ = written(open_.join(middle, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "open")
-    large, small = open_.where("size > middle").drop("middle"), open_.where("size <= middle").drop("middle")
-    bits = _round(large, seed, False)
-    missed = large.join(bits, "rid").groupBy("source").agg(F.sum((F.col("p") - F.col("bit")) * F.col("size")).alias("missed"))
-    mass = small.groupBy("source").agg(F.sum("size").alias("mass")).join(missed.withColumnRenamed("source", "of2"), F.col("source").eqNullSafe(F.col("of2")))
-    shift = mass.select(F.col("source").alias("of"), (F.col("missed") / F.col("mass")).alias("shift"))
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))
-    moved = written(small.join(shift, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("p", p).select("source", "key", "rid", "p", "size"), "small")
-    bits = bits.unionByName(_round(moved, seed + 2, True))
+    open_ = written(open_, "open")
+    longest = _longest(open_, seed + 4)
+    bits = longest.select(F.explode("out").alias("d")).select("d.*")
+    share = longest.select(F.col("source").alias("of"), F.col("p").alias("left"))
+    others = open_.join(bits, "rid", "left_anti").join(share, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "rid", F.col("left").alias("p"), "size")
+    middle = others.groupBy("source").agg(F.expr("percentile_approx(size, 0.5)").alias("middle")).withColumnRenamed("source", "of")
+    others = written(others.join(middle, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "others")
+    large, small = others.where("size > middle").drop("middle"), others.where("size <= middle").drop("middle")
+    more, undecided = _round(large, seed, False)
+    bits = bits.unionByName(more)
+    if undecided is not None:
+        below = small.groupBy("source").agg(F.sum("size").alias("mass"), F.max("p").alias("q")).withColumnRenamed("source", "of")
+        last = undecided.join(below, F.col("source").eqNullSafe(F.col("of")))
+        last = written(last.select("of", "rid", _settled(F.col("p"), F.col("size"), F.col("q"), F.col("mass"), _draw(F.col("key"), F.lit(seed + 1))).alias("s")).select("of", "rid", "s.*"), "last")
+        bits = bits.unionByName(last.select("rid", F.col("bit").cast("int").alias("bit")))
+        small = small.join(last.select("of", "q"), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "key", "rid", F.coalesce("q", "p").alias("p"), "size")
+        small = written(small, "small")
+    bits = bits.unionByName(_round(small, seed + 2, True)[0])
     return known.join(bits, "rid", "left").select("doc_id", "source", "key", "size", "source_size", "target", (F.col("whole") + F.coalesce("bit", F.lit(0))).cast("long").alias("copies"))
 
 

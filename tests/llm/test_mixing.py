@@ -85,3 +85,16 @@ def test_odd_rows(spark):
         number[r.doc_id] = number.get(r.doc_id, 0) + 1
     assert number == {k: v for k, v in taken.items() if v}
     assert mixing.mix_rows(empty(spark)).collect() == []
+
+
+def test_a_very_long_document_in_a_small_source(spark):
+    """What the long one misses is made up for by all shorter ones, not by the shorter half alone."""
+    sizes = [(i, 20 + (i * i) % 37 if i % 2 else 100 + (i * 97) % 301) for i in range(120)] + [(1000, 8000)]
+    rows = [(i, "w " * n, "a") for i, n in sizes] + [(2000 + i, "w " * 500, "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (20, 21, 22):
+        found = mixing.mix(docs, seed=seed).collect()
+        want, got, _ = check(docs.collect(), found)
+        assert abs(want["a"] - got["a"]) <= 30
+        short = [r.copies for r in found if r.source == "a" and r.size < 100]
+        assert 0 < sum(c == min(short) for c in short) < len(short)
