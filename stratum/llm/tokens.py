@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .textops import _LOWER, Words, WordTable, buffers
@@ -73,13 +74,15 @@ class Encoder:
 
     White space never joins two words in these vocabularies, so a text's ids are its words' ids in order.
     The tokenizer's own normaliser serves words that are not plain Latin letters, digits or ASCII marks.
+    The rare texts that may hold one of the vocabulary's added tokens, in any case of letters, are given to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(map(re.escape, added))
         self.model, self.pieces = self.tokenizer.model, {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.unplain = re.compile(rb"[^!-&(-~\x80-\xc3]|\xc3[\x97\xb7]|(?:^|[^\xc3])[\x80-\xc2]").search
@@ -117,6 +120,22 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text's."""
+        if not self.added:
+            return self._plain(texts, end_id)
+        held = pc.fill_null(pc.match_substring_regex(texts, self.added, ignore_case=True), False)
+        rows = np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist()
+        if not rows:
+            return self._plain(texts, end_id)
+        ids, at = self._plain(pc.if_else(held, pa.scalar("", texts.type), texts), end_id)
+        parts, sizes, before = [], np.zeros(len(texts) + 1, np.int64), 0
+        for i in rows:
+            own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            parts += [ids[before : at[i]], own]
+            sizes[i + 1], before = len(own), at[i]
+        return np.concatenate([*parts, ids[before:]]), at + np.cumsum(sizes)
+
+    def _plain(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts without added tokens."""
         words = Pieces(*buffers(texts))
         record = self.table.records(words)
         begin, size = self.at[record], self.at[record + 1] - self.at[record]

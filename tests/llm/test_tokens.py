@@ -127,3 +127,12 @@ def test_balance(sizes):
 def test_balance_takes_the_cheapest():
     first = {i: s for i, start, n, s, offset in packing.balance(np.array([50, 40, 10, 10, 10, 80]), 100) if start == 0}
     assert first[5] != first[0] and first[1] == first[0]
+
+
+def test_added_tokens_are_the_library_s():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", None, "a b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> <|StartOfText|>", "", "<|endoftext|>\u0338 é", "<|endoftext| >", "<|endoftext|>"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own(texts) == [ids + [2] for ids in want]
+    ids, at = encoder(PATH).encode(pa.array(texts, pa.string()), None)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
