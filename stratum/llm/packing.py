@@ -44,35 +44,22 @@ def balance(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, qu
     count = -(-total // capacity)
     room = np.full(count, capacity, np.int64)
     room[-1] = total - capacity * (count - 1)
-    used, heap, out = np.zeros(count, np.int64), [(0.0, s) for s in range(count)], []
+    used, costs, out = np.zeros(count, np.int64), np.zeros(count), []
     waiting = [(-(linear * n + quadratic * n * n), i, 0, n) for i, n in enumerate(sizes.tolist()) if n]
     heapq.heapify(waiting)
-
-    def put(cost: float, s: int, i: int, start: int, n: int) -> None:
-        out.append((i, start, n, s, int(used[s])))
-        used[s] += n
-        room[s] -= n
-        if room[s]:
-            heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
-
     while waiting:
         _, i, start, n = heapq.heappop(waiting)
-        passed = []
-        while heap and room[heap[0][1]] < n and len(passed) < 64:
-            passed.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= n:
-            cost, s = heapq.heappop(heap)
-            put(cost, s, i, start, n)
-        else:  # no room for the whole among the cheapest: the cheapest takes what it has room for
-            passed.sort()
-            cost, s = passed.pop(0) if passed else heapq.heappop(heap)
-            fits = min(n, int(room[s]))
-            put(cost, s, i, start, fits)
-            if n > fits:
-                left = n - fits
-                heapq.heappush(waiting, (-(linear * left + quadratic * left * left), i, start + fits, left))
-        for x in passed:
-            heapq.heappush(heap, x)
+        s = int(np.where(room >= n, costs, np.inf).argmin())
+        if room[s] < n:  # no sequence has room for the whole: the cheapest takes what it has room for
+            s = int(np.where(room > 0, costs, np.inf).argmin())
+        fits = min(n, int(room[s]))
+        out.append((i, start, fits, s, int(used[s])))
+        used[s] += fits
+        room[s] -= fits
+        costs[s] += linear * fits + quadratic * fits * fits
+        if n > fits:
+            left = n - fits
+            heapq.heappush(waiting, (-(linear * left + quadratic * left * left), i, start + fits, left))
     return out
 
 

@@ -136,3 +136,15 @@ def test_added_tokens_are_the_library_s():
     assert own(texts) == [ids + [2] for ids in want]
     ids, at = encoder(PATH).encode(pa.array(texts, pa.string()), None)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_balance_cuts_only_what_fits_nowhere():
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(1500, 4000, 400), rng.integers(1, 900, 900)])
+    found = packing.balance(sizes, 4096)
+    total = int(sizes.sum())
+    room = np.full(-(-total // 4096), 4096)
+    room[-1] = total - 4096 * (len(room) - 1)
+    for i, start, n, s, _ in found:
+        assert start + n == sizes[i] or room.max() < sizes[i] - start
+        room[s] -= n
