@@ -8,9 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-from .textops import _LOWER, Words, WordTable, buffers
+from .textops import _LOWER, Grown, Words, WordTable, buffers
 
 END_ID = 2
 
@@ -70,11 +69,11 @@ class Pieces(Words):
 
 
 class Encoder:
-    """Token ids of texts with the tokenizers library, the library's model being asked once for each distinct piece of a word.
+    """Token ids of texts with the tokenizers library, the library being asked once for each distinct piece of a word.
 
     White space never joins two words in these vocabularies, so a text's ids are its words' ids in order.
-    The tokenizer's own normaliser serves words that are not plain Latin letters, digits or ASCII marks.
-    The rare texts that may hold one of the vocabulary's added tokens, in any case of letters, are given to the library whole.
+    Words that are not plain Latin letters, digits or ASCII marks are given to the library whole, which alone knows
+    the classes of all letters. So are the rare texts that may hold one of the vocabulary's added tokens, in any case of letters.
     """
 
     def __init__(self, path: str):
@@ -83,40 +82,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = "|".join(map(re.escape, added))
-        self.model, self.pieces = self.tokenizer.model, {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.model = self.tokenizer.model
         self.unplain = re.compile(rb"[^!-&(-~\x80-\xc3]|\xc3[\x97\xb7]|(?:^|[^\xc3])[\x80-\xc2]").search
         self.letters = byte_letters()
         self.table = WordTable(self._fill, self._reset)
         self._reset()
 
     def _reset(self) -> None:
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.pieces.clear()
+        self.flat, self.at = Grown(np.uint32), Grown(np.int64)
+        self.at.add(np.zeros(1, np.int64))
 
     def _spelt(self, piece: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece)))]
 
-    def word_ids(self, word: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.split.findall(self.tokenizer.normalizer.normalize_str(word)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = self._spelt(piece.encode())
-            out += ids
-        return out
-
     def _fill(self, words: list[bytes]) -> None:
         tokenize, ids = self.model.tokenize, []
         for w in words:
             if w.isalpha():
                 ids.append([t.id for t in tokenize(w.decode())])
-                continue
-            ids.append(self.word_ids(w.decode("utf-8", "replace")) if self.unplain(w) else self._spelt(w))
+            elif self.unplain(w):
+                ids.append(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+            else:
+                ids.append(self._spelt(w))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for some in ids for x in some), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, flat])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.flat.add(np.fromiter((x for some in ids for x in some), np.uint32, int(sizes.sum())))
+        self.at.add(self.at.rows[-1] + np.cumsum(sizes))
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text's."""
@@ -138,11 +128,12 @@ class Encoder:
         """The same of texts without added tokens."""
         words = Pieces(*buffers(texts))
         record = self.table.records(words)
-        begin, size = self.at[record], self.at[record + 1] - self.at[record]
+        upto = self.at.rows
+        begin, size = upto[record], upto[record + 1] - upto[record]
         upto = np.concatenate([[0], np.cumsum(size)])
         extra = 0 if end_id is None else 1
         at = upto[words.first] + extra * np.arange(len(texts) + 1)
-        ids = self.flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        ids = self.flat.rows[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         if end_id is None:
             return ids, at
         out = np.full(at[-1], end_id, np.uint32)

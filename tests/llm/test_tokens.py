@@ -1,7 +1,9 @@
+import glob
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.orc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from tokenizers import Tokenizer
 
 from stratum.llm import packing, token_files
 from stratum.llm.common import shared_dir, tokenizer_path
-from stratum.llm.textops import Words, buffers
+from stratum.llm.textops import Words, WordTable, buffers
 from stratum.llm.tokens import encoder
 
 from .common import SF, empty, odd
@@ -20,7 +22,6 @@ PATH = tokenizer_path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -40,10 +41,44 @@ def test_ids_are_the_library_s(library):
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30) | st.text("aAéÉ '.,!19ßİ×́\n\t|", max_size=20), max_size=6))
 def test_ids_of_any_text(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     assert own(texts) == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
 
 
+def test_ids_of_all_code_points():
+    """Also of those newer than any library's tables."""
+    t = Tokenizer.from_file(PATH)
+    points = [c for c in [*range(0x32000), *range(0x32000, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 20_000):
+        texts = [f":{chr(c)}a 1{chr(c)}" for c in points[a : a + 20_000]]
+        assert own(texts) == [x.ids + [2] for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 16, 32, 64, 2048, 1 << 21])
+def test_words_that_defeat_polynomial_hashes(n, library):
+    a, b = thue_morse(n)
+    h = Words(*buffers(pa.array([a, b, a.upper()]))).hashes(lower=True)
+    assert h[0] != h[1] and h[0] == h[2]
+    if n <= 2048:
+        assert own([a, b, f"{b} {a}"]) == [library(x) for x in (a, b, f"{b} {a}")]
+
+
+def test_word_tables_compare_bytes(monkeypatch):
+    """Words are told apart where all hashes collide."""
+    monkeypatch.setattr(Words, "hashes", lambda self, lower=False: (self.ends - self.starts).astype(np.uint64) % np.uint64(2))
+    texts = ["ab cd ab abcd", "cd abcdefghi abcdefghj", "x" * 40 + " " + "x" * 39 + "y " + "x" * 40, "", "ab cd ef"]
+    kept = []
+    table = WordTable(kept.extend, kept.clear, most=7)
+    for _ in range(3):
+        words = Words(*buffers(pa.array(texts)))
+        got = [kept[i].decode() for i in table.records(words)]
+        assert got == " ".join(texts).split()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.none() | st.text("ab \t\n\x0b\x0cé", max_size=12), max_size=6))
 def test_words(texts):
@@ -63,22 +98,39 @@ def check_digest(rows, docs, library):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == sorted((str(d.doc_id), len(library(d.text)), crc(d.text)) for d in docs)
 
 
-@pytest.mark.parametrize("per_file", [3, 8192])
+@pytest.mark.parametrize("per_file", [20_000, 1 << 27])
 def test_token_files(spark, library, per_file):
-    for docs in (odd(spark), spark.read.parquet(f"{SF}/documents.parquet").limit(60)):
-        check_digest(token_files.tokens_round_trip(spark, docs, docs_per_file=per_file).collect(), docs.collect(), library)
+    same = spark.createDataFrame([(5, "equal rows")] * 40 + [(6, "others")], "doc_id long, text string")
+    for docs in (odd(spark), same, spark.read.parquet(f"{SF}/documents.parquet")):
+        check_digest(token_files.tokens_round_trip(spark, docs, bytes_per_file=per_file).collect(), docs.collect(), library)
     assert token_files.tokens_round_trip(spark, empty(spark)).collect() == []
 
 
+def rows_scanned(df):
+    """Rows that the scan of an executed query put out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().get("numOutputRows").get().value()
+
+
 def test_token_files_prune_and_round_trip(spark, library):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    """Files, stripes and row groups without the wanted document are not read; Bloom filters tell where the range of ids does not."""
+    docs = spark.range(6000).selectExpr("2 * id as doc_id", "concat('word ', id, repeat(' more', cast(id % 40 as int))) as text").repartition(3)
     path = f"{shared_dir(spark)}/t"
-    token_files.write_tokens(docs, path, docs_per_file=50)
+    token_files.write_tokens(docs, path, bytes_per_file=250_000, stripe_bytes=20_000)
     tokens = token_files.read_tokens(spark, path)
-    one = tokens.where("doc_id = 17")
-    assert "EqualTo(doc_id,17)" in one._jdf.queryExecution().executedPlan().toString()
-    assert list(one.first().ids) == library(docs.where("doc_id = 17").first().text)
-    assert tokens.select("part").distinct().count() == 4
+    files = tokens.select("part").distinct().count()
+    assert files > 1
+    stripes = [pyarrow.orc.ORCFile(f).nstripes for f in glob.glob(f"{path.removeprefix('file:')}/*.orc")]
+    assert len(stripes) == files and sum(stripes) > files
+    for wanted, found in ((3000, 1), (3001, 0)):
+        one = tokens.where(f"doc_id = {wanted}")
+        assert "EqualTo(doc_id,3000)".replace("3000", str(wanted)) in one._jdf.queryExecution().executedPlan().toString()
+        one = tokens.where(f"doc_id = {wanted}").select("doc_id", "ids")
+        rows = one.collect()
+        assert len(rows) == found and rows_scanned(one) <= found * token_files.ROW_INDEX_STRIDE
+        assert all(list(r.ids) == library(docs.where(f"doc_id = {wanted}").first().text) for r in rows)
 
 
 def check_pack(pieces, docs, library, capacity=4096):
