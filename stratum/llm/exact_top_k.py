@@ -6,8 +6,9 @@ what the other blocks can still add by the product of the remaining lengths, and
 candidates whose bound reaches the k-th best score met so far; the next block reads survivors only.
 Integer scores are exact, and the bound is rounded up, so no true result is lost.
 
-Queries come to the tasks in blocks of bounded size; each task gives at most k rows a query, which
-are then ranked by query.
+Candidates and queries are dealt by a hash into blocks of bounded size; each pair of a candidate and a
+query block is met by one task, so nothing passes through the driver and no task's input grows with
+either table. A task gives at most k rows a query, which are then ranked by query.
 
 Defined cases: null vectors, and those with null or non-finite components or no component, take no
 part, nor do null ids. Rows that share the query's id count as the query's own. Repeated query rows
@@ -18,17 +19,14 @@ empty table gives no row; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, divisible, matrix, query_blocks, usable
+from .vectors import best, divisible, lists, matrix, usable, width
 
-CHUNK, BLOCK_DIMENSIONS = 8192, 16
+CHUNK, BLOCK_DIMENSIONS, BLOCK_ROWS, BLOCK_QUERIES = 8192, 16, 65_536, 65_536
 
 
 class Shortlist:
@@ -79,29 +77,33 @@ def search_chunk(found: Shortlist, query_ids: np.ndarray, queries: np.ndarray, i
                 found.add(q, ids[alive[stay]], total[stay].astype(np.int64))
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", **blocks) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products among the candidates."""
     whole = F.transform("v", lambda x: F.floor(x * scale).cast("double"))
     rows = usable(candidates, id_col, vector_col).select("vec_id", whole.alias("v"))
     asked = usable(queries, id_col, vector_col).select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts = []
-    for number, (query_ids, wanted) in enumerate(query_blocks(asked, **blocks)):
-        shared = rows.sparkSession.sparkContext.broadcast((query_ids, wanted))  # one block of queries: bounded
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            query_ids, wanted = shared.value
-            found = Shortlist(len(query_ids), k)
-            for batch in batches:
-                ids, table = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), wanted.shape[1])
-                for a in range(0, len(ids), CHUNK):
-                    search_chunk(found, query_ids, wanted, ids[a : a + CHUNK], table[a : a + CHUNK])
-            q, j = np.nonzero(found.id != np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number)), pa.array(query_ids[q]), pa.array(found.id[q, j]), pa.array(found.score[q, j])], ["query_row", "query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_row long, query_id long, vec_id long, score long"))
-    if not parts:
-        return rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    return best(reduce(DataFrame.unionByName, parts), k)
+    # at least a block for each core; the counts read ids only
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    row_blocks = max(cores, -(-candidates.select(id_col).count() // block_rows))
+    query_blocks = max(1, -(-queries.select(id_col).count() // block_queries))
+    place = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # rows of one id are dealt by their vectors too, so that a repeated id is not one block's
+    own = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(row_blocks))).withColumn("asker", every(query_blocks))
+    wanted = asked.withColumn("asker", place(query_blocks)).withColumn("block", every(row_blocks))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        v, w = lists(left, "v"), lists(right, "v")
+        wide = width(w)
+        asks, found = matrix(w, wide), Shortlist(len(query_ids), k)
+        for a in range(0, len(ids), CHUNK):
+            search_chunk(found, query_ids, asks, ids[a : a + CHUNK], matrix(v[a : a + CHUNK], wide))
+        q, j = np.nonzero(found.id != np.iinfo(np.int64).max)
+        return pa.table({"query_id": query_ids[q], "vec_id": found.id[q, j], "score": found.score[q, j]})
+
+    found = own.groupBy("block", "asker").cogroup(wanted.groupBy("block", "asker")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    return best(found, k)
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:

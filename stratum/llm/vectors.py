@@ -1,16 +1,12 @@
-"""Vectors as matrices inside tasks, and the query rows of a vector table in bounded blocks."""
+"""Vectors as matrices inside tasks, and the small helpers of both searches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERIES_PER_BLOCK = 16_384
-
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = True) -> DataFrame:
     """vec_id and v (array of double) of the rows whose id and vector are given and finite; zero: whether a zero vector counts."""
@@ -35,21 +31,14 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def query_blocks(queries: DataFrame, per_block: int = QUERIES_PER_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of the query rows (vec_id, v), at most about per_block at once on the driver.
+def lists(table: pa.Table, column: str) -> pa.ListArray:
+    """A column of lists as one array."""
+    whole = table.column(column).combine_chunks()
+    return whole if not isinstance(whole, pa.ChunkedArray) else whole.chunk(0) if whole.num_chunks else pa.array([], whole.type)
+
 
-    Blocks are ranges of hashed ids, so all queries are met once, whatever their number.
-    """
-    count = queries.count()
-    blocks = max(1, -(-count // per_block))
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = own.orderBy("vec_id").toArrow()
-        if rows.num_rows:
-            lists = rows.column("v").combine_chunks()
-            lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-            width = int(np.diff(lists.offsets.to_numpy()).max())
-            yield rows.column("vec_id").to_numpy(), matrix(lists, width)
+def width(*columns: pa.ListArray) -> int:
+    return max((int(np.diff(c.offsets.to_numpy()).max()) for c in columns if len(c)), default=0)
 
 
 def divisible(by: int, column: str = "vec_id") -> Column:
@@ -57,6 +46,6 @@ def divisible(by: int, column: str = "vec_id") -> Column:
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best rows of found(query_row, query_id, vec_id, score)."""
-    rank = F.expr("row_number() over (partition by query_row, query_id order by score desc, vec_id)")
+    """query_id, rank, vec_id and score of each query's k best rows of found(query_id, vec_id, score)."""
+    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

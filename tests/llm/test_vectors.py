@@ -46,7 +46,7 @@ def test_exact_top_k(spark, whole):
     rows = [*[r for r in rows_of(1, 400, whole=whole) if r[0] not in (50, 100, 150, 250, 300)], *ODD]
     want = brute(rows, 50, 5, whole_score)
     assert grouped(exact_top_k.exact_top_k(vectors(spark, rows).repartition(3))) == want
-    assert grouped(exact_top_k.top_k(vectors(spark, rows), vectors(spark, rows).where("vec_id % 50 = 0"), per_block=2)) == want
+    assert grouped(exact_top_k.top_k(vectors(spark, rows), vectors(spark, rows).where("vec_id % 50 = 0"), block_rows=30, block_queries=2)) == want
 
 
 def test_few_and_none(spark):
@@ -76,7 +76,7 @@ def test_neighbours(spark):
         found = grouped(neighbours.approximate_neighbours(vectors(spark, rows).repartition(3), **blocks))
         assert set(found) == set(want) and all(len(v) == 20 for v in found.values())
         assert recall(found, want) >= 0.9
-    exact = grouped(neighbours.approximate_neighbours(vectors(spark, rows), probes=99))
+    exact = grouped(neighbours.approximate_neighbours(vectors(spark, rows), probes=99, block_rows=100))
     assert recall(exact, want) == 1.0
     assert all(abs(s - t) < 1e-9 for q in want for (_, s), (_, t) in zip(exact[q], want[q]))
 
@@ -90,3 +90,57 @@ def test_parts_are_balanced_and_learned():
     target = np.eye(8)[part]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert (neighbours.Router(16, 8).fit(unit, target).logits(unit).argmax(1) == part).mean() > 0.95
+
+
+def recall_and_share(spark, rows, **options):
+    """Recall of the query, and the share of (query, row) pairs that were met."""
+    x = np.array([v for _, v in rows])
+    ids, asking = np.arange(len(x)), np.arange(0, len(x), 20)
+    near = x[asking] @ x.T
+    near[asking[:, None] == ids[None, :]] = -np.inf
+    want = {int(q): [(int(i), 0.0) for i in np.lexsort((ids, -row))[:20]] for q, row in zip(asking, near)}
+    usable = vectors(spark, rows)
+    router, wide, probes = neighbours.learn(usable.selectExpr("vec_id", "cast(embedding as array<double>) as v"), len(rows))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = np.bincount(router.logits(unit).argmax(1), minlength=len(router.w[3]))
+    share = sizes[np.argsort(-router.logits(unit[asking]), 1)[:, :probes]].sum() / (len(asking) * len(x))
+    return recall(grouped(neighbours.approximate_neighbours(usable, **options)), want), share
+
+
+def test_recall_on_the_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
+    got, share = recall_and_share(spark, rows)
+    assert got >= 0.9 and share < 0.9
+
+
+def test_clusters_are_searched_in_few_parts(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 32))
+    x = (centres[rng.integers(0, 40, 6000)] + rng.normal(0, 0.3, (6000, 32))).astype(np.float32)
+    got, share = recall_and_share(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    assert got >= 0.9 and share < 0.3
+
+
+def test_equal_vectors(spark):
+    """A third of all rows are one vector: each query finds the smallest ids, and no block puts out more than k rows a query."""
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else v) for i, v in rows_of(7, 3000, 3)]
+    want = brute(rows, 20, 20, lambda v, w: float(sum(a * b for a, b in zip(v, w))))
+    for blocks in ({}, {"block_rows": 60, "block_queries": 40}):
+        found = grouped(neighbours.approximate_neighbours(vectors(spark, rows), probes=99, **blocks))
+        assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_nearest_at_any_length():
+    x = np.array([[1e9, 1.0], [1e9, 2.0], [1e9, 2.0], [-1e9, 0.0]])
+    who, what, score = neighbours.nearest(np.array([4, 9, 3, 1]), x, np.array([7]), np.array([[1.0, 1.0]]), 2)
+    assert what.tolist() == [3, 9] and score.tolist() == [1e9 + 2] * 2
+
+
+def test_parts_are_dealt_to_blocks():
+    counts = np.array([10, 250, 0, 40, 60, 55])
+    places = neighbours.deal(counts, 100)
+    load = {}
+    for n, (first, blocks) in zip(counts.tolist(), places):
+        for b in range(first, first + blocks):
+            load[b] = load.get(b, 0) + n / blocks
+    assert places[1][1] == 3 and max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
