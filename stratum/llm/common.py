@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +21,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder where all executors see it: under spark.checkpoint.dir, else under the context's checkpoint folder; where neither is set, as in tests, a local one becomes that."""
+    """A new folder where all executors see it: under spark.checkpoint.dir, else under the context's checkpoint folder. Where neither is set a local master gets a local one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratum-shared-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/stratum-{uuid.uuid4().hex}"
 
 
+#: Folders written within temporary(), innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    Results are lazy, so what they read stays until drop_written(), or the end of temporary().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stratum_path = path
@@ -41,9 +54,31 @@ def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written() once nothing reads it any more."""
     path = getattr(df, "stratum_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all that written() made within; a result must have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def id_crc(col: Column | str) -> Column:

@@ -15,9 +15,13 @@ group is folded by `aggregate` and leaves one document undecided; the undecided
 level, until each source has one, which is drawn on its own. Every draw is a hash of the documents
 met, so reruns agree. All of it is DataFrame and SQL functions.
 
+Rows equal in id, text and source are items of their own, told apart by a number, so they fall into different
+groups and none of the work gathers them. Ranks of sources and the level up to which targets are
+filled come from aggregates, so sources may be as many as documents.
+
 Defined cases: a null text has size 0 and takes no words; null sources are one source, last in order;
-a source without words has target 0; sizes and targets of an empty table give no row; documents that
-are equal in id and text are folded as separate documents; other columns are kept by mix_rows().
+a source without words has target 0; an empty table gives no row; very long texts are counted whole; other
+columns, whatever their names, are kept by mix_rows().
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, written
+from .common import WORDS, unused, written
 
 GROUP, MOST_COPIES = 32, 3
 #: Documents of a source that are settled one by one; they are one row of an array.
@@ -37,19 +41,26 @@ def targets(sizes: DataFrame, most_copies: int = MOST_COPIES) -> DataFrame:
     """source, source_size and target of each source of sizes(source, size).
 
     Sources weigh 1, 2, 3, repeating, by code point with null last. Shares of the whole are filled up like
-    water: sources are taken by how soon their limit of most_copies times their size is reached,
-    and each full one leaves the rest to be shared by weight. The windows run over one row a source.
+    water: a source gets the level times its weight, up to most_copies times its size. The level
+    rises, by one aggregate a round, until no further source is full.
     """
     by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    ordered = by.withColumn("weight", F.expr("(row_number() over (order by source is null, source) - 1) % 3 + 1"))
+    ordered = written(by.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id()), "sources")
+    # the rank is that in the part, which the lower 33 bits of `at` hold, and the rows of the parts before: one row a part
+    part = F.shiftright("at", 33)
+    ahead = ordered.groupBy(part.alias("part")).count().select("part", F.expr("coalesce(sum(count) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("ahead"))
+    rank = F.col("ahead") + F.col("at") - F.shiftleft("part", 33)
     limit = F.lit(most_copies) * F.col("source_size")
-    filled = ordered.withColumn("limit", limit.cast("double")).withColumn("level", F.col("limit") / F.col("weight"))
-    before = "(order by level, source is null, source rows between unbounded preceding and 1 preceding)"
-    filled = filled.withColumn("left", F.expr(f"sum(source_size) over () - coalesce(sum(limit) over {before}, 0)"))
-    filled = filled.withColumn("weights", F.expr(f"sum(weight) over () - coalesce(sum(weight) over {before}, 0)"))
-    # the first source whose limit is not reached has the level that it shares with all later ones; theirs come out lower
-    water = F.expr("max(case when level >= left / weights then left / weights end) over ()")
-    return filled.withColumn("water", water).select("source", "source_size", F.least(F.col("limit"), F.coalesce("water", F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    ranked = ordered.withColumn("part", part).join(F.broadcast(ahead), "part").select("source", "source_size", (F.pmod(rank, F.lit(3)) + 1).alias("weight"), limit.alias("limit"))
+    ranked = written(ranked, "weights")
+    total, weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level, left, before = 0.0, total, None
+    while weights and weights != before:
+        level, before = left / weights, weights
+        full = F.col("limit") < F.lit(level) * F.col("weight")
+        filled, weights = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("limit"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        left = total - filled
+    return ranked.select("source", "source_size", F.least(F.col("limit").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _let(value: Column, use) -> Column:
@@ -97,10 +108,13 @@ def _settled(p: Column, size: Column, q: Column, mass: Column, draw: Column) ->
 
 
 def _longest(open_: DataFrame, seed: int, most: int = LONGEST) -> DataFrame:
-    """source, out (rid and bit of its longest documents) and p, the fraction of its other ones, of open_(source, key, rid, p, size), p being one for a source."""
-    nth = F.expr("row_number() over (partition by source order by size desc, key, rid)")
+    """source, out (rid and bit of its longest documents) and p, the fraction of its other ones, of open_(source, key, rid, p, size), p being one for a source.
+
+    The window keeps `most` rows of each source in each task before anything is dealt.
+    """
+    nth = F.expr("row_number() over (partition by source order by size desc, key)")
     first = open_.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "rid", "size"))).alias("items"))
-    whole = open_.groupBy("source").agg(F.sum("size").alias("mass"), F.max("p").alias("p")).withColumnRenamed("source", "of")
+    whole = open_.groupBy("source").agg(F.sum(F.col("size").cast("long")).cast("double").alias("mass"), F.max("p").alias("p")).withColumnRenamed("source", "of")
 
     def step(state: Column, x: Column) -> Column:
         rest = state["mass"] - x["size"]
@@ -143,11 +157,25 @@ def _round(items: DataFrame, seed: int, nearest: bool, group: int = GROUP) -> tu
     return (decided if decided is not None else items.select("rid", F.lit(0).alias("bit")).where("false")), undecided
 
 
-def copies(docs: DataFrame, most_copies: int = MOST_COPIES, seed: int = 20, key: Column | None = None) -> DataFrame:
-    """doc_id, source, key, size, source_size, target and copies of each row of docs(doc_id, text, source)."""
-    key = F.xxhash64("doc_id", "text", "source") if key is None else key
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows(key, rid) with the number of a row among those of its key, from the second on, hashed into the key, so that equal rows are different items.
+
+    Rows are numbered within the key and the input's part (the upper bits of rid), and the parts of a key
+    are then put one after another, so a key of any number of rows is no single task's.
+    """
+    parted = rows.withColumn("part", F.shiftright("rid", 33))
+    numbered = parted.withColumn("n", F.expr("row_number() over (partition by key, part order by rid)"))
+    ahead = parted.groupBy("key", "part").count().withColumn("ahead", F.expr("sum(count) over (partition by key order by part rows between unbounded preceding and 1 preceding)"))
+    both = numbered.join(ahead.where("ahead > 0").drop("count"), ["key", "part"], "left")
+    nth = F.col("n") + F.coalesce("ahead", F.lit(0))
+    return both.withColumn("key", F.when(nth == 1, F.col("key")).otherwise(F.xxhash64("key", nth))).select(*rows.columns)
+
+
+def copies(docs: DataFrame, most_copies: int = MOST_COPIES, seed: int = 20, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, source, size, source_size, target and copies of each row of docs(doc_id, text, source); rid: a column that numbers its rows as monotonically_increasing_id does."""
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text", "source").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    rows = written(_spread(written(rows, "counted")), "sizes")
     shares = written(targets(rows, most_copies), "targets")
     known = rows.join(shares.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most_copies)), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -158,20 +186,20 @@ def copies(docs: DataFrame, most_copies: int = MOST_COPIES, seed: int = 20, key:
     bits = longest.select(F.explode("out").alias("d")).select("d.*")
     share = longest.select(F.col("source").alias("of"), F.col("p").alias("left"))
     others = open_.join(bits, "rid", "left_anti").join(share, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "rid", F.col("left").alias("p"), "size")
-    middle = others.groupBy("source").agg(F.expr("percentile_approx(size, 0.5)").alias("middle")).withColumnRenamed("source", "of")
+    middle = others.groupBy("source").agg(F.expr("percentile(size, 0.5)").alias("middle")).withColumnRenamed("source", "of")
     others = written(others.join(middle, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "others")
     large, small = others.where("size > middle").drop("middle"), others.where("size <= middle").drop("middle")
     more, undecided = _round(large, seed, False)
     bits = bits.unionByName(more)
     if undecided is not None:
-        below = small.groupBy("source").agg(F.sum("size").alias("mass"), F.max("p").alias("q")).withColumnRenamed("source", "of")
+        below = small.groupBy("source").agg(F.sum(F.col("size").cast("long")).cast("double").alias("mass"), F.max("p").alias("q")).withColumnRenamed("source", "of")
         last = undecided.join(below, F.col("source").eqNullSafe(F.col("of")))
         last = written(last.select("of", "rid", _settled(F.col("p"), F.col("size"), F.col("q"), F.col("mass"), _draw(F.col("key"), F.lit(seed + 1))).alias("s")).select("of", "rid", "s.*"), "last")
         bits = bits.unionByName(last.select("rid", F.col("bit").cast("int").alias("bit")))
         small = small.join(last.select("of", "q"), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "key", "rid", F.coalesce("q", "p").alias("p"), "size")
         small = written(small, "small")
     bits = bits.unionByName(_round(small, seed + 2, True)[0])
-    return known.join(bits, "rid", "left").select("doc_id", "source", "key", "size", "source_size", "target", (F.col("whole") + F.coalesce("bit", F.lit(0))).cast("long").alias("copies"))
+    return known.join(bits, "rid", "left").select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("bit", F.lit(0))).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -182,12 +210,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns as in docs.
 
-    Rows equal in id, text and source share their copies among them as evenly as can be.
+    The rows are written with a number first, so that copies join them row by row.
     """
-    key = F.xxhash64("doc_id", "text", "source")
-    taken = copies(docs, **options).groupBy("key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__equals")).where("__copies > 0").withColumnRenamed("key", "__key")
-    rows = docs.withColumn("__own", key).join(taken, F.col("__own") == F.col("__key"))
-    nth = F.expr("row_number() over (partition by __own order by __own)")
-    own = F.floor(F.col("__copies") / F.col("__equals")) + (F.col("__nth") <= F.col("__copies") % F.col("__equals")).cast("long")
-    rows = rows.withColumn("__nth", nth).withColumn("__times", own).where("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*docs.columns)
+    rid = unused("rid", docs)
+    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    taken = copies(rows, rid=rid, **options).where("copies > 0").select(F.col("rid").alias(rid), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias(unused("copy", docs)))
+    return rows.join(taken, rid).select(*docs.columns)

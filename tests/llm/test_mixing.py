@@ -98,3 +98,31 @@ def test_a_very_long_document_in_a_small_source(spark):
         assert abs(want["a"] - got["a"]) <= 30
         short = [r.copies for r in found if r.source == "a" and r.size < 100]
         assert 0 < sum(c == min(short) for c in short) < len(short)
+
+
+def test_many_equal_rows(spark):
+    """A third of all rows are equal: they are rounded one by one, in different groups, and reruns agree."""
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'one two three four', concat(repeat('w ', cast(id % 50 as int)), id)) as text", "if(id % 3 = 0, 'a', concat('s', id % 2)) as source")
+    rows = mixing.mix(docs.repartition(5)).collect()
+    want, got, _ = check(docs.collect(), rows)
+    assert all(abs(want[s] - got[s]) <= 50 for s in want)
+    equal = [r.copies for r in rows if r.doc_id == 7 and r.source == "a"]
+    assert max(equal) - min(equal) <= 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()))
+
+
+def test_many_sources(spark):
+    """Ranks and levels of as many sources as documents, against sharing again and again."""
+    sizes = {f"s{i:04d}": 1 + i * i % 97 for i in range(1200)} | {None: 5}
+    found = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(6)).collect()}
+    assert found == pytest.approx(water(sizes))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "ab"[i % 2], i, "x", i) for i in range(60)], "doc_id long, text string, source string, rid long, _RID string, copy int")
+    taken = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    back = mixing.mix_rows(docs)
+    assert back.columns == docs.columns
+    rows = back.collect()
+    assert all(r.rid == r.doc_id == r.copy for r in rows)
+    assert {i: n for i, n in taken.items() if n} == {i: sum(r.doc_id == i for r in rows) for i in {r.doc_id for r in rows}}
