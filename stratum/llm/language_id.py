@@ -5,40 +5,45 @@ word's probability is the sum over all its segmentations into pieces, by a forwa
 a text's is the product over its words. Probabilities come from labelled texts by expectation
 maximisation over the same lattice.
 
-Learning reads a bounded sample: about docs_per_language labelled documents of each of the
-most_languages commonest languages, chosen by a hash of the doc_id. Prediction covers every text
-and reads nothing but the text.
+Learning reads a bounded sample: about docs_per_language labelled documents of each language, chosen
+by a hash of the doc_id, and of these the words of up to learn_letters letters. There is no bound on the
+number of languages: the table of probabilities takes 256 KB a language in each worker, and all else is
+sized so that it does not grow with it. Prediction covers every text, whatever the length of its
+words, and reads nothing but the text.
 
 Defined cases: null text or text without letters: `und`, score 0. Ties go to the language first by
-code point. No labelled text at all: `und` everywhere. Letters in runs of over 32 are cut every 32.
-Repeated rows and ids are predicted each; a null doc_id counts as empty text in the fold's crc32.
-An empty table gives no row. Columns other than those named are not read.
+code point. No labelled text at all: `und` everywhere. A letter without piece is the unknown piece.
+Repeated rows and ids are predicted each, and learned once; a null doc_id counts as empty text in the
+fold's crc32. An empty table gives no row. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, tokenizer_path
-from .textops import WordTable, buffers, mix, slices
+from .textops import Grown, WordTable, buffers, mix, slices
 from .tokens import Pieces
 
-DOCS_PER_LANGUAGE, MOST_LANGUAGES, ROUNDS = 300, 200, 3
-LONGEST, START = 32, 0x2581
-_SMOOTH = 0.01
+#: Rounds end earlier once the likelihood gains less than SETTLED of itself.
+DOCS_PER_LANGUAGE, LEARN_LETTERS, ROUNDS, SETTLED = 300, 32, 4, 0.002
+START = 0x2581
+#: Numbers in the arrays of a step over many words at once, and of the scores that a worker keeps.
+CELLS = 4_000_000
+_SMOOTH, _RESCALE = 0.01, 8
 _letters: np.ndarray | None = None
 
 
 def letter_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case letters of words as runs of at most LONGEST: code points (a start sign before each word), run offsets, each run's word, letters of each word."""
+    """Lower-case letters of the words that have some: code points (a start sign before each word), their offsets, each one's word, and the letters of each word."""
     global _letters
     if _letters is None:
         _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
@@ -51,15 +56,10 @@ def letter_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keep = _letters[codes]
     codes, word = codes[keep], word[keep]
     count = np.bincount(word, minlength=len(words))
-    nth = np.arange(len(codes)) - np.repeat(np.cumsum(count) - count, count)
-    opens = nth % LONGEST == 0
-    starts = np.flatnonzero(opens)
-    signed = nth[starts] == 0
-    at = np.arange(len(codes)) + np.cumsum(nth == 0)
-    out = np.full(len(codes) + int(signed.sum()), START, np.uint32)
-    out[at] = codes
-    begin = at[starts] - signed
-    return out, np.append(begin, len(out)), word[starts], count
+    some = np.flatnonzero(count)
+    opens = np.cumsum(count[some]) - count[some]
+    out = np.insert(codes, opens, START)
+    return out, np.append(opens + np.arange(len(some)), len(out)), some, count
 
 
 class Lattice:
@@ -109,50 +109,101 @@ class Lattice:
             out[hit] = ids[slot[hit]]
         return out
 
-    def groups(self, codes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, int, dict]]:
-        """Runs of one length at a time: their numbers, the length, and the piece ids by (start, length); any single code point is a piece, at worst the unknown one."""
+    def pieces(self, codes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1, the piece of that length at each place; size + 1 where there is none, size for a letter that is none."""
+        left = np.repeat(begin[1:], np.diff(begin)) - np.arange(len(codes))
+        out = []
+        for k in range(1, self.longest + 1):
+            at = np.flatnonzero(left >= k)
+            if not len(at):
+                break
+            ids = np.full(len(codes), self.size if k == 1 else self.size + 1, np.int32)
+            own = self.find(codes, k, at)
+            ids[at] = own if k == 1 else np.where(own == self.size, self.size + 1, own)
+            out.append(ids)
+        return out
+
+    def parts(self, begin: np.ndarray, cells: int, whole: bool = False) -> Iterator[np.ndarray]:
+        """Runs, the longest first, so many at once that `cells` numbers for each run (each letter and run, if whole) stay within CELLS, and letters too."""
         length = np.diff(begin)
-        for n in np.unique(length).tolist():
-            runs = np.flatnonzero(length == n)
-            for part in np.array_split(runs, max(1, len(runs) * n // 400_000)):
-                first, found = begin[part], {}
-                for i in range(n):
-                    for k in range(1, min(self.longest, n - i) + 1):
-                        ids = self.find(codes, k, first + i)
-                        if k == 1 or (ids != self.size).any():
-                            found[i, k] = ids
-                yield part, n, found
+        order = np.argsort(-length, kind="stable")
+        a = 0
+        while a < len(order):
+            longest = int(length[order[a]]) + 1
+            n = max(1, CELLS // (cells * (longest if whole else self.longest + 1)))
+            b = min(len(order), a + n)
+            b = max(a + 1, min(b, int(np.searchsorted(np.cumsum(length[order[a:b]]), CELLS // self.longest, "right")) + a))
+            yield order[a:b]
+            a = b
 
     def forward(self, codes: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Log probability of each run in each language, over all segmentations; table: pieces and the unknown one by languages."""
+        """Log probability of each run in each language, over all segmentations; table: pieces and the unknown one by languages.
+
+        All runs of a part go forward letter by letter together; only the last places that a piece can
+        reach back to are held, and are brought back to size every few letters. So runs of any length will do.
+        """
         out = np.zeros((len(begin) - 1, table.shape[1]))
         wide = np.vstack([table, np.zeros(table.shape[1])])
-        for part, n, found in self.groups(codes, begin):
-            alpha = np.zeros((n + 1, len(part), table.shape[1]))
-            alpha[0] = 1
-            for (i, k), ids in sorted(found.items()):
-                alpha[i + k] += alpha[i] * wide[ids if k == 1 else np.where(ids == self.size, self.size + 1, ids)]
-            out[part] = np.log(np.maximum(alpha[n], 1e-300))
+        for part in self.parts(begin, table.shape[1]):
+            own = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in part.tolist()])
+            first = np.append(0, np.cumsum(begin[part + 1] - begin[part]))
+            length = np.diff(first)
+            pieces = self.pieces(codes[own], first)
+            ring, scale, size = np.zeros((self.longest + 1, len(part), table.shape[1])), np.zeros((len(part), table.shape[1])), self.longest + 1
+            ring[0] = 1
+            reach = np.searchsorted(-length, -np.arange(length[0] + 2), "right")  # runs of at least that many letters
+            for i in range(int(length[0]) + 1):
+                now, m = ring[i % size], int(reach[i + 1])
+                done = slice(m, int(reach[i]))
+                out[part[done]] = np.log(np.maximum(now[done], 1e-300)) + scale[done]
+                for k, ids in enumerate(pieces, 1):
+                    n = int(reach[min(i + k, len(reach) - 1)])
+                    if not n:
+                        break
+                    ids = ids[first[:n] + i]
+                    if k == 1:
+                        ring[(i + 1) % size][:n] += now[:n] * wide[ids]
+                    elif len(hit := np.flatnonzero(ids <= self.size)):
+                        ring[(i + k) % size][hit] += now[hit] * wide[ids[hit]]
+                now[:] = 0
+                if i % _RESCALE == _RESCALE - 1 and m:
+                    most = ring[:, :m].max(0)
+                    most[most == 0] = 1
+                    ring[:, :m] /= most
+                    scale[:m] += np.log(most)
         return out
 
-    def expected(self, codes: np.ndarray, begin: np.ndarray, weight: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in each language, over all segmentations; weight: runs by languages."""
-        out = np.zeros((table.shape[0] + 1, table.shape[1]))
+    def expected(self, codes: np.ndarray, begin: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected number of each piece in each language, over all segmentations, and the log likelihood; weight: runs by languages. For short runs."""
+        out, likelihood = np.zeros((table.shape[0], table.shape[1])), 0.0
         wide = np.vstack([table, np.zeros(table.shape[1])])
-        for part, n, found in self.groups(codes, begin):
-            alpha, beta = np.zeros((n + 1, len(part), table.shape[1])), np.zeros((n + 1, len(part), table.shape[1]))
-            alpha[0], beta[n] = 1, 1
-            steps = [(i, k, found[i, k] if k == 1 else np.where(found[i, k] == self.size, self.size + 1, found[i, k])) for i, k in sorted(found)]
-            for i, k, ids in steps:
-                alpha[i + k] += alpha[i] * wide[ids]
-            for i, k, ids in reversed(steps):
-                beta[i] += beta[i + k] * wide[ids]
-            scale = weight[part] / np.maximum(alpha[n], 1e-300)
-            for i, k, ids in steps:
-                share = alpha[i] * wide[ids] * beta[i + k] * scale
+        for part in self.parts(begin, 2 * table.shape[1], True):
+            own = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in part.tolist()])
+            first = np.append(0, np.cumsum(begin[part + 1] - begin[part]))
+            length = np.diff(first)
+            alpha, beta = np.zeros((length[0] + 1, len(part), table.shape[1])), np.zeros((length[0] + 1, len(part), table.shape[1]))
+            alpha[0] = 1
+            beta[length, np.arange(len(part))] = 1
+            steps = []
+            for k, ids in enumerate(self.pieces(codes[own], first), 1):
+                for i in range(int(length[0]) - k + 1):
+                    n = int(np.searchsorted(-length, -(i + k), "right"))
+                    near = ids[first[:n] + i]
+                    if len(hit := np.flatnonzero(near <= self.size)):
+                        steps.append((i, k, hit, near[hit]))
+            steps.sort(key=lambda x: (x[0], x[1]))
+            for i, k, hit, ids in steps:
+                alpha[i + k, hit] += alpha[i, hit] * wide[ids]
+            for i, k, hit, ids in reversed(steps):
+                beta[i, hit] += beta[i + k, hit] * wide[ids]
+            total = np.maximum(alpha[length, np.arange(len(part))], 1e-300)
+            scale = weight[part] / total
+            likelihood += float((weight[part] * np.log(total)).sum())
+            for i, k, hit, ids in steps:
+                share = alpha[i, hit] * wide[ids] * beta[i + k, hit] * scale[hit]
                 for language in range(table.shape[1]):
                     out[:, language] += np.bincount(ids, share[:, language], minlength=len(out))
-        return out[:-1]
+        return out, likelihood
 
 
 def public_pieces(path: str) -> list[str]:
@@ -176,28 +227,29 @@ class Scorer:
     """Log probabilities of texts; each distinct word is scored once in a worker process."""
 
     def __init__(self, path: str, table: np.ndarray):
-        self.lattice, self.table, self.known = lattice(path), table, WordTable(self._fill, self._reset, 1_000_000)
+        self.lattice, self.table, self.wide = lattice(path), table, table.shape[1]
+        self.known = WordTable(self._fill, self._reset, max(1000, min(400_000, CELLS // self.wide)))
         self._reset()
 
     def _reset(self) -> None:
-        self.parts, self.scores, self.letters = [], np.zeros((0, self.table.shape[1])), np.zeros(0, np.int32)
+        self.scores, self.letters = Grown(np.float64, self.wide), Grown(np.int32)
 
     def _fill(self, words: list[bytes]) -> None:
         codes, begin, word, count = letter_words([w.decode("utf-8", "replace") for w in words])
-        runs = self.lattice.forward(codes, begin, self.table)
-        own = np.zeros((len(words), self.table.shape[1]))
-        np.add.at(own, word, runs)
-        self.scores = np.concatenate([self.scores, own])
-        self.letters = np.concatenate([self.letters, count.astype(np.int32)])
+        own = np.zeros((len(words), self.wide))
+        own[word] = self.lattice.forward(codes, begin, self.table)
+        self.scores.add(own)
+        self.letters.add(count)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = Pieces(*buffers(texts))
         record = self.known.records(words)
-        total, letters = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts), np.int64)
+        total, letters = np.zeros((len(texts), self.wide)), np.zeros(len(texts), np.int64)
         some = np.flatnonzero(np.diff(words.first) > 0)
         if len(some):
-            total[some] = np.add.reduceat(self.scores[record], words.first[some])
-            letters[some] = np.add.reduceat(self.letters[record], words.first[some])
+            for a in range(0, self.wide, 8):
+                total[some, a : a + 8] = np.add.reduceat(self.scores.rows[:, a : a + 8][record], words.first[some])
+            letters[some] = np.add.reduceat(self.letters.rows[record], words.first[some], dtype=np.int64)
         return total, letters
 
 
@@ -211,51 +263,66 @@ def _scorer(key: str, path: str, table: np.ndarray) -> Scorer:
     return _scorers[key]
 
 
-def learn(labelled: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word and number of the words of texts, cut as for scoring."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            words = Pieces(*buffers(batch.column("text")))
+            codes, first, _ = words.distinct()
+            of, languages = pd.factorize(np.array(batch.column("lang").to_pylist(), object))
+            key, n = np.unique(np.repeat(of, np.diff(words.first)) * max(1, len(first)) + codes, return_counts=True)
+            language, code = np.divmod(key, max(1, len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(languages[language], pa.string()), pa.array([words.bytes_of(i).decode("utf-8", "replace") for i in first[code].tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+
+def learn(labelled: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANGUAGE, learn_letters: int = LEARN_LETTERS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities from labelled(doc_id, text, lang)."""
-    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    context = labelled.sparkSession.sparkContext
+    counts = labelled.where("lang is not null").groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((0, 0))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000
-    sample = labelled.where(drawn).select("lang", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words = Counter((text or "").split())
-                for word, n in words.items():
-                    found[lang, word] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
-
-    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    words = words.select("word", F.array(*[F.coalesce(F.try_element_at("n", F.lit(x)), F.lit(0)) for x in languages]).alias("n")).persist()
+    sample = labelled.where(drawn).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
+    words = sample.mapInArrow(_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    words = words.select("word", F.array(*[F.coalesce(F.try_element_at("n", F.lit(x)), F.lit(0)) for x in languages]).alias("n"))
+    words = words.repartition(max(1, context.defaultParallelism), F.xxhash64("word")).persist()
     size = lattice(path).size + 1
     table = np.full((size, len(languages)), 1.0 / size)
 
-    def step(table: np.ndarray):
+    def step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, likelihood = None, 0.0
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                weight = np.array(batch.column("n").to_pylist(), float)
-                codes, begin, word, _ = letter_words(batch.column("word").to_pylist())
-                own = lattice(path).expected(codes, begin, weight[word], table)
-                total = own if total is None else total + own
+                weight = batch.column("n").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
+                codes, begin, word, count = letter_words(batch.column("word").to_pylist())
+                short = np.flatnonzero(np.diff(begin) <= learn_letters + 1)
+                keep = np.repeat(np.diff(begin) <= learn_letters + 1, np.diff(begin))
+                begin = np.append(0, np.cumsum(np.diff(begin)[short]))
+                own, gained = lattice(path).expected(codes[keep], begin, weight[word[short]], shared.value)
+                total, likelihood = own if total is None else total + own, likelihood + gained
             if total is not None:
                 piece, language = np.nonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(total[piece, language])], ["piece", "language", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(piece, -1)), pa.array(np.append(language, 0)), pa.array(np.append(total[piece, language], likelihood))], ["piece", "language", "n"])
 
         return run
 
+    before = None
     for _ in range(rounds):
-        found = words.mapInArrow(step(table), "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        shared = context.broadcast(table)  # pieces by languages
+        found = words.mapInArrow(step(shared), "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        likelihood = float(found["n"][found["piece"] < 0].sum())
+        found = found[found["piece"] >= 0]
         total = np.zeros_like(table)
         total[found["piece"], found["language"]] = found["n"]
         table = (total + _SMOOTH) / (total.sum(0) + _SMOOTH * size)
+        shared.unpersist()
+        if before is not None and likelihood - before < SETTLED * abs(before):
+            break
+        before = likelihood
     words.unpersist()
     return languages, table
 
@@ -263,7 +330,7 @@ def learn(labelled: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANG
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row, from its text alone."""
     key = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # pieces by languages: bounded by the vocabulary and most_languages
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # pieces by languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
