@@ -80,12 +80,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
     "op7_preferences": """
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
   f AS (SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t) WHERE n = 1),
-  n1 AS (SELECT *, row_number() OVER (PARTITION BY role, text, conv_id % 64 ORDER BY conv_id) AS n FROM f),
-  p1 AS (SELECT role, text, min(conv_id) AS a, max(conv_id) AS b, count(*) AS c FROM n1 GROUP BY role, text, conv_id % 64, (n - 1) // 2),
-  n2 AS (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY a) AS n FROM p1 WHERE c = 1),
-  p2 AS (SELECT min(a) AS a, max(a) AS b, count(*) AS c FROM n2 GROUP BY role, text, (n - 1) // 2),
-  p AS (SELECT a AS chosen_id, b AS rejected_id FROM p1 WHERE c = 2 UNION ALL SELECT a, CASE WHEN c = 2 THEN b END FROM p2),
-  s AS (SELECT p.*, t.*, 'chosen' AS side FROM p JOIN t ON t.conv_id = chosen_id UNION ALL SELECT p.*, t.*, 'rejected' FROM p JOIN t ON t.conv_id = rejected_id),
+  n1 AS (SELECT *, conv_id >> 12 AS block, row_number() OVER (PARTITION BY role, text, conv_id >> 12 ORDER BY conv_id) AS n FROM f),
+  p1 AS (SELECT role, text, min(conv_id) AS a, max(conv_id) AS b, count(*) AS c FROM n1 GROUP BY role, text, block, (n - 1) // 2),
+  n2 AS (SELECT *, a >> 24 AS block, row_number() OVER (PARTITION BY role, text, a >> 24 ORDER BY a) AS n FROM p1 WHERE c = 1),
+  p2 AS (SELECT role, text, min(a) AS a, max(a) AS b, count(*) AS c FROM n2 GROUP BY role, text, block, (n - 1) // 2),
+  n3 AS (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY a) AS n FROM p2 WHERE c = 1),
+  p3 AS (SELECT min(a) AS a, max(a) AS b, count(*) AS c FROM n3 GROUP BY role, text, (n - 1) // 2),
+  p AS (SELECT a AS chosen_id, b AS rejected_id FROM p1 WHERE c = 2 UNION ALL SELECT a, b FROM p2 WHERE c = 2 UNION ALL SELECT a, b FROM p3 WHERE c = 2),
+  e AS (SELECT conv_id, list(DISTINCT turn ORDER BY turn DESC) FILTER (role = 'assistant') AS e FROM t JOIN p3 ON c = 1 AND conv_id = a GROUP BY conv_id),
+  s AS (SELECT p.*, t.*, 'chosen' AS side FROM p JOIN t ON t.conv_id = chosen_id UNION ALL SELECT p.*, t.*, 'rejected' FROM p JOIN t ON t.conv_id = rejected_id
+    UNION ALL SELECT conv_id, NULL, conv_id, turn, role, text, 'chosen' FROM e JOIN t USING (conv_id) WHERE coalesce(len(e), 0) < 2
+    UNION ALL SELECT conv_id, conv_id, conv_id, turn, role, text, 'rejected' FROM e JOIN t USING (conv_id) WHERE turn <= e[2]
+    UNION ALL SELECT conv_id, conv_id, conv_id, turn, role, text, 'chosen' FROM e JOIN t USING (conv_id) WHERE turn < e[2] OR turn = e[2] AND role <> 'assistant'
+    UNION ALL SELECT conv_id, conv_id, conv_id, e[2], role, text, 'chosen' FROM e JOIN t USING (conv_id) WHERE len(e) > 1 AND turn = e[1] AND role = 'assistant'),
   at_turn AS (SELECT chosen_id, rejected_id, turn, list(role || ' ' || text ORDER BY role, text) FILTER (side = 'chosen') AS x, list(role || ' ' || text ORDER BY role, text) FILTER (side = 'rejected') AS y,
     max(CASE WHEN role = 'assistant' THEN turn END) AS spoken FROM s GROUP BY ALL),
   parting AS (SELECT chosen_id AS c, rejected_id AS r, CASE WHEN rejected_id IS NULL THEN max(spoken) ELSE min(CASE WHEN x IS DISTINCT FROM y THEN turn END) END AS parts FROM at_turn GROUP BY chosen_id, rejected_id)
