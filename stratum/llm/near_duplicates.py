@@ -6,21 +6,28 @@ linked documents share l shingles of their l-prefixes. The order takes first the
 hash bound (a fixed share of all), the rarest first, then the rest by hash; so frequencies are
 counted for that share alone, and the prefix still holds the rarest shingles there are.
 
-1. One pass over the texts: each distinct set sends its first shingles, packed by bucket, to be counted.
-2. Shingles of one set only cannot match. They lead the prefix, so a set with more of them than its
-   prefix is long has no partner and is done; this settles all unique texts exactly.
+1. One pass over the texts: the distinct sets of a task are gathered in parcels of bounded size. A parcel
+   sends each of its first shingles once, with the number of its sets that hold it and the smallest and
+   largest of them, so the commonest shingle has one entry a parcel, not one a set.
+2. Entries meet by shingle. A shingle of one set only cannot match; the others go back to their parcels
+   with their total. Shingles without match lead the prefix, so a set with more of them than its prefix is
+   long has no partner and is done; this settles all unique texts exactly.
 3. Each remaining set chooses l by estimated candidate cost. Sets that share a 1-prefix shingle are
    joined to that shingle's first set; connected components of these edges hold all links.
-4. Whole sets meet in their component (components of small size share tasks; large ones are cut in
-   blocks and each pair of blocks is a task). There a pair is verified exactly once it shares
-   min(l, l') prefix shingles and is not yet connected. Links form the classes.
+4. Components of small size share tasks, dealt by their weight. In larger ones each set is first verified
+   against one set of each of its prefix shingles, by joins; what is then connected over all sets of a shingle
+   needs no more, so a large group of near copies is settled there. What is left open is
+   joined to components again; of these, large ones are cut in blocks, each pair of blocks being a task. In
+   a task a pair is verified exactly once it shares min(l, l') prefix shingles and is not
+   yet connected. Links form the classes.
 
 No pairs of a group are emitted: each task gives a spanning forest of its links.
 
 Defined cases: null or empty text: no shingles, linked with nothing, its own class. Fewer words
-than the shingle's length: the whole sequence is the one shingle. Equal sets are one class, with
-the smallest doc_id. A null doc_id is a document too; a class of such alone has a null component_id.
-Repeated rows stay. An empty table gives no row. Other columns are not read.
+than the shingle's length: the whole sequence is the one shingle. Very long texts are whole sets like
+others. Equal sets are one class, with the smallest doc_id. A null doc_id is a document too; a class of
+such alone has a null component_id. Repeated rows stay. An empty table gives no row. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,19 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import written
 from .components import connected_components
 from .textops import Words, buffers, mix, slices
 
 #: Longest extension of a prefix, shingles, and the verification cost of a set's shingle against a prefix hit.
 MOST_MATCHES, VERIFY_COST = 4, 0.05
-DOCS_PER_BUCKET, DOCS_PER_BIN, BLOCK_SHINGLES = 8192, 1024, 1_000_000
+#: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a block; rounds of verification by joins.
+PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, STAR_ROUNDS = 1_000_000, 8192, 400_000, 2
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STAGE = "kind int, bucket long, doc_id long, tag long, n int, s int, first boolean, fa long, fb long, fas binary, fbs binary, refs binary, tokens binary, counts binary"
-_U8, _U4 = "<u8", "<u4"
+_SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
+_LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
+_BACK = "parcel long, tokens binary, counts binary"
+_U8, _I8, _U4 = "<u8", "<i8", "<u4"
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -78,152 +89,133 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def name(a: int, b: int) -> str:
+    return f"{a & (1 << 64) - 1:016x}{b & (1 << 64) - 1:016x}"
+
+
 def _emit(columns: dict) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    types = {"kind": pa.int32(), "bucket": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "n": pa.int32(), "s": pa.int32(), "first": pa.bool_(), "fa": pa.int64(), "fb": pa.int64()}
-    names = [x.split()[0] for x in _STAGE.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), types.get(c, pa.binary())) for c in names], names)
+    names = [x.split()[0] for x in _SENT.split(", ")]
+    kind = lambda c: pa.int64() if c in _LONGS else pa.int32() if c in _INTS else pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), kind(c)) for c in names], names)
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal keys."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _send(k: int, percent: int, share: float, buckets: int):
-    """Stage 1: a row for each document, and packed first shingles of each set not met before in the task."""
+def _send(k: int, percent: int, share: float, buckets: int, parcel_size: int):
+    """Stage 1: a row for each document (kind 0); for each parcel its sets with their first shingles (kind 2), and its shingles by bucket (kind 1)."""
     bound = np.uint64(int(share * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        held: list[tuple[int, int, np.ndarray]] = []
-        size = 0
+        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        size, parcel = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            fa, fb = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            tokens = np.concatenate([x[2] for x in held])
-            refs = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[2]) for x in held])
+            fa, fb, n, s = (np.array([x[i] for x in held], np.int64) for i in range(4))
+            sizes = np.array([len(x[4]) for x in held], np.int64)
+            tokens = np.concatenate([x[4] for x in held])
+            packed = {"fas": fa.astype(_I8), "fbs": fb.astype(_I8), "ns": n.astype(_U4), "ss": s.astype(_U4), "sizes": sizes.astype(_U4), "tokens": tokens.astype(_U8)}
+            yield _emit({"kind": [2], "parcel": [parcel]} | {c: [x.tobytes()] for c, x in packed.items()})
+            holder = np.repeat(fa, sizes)
             bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            tokens, refs, bucket = tokens[order], refs[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-            rows = {c: [] for c in ("bucket", "fas", "fbs", "refs", "tokens")}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                used, local = np.unique(refs[a:b], return_inverse=True)
-                for c, x in zip(rows, (int(bucket[a]), fa[used].tobytes(), fb[used].tobytes(), local.astype(_U4).tobytes(), tokens[a:b].tobytes())):
-                    rows[c].append(x)
-            yield _emit(rows | {"kind": [1] * len(cuts[1:])})
-            held.clear()
+            order = np.lexsort((tokens, bucket))
+            tokens, holder, bucket = tokens[order], holder[order], bucket[order]
+            first = _runs(tokens)
+            packed = {"tokens": tokens[first].astype(_U8), "counts": np.diff(np.append(first, len(tokens))).astype(_U4), "lows": np.minimum.reduceat(holder, first).astype(_I8), "highs": np.maximum.reduceat(holder, first).astype(_I8)}
+            cuts = np.append(_runs(bucket[first]), len(first)).tolist()
+            rows = {"bucket": bucket[first][cuts[:-1]].tolist()} | {c: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for c, x in packed.items()}
+            yield _emit(rows | {"kind": [1] * len(cuts[1:]), "parcel": [parcel] * len(cuts[1:])})
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = {c: [] for c in ("n", "s", "first", "fa", "fb", "bucket")}
+                out = {c: [] for c in ("n", "fa", "fb")}
                 for own in shingle_sets(Words(*buffers(batch.column("text"))), k):
                     n = len(own)
                     key = fingerprint(own) if n else (0, 0)
-                    s = int(np.searchsorted(own, bound))
-                    new = n > 0 and key not in seen
-                    for c, x in zip(out, (n, s, new, *key, key[0] % buckets)):
+                    for c, x in zip(out, (n, *key)):
                         out[c].append(x)
-                    if new:
+                    if n and key not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(key)
+                        s = int(np.searchsorted(own, bound))
                         first = own[: max(s, n - needed(n, percent) + MOST_MATCHES)].copy()
-                        held.append((*key, first))
+                        held.append((*key, n, s, first))
                         size += len(first)
-                yield _emit(out | {"kind": [0] * batch.num_rows, "doc_id": batch.column("doc_id"), "tag": batch.column("tag")})
-                if size > 1_000_000:
+                yield _emit(out | {"kind": [0] * batch.num_rows, "doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "key": batch.column("key")})
+                if size > parcel_size:
                     yield from flush()
-                    size = 0
-        yield from flush()
+                    held.clear()
+                    size, parcel = 0, parcel + 1
+        if held:
+            yield from flush()
 
     return run
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """fa, fb, token and (where given) count of each posting of packed rows."""
-    fa, fb, tokens, counts = [], [], [], []
-    for a, b, r, t, c in zip(*(table.column(x).to_pylist() for x in ("fas", "fbs", "refs", "tokens", "counts"))):
-        r = np.frombuffer(r, _U4)
-        fa.append(np.frombuffer(a, np.int64)[r])
-        fb.append(np.frombuffer(b, np.int64)[r])
-        tokens.append(np.frombuffer(t, _U8))
-        counts.append(np.frombuffer(c, _U4) if c else np.zeros(0, _U4))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(fa, np.int64), join(fb, np.int64), join(tokens, np.uint64), join(counts, np.uint32)
-
-
-def _count(buckets: int):
-    """Stage 2, for one bucket of shingles: how many distinct sets hold each; those of two or more go back, packed by the set's bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        fa, fb, tokens, _ = _unpack(table)
-        order = np.lexsort((fb, fa, tokens))
-        fa, fb, tokens = fa[order], fb[order], tokens[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (fa[1:] != fa[:-1]) | (fb[1:] != fb[:-1])
-        fa, fb, tokens = fa[new], fb[new], tokens[new]
-        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(begin, len(tokens)))
-        counts = np.repeat(counts, counts).astype(np.uint32)
-        live = counts > 1
-        fa, fb, tokens, counts = fa[live], fb[live], tokens[live], counts[live]
-        home = fa % buckets
-        order = np.lexsort((fb, fa, home))
-        fa, fb, tokens, counts, home = (x[order] for x in (fa, fb, tokens, counts, home))
-        cuts = np.flatnonzero(np.diff(home, prepend=-1)).tolist() + [len(home)]
-        rows = {c: [] for c in ("bucket", "fas", "fbs", "refs", "tokens", "counts")}
+def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(column).to_pylist())])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Stage 2, for one bucket of shingles: those that more than one set holds go back to their parcels, with the number of sets of all parcels."""
+    tokens, counts, lows, highs = (_joined(table, c, k) for c, k in (("tokens", _U8), ("counts", _U4), ("lows", _I8), ("highs", _I8)))
+    parcel = np.repeat(np.array(table.column("parcel").to_pylist(), np.int64), [len(x) // 8 for x in table.column("tokens").to_pylist()])
+    order = np.argsort(tokens, kind="stable")
+    tokens, parcel = tokens[order], parcel[order]
+    first = _runs(tokens)
+    out = {"parcel": [], "tokens": [], "counts": []}
+    if len(first):
+        length = np.diff(np.append(first, len(tokens)))
+        live = np.repeat(np.minimum.reduceat(lows[order], first) != np.maximum.reduceat(highs[order], first), length)
+        total = np.repeat(np.minimum(np.add.reduceat(counts[order].astype(np.int64), first), 0xFFFFFFFF), length).astype(_U4)
+        tokens, parcel, total = tokens[live], parcel[live], total[live]
+        order = np.argsort(parcel, kind="stable")
+        tokens, parcel, total = tokens[order], parcel[order], total[order]
+        cuts = np.append(_runs(parcel), len(parcel)).tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            other = np.ones(b - a, bool)
-            other[1:] = (fa[a + 1 : b] != fa[a : b - 1]) | (fb[a + 1 : b] != fb[a : b - 1])
-            for c, x in zip(rows, (int(home[a]), fa[a:b][other].tobytes(), fb[a:b][other].tobytes(), (np.cumsum(other) - 1).astype(_U4).tobytes(), tokens[a:b].tobytes(), counts[a:b].tobytes())):
-                rows[c].append(x)
-        return pa.Table.from_batches([_emit(rows | {"kind": [1] * len(cuts[1:])})])
-
-    return run
+            for c, x in zip(out, (int(parcel[a]), tokens[a:b].tobytes(), total[a:b].tobytes())):
+                out[c].append(x)
+    return pa.table({"parcel": pa.array(out["parcel"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
 
 _PREFIXES = "fp string, n int, matches int, one int, prefix array<long>"
 
 
 def _prefixes(percent: int, share: float):
-    """Stage 3, for one bucket of sets: the sets that may have a partner, with l and the l-prefix."""
+    """Stage 3, for one parcel: its sets that may have a partner, with l and the l-prefix."""
     bound = np.uint64(int(share * 2**64))
 
-    def run(table: pa.Table) -> pa.Table:
-        kind = np.array(table.column("kind").to_pylist())
-        sets = table.filter(pa.array(kind == 0))
-        fa, fb, tokens, counts = _unpack(table.filter(pa.array(kind == 1)))
-        key = {}
-        n_of, s_of = [], []
-        for a, b, n, s in zip(*(sets.column(c).to_pylist() for c in ("fa", "fb", "n", "s"))):
-            if (a, b) not in key:
-                key[a, b] = len(key)
-                n_of.append(n)
-                s_of.append(s)
-        n, s = np.array(n_of, np.int64), np.array(s_of, np.int64)
-        new = np.ones(len(fa), bool)
-        new[1:] = (fa[1:] != fa[:-1]) | (fb[1:] != fb[:-1])
-        runs = np.array([key[x] for x in zip(fa[new].tolist(), fb[new].tolist())], np.int64)
-        doc = runs[np.cumsum(new) - 1] if len(fa) else np.zeros(0, np.int64)
-        chosen = tokens < bound
-        dead = s - np.bincount(doc[chosen], minlength=len(n))
-        one = n - needed(n, percent) + 1
-        late = ~chosen
-        order = np.lexsort((tokens, np.where(late, 0, counts), late, doc))
-        doc, tokens, counts, late = doc[order], tokens[order], counts[order], late[order]
-        begin = np.searchsorted(doc, np.arange(len(n) + 1))
+    def run(parcels: pa.Table, back: pa.Table) -> pa.Table:
         out = {c: [] for c in ("fp", "n", "matches", "one", "prefix")}
-        for (a, b), i in key.items():
-            x, y = begin[i], begin[i + 1]
-            if dead[i] >= one[i] or y - x == 0:
-                continue
-            # before the late shingles all positions are known; of those, all that live are taken
-            early = int(np.searchsorted(late[x:y], True))
-            reach = [x + min(int(one[i] - dead[i]) + extra, early) if one[i] + extra <= s[i] else y for extra in range(MOST_MATCHES)]
-            hits = np.concatenate([[0], np.cumsum(counts[x:y].astype(np.int64) - 1)])
-            cost = [hits[r - x] * (1 + VERIFY_COST * n[i] / (extra + 1)) for extra, r in enumerate(reach)]
-            extra = int(np.argmin(cost))
-            for c, v in zip(out, (f"{a & (1 << 64) - 1:016x}{b & (1 << 64) - 1:016x}", int(n[i]), extra + 1, int(reach[0] - x), tokens[x : reach[extra]].view(np.int64))):
-                out[c].append(v)
+        known, totals = _joined(back, "tokens", _U8), _joined(back, "counts", _U4)
+        order = np.argsort(known)
+        known, totals = known[order], totals[order]
+        for row in parcels.to_pylist() if len(known) else ():
+            fa, fb, n, s, sizes, tokens = (np.frombuffer(row[c], k) for c, k in (("fas", _I8), ("fbs", _I8), ("ns", _U4), ("ss", _U4), ("sizes", _U4), ("tokens", _U8)))
+            n, s = n.astype(np.int64), s.astype(np.int64)
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            live = known[at] == tokens
+            tokens, doc, counts = tokens[live], np.repeat(np.arange(len(n)), sizes)[live], totals[at[live]].astype(np.int64)
+            late = tokens >= bound
+            dead = s - np.bincount(doc[~late], minlength=len(n))
+            one = n - needed(n, percent) + 1
+            order = np.lexsort((tokens, np.where(late, 0, counts), late, doc))
+            doc, tokens, counts, late = doc[order], tokens[order], counts[order], late[order]
+            begin = np.searchsorted(doc, np.arange(len(n) + 1))
+            for i in np.flatnonzero((dead < one) & (begin[1:] > begin[:-1])).tolist():
+                x, y = begin[i], begin[i + 1]
+                # before the late shingles all positions are known; of those, all that live are taken
+                early = int(np.searchsorted(late[x:y], True))
+                reach = [x + min(int(one[i] - dead[i]) + extra, early) if one[i] + extra <= s[i] else y for extra in range(MOST_MATCHES)]
+                hits = np.concatenate([[0], np.cumsum(counts[x:y] - 1)])
+                extra = int(np.argmin([hits[r - x] * (1 + VERIFY_COST * n[i] / (extra + 1)) for extra, r in enumerate(reach)]))
+                for c, v in zip(out, (name(int(fa[i]), int(fb[i])), int(n[i]), extra + 1, int(reach[0] - x), tokens[x : reach[extra]].view(np.int64))):
+                    out[c].append(v)
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
@@ -242,14 +234,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, a spanning forest of them.
+def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int, known: list[str] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, a spanning forest of them; sets of one known class count as connected.
 
     First each set meets the first one of each of its prefix shingles; then the shingles whose sets
     are not all connected are counted for each set, and a pair with min(l, l') of them is verified
     unless connected by then. Every link of two sets not connected otherwise is found.
     """
-    parent = list(range(len(sets)))
+    head: dict[str, int] = {}
+    parent = [i if known is None else head.setdefault(known[i], i) for i in range(len(sets))]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -275,8 +268,8 @@ def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarr
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
         length = np.diff(np.append(begin, len(token)))
-        head = doc[begin + (length * turn // 3)][group]
-        for i, j in np.unique(np.stack([head, doc], 1)[head != doc], axis=0).tolist():
+        first = doc[begin + (length * turn // 3)][group]
+        for i, j in np.unique(np.stack([first, doc], 1)[first != doc], axis=0).tolist():
             meet(i, j)
         root = np.array([find(i) for i in range(len(sets))])[doc]
         low, high = np.minimum.reduceat(root, begin), np.maximum.reduceat(root, begin)
@@ -306,16 +299,16 @@ def _solve(percent: int):
     """Stage 4, for one bin: links of each of its components."""
 
     def run(table: pa.Table) -> pa.Table:
-        fp, home = table.column("fp").to_pylist(), np.array(table.column("home").to_pylist())
+        fp, home, known = table.column("fp").to_pylist(), np.array(table.column("home").to_pylist()), table.column("known").to_pylist()
         sets = [np.frombuffer(x, _U8) for x in table.column("shingles").to_pylist()]
         prefixes = [np.array(x, np.int64).view(np.uint64) for x in table.column("prefix").to_pylist()]
         matches = np.array(table.column("matches").to_pylist(), np.int64)
         us, vs = [], []
         order = np.argsort(home, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], home[order][1:] != home[order][:-1]])).tolist() + [len(order)]
+        cuts = np.append(_runs(home[order]), len(order)).tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = sorted(order[a:b].tolist(), key=lambda i: (len(sets[i]), fp[i]))
-            for i, j in forest([sets[i] for i in own], [prefixes[i] for i in own], matches[own], percent):
+            for i, j in forest([sets[i] for i in own], [prefixes[i] for i in own], matches[own], percent, [known[i] for i in own]):
                 us.append(fp[own[i]])
                 vs.append(fp[own[j]])
         return pa.table({"u": pa.array(us, pa.string()), "v": pa.array(vs, pa.string())})
@@ -323,6 +316,17 @@ def _solve(percent: int):
     return run
 
 
+def _verify(percent: int):
+    """The pairs that link, of rows with both sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [linked(np.frombuffer(a, _U8), np.frombuffer(b, _U8), percent) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(yes, pa.bool_()))
+
+    return run
+
+
 def _whole(k: int):
     """fp and the whole set of each text."""
 
@@ -332,58 +336,96 @@ def _whole(k: int):
                 fps, sets = [], []
                 for own in shingle_sets(Words(*buffers(batch.column("text"))), k):
                     if len(own):
-                        a, b = fingerprint(own)
-                        fps.append(f"{a & (1 << 64) - 1:016x}{b & (1 << 64) - 1:016x}")
+                        fps.append(name(*fingerprint(own)))
                         sets.append(own.astype(_U8).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.string()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = DOCS_PER_BUCKET, block_shingles: int = BLOCK_SHINGLES, tag: Column | None = None) -> DataFrame:
+def _homes(token: DataFrame) -> DataFrame:
+    """node and root of the components of sets that share a token, of token(fp, token): each joins the token's first set."""
+    heads = token.groupBy("token").agg(F.min("fp").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return connected_components(token.join(heads, "token").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")))
+
+
+def _relabelled(member: DataFrame, edges: DataFrame) -> DataFrame:
+    """member(fp, known, ...) with the classes that links between its sets join, and the links as they are."""
+    found = connected_components(edges).select(F.col("node").alias("fp"), F.col("root"))
+    return member.drop("known").join(found, "fp", "left").withColumn("known", F.coalesce("root", "fp")).drop("root")
+
+
+def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by verifying each set against one set of each of its 1-prefix shingles, and the (fp, known, token) that are left open.
+
+    A shingle whose sets are all in one class is closed. Pairs are at most one for each shingle of a set.
+    """
+    links, now = None, member.withColumn("known", F.col("fp"))
+    for turn in range(rounds + 1):
+        token = now.select("fp", "known", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
+        heads = token.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min_by(F.struct("fp", "known"), F.xxhash64("fp", F.lit(turn))).alias("head")).where("low <> high").drop("low", "high")
+        open_ = token.join(heads, "token")
+        if turn == rounds:
+            return links, open_.select("fp", "known", "token")
+        pairs = open_.where("known <> head.known").select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct()
+        both = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+        found = both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u string, v string")
+        links = written(found if links is None else links.unionByName(found), "links")
+        now = written(_relabelled(member.withColumn("known", F.col("fp")), links), "known")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", docs_per_bucket: int = DOCS_PER_BUCKET, block_shingles: int = BLOCK_SHINGLES, parcel: int = PARCEL, star_rounds: int = STAR_ROUNDS, tag: Column | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs, whole texts compared on k-word shingles at percent/100 Jaccard.
 
-    tag: a long worked out for each row, to be returned with it.
+    tag: a long worked out for each row, to be returned with it and with `kept`, which is true for one tag of each class:
+    that of the smallest doc_id (of one without doc_id where there is no other), and of its rows the smallest.
     """
-    more = [] if tag is None else ["tag"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("long") if tag is None else tag).alias("tag"))
+    more = [] if tag is None else ["tag", "kept"]
+    # key finds a row's text again; rows of one doc_id, or without, differ in it by their texts
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("long") if tag is None else tag).alias("tag")).withColumn("key", F.xxhash64("doc_id", "text"))
     share = min(0.9, 2.0 * (100 - percent) / 100)
     buckets = max(4, -(-docs.select(id_col).count() // docs_per_bucket))
-    sent = rows.mapInArrow(_send(k, percent, share, buckets), _STAGE)
-    # one pass over the texts writes both kinds of rows; the packed ones are then counted
-    sent_rows = written(sent, "sent")
-    documents = sent_rows.where("kind = 0")
-    counted = written(sent_rows.where("kind = 1").groupBy("bucket").applyInArrow(_count(buckets), _STAGE), "counted")
-    prefixes = written(documents.where("first").unionByName(counted).groupBy("bucket").applyInArrow(_prefixes(percent, share), _PREFIXES), "prefixes")
-    drop_written(counted)
-
-    docs_ = documents.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
-    held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-
-    token = prefixes.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
-    heads = token.groupBy("token").agg(F.min("fp").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = connected_components(token.join(heads, "token").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")))
-
+    # one pass over the texts writes all kinds of rows
+    sent = written(rows.mapInArrow(_send(k, percent, share, buckets, parcel), _SENT), "sent")
+    documents = sent.where("kind = 0")
+    back = sent.where("kind = 1").groupBy("bucket").applyInArrow(_count, _BACK)
+    parcels = sent.where("kind = 2").select("parcel", "fas", "fbs", "ns", "ss", "sizes", "tokens")
+    prefixes = written(parcels.groupBy("parcel").cogroup(back.groupBy("parcel")).applyInArrow(_prefixes(percent, share), _PREFIXES).dropDuplicates(["fp"]), "prefixes")
+
+    docs_ = documents.select("doc_id", "tag", "key", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
+    least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
+    held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min(least).alias("least"), F.min("key").alias("key"))
+
+    near = _homes(prefixes.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token")))
     member = near.select(F.col("node").alias("fp"), F.col("root").alias("home")).join(prefixes, "fp")
-    sizes = written(member.groupBy("home").agg(F.sum("n").alias("total")), "sizes")
+    sizes = member.groupBy("home").agg(F.sum("n").alias("total"))
     member = written(member.join(sizes, "home"), "members")
-    bins = max(1, -(-member.count() // DOCS_PER_BIN))
-    large = sizes.where(F.col("total") > block_shingles).take(1)
-    wanted = member.select("fp").join(held, "fp").select(F.coalesce("least_id", F.lit(-(1 << 63))).alias("key")).distinct()
-    whole = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "key", "left_semi").select("text")
+    weight, heaviest = member.agg(F.coalesce(F.sum(F.when(F.col("total") <= block_shingles // 8, F.col("n"))), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
+    wanted = member.select("fp").join(held, "fp").select("key").distinct()
+    whole = rows.join(wanted, "key", "left_semi").select("text")
     sets = whole.mapInArrow(_whole(k), "fp string, shingles binary").dropDuplicates(["fp"])
-    ready = member.join(sets, "fp")
-    small = ready.where(F.col("total") <= block_shingles).select(F.pmod(F.xxhash64("home"), F.lit(bins)).cast("string").alias("bin"), "home", "fp", "matches", "prefix", "shingles")
-    links = small
-    if large:
+    if heaviest > block_shingles:
+        sets = written(sets, "sets")
+    # the smallest components are dealt to bins by a hash, the others are bins of their own
+    bins = max(1, -(-2 * weight // block_shingles))
+    place = F.when(F.col("total") <= block_shingles // 8, F.pmod(F.xxhash64("home"), F.lit(bins)).cast("string")).otherwise(F.col("home"))
+    columns = ["bin", "home", "fp", "known", "matches", "prefix", "shingles"]
+    small = member.where(F.col("total") <= block_shingles).withColumn("bin", place).withColumn("known", F.col("fp"))
+    edges = small.join(sets, "fp").select(*columns).groupBy("bin").applyInArrow(_solve(percent), "u string, v string")
+    if heaviest > block_shingles:
+        large = member.where(F.col("total") > block_shingles).drop("home", "total")
+        links, open_ = _stars(large, sets, percent, star_rounds)
+        open_ = written(open_, "open")
+        left = _homes(open_.select("fp", "token")).select(F.col("node").alias("fp"), F.col("root").alias("home")).join(open_.select("fp", "known").distinct(), "fp").join(large, "fp")
+        left = written(left.join(left.groupBy("home").agg(F.sum("n").alias("total")), "home"), "left")
         blocks = F.ceil(F.col("total") * 2 / block_shingles)
-        cut = ready.where(F.col("total") > block_shingles).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
-        pairs = F.explode(F.expr("transform(sequence(0L, blocks - 1), j -> concat_ws(':', home, least(block, j), greatest(block, j)))"))
-        links = small.unionByName(cut.select(pairs.alias("bin"), "home", "fp", "matches", "prefix", "shingles"))
-    edges = links.groupBy("bin").applyInArrow(_solve(percent), "u string, v string")
+        cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+        pairs = F.explode(F.expr("if(total <= {0}, array(home), transform(sequence(0L, blocks - 1), j -> concat_ws(':', home, least(block, j), greatest(block, j))))".format(block_shingles)))
+        rest = cut.select(pairs.alias("bin"), "home", "fp", "known", "matches", "prefix").join(sets, "fp").select(*columns)
+        edges = edges.unionByName(links).unionByName(rest.groupBy("bin").applyInArrow(_solve(percent), "u string, v string"))
     found = connected_components(edges)
-    classes = found.join(held, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("component"))
-    of_set = held.join(found.join(classes, "root").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))
-    some = docs_.where("n_shingles > 0").join(of_set, "fp").select("doc_id", F.col("n_shingles").cast("long"), F.col("component").alias("component_id"), *more)
-    none = docs_.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"), *more)
-    return some.unionByName(none)
+    classes = found.join(held, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first"))
+    of_set = held.join(found.join(classes, "root").select(F.col("node").alias("fp"), "first"), "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    some = docs_.where("n_shingles > 0").join(of_set, "fp").select("doc_id", F.col("n_shingles").cast("long"), F.col("first.doc_id").alias("component_id"), "tag", F.col("tag").eqNullSafe(F.col("first.tag")).alias("kept"))
+    none = docs_.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("kept"))
+    return some.unionByName(none).select("doc_id", "n_shingles", "component_id", *more)

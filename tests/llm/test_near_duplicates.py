@@ -4,6 +4,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm.components import connected_components
 from stratum.llm.near_duplicates import linked, near_duplicates
@@ -86,6 +87,35 @@ def test_odd_rows(spark):
     assert found(empty(spark)) == []
 
 
+def test_words_that_defeat_polynomial_hashes(spark):
+    """Words of the Thue-Morse kind are different words."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    docs = spark.createDataFrame([(1, bits), (2, bits.translate(str.maketrans("ab", "ba"))), (3, bits.upper()), (4, f"{bits} x y"), (5, f"{bits} x y")], "doc_id long, text string")
+    assert found(docs, k=3, percent=90) == [("1", 1, "1"), ("2", 1, "2"), ("3", 1, "1"), ("4", 1, "4"), ("5", 1, "4")]
+
+
+def test_a_large_group_of_near_copies_and_a_common_passage(spark):
+    """Groups far beyond a block's size: near copies of one text, and texts that share a passage but are not alike."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    base, passage = [word() for _ in range(80)], [word() for _ in range(30)]
+    near = [[*base[:i], word(), *base[i + 1 :]] for i in (rng.randrange(80) for _ in range(150))]
+    other = [[*passage, *(word() for _ in range(25))] for _ in range(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*near, *other, *near[:40]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(docs.collect(), 3, 90)
+    for options in ({"block_shingles": 1000, "parcel": 2000}, {"block_shingles": 1000, "star_rounds": 1}):
+        assert found(docs, k=3, percent=90, **options) == want
+
+
+def test_kept_rows(spark):
+    """One row of each class is kept, also of classes without doc_id; rows without words stay."""
+    text = "a b c d e f g h"
+    docs = spark.createDataFrame([(5, text), (3, text), (3, text), (None, text), (None, "x y z"), (None, "x y z"), (8, ""), (8, None)], "doc_id long, text string")
+    rows = near_duplicates(docs, k=3, percent=90, tag=F.xxhash64("doc_id", "text")).where("kept").select("doc_id", "component_id", "tag").distinct().collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("3", "3"), ("8", "8"), ("8", "8"), ("None", "None")]
+
+
 def test_linked():
     s = lambda *x: np.array(x, np.uint64)
     nine, ten = np.arange(9, dtype=np.uint64), np.arange(10, dtype=np.uint64)
