@@ -20,6 +20,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 OPEN, CLOSE, THRESHOLD, TREES, DEPTH, FINDINGS = "\x01", "\x02", 0.5, 20, 6, 3000
 _KEYS = "api|access|private|signing|client|secret|encryption|master"
 NAMES = rf"pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:{_KEYS})[_ -]?(?:key|secret|token)"
@@ -228,11 +230,12 @@ def redact(docs: DataFrame, trees: Forest | None = None, text_col: str = "text",
     """docs with each secret in the text replaced by mark; texts without one are unchanged."""
     trees = trees or forest(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    segments = docs.withColumn("__segments", _segments(F.col(text_col)))
+    parts = unused("segments", docs)
+    segments = docs.withColumn(parts, _segments(F.col(text_col)))
 
     def cleaned(s: Column) -> Column:
         kept = lambda i: F.when(_score(trees, F.element_at(s, i - 1), F.element_at(s, i), path) >= threshold, F.lit(mark)).otherwise(_candidate(F.element_at(s, i)))
         return F.array_join(F.concat(F.slice(s, 1, 1), F.transform(F.sequence(F.lit(2), F.size(s)), lambda i: F.concat(kept(i), _rest(F.element_at(s, i))))), "")
 
-    text = F.when(F.size("__segments") > 1, cleaned(F.col("__segments"))).otherwise(F.col(text_col))
-    return segments.withColumn(text_col, text).drop("__segments")
+    text = F.when(F.size(parts) > 1, cleaned(F.col(parts))).otherwise(F.col(text_col))
+    return segments.withColumn(text_col, text).drop(parts)

@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline as pipeline
 from stratum.llm import mixing
+from stratum.llm.common import written
 
 from .common import SF, empty, odd
 from .test_near_duplicates import brute
@@ -14,7 +15,7 @@ def test_stages(spark):
     now = docs
     for name, stage in pipeline.STAGES:
         before = now
-        now = pipeline.written(stage(spark, before, SF), name)
+        now = written(stage(spark, before, SF), name)
         seen[name] = (before.collect(), now.collect())
         if name != "packing":
             assert now.columns == docs.columns
