@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import CURRENCY, NA_TOKENS
@@ -20,9 +20,9 @@ def ratio(num: Column, den: Column, otherwise: float | None = None) -> Column:
     return out if otherwise is None else F.coalesce(out, F.lit(otherwise))
 
 
-def no_nan(c: Column) -> Column:
-    """NaN is a missing value."""
-    return F.nanvl(c, F.lit(None).cast("double"))
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN is a missing value, in all columns of doubles and floats."""
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(k)) for c, k in df.dtypes if k in ("double", "float")})
 
 
 def known(c: Column) -> Column:

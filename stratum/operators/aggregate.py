@@ -52,7 +52,7 @@ def adaptive(df: DataFrame, schema: RuntimeSchema, metrics: list[str] | None = N
     """Sum and mean of the metrics by day of the first date column (a missing date is a group of its own), or over all rows without one.
 
     Text metrics are read as numbers first; the mean of decimals is their sum, as a double, by their number. categories adds distinct counts of categorical columns
-    of at most MOST_CATEGORIES values, as given in cardinality.
+    of at most MOST_CATEGORIES values, as given in cardinality or else in the schema; of unknown ones none is counted.
     """
     date = date or next((c for c in schema.date_columns if c in df.columns), None)
     metrics = (metrics or metric_columns(df, schema))[:MOST_METRICS]
@@ -61,7 +61,8 @@ def adaptive(df: DataFrame, schema: RuntimeSchema, metrics: list[str] | None = N
     mean = lambda c, n: ratio(F.sum(n), F.count(n)) if kinds[c].startswith("decimal") else F.avg(n)
     aggregates = [x for c, n in numbers.items() for x in (F.coalesce(F.sum(n), F.lit(0)).alias(f"{c}_sum"), mean(c, n).alias(f"{c}_avg"))]
     if categories:
-        few = [c for c in schema.categorical_columns if c in df.columns and (cardinality or {}).get(c, 0) <= MOST_CATEGORIES][:10]
+        known = schema.cardinality | (cardinality or {})
+        few = [c for c in schema.categorical_columns if c in df.columns and known.get(c, MOST_CATEGORIES + 1) <= MOST_CATEGORIES][:10]
         aggregates += [F.countDistinct(F.col(f"`{c}`")).alias(f"{c}_distinct") for c in few]
     if not aggregates:
         return Adaptive(df.limit(0).withColumn("_info", F.lit("no metric")), date, [], "no metric")

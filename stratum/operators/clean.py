@@ -2,7 +2,7 @@
 
 Two semantics: first match (fixed rules in order, one reason a row) and all matches (configured rules,
 one rejected row for each reason that applies). Either is one projection that tags rows; both outputs
-are filters of it, so the input is scanned once where the tagged rows are cached or written.
+are filters of it; the steps write the tagged rows once and split what they wrote.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..fixed import REASON_CANCELLED, REASON_NO_CUSTOMER, REASON_PRICE, REASON_QUANTITY
 from ..functions.arithmetic import UnsafeExpression, compile_expression
-from ..functions.numbers import plain_text
+from ..functions.numbers import plain_text, without_nan
 from ..schema import RuntimeSchema
 
 REASON, REASONS = "rejected_reason", "rejected_reasons"
@@ -57,7 +57,11 @@ def order_amount() -> Column:
 
 def clean_first_match(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clean with order_amount, rejected with its reason, lost rows)."""
-    tagged = first_match(df)
+    return split_first(first_match(df))
+
+
+def split_first(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three outcomes of first_match(); a step writes the tagged rows once and splits those."""
     part = lambda name: tagged.where(F.col("outcome") == name).drop("outcome")
     return part("clean").drop(REASON).withColumn("order_amount", order_amount()), part("rejected"), part("lost").drop(REASON)
 
@@ -117,7 +121,8 @@ def compile_rules(schema: RuntimeSchema, types: T.StructType) -> list[Rule]:
 
 
 def all_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """df with rejected_reasons, the array of reasons that apply, in the order of the rules."""
+    """df with rejected_reasons, the array of reasons that apply, in the order of the rules. NaN is missing."""
+    df = without_nan(df)
     if not rules:
         return df.withColumn(REASONS, F.array().cast("array<string>"))
     return df.withColumn(REASONS, F.array_compact(F.array(*[F.when(r.rejects, F.lit(r.reason)) for r in rules])))
@@ -135,7 +140,11 @@ def with_computed(df: DataFrame, schema: RuntimeSchema, warn=lambda message: Non
 
 def clean_all_matches(df: DataFrame, schema: RuntimeSchema, warn=lambda message: None) -> tuple[DataFrame, DataFrame]:
     """(clean with computed columns, rejected with one row for each reason)."""
-    tagged = all_matches(df, compile_rules(schema, df.schema))
+    return split_all(all_matches(df, compile_rules(schema, df.schema)), schema, warn)
+
+
+def split_all(tagged: DataFrame, schema: RuntimeSchema, warn=lambda message: None) -> tuple[DataFrame, DataFrame]:
+    """Both outcomes of all_matches()."""
     clean = tagged.where(F.size(REASONS) == 0).drop(REASONS)
     rejected = tagged.where(F.size(REASONS) > 0).withColumn(REASON, F.explode(REASONS)).drop(REASONS)
     return with_computed(clean, schema, warn), rejected

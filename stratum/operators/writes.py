@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,12 +21,22 @@ def assert_unique(batch: DataFrame, key: str) -> None:
         raise DuplicateKeys(f"{key} = {twice[0][key]}")
 
 
+def span(batch: DataFrame, date: str) -> tuple[object, object]:
+    """The smallest and the largest date of the batch, null without any."""
+    row = batch.agg(F.min(date).alias("low"), F.max(date).alias("high")).first()
+    return row["low"], row["high"]
+
+
+def outside(date: str, low: object, high: object) -> Column:
+    """Rows not in the span, both ends included; rows without date are outside. Literals, so that scans get the bound as a pushed filter."""
+    if low is None:
+        return F.lit(True)
+    return F.col(date).isNull() | (F.col(date) < F.lit(low)) | (F.col(date) > F.lit(high))
+
+
 def replace_range(old: DataFrame, batch: DataFrame, date: str) -> DataFrame:
-    """Old rows outside the batch's span of dates, both ends included, or without date; and the batch."""
-    span = batch.agg(F.min(date).alias("__from"), F.max(date).alias("__to"))
-    # one row, so it goes to all tasks; a batch without dates replaces nothing
-    outside = old.join(F.broadcast(span), F.col(date).between(F.col("__from"), F.col("__to")), "left_anti")
-    return outside.unionByName(batch, allowMissingColumns=True)
+    """Old rows outside the batch's span of dates, or without date; and the batch. The span is worked out first."""
+    return old.where(outside(date, *span(batch, date))).unionByName(batch, allowMissingColumns=True)
 
 
 def latest_runs(events: DataFrame, key: str = "run_id", at: str = "at") -> DataFrame:

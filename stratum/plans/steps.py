@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import COLUMN_MAPPING
-from ..functions.dates import clean_dates
+from ..functions.dates import clean_dates, strict_date
 from ..operators import aggregate, clean, quality
 from ..operators.profile import profile
-from ..schema import DWD, DWS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge
+from ..schema import DATED, DWD, DWS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge, typed
 from ..sources.files import read_orders, read_unknown
 from ..sources.store import Store
 from .alerts import Alerts
@@ -49,14 +49,11 @@ def step(task: str) -> Callable[[Callable[..., Result]], Callable[..., Result]]:
 
 
 def to_ods(df: DataFrame) -> DataFrame:
-    """Source columns under their warehouse names and types; other columns are left out."""
+    """Source columns under their warehouse names and types; other columns are left out. A text in invoice_date that is no date fails the job."""
     named = df.withColumnsRenamed(COLUMN_MAPPING)
-    kinds = dict(named.dtypes)
-    date = F.to_timestamp_ntz("invoice_date") if kinds["invoice_date"] == "string" else F.col("invoice_date")
-    if kinds["invoice_date"] == "string":
-        named = clean_dates(named, ["invoice_date"], 0.0)
-        date = F.col("invoice_date")
-    return named.withColumn("invoice_date", date).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ODS])
+    if dict(named.dtypes)["invoice_date"] == "string":
+        named = strict_date(named, "invoice_date")
+    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ODS])
 
 
 def since(df: DataFrame, date: str, lower: str | datetime | None) -> DataFrame:
@@ -64,17 +61,16 @@ def since(df: DataFrame, date: str, lower: str | datetime | None) -> DataFrame:
     return df if lower is None else df.where(F.col(date) >= F.lit(lower).cast("timestamp_ntz"))
 
 
-def _store_batch(store: Store, table: str, df: DataFrame, incremental: bool) -> int:
-    return store.replace_range(table, df, "invoice_date") if incremental else store.replace(table, df)
-
-
 @step("extract")
 def extract(store: Store, path: str, since_date: str | None = None, incremental: bool = False) -> Result:
     store.create("ods_orders", ODS)
     rows = since(to_ods(read_orders(store.spark, path)), "invoice_date", since_date)
+    if incremental:
+        n = store.replace_range("ods_orders", rows, "invoice_date")
+        return {"status": "success" if n or not since_date else "skipped", "rows": n}
     if since_date and not rows.take(1):
         return {"status": "skipped", "rows": 0}
-    return {"status": "success", "rows": _store_batch(store, "ods_orders", rows, incremental)}
+    return {"status": "success", "rows": store.replace("ods_orders", rows)}
 
 
 @step("quality_check")
@@ -84,25 +80,25 @@ def quality_check(store: Store, threshold: float | None = None) -> Result:
 
 
 @step("transform")
-def transform(store: Store, since_date: str | None = None, incremental: bool = False, run_id: str | None = None, now: datetime | None = None) -> Result:
-    """Clean detail and rejected rows; both new versions are written before either is shown."""
+def transform(store: Store, since_date: str | None = None, incremental: bool = False, now: datetime | None = None) -> Result:
+    """Clean detail and rejected rows, each from the tagged rows, which are written once; a null where the detail must have none fails the step."""
     now = now or datetime.now()
     for table, schema in (("dwd_orders", DWD), ("rejected_orders", REJECTED)):
         store.create(table, schema)
     ods = since(store.read("ods_orders"), "invoice_date", since_date)
-    if not ods.take(1):
-        return {"status": "skipped", "reason": "ODS 表为空", "rows": 0}
-    good, bad, lost = clean.clean_first_match(ods)
-    stamp = F.lit(now).cast("timestamp_ntz")
-    good = good.withColumn("etl_time", stamp).select(*DWD.names)
-    bad = bad.withColumn("rejected_at", stamp).select(*REJECTED.names)
-    from ..operators.writes import replace_range
-
-    frames = {"dwd_orders": replace_range(store.read("dwd_orders"), good, "invoice_date") if incremental else good}
-    frames["rejected_orders"] = replace_range(store.read("rejected_orders"), bad, "invoice_date") if incremental else bad
-    store.publish_together(frames)
-    figures = clean.first_match(ods).groupBy("outcome").count().collect()
-    return {"status": "success"} | {"clean": 0, "rejected": 0, "lost": 0} | {r["outcome"]: r["count"] for r in figures}
+    with store.staged(clean.first_match(ods)) as tagged:
+        figures = {r["outcome"]: r["count"] for r in tagged.groupBy("outcome").count().collect()}
+        if not figures:
+            return {"status": "skipped", "reason": "ODS 表为空", "rows": 0}
+        good, bad, _ = clean.split_first(tagged)
+        stamp = F.lit(now).cast("timestamp_ntz")
+        frames = {"dwd_orders": good.withColumn("etl_time", stamp), "rejected_orders": bad.withColumn("rejected_at", stamp)}
+        if incremental:
+            for table, df in frames.items():
+                store.replace_range(table, df, "invoice_date")
+        else:
+            store.publish_each(frames)
+    return {"status": "success"} | {"clean": 0, "rejected": 0, "lost": 0} | figures
 
 
 @step("aggregate")
@@ -130,8 +126,8 @@ def report(store: Store, folder: str, now: datetime | None = None) -> Result:
 def auto_extract(store: Store, path: str, declared: RuntimeSchema | None = None) -> Result:
     """A file of unknown shape into the raw table, under its declared names, with the schema inferred once."""
     declared = declared or RuntimeSchema()
-    df = read_unknown(store.spark, path, overrides=declared.dtype_overrides)
-    df = df.withColumnsRenamed({k: v for k, v in declared.source_mapping.items() if k in df.columns})
+    df = read_unknown(store.spark, path, overrides=declared.dtype_overrides, encodings=declared.csv_encodings)
+    df = typed(df.withColumnsRenamed({k: v for k, v in declared.source_mapping.items() if k in df.columns}), declared.dtypes)
     schema = merge(declared, profile(df))
     rows = store.dynamic_load("ods_orders", clean_dates(df, schema.date_columns))
     return {"status": "success", "rows": rows, "schema": schema, "roles": schema.roles()}
@@ -147,17 +143,20 @@ def auto_quality(store: Store, schema: RuntimeSchema) -> Result:
 def auto_transform(store: Store, schema: RuntimeSchema, now: datetime | None = None) -> Result:
     """Rows by all rules; rejected ones keep all their columns."""
     ods = store.read("ods_orders")
-    if not ods.take(1):
-        return {"status": "skipped", "rows": 0}
     warnings: list[str] = []
-    good, bad = clean.clean_all_matches(ods, schema, warnings.append)
-    stamp = F.lit(now or datetime.now()).cast("timestamp_ntz")
-    store.publish_together({"dwd_orders": good.withColumn("etl_time", stamp), "rejected_orders": bad.withColumn("rejected_at", stamp)})
+    with store.staged(clean.all_matches(ods, clean.compile_rules(schema, ods.schema))) as tagged:
+        if not tagged.take(1):
+            return {"status": "skipped", "rows": 0}
+        good, bad = clean.split_all(tagged, schema, warnings.append)
+        stamp = F.lit(now or datetime.now()).cast("timestamp_ntz")
+        store.publish_each({"dwd_orders": good.withColumn("etl_time", stamp), "rejected_orders": bad.withColumn("rejected_at", stamp)})
     return {"status": "success", "clean": store.read("dwd_orders").count(), "rejected": store.read("rejected_orders").count(), "warnings": warnings}
 
 
 @step("auto_aggregate")
-def auto_aggregate(store: Store, schema: RuntimeSchema, **options: Any) -> Result:
+def auto_aggregate(store: Store, schema: RuntimeSchema, categories: bool = True, **options: Any) -> Result:
+    """Sums and means, and distinct counts of the categorical columns that the profile found few values of."""
+    options["categories"] = categories
     found = aggregate.adaptive(store.read("dwd_orders").drop("etl_time"), schema, **options)
     if found.note:
         return {"status": "success", "rows": 0, "summary": aggregate.adaptive_summary(found)}
@@ -232,7 +231,7 @@ class Pipeline:
 
 def classic_pipeline(spark: SparkSession, root: str, csv_path: str, reports: str, since_date: str | None = None, incremental: bool = False, **options: Any) -> Pipeline:
     """Extract, check, transform, aggregate, report."""
-    store = Store(spark, root)
+    store = Store(spark, root, DATED)
     lower = since_date if incremental else None
     return Pipeline(
         [

@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fixed import NULL_RATE_THRESHOLD
@@ -39,6 +41,8 @@ RUN_LOG = _struct(
     [("run_id", T.StringType()), ("task_name", T.StringType()), ("status", T.StringType()), ("at", T.TimestampNTZType()), ("duration", T.DecimalType(10, 2)), ("error_message", T.StringType())],
     ("run_id", "task_name", "status", "at"),
 )
+#: The date column of tables that are partitioned by it.
+DATED = {"ods_orders": "invoice_date", "dwd_orders": "invoice_date", "rejected_orders": "invoice_date"}
 TABLES = {"ods_orders": ODS, "dwd_orders": DWD, "rejected_orders": REJECTED, "dws_sales_daily": DWS, "etl_task_logs": RUN_LOG}
 
 
@@ -63,6 +67,8 @@ class RuntimeSchema:
     quality_null_threshold: float | None = None
     csv_encodings: list[str] = field(default_factory=list)
     dtype_overrides: dict[str, str] = field(default_factory=dict)
+    #: Distinct values of the categorical columns, as profiled.
+    cardinality: dict[str, int] = field(default_factory=dict)
 
     def roles(self) -> dict[str, str]:
         """The role of each column."""
@@ -134,3 +140,8 @@ def spark_type(declared: dict[str, Any]) -> T.DataType:
     if kind == "numeric":
         return T.DecimalType(int(declared.get("precision", 38)), int(declared.get("scale", 4)))
     return {"integer": T.IntegerType(), "biginteger": T.LongType(), "float": T.DoubleType(), "datetime": T.TimestampNTZType(), "date": T.DateType(), "boolean": T.BooleanType()}.get(kind, T.StringType())
+
+
+def typed(df: DataFrame, declared: dict[str, dict[str, Any]]) -> DataFrame:
+    """df with the declared types; a value that does not fit is missing."""
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(spark_type(t)) for c, t in declared.items() if c in df.columns})

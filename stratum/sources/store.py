@@ -1,26 +1,36 @@
-"""Versioned Parquet tables with append, replace, range replace and keyed upsert.
+"""Warehouse tables as Parquet folders: append, replace, range replace and keyed upsert.
 
-A table is a folder of versions and a small pointer file. A write reads the current version, writes the
-next one, and then moves the pointer, so readers see the old rows or the new ones. Files are reached
-through Hadoop's file system, so any store that Spark writes will do; the pointer's move is atomic
-where the store's rename is.
+A table is a folder of numbered snapshots that Spark writes; the table is the highest snapshot with
+Spark's own commit marker, so a write that fails is never seen and nothing has to be moved. A table
+with a date column is partitioned by its months (or days), and a range replace rewrites the partitions of its
+span alone, in place, by Spark's dynamic partition overwrite. All paths go through Hadoop's file
+system, so any store that Spark writes will do.
+
+Rows are cast to the table's schema; a null in a column that must not hold one fails the write. A batch
+is worked out once, into a staging folder, and counted and ranged from there.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed import IDENTIFIER
-from ..operators.writes import assert_unique, replace_range, upsert
+from ..operators.writes import assert_unique, outside, span, upsert
+
+PART = "_part"
+#: Snapshots kept behind the current one, for readers that have begun.
+KEPT = 1
 
 
 class NoSuchTable(LookupError):
-    """The table has no version."""
+    """The table has no snapshot."""
 
 
 def identifier(name: str) -> str:
@@ -29,28 +39,42 @@ def identifier(name: str) -> str:
     return name
 
 
+def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df's columns by the schema's names and types; a null where the schema has none is an error of the job that meets it."""
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+
+    def column(f: T.StructField):
+        c = F.col(f"`{f.name}`").cast(f.dataType)
+        if not f.nullable:
+            c = F.coalesce(c, F.raise_error(F.lit(f"{f.name} must not be null")).cast(f.dataType))
+        return c.alias(f.name)
+
+    return df.select(*map(column, schema))
+
+
 class Store:
-    """Tables under one folder."""
+    """Tables under one folder; dated names the date column of tables that are partitioned by it, by `grain`; schemas are the declared ones."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, dated: dict[str, str] | None = None, schemas: dict[str, T.StructType] | None = None, grain: str = "month"):
+        self.spark, self.root, self.dated, self.schemas, self.grain = spark, root.rstrip("/"), dated or {}, dict(schemas or {}), grain
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{identifier(table)}/_CURRENT"
+    def _snapshots(self, table: str) -> list[int]:
+        fs, folder = self._fs(f"{self.root}/{identifier(table)}")
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        whole = [int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n)]
+        return sorted(n for n in whole if fs.exists(self._fs(f"{self.path(table, n)}/_SUCCESS")[1]))
 
     def version(self, table: str) -> int | None:
-        fs, path = self._fs(self._pointer(table))
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = self._snapshots(table)
+        return found[-1] if found else None
 
     def exists(self, table: str) -> bool:
         return self.version(table) is not None
@@ -58,49 +82,74 @@ class Store:
     def path(self, table: str, version: int) -> str:
         return f"{self.root}/{identifier(table)}/v={version}"
 
-    def read(self, table: str) -> DataFrame:
+    def _rows(self, table: str) -> DataFrame:
         version = self.version(table)
         if version is None:
             raise NoSuchTable(table)
-        return self.spark.read.parquet(self.path(table, version))
+        reader = self.spark.read
+        if schema := self.schemas.get(table):
+            reader = reader.schema(T.StructType([*schema, T.StructField(PART, T.DateType())]) if table in self.dated else schema)
+        return reader.parquet(self.path(table, version))
 
-    def _publish(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        version = (self.version(table) or 0) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table, version))
-        self._point(table, version)
+    def read(self, table: str) -> DataFrame:
+        return self._rows(table).drop(PART)
+
+    def schema(self, table: str) -> T.StructType:
+        """The declared schema, or the one that the table has."""
+        return self.schemas.get(table) or self.read(table).schema
+
+    def _dated(self, table: str, df: DataFrame) -> DataFrame:
+        date = self.dated.get(table)
+        return df if date is None else df.withColumn(PART, self._part(F.col(date)))
+
+    def _part(self, date: Column) -> Column:
+        return F.date_trunc(self.grain, date.cast("timestamp_ntz")).cast("date")
+
+    def _writer(self, table: str, df: DataFrame):
+        writer = self._dated(table, df).write
+        return writer.partitionBy(PART) if table in self.dated else writer
+
+    def _publish(self, table: str, df: DataFrame) -> int:
+        """A new snapshot; older ones than the last KEPT go."""
+        known = self._snapshots(table)
+        version = (known[-1] if known else 0) + 1
+        self._writer(table, df).mode("overwrite").parquet(self.path(table, version))
+        for old in known[: len(known) - KEPT]:
+            fs, path = self._fs(self.path(table, old))
+            fs.delete(path, True)
         return version
 
-    def _point(self, table: str, version: int) -> None:
-        pointer = self._pointer(table)
-        fs, path = self._fs(pointer)
-        _, staged = self._fs(f"{pointer}.{uuid.uuid4().hex}")
-        stream = fs.create(staged, True)
-        stream.write(bytearray(str(version).encode()))
-        stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(staged, path)
+    @contextmanager
+    def staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df worked out once."""
+        path = f"{self.root}/_staging-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            fs, hadoop = self._fs(path)
+            fs.delete(hadoop, True)
 
     def create(self, table: str, schema: T.StructType) -> None:
-        """An empty table, if there is none."""
+        """An empty table of that schema, if there is none."""
+        self.schemas[table] = schema
         if not self.exists(table):
             self._publish(table, self.spark.createDataFrame([], schema))
 
     def append(self, table: str, df: DataFrame) -> int:
-        """Add rows to the current version, whose files stay as they are; gives their number."""
-        n = df.count()
-        version = self.version(table)
-        if version is None:
+        """Add rows to the current snapshot, by Spark's append; gives their number. Without a table the frame founds one."""
+        if not self.exists(table):
             self._publish(table, df)
-        elif n:
-            df.write.mode("append").parquet(self.path(table, version))
+            return self.read(table).count()
+        with self.staged(conformed(df, self.schema(table))) as rows:
+            n = rows.count()
+            if n:
+                self._writer(table, rows).mode("append").parquet(self.path(table, self.version(table)))
         return n
 
     def replace(self, table: str, df: DataFrame) -> int:
         """All rows anew; the table must be there. An empty frame empties it."""
-        old = self.read(table)
-        self._publish(table, df.select(*[F.col(f.name).cast(f.dataType) for f in old.schema]))
+        self._publish(table, conformed(df, self.schema(table)))
         return self.read(table).count()
 
     def dynamic_load(self, table: str, df: DataFrame) -> int:
@@ -109,26 +158,41 @@ class Store:
         return self.read(table).count()
 
     def replace_range(self, table: str, batch: DataFrame, date: str) -> int:
-        """Rows in the batch's span of dates make way for the batch."""
-        if not batch.take(1):
-            return 0
-        self._publish(table, replace_range(self.read(table), batch, date))
-        return batch.count()
+        """Rows in the batch's span of dates, both ends included, make way for the batch. A partitioned table's other partitions are not touched."""
+        with self.staged(conformed(batch, self.schema(table))) as rows:
+            n = rows.count()
+            if not n:
+                return 0
+            low, high = span(rows, date)
+            if self.dated.get(table) != date or low is None:
+                self._publish(table, self.read(table).where(outside(date, low, high)).unionByName(rows))
+                return n
+            between = F.col(PART).between(*(self._part(F.lit(x)) for x in (low, high)))
+            mine = F.col(date).isNull() & F.lit(bool(rows.where(F.col(date).isNull()).take(1)))
+            kept = self._rows(table).where(between & outside(date, low, high) | mine).drop(PART)
+            with self.staged(kept.unionByName(rows)) as fresh:
+                parts = {r[0] for r in self._dated(table, fresh).select(F.col(PART).cast("string")).distinct().collect()}
+                old = {r[0] for r in self._rows(table).where(between).select(F.col(PART).cast("string")).distinct().collect()}
+                path = self.path(table, self.version(table))
+                self._writer(table, fresh).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+                for part in old - parts:
+                    fs, gone = self._fs(f"{path}/{PART}={part}")
+                    fs.delete(gone, True)
+        return n
 
     def upsert(self, table: str, batch: DataFrame, key: str) -> int:
-        """Rows of a key make way for the batch's row of that key; a key twice in the batch is an error."""
-        assert_unique(batch, key)
-        self._publish(table, upsert(self.read(table), batch, key) if self.exists(table) else batch)
-        return batch.count()
-
-    def publish_together(self, frames: dict[str, DataFrame]) -> None:
-        """Write new versions of several tables first, and move their pointers only when all are written."""
-        versions = {}
+        """Rows of a key make way for the batch's row of that key; a key twice in the batch is an error. The table is written anew."""
+        if self.exists(table):
+            batch = conformed(batch, self.schema(table))
+        with self.staged(batch) as rows:
+            assert_unique(rows, key)
+            self._publish(table, upsert(self.read(table), rows, key) if self.exists(table) else rows)
+            return rows.count()
+
+    def publish_each(self, frames: dict[str, DataFrame]) -> None:
+        """New snapshots of several tables, all rows anew. Each is seen once it is whole, the tables one after another."""
         for table, df in frames.items():
-            versions[table] = (self.version(table) or 0) + 1
-            df.write.mode("overwrite").parquet(self.path(table, versions[table]))
-        for table, version in versions.items():
-            self._point(table, version)
+            self._publish(table, conformed(df, self.schemas[table]) if table in self.schemas else df)
 
     def tables(self, names: list[str]) -> list[tuple[str, int]]:
         """(name, number of columns) of the tables that are there, by name."""
