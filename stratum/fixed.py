@@ -25,7 +25,7 @@ DATE_TEXT = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}"
 BOOL_SETS = ({"yes", "no"}, {"true", "false"}, {"y", "n"}, {"0", "1"}, {"t", "f"})
 SEPARATORS = (",", "\t", ";", "|")
 BOMS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
-TRIAL_ENCODINGS = ("utf-8", "cp1252", "latin-1", "gbk", "utf-16")
+TRIAL_ENCODINGS = ("utf-8", "cp1252", "latin-1")
 TAIL_ROW = r"(?i)^\s*(total|sum|合计|總計|汇总|平均值|average|count)\s*[:：]?\s*[\d,.]*\s*$"
 CURRENCY = "$€£¥₹"
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

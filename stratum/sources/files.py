@@ -1,13 +1,13 @@
 """Delimited files of unknown shape.
 
-The driver looks at a bounded head of the file and settles encoding, separator and header; the rows
-are then read by Spark as text, repaired by Column expressions, and typed by one aggregation.
+The driver looks at a bounded head of the file (of a folder or pattern: of its first file with text)
+and settles encoding, separator and header; the rows are then read by Spark as text, repaired by
+Column expressions, and typed by one aggregation. Paths are those of any file system that Spark reads.
 """
 
 from __future__ import annotations
 
 import csv
-import os
 import re
 from dataclasses import dataclass
 from statistics import median
@@ -33,30 +33,63 @@ class Layout:
     columns: list[str]
     skip: int
     rows_estimate: int
+    files: int = 1
 
 
-def _head(path: str) -> bytes:
-    if not os.path.exists(path):
+def _head(spark: SparkSession, path: str) -> tuple[bytes, int, int]:
+    """The first bytes of the first file that has some, and size and number of all files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for s in fs.globStatus(hadoop) or []]
+    if not found:
         raise FileNotFoundError(path)
-    if not os.path.getsize(path):
+    files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    files = sorted((f for f in files if f.getLen()), key=lambda f: f.getPath().toString())
+    if not files:
         raise ValueError(f"{path} is empty")
-    with open(path, "rb") as f:
-        return f.read(PROBE_BYTES)
+    stream = fs.open(files[0].getPath())
+    try:
+        return bytes(stream.readNBytes(PROBE_BYTES)), sum(f.getLen() for f in files), len(files)
+    finally:
+        stream.close()
+
+
+def _decodes(head: bytes, encoding: str, cut_off: bool) -> bool:
+    """cut_off: whether the head may end inside a character."""
+    for cut in range(4 if cut_off else 1):
+        try:
+            head[: len(head) - cut].decode(encoding)
+            return True
+        except UnicodeDecodeError:
+            continue
+    return False
+
+
+def _double_bytes(head: bytes) -> str | None:
+    """gbk or big5 where the bytes beyond ASCII come as pairs of these: runs of two upper bytes, or lead bytes of common signs before any trail byte."""
+    upper = sum(b >= 0x80 for b in head)
+    if upper < 2:
+        return None
+    runs = [len(r) for r in re.findall(rb"[\x81-\xfe]+", head)]
+    if sum(n for n in runs if n % 2 == 0 or n > 3) >= 0.9 * upper and _decodes(head, "gbk", True):
+        return "gbk"
+    pairs = re.findall(rb"[\x81-\xfe][\x40-\x7e\xa1-\xfe]", head)
+    common = sum(0xA4 <= p[0] <= 0xC6 for p in pairs)
+    return "big5" if len(pairs) >= 4 and common >= 0.95 * len(pairs) and _decodes(head, "big5", True) else None
 
 
-def detect_encoding(head: bytes, cut_off: bool = False) -> str:
-    """The encoding that the byte order mark names, else the first that decodes the head; cut_off: whether it may end inside a character."""
+def detect_encoding(head: bytes, cut_off: bool = False, encodings: list[str] | None = None) -> str:
+    """The encoding that the byte order mark names; else the first of encodings that decodes the head; without those, what the bytes look like."""
     for mark, encoding in BOMS.items():
         if head.startswith(mark):
             return encoding
-    for encoding in TRIAL_ENCODINGS:
-        for cut in range(4 if cut_off else 1):
-            try:
-                head[: len(head) - cut].decode(encoding)
-                return encoding
-            except UnicodeDecodeError:
-                continue
-    return "latin-1"
+    if not encodings:
+        zeros = [head[k::2].count(0) for k in (0, 1)]
+        if sum(zeros) > len(head) // 8:
+            return "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
+        if not _decodes(head, "utf-8", cut_off) and (found := _double_bytes(head)):
+            return found
+    return next((e for e in encodings or TRIAL_ENCODINGS if _decodes(head, e, cut_off)), "latin-1")
 
 
 def _lines(head: bytes, encoding: str, whole: bool) -> list[str]:
@@ -96,11 +129,10 @@ def repair_names(names: list[str]) -> list[str]:
     return out
 
 
-def peek(path: str, encoding: str | None = None, separator: str | None = None) -> Layout:
+def peek(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> Layout:
     """Layout of a file from its head: a title line and a missing header are told from the fields they have."""
-    head = _head(path)
-    size = os.path.getsize(path)
-    encoding = encoding or detect_encoding(head, size > len(head))
+    head, size, files = _head(spark, path)
+    encoding = encoding or detect_encoding(head, size > len(head), encodings)
     lines = _lines(head, encoding, size <= len(head))
     if not lines:
         raise ValueError(f"{path} has no line with text")
@@ -112,42 +144,62 @@ def peek(path: str, encoding: str | None = None, separator: str | None = None) -
         raise ValueError(f"{path} has a single column")
     numeric = sum(bool(_NUMBER.fullmatch(x)) for x in header if x.strip())
     if numeric > 0.5 * len(header):
-        return Layout(encoding, separator, [f"col_{i}" for i in range(len(header))], int(titled), max(1, size // 100))
-    return Layout(encoding, separator, repair_names(header), int(titled) + 1, max(1, size // 100))
+        return Layout(encoding, separator, [f"col_{i}" for i in range(len(header))], int(titled), max(1, size // 100), files)
+    return Layout(encoding, separator, repair_names(header), int(titled) + 1, max(1, size // 100), files)
+
+
+#: The signs that windows-1252 has where ISO-8859-1 has control characters.
+_UPPER = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_JAVA = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
 
 
 def read_text_rows(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """All rows as text: too long ones are left out, short ones filled with null; title, header, blank lines and trailing totals are no rows."""
+    """All rows as text: too long ones are left out, short ones filled with null; titles, headers, blank lines and trailing totals are no rows.
+
+    Titles, headers and totals are those of each file. What one file has in its first lines and at its end is one row a file.
+    """
     names = layout.columns
     raw = [f"__c{i}" for i in range(len(names))]
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in raw], T.StructField("__over", T.StringType()), T.StructField("__line", T.StringType())])
-    java = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "gbk": "GBK"}.get(layout.encoding, layout.encoding)
+    java = _JAVA.get(layout.encoding, layout.encoding)
+    if layout.encoding not in _JAVA and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError(f"{path}: {layout.encoding} is read where spark.sql.legacy.javaCharsets is true")
     reader = spark.read.schema(schema).option("sep", layout.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").option("quote", '"').option("escape", '"')
-    if layout.encoding not in ("utf-8", "latin-1"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        if layout.encoding.startswith("utf-16"):
-            reader = reader.option("multiLine", "true")
-    rows = reader.option("encoding", java).csv(path).withColumn("_row_id", F.monotonically_increasing_id())
+    if layout.encoding.startswith("utf-16"):
+        reader = reader.option("multiLine", "true")  # lines of two bytes a sign cannot be split: a file is one task's
+    rows = reader.option("encoding", java).csv(path).withColumn("_row_id", F.monotonically_increasing_id()).withColumn("__file", F.col("_metadata.file_path"))
+    if layout.encoding == "cp1252":
+        rows = rows.withColumns({c: F.translate(c, "".join(_UPPER), "".join(_UPPER.values())) for c in [*raw, "__line"]})
     # n fields or fewer: a corrupt record without the extra column; n + 1: no corrupt record; more: both
     unquoted = F.regexp_replace("__line", r'"(?:[^"]|"")*"', "q")
     fields = F.regexp_count(unquoted, F.lit(re.escape(layout.separator))) + 1
-    long_row = F.col("__line").isNull() | F.col("__over").isNotNull() | (fields > len(names))
+    long_row = F.coalesce(F.col("__line").isNull() | F.col("__over").isNotNull() | (fields > len(names)), F.lit(False))
     first = F.regexp_replace(F.coalesce(F.col(raw[0]), F.lit("")), "^\\uFEFF", "")
-    rows = rows.withColumn("__c0", F.when(F.col("__c0").isNotNull(), first))
-    rows = rows.where(~F.coalesce(long_row, F.lit(False)))
-    rows = rows.where(F.col("_row_id") >= layout.skip)
     total = F.col("__c0").rlike(TAIL_ROW) & F.forall(F.array(*raw[1:]), lambda x: x.isNull() | x.rlike(r"^\s*[\d.,]*\s*$"))
-    rows = rows.withColumn("__total", F.coalesce(total, F.lit(False)))
-    last = rows.agg(F.max(F.when(~F.col("__total"), F.col("_row_id"))).alias("last")).first()["last"]
-    if last is not None:
-        rows = rows.where(~F.col("__total") | (F.col("_row_id") < last))
+    rows = rows.withColumn("__c0", F.when(F.col("__c0").isNotNull(), first)).withColumn("__long", long_row).withColumn("__total", F.coalesce(total, F.lit(False)))
+    ends = rows.groupBy("__file").agg(F.min("_row_id").alias("begin"), F.max(F.when(~F.col("__long") & ~F.col("__total"), F.col("_row_id"))).alias("last"))
+    if layout.files == 1:
+        begin, last = rows.agg(F.min("_row_id"), F.max(F.when(~F.col("__long") & ~F.col("__total"), F.col("_row_id")))).first()
+        rows = rows.withColumn("begin", F.lit(begin)).withColumn("last", F.lit(last))
+    else:
+        rows = rows.join(ends, "__file")
+    rows = rows.where(~F.col("__long") & (F.col("_row_id") >= F.col("begin") + layout.skip) & (F.col("last").isNull() | ~F.col("__total") | (F.col("_row_id") < F.col("last"))))
     return rows.select("_row_id", *[known(F.trim(F.col(c)) if c == "__c0" else F.col(c)).alias(n) for c, n in zip(raw, names)])
 
 
-def resolve_types(rows: DataFrame, keep_text: tuple[str, ...] = ()) -> DataFrame:
-    """Whole numbers, numbers and booleans get their type where all values of a column have it; columns of nulls only are dropped. One job."""
+class Undecodable(ValueError):
+    """The rows hold bytes that the encoding does not know."""
+
+
+def resolve_types(rows: DataFrame, keep_text: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Whole numbers, numbers and booleans get their type where all values of a column have it; columns of nulls only are dropped. One job.
+
+    whole: a replacement sign in a value, which stands for bytes that could not be decoded, is an error.
+    """
     names = [c for c in rows.columns if c != "_row_id"]
-    figures = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), *[F.count_if(F.col(f"`{c}`").rlike(p)).alias(f"{k}{i}") for k, p in (("i", _INT), ("f", _FLOAT), ("b", _BOOL))])]).first()
+    figures = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), *[F.count_if(F.col(f"`{c}`").rlike(p)).alias(f"{k}{i}") for k, p in (("i", _INT), ("f", _FLOAT), ("b", _BOOL))])], F.count_if(F.exists(F.array(*[F.col(f"`{c}`") for c in names]), lambda x: x.contains("\ufffd"))).alias("lost")).first()
+    if whole and figures["lost"]:
+        raise Undecodable(f"{figures['lost']} rows")
     out = []
     for i, c in enumerate(names):
         n, col = figures[f"n{i}"], F.col(f"`{c}`")
@@ -166,10 +218,21 @@ def resolve_types(rows: DataFrame, keep_text: tuple[str, ...] = ()) -> DataFrame
     return rows.select(*out)
 
 
-def read_unknown(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
-    """A file of unknown shape as a typed table; overrides names columns that stay text."""
-    layout = peek(path, encoding, separator)
-    return resolve_types(read_text_rows(spark, path, layout), tuple(c for c, t in (overrides or {}).items() if t in ("str", "string", str)))
+def read_unknown(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, overrides: dict[str, str] | None = None, encodings: list[str] | None = None) -> DataFrame:
+    """A file, folder or pattern of unknown shape as a typed table; overrides names columns that stay text, encodings the only ones to try.
+
+    Where bytes beyond the head turn out not to be of the encoding, the next one that may be is tried.
+    """
+    keep = tuple(c for c, t in (overrides or {}).items() if t in ("str", "string", str))
+    layout = peek(spark, path, encoding, separator, encodings)
+    after = [layout.encoding, *([] if encoding else [e for e in encodings or TRIAL_ENCODINGS if e != layout.encoding])]
+    for i, e in enumerate(after):
+        own = layout if not i else peek(spark, path, e, separator)
+        try:
+            return resolve_types(read_text_rows(spark, path, own), keep, whole=i + 1 < len(after))
+        except Undecodable:
+            continue
+    raise AssertionError("the last encoding is taken as it is")
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from stratum.functions.dates import clean_dates
+from stratum.functions.dates import BadDate, clean_dates, format_of, strict_date
 from stratum.sources.files import detect_encoding, detect_separator, peek, read_orders, read_unknown, repair_names, validate_columns
 
 
@@ -69,12 +69,39 @@ def test_encoding_detection():
     assert detect_encoding(b"\xff\xfea\x00") == "utf-16-le" and detect_encoding("né".encode("latin-1")) == "cp1252"
 
 
-def test_errors(tmp_path):
+def test_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        peek(str(tmp_path / "none.csv"))
+        peek(spark, str(tmp_path / "none.csv"))
     for text in ("", "\n \n", "one\ntwo\n"):
         with pytest.raises(ValueError):
-            peek(put(tmp_path / "x.csv", text))
+            peek(spark, put(tmp_path / "x.csv", text))
+
+
+def test_encodings_that_are_found(spark, tmp_path):
+    chinese = "名称,数量\n" + "中国北京市,1\n上海,2\n" * 40
+    for encoding in ("gbk", "utf-16-le", "utf-16-be", "big5"):
+        text = chinese if encoding != "big5" else "名稱,數量\n" + "中國北京市,1\n上海,2\n" * 40
+        assert detect_encoding(text.encode(encoding)) == encoding
+    df = read_unknown(spark, put(tmp_path / "g.csv", chinese, "gbk"))
+    assert df.columns == ["名称", "数量"] and rows(df)[:2] == [("中国北京市", 1), ("上海", 2)]
+    assert detect_encoding("été,à la,né\n".encode("cp1252")) == "cp1252"
+    assert detect_encoding("né".encode("latin-1"), encodings=["utf-8", "latin-1"]) == "latin-1"
+
+
+def test_bytes_beyond_the_head(spark, tmp_path):
+    """A file whose head is ASCII and whose end is not UTF-8 is read anew in the next encoding."""
+    df = read_unknown(spark, put(tmp_path / "l.csv", "a,b\n" + "x,1\n" * 40_000 + "é€,2\n", "cp1252"))
+    assert df.where("b = 2").first().a == "é€" and df.count() == 40_001
+
+
+def test_folder_of_files(spark, tmp_path):
+    """Title, header and total are each file's own; patterns name some of the files."""
+    folder = tmp_path / "days"
+    folder.mkdir()
+    put(folder / "1.csv", "Report of May\na,b,c,d\n1,2,3,4\nTotal,9,,\n")
+    put(folder / "2.csv", "Report of June\na,b,c,d\n5,6,7,8\n9,9,9,9\nTotal,9,,\n")
+    assert sorted(rows(read_unknown(spark, str(folder)))) == [(1, 2, 3, 4), (5, 6, 7, 8), (9, 9, 9, 9)]
+    assert rows(read_unknown(spark, f"{folder}/1*.csv")) == [(1, 2, 3, 4)]
 
 
 ORDERS = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n536365,85123,MUG,6,12/1/2010 8:26,2.55,17850,United Kingdom\nC536366,71053,,1,12/2/2010 8:28,3.39,17851,France\n"
@@ -93,5 +120,21 @@ def test_dates(spark):
     df = spark.createDataFrame([("01/02/2023", "x"), ("13/02/2023", "y"), (None, "z"), ("03/04/2023", None)], "d string, s string")
     out = clean_dates(df, ["d", "s"], 0.4)
     assert dict(out.dtypes) == {"d": "timestamp_ntz", "s": "string"}
-    assert [str(r.d) for r in out.collect()] == ["2023-01-02 00:00:00", "None", "None", "2023-03-04 00:00:00"]
-    assert dict(clean_dates(df, ["d"]).dtypes)["d"] == "string"
+    # two days are beyond twelve in neither format; the one that reads more values is taken
+    assert [str(r.d) for r in out.collect()] == ["2023-02-01 00:00:00", "2023-02-13 00:00:00", "None", "2023-04-03 00:00:00"]
+    assert dict(clean_dates(df.where("d is null or d like '01%'").unionByName(df.where("d is null")).unionByName(df.where("d is null")), ["d"]).dtypes)["d"] == "string"
+
+
+def test_format_does_not_depend_on_order(spark):
+    days = [(f"{i % 28 + 1}/{i % 12 + 1}/2023",) for i in range(200)]
+    found = {format_of(spark.createDataFrame(part, "d string").repartition(n), ["d"])["d"] for part, n in (([("31/31/31",), *days], 1), ([*reversed(days), ("x",)], 5))}
+    assert found == {"d/M/yyyy"}
+
+
+def test_strict_dates(spark):
+    good = spark.createDataFrame([("12/1/2010 8:26",), (None,), ("12/13/2010 8:26",)], "d string")
+    assert [str(r.d) for r in strict_date(good, "d").collect()] == ["2010-12-01 08:26:00", "None", "2010-12-13 08:26:00"]
+    with pytest.raises(Exception, match="no date"):
+        strict_date(good.unionByName(spark.createDataFrame([("soon",)], "d string")), "d").collect()
+    with pytest.raises(BadDate):
+        strict_date(spark.createDataFrame([("soon",)], "d string"), "d")
