@@ -1,7 +1,8 @@
 """Column roles, inferred from a sample by a ladder of tests.
 
-One aggregation gives counts for all columns; one small head gives the tests that look at the first
-values. The ladder itself is plain Python over those few figures.
+A table of more than SAMPLE rows is judged by a sample of that many, chosen by a hash of the rows'
+content and read in one job; size=None judges all rows by one aggregation and the first values of
+each column. The ladder itself is plain Python over those few figures.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed import BOOL_SETS, CURRENCY, DATE_NAME, DATE_TEXT, ID_NAME
 from ..functions.dates import FORMATS, parsed
@@ -92,28 +92,28 @@ def role(c: Column) -> str:
     return "id" if c.unique > 0.98 else "categorical"
 
 
-def sampled(df: DataFrame, size: int | None = SAMPLE, seed: int = SEED) -> DataFrame:
-    """df with _row_id; at most size rows, the same ones whatever the partitions, of a larger table."""
-    rows = df.withColumn("_row_id", F.monotonically_increasing_id())
-    if size is None:
-        return rows
-    return rows.orderBy(F.xxhash64("_row_id", F.lit(seed))).limit(size) if rows.limit(size + 1).count() > size else rows
+def sampled(df: DataFrame, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """At most size rows, the same ones whatever the partitions and their order, with _row_id."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, k in df.dtypes if not k.startswith("map")], F.lit(seed))
+    return df.withColumn("_row_id", F.monotonically_increasing_id()).orderBy(content, "_row_id").limit(size)
 
 
 def statistics(df: DataFrame, size: int | None = SAMPLE) -> list[Column]:
-    """The figures of each column of the sample."""
+    """The figures of each column."""
     names = [c for c in df.columns if c not in SYSTEM_COLUMNS]
-    rows = sampled(df.select(*[F.col(f"`{c}`") for c in names]), size)
-    kinds = dict(df.dtypes)
-    counts = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
-    head = {}
-    # the first values that are not null of each column, by row; min_by over an array would not bound them
-    ordered = rows.orderBy("_row_id").limit(HEAD * 5).collect()
-    for c in names:
-        head[c] = [r[c] for r in ordered if r[c] is not None][:HEAD]
-        if len(head[c]) < HEAD and counts[f"n{names.index(c)}"] > len(head[c]):
-            head[c] = [r[c] for r in rows.where(F.col(f"`{c}`").isNotNull()).orderBy("_row_id").select(F.col(f"`{c}`")).limit(HEAD).collect()]
-    out = [Column(c, kinds[c], counts[f"n{i}"], counts[f"d{i}"], head[c]) for i, c in enumerate(names)]
+    rows, kinds = df.select(*[F.col(f"`{c}`") for c in names]), dict(df.dtypes)
+    if size is not None:
+        few = sorted(sampled(rows, size).collect(), key=lambda r: r["_row_id"])
+        values = {c: [r[c] for r in few if r[c] is not None] for c in names}
+        out = [Column(c, kinds[c], len(values[c]), len(set(map(repr, values[c]))), values[c][:HEAD]) for c in names]
+    else:
+        counts = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
+        first = rows.limit(HEAD * 5).collect()
+        head = {c: [r[c] for r in first if r[c] is not None][:HEAD] for c in names}
+        for i, c in enumerate(names):
+            if len(head[c]) < min(HEAD, counts[f"n{i}"]):  # a sparse column: its first values lie further on
+                head[c] = [r[c] for r in rows.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`")).limit(HEAD).collect()]
+        out = [Column(c, kinds[c], counts[f"n{i}"], counts[f"d{i}"], head[c]) for i, c in enumerate(names)]
     texts = [x for x in out if x.kind == "string" and x.count]
     _date_shares(df, [x for x in texts if any(re.search(DATE_TEXT, v) for v in _different(x.values, 10)) or re.search(DATE_NAME, x.name)])
     return out
@@ -136,16 +136,18 @@ def _date_shares(df: DataFrame, columns: list[Column]) -> None:
 
 
 def profile(df: DataFrame, size: int | None = SAMPLE) -> RuntimeSchema:
-    """The runtime schema of a table: roles, an identity mapping of the columns kept, and dates as critical columns."""
+    """The runtime schema of a table: roles, an identity mapping of the columns kept, dates as critical columns, and the categories' distinct values."""
     schema = RuntimeSchema()
     for c in statistics(df, size):
         getattr(schema, f"{role(c)}_columns").append(c.name)
+        if c.name in schema.categorical_columns:
+            schema.cardinality[c.name] = c.distinct
     schema.source_mapping = {c: c for c, r in schema.roles().items() if r != "drop"}
     schema.quality_critical_nulls = list(schema.date_columns)
     return schema
 
 
 def roles_table(df: DataFrame, size: int | None = SAMPLE) -> DataFrame:
-    """column_name and role of each column."""
-    found = profile(df, size).roles()
-    return df.sparkSession.createDataFrame(sorted(found.items()), T.StructType([T.StructField("column_name", T.StringType()), T.StructField("role", T.StringType())]))
+    """column_name, role, known (values that are not null) and different (distinct ones) of each column."""
+    found = [(c.name, role(c), c.count, c.distinct) for c in statistics(df, size)]
+    return df.sparkSession.createDataFrame(sorted(found), "column_name string, role string, known long, different long")

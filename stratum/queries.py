@@ -11,13 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixed import REASON_CANCELLED, REASON_NO_CUSTOMER, REASON_PRICE, REASON_QUANTITY, SENTINELS
+from .fixed import COLUMN_MAPPING, REASON_CANCELLED, REASON_NO_CUSTOMER, REASON_PRICE, REASON_QUANTITY, SENTINELS
 from .functions.dates import clean_dates
 from .functions.numbers import number_text
 from .operators import aggregate, clean, quality, writes
-from .operators.profile import roles_table
-from .schema import RuntimeSchema
+from .operators.profile import profile, roles_table
+from .plans import steps
 from .plans.steps import since
+from .schema import ODS, RuntimeSchema
+from .session import scratch
+from .sources.files import read_orders, read_unknown
+from .sources.store import Store
+from .streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,9 +348,8 @@ def numeric_string_clean(spark, sf_dir):
 
 @_register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS day FROM orders")
 def date_parse_lenient(spark, sf_dir):
-    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("not a date")).otherwise(F.date_format("o_orderdate", "M/d/yyyy"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit("31/31/31")).otherwise(text).alias("day"))
-    return clean_dates(rows.orderBy(F.col("o_orderkey") % 5 == 0, "o_orderkey"), ["day"])
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("31/31/31")).otherwise(F.date_format("o_orderdate", "M/d/yyyy"))
+    return clean_dates(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("day")), ["day"])
 
 
 @_register("SELECT user_id AS run_id, event_type AS status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -359,11 +363,166 @@ def sentinel_scan(spark, sf_dir):
     return aggregate.sentinels(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"], SENTINELS)
 
 
-@_register("SELECT * FROM (VALUES ('c_custkey', 'id'), ('c_name', 'id'), ('c_nationkey', 'numeric'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'categorical')) AS t(column_name, role)")
+def _roles_sql(table_: str, **roles: str) -> str:
+    """Roles from the share of different values among the known ones, where that decides: of whole numbers and of texts without a date's or an id's name."""
+    rule = {"whole": "CASE WHEN d > 0.95 * n THEN 'id' ELSE 'numeric' END", "text": "CASE WHEN d > 0.98 * n THEN 'id' ELSE 'categorical' END"}
+    one = "SELECT '{c}' AS column_name, {r} AS role, n AS known, d AS different FROM (SELECT count({c}) AS n, count(DISTINCT {c}) AS d FROM {t})"
+    return " UNION ALL ".join(one.format(c=c, r=rule.get(r, f"'{r}'"), t=table_) for c, r in roles.items())
+
+
+@_register(_roles_sql("customer", c_custkey="whole", c_name="text", c_nationkey="whole", c_acctbal="numeric", c_mktsegment="text"))
 def profile_roles(spark, sf_dir):
-    return roles_table(table(spark, sf_dir, "customer"))
+    return roles_table(table(spark, sf_dir, "customer"), None)
 
 
-@_register("SELECT * FROM (VALUES ('event_id', 'id'), ('ts', 'date'), ('user_id', 'numeric'), ('event_type', 'categorical'), ('value', 'numeric'), ('props', 'categorical')) AS t(column_name, role)")
+@_register(_roles_sql("events", event_id="whole", ts="date", user_id="whole", event_type="text", value="numeric", props="text"))
 def profile_roles_events(spark, sf_dir):
-    return roles_table(table(spark, sf_dir, "events"))
+    return roles_table(table(spark, sf_dir, "events"), None)
+
+
+# Files and tables: what is written by Spark is read back through the file layer, the store and the steps.
+
+_FILE_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+@_register(f"SELECT {_FILE_COLUMNS} FROM orders")
+def file_folder(spark, sf_dir):
+    """A folder of delimited files with a header each."""
+    path = scratch(spark, "folder")
+    table(spark, sf_dir, "orders").select(*_FILE_COLUMNS.split(", ")).repartition(3).write.option("header", True).option("sep", ";").csv(path)
+    return read_unknown(spark, path)
+
+
+def _text_file(spark: SparkSession, rows: DataFrame, ahead: list[str], behind: list[str], encoding: str = "UTF-8") -> str:
+    """One delimited file: lines, the rows in the order of their first column, lines."""
+    path = scratch(spark, "file")
+    lines = rows.select(F.col(rows.columns[0]).cast("double").alias("at"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
+    more = spark.createDataFrame([(-2.0 + i / 10, x) for i, x in enumerate(ahead)] + [(1e18 + 1e6 * i, x) for i, x in enumerate(behind)], "at double, line string")
+    lines.unionByName(more).coalesce(1).sortWithinPartitions("at").select("line").write.option("encoding", encoding).text(path)
+    return path
+
+
+@_register("SELECT r_regionkey, r_name FROM region")
+def file_title_and_total(spark, sf_dir):
+    """A title line before the header and a total at the end are no rows; NA is missing."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.lit("NA").alias("gone"), F.lit("").alias("empty"))
+    return read_unknown(spark, _text_file(spark, rows, ["Regions of the year", "r_regionkey,r_name,gone,empty"], ["Total,,,", "Total,7,,"]))
+
+
+@_register("SELECT n_nationkey AS col_0, n_name AS col_1, n_regionkey AS col_2 FROM nation WHERE n_nationkey % 3 <> 0")
+def file_headerless(spark, sf_dir):
+    """No header; rows with too many fields are left out."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 == 0, F.lit("1,2,3")).otherwise(F.col("n_regionkey").cast("string")))
+    return read_unknown(spark, _text_file(spark, rows.withColumn("n_nationkey", F.col("n_nationkey")).orderBy("n_nationkey").withColumnRenamed(rows.columns[2], "last"), ["100,SOMEWHERE,7"], [])).where("col_0 < 100")
+
+
+def _orders_file(spark: SparkSession, sf_dir: str) -> str:
+    """The raw table as a delimited file under its source names, dates as month/day/year."""
+    path = scratch(spark, "orders")
+    rows = dirty(spark, sf_dir).withColumn("invoice_date", F.date_format("invoice_date", "M/d/yyyy H:mm"))
+    rows.select(*[F.col(c).alias(n) for n, c in COLUMN_MAPPING.items()]).write.option("header", True).csv(path)
+    return path
+
+
+@_register(f"SELECT {_ODS_COLUMNS} FROM dirty", True)
+def file_orders(spark, sf_dir):
+    """Eight fixed columns, ids as text, strict dates."""
+    return steps.to_ods(read_orders(spark, _orders_file(spark, sf_dir)))
+
+
+def _store(spark: SparkSession, dated: dict[str, str] | None = None) -> Store:
+    return Store(spark, scratch(spark, "store"), dated)
+
+
+@_register("SELECT o_orderkey, o_custkey FROM orders")
+def store_append(spark, sf_dir):
+    store, rows = _store(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    store.create("t", rows.schema)
+    for part in (0, 1):
+        store.append("t", rows.where(F.col("o_orderkey") % 2 == part).withColumn("o_custkey", F.col("o_custkey").cast("string")))
+    return store.read("t")
+
+
+@_register("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 = 3")
+def store_replace(spark, sf_dir):
+    store, rows = _store(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    store.append("t", rows)
+    store.replace("t", rows.where("o_orderkey % 7 = 3"))
+    return store.read("t")
+
+
+@_register(ORACLE_SQL["range_replace"])
+def store_range_replace(spark, sf_dir):
+    """On a table partitioned by month: the months of the batch alone are rewritten."""
+    store = _store(spark, {"t": "o_orderdate"})
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    store.append("t", orders)
+    store.replace_range("t", orders.where("o_orderdate between timestamp_ntz '1994-03-01' and timestamp_ntz '1996-09-30' and o_orderkey % 3 = 0"), "o_orderdate")
+    return store.read("t").select("o_orderkey", "o_orderdate")
+
+
+@_register(ORACLE_SQL["upsert_daily"])
+def store_upsert(spark, sf_dir):
+    store, orders = _store(spark), table(spark, sf_dir, "orders")
+    store.upsert("t", _by_day(orders.where("o_orderdate < timestamp_ntz '1995-07-01'")), "stat_date")
+    store.upsert("t", _by_day(orders.where("o_orderdate >= timestamp_ntz '1995-01-01' and o_orderkey % 2 = 0")), "stat_date")
+    return store.read("t")
+
+
+@_register("SELECT r_regionkey AS k, r_name AS name FROM region")
+def store_dynamic_load(spark, sf_dir):
+    store = _store(spark)
+    store.append("t", table(spark, sf_dir, "nation"))
+    store.dynamic_load("t", table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
+    return store.read("t")
+
+
+def _transformed(spark: SparkSession, sf_dir: str) -> Store:
+    store = _store(spark)
+    store.create("ods_orders", ODS)
+    store.replace("ods_orders", dirty(spark, sf_dir))
+    done = steps.transform(store)
+    if done["status"] != "success":
+        raise RuntimeError(done["error"])
+    return store
+
+
+@_register(f"SELECT {_ODS_COLUMNS}, order_amount FROM clean", True)
+def step_transform(spark, sf_dir):
+    return _transformed(spark, sf_dir).read("dwd_orders").drop("etl_time")
+
+
+@_register(f"SELECT {_REASON_SQL} AS rejected_reason, count(*) AS n FROM dirty WHERE {_REASON_SQL} IS NOT NULL GROUP BY 1", True)
+def step_rejected(spark, sf_dir):
+    return _transformed(spark, sf_dir).read("rejected_orders").groupBy("rejected_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(f"SELECT * REPLACE (CAST(daily_avg_order_amount AS DECIMAL(18, 4)) AS daily_avg_order_amount) FROM ({_DAILY_SQL})", True)
+def step_aggregate(spark, sf_dir):
+    store = _transformed(spark, sf_dir)
+    steps.aggregate_daily(store)
+    return store.read("dws_sales_daily").drop("etl_time")
+
+
+@_register("SELECT CAST(ts AS DATE) AS _stat_date, round_even(sum(value) * 100, 0) / 100 AS value_sum, count(DISTINCT event_type) AS event_type_distinct FROM events GROUP BY 1")
+def step_auto(spark, sf_dir):
+    """A table of unknown shape: roles by profile, days, sums, distinct counts of the categories with few values."""
+    events = table(spark, sf_dir, "events").drop("props", "event_id", "user_id")
+    store, schema = _store(spark), profile(events)
+    store.dynamic_load("ods_orders", events)
+    for step in (steps.auto_transform, steps.auto_aggregate):
+        step(store, schema)
+    return store.read("dws_adaptive").select("_stat_date", (F.rint(F.col("value_sum") * 100) / 100).alias("value_sum"), "event_type_distinct")
+
+
+@_register("SELECT event_type, window_start AS start, window_start + INTERVAL 1 DAY AS \"end\", count(*) AS rows FROM (SELECT *, date_trunc('day', ts) AS window_start FROM events) GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Event-time windows with a watermark, from a stream that reads the table's file once."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("one"))
+    path, out, state = (scratch(spark, n) for n in ("events", "windows", "state"))
+    events.write.parquet(path)
+    rows = intake.windowed(intake.read_stream(spark, path, events.schema), "ts", "one", "1 hour", "1 day", ["event_type"])
+    # every row may be late for others, so the windows are put out as they stand at the end of the one batch
+    query = rows.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(once=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select("event_type", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "rows")

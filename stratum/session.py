@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,6 +21,16 @@ def session(app: str = "stratum", master: str | None = None, **conf: object) ->
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, else the context's checkpoint folder; a local master may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stratum-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 #: Rows of an Arrow batch to a Python worker where the session leaves Spark's default: rows here are whole texts.
 BATCH_ROWS = "1000"

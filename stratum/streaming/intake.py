@@ -41,6 +41,8 @@ def daily_stream(rows: DataFrame, store: Store, date: str, checkpoint: str, deta
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_sales(rows: DataFrame, time: str, amount: str, late: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Amounts by event-time window with a watermark; rows later than that are left out by the stream."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, window).alias("w")).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("rows")).select("w.start", "w.end", "amount", "rows")
+def windowed(rows: DataFrame, time: str, amount: str, late: str = "1 hour", window: str = "1 day", keys: list[str] | None = None) -> DataFrame:
+    """Amounts by event-time window (and keys) with a watermark; rows later than that are left out by the stream."""
+    keys = keys or []
+    by = rows.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("rows"))
+    return by.select(*keys, "w.start", "w.end", "amount", "rows")

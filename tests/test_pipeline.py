@@ -2,10 +2,12 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratum.fixed import SUMMARY_EMPTY
 from stratum.plans import alerts, report, steps
-from stratum.schema import ODS, RuntimeSchema, from_yaml, load_cache, load_yaml, merge, save_cache, spark_type
+from stratum.schema import DATED, ODS, RuntimeSchema, from_yaml, load_cache, load_yaml, merge, save_cache, spark_type
 from stratum.sources.store import NoSuchTable, Store, identifier
 from stratum.streaming import intake
 from tests.test_files import ORDERS, put
@@ -30,6 +32,61 @@ def test_store(spark, tmp_path):
             identifier(bad)
 
 
+def test_a_failed_write_is_not_seen(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("v", T.StringType())])
+    store.create("t", schema)
+    assert store.append("t", spark.createDataFrame([("1", "a")], "k string, v string")) == 1
+    assert dict(store.read("t").dtypes)["k"] == "bigint"
+    with pytest.raises(Exception, match="must not be null"):
+        store.replace("t", spark.createDataFrame([(None, "b")], "k long, v string"))
+    with pytest.raises(ValueError, match="missing columns"):
+        store.append("t", spark.createDataFrame([(2,)], "k long"))
+    (tmp_path / "t" / "v=9").mkdir()  # a snapshot without Spark's commit marker
+    assert [r.v for r in store.read("t").collect()] == ["a"]
+    assert store.replace("t", spark.createDataFrame([(3, "c")], schema)) == 1 and store.replace("t", spark.createDataFrame([(4, "d")], schema)) == 1
+    assert len(store._snapshots("t")) == 2 and not list(tmp_path.glob("_staging*"))
+
+
+def test_range_replace_of_a_dated_table(spark, tmp_path):
+    """Only the days of the batch are rewritten; part of an edge day outside the span stays, a day without new rows goes."""
+    at = lambda *rows: spark.createDataFrame([(datetime.datetime.fromisoformat(d) if d else None, v) for d, v in rows], "d timestamp_ntz, v string")
+    store = Store(spark, str(tmp_path), {"t": "d"}, grain="day")
+    store.append("t", at(("2024-01-01 08:00", "a"), ("2024-01-02 08:00", "b"), ("2024-01-02 20:00", "c"), ("2024-01-03 08:00", "d"), ("2024-01-04 23:00", "e"), ("2024-01-09 08:00", "f"), (None, "g")))
+    untouched = {p.name for p in tmp_path.glob("t/v=1/_part=2024-01-0[19]/*.parquet")}
+    assert store.replace_range("t", at(("2024-01-02 12:00", "x"), ("2024-01-04 12:00", "y"), (None, "z")), "d") == 3
+    assert sorted(r.v for r in store.read("t").collect()) == ["a", "b", "e", "f", "g", "x", "y", "z"]
+    assert {p.name for p in tmp_path.glob("t/v=1/_part=2024-01-0[19]/*.parquet")} == untouched and not list(tmp_path.glob("t/v=1/_part=2024-01-03"))
+    assert store.replace_range("t", at(), "d") == 0 and store.read("t").count() == 8
+
+
+def test_months(spark, tmp_path):
+    store = Store(spark, str(tmp_path), {"t": "d"})
+    rows = spark.range(400).selectExpr("cast(timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as timestamp_ntz) as d", "id")
+    store.append("t", rows)
+    assert len(list(tmp_path.glob("t/v=1/_part=*"))) == 14
+    assert store.replace_range("t", rows.where("id between 40 and 70 and id % 2 = 0"), "d") == 16
+    assert sorted(r.id for r in store.read("t").collect()) == [i for i in range(400) if not 40 <= i <= 70 or i % 2 == 0]
+
+
+def test_bad_dates_and_missing_countries_fail_the_step(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "w"), DATED)
+    bad = put(tmp_path / "b.csv", ORDERS + "3,1,x,1,someday,1,1,F\n")
+    assert steps.extract(store, bad)["status"] == "failed" and store.read("ods_orders").count() == 0
+    null = put(tmp_path / "n.csv", ORDERS + "3,1,x,1,12/3/2010 8:28,1,1,\n")
+    assert steps.extract(store, null)["status"] == "success"
+    failed = steps.transform(store)
+    assert failed["status"] == "failed" and "country" in failed["error"] and store.read("dwd_orders").count() == 0
+
+
+def test_declared_types_and_encodings(spark, tmp_path):
+    csv = put(tmp_path / "d.csv", "day,code,n\n2024-01-01,7,é\n2024-01-02,8,x\n", "latin-1")
+    declared = RuntimeSchema(dtypes={"code": {"type": "Numeric", "precision": 10, "scale": 2}}, csv_encodings=["utf-8", "latin-1"])
+    store = Store(spark, str(tmp_path / "s"))
+    assert steps.auto_extract(store, csv, declared)["status"] == "success"
+    assert dict(store.read("ods_orders").dtypes)["code"] == "decimal(10,2)" and "é" in {r.n for r in store.read("ods_orders").collect()}
+
+
 def test_classic(spark, tmp_path):
     csv = put(tmp_path / "o.csv", ORDERS + "3,1,x,0,12/2/2010 8:28,1,1,F\n4,1,x,2,12/3/2010 8:28,1.25,1,F\n")
     results = steps.classic_pipeline(spark, str(tmp_path / "w"), csv, str(tmp_path / "r"), retries=0).run()
@@ -126,3 +183,15 @@ def test_stream(spark, tmp_path):
         intake.clean_stream(intake.read_stream(spark, str(tmp_path / "in"), df.schema), store, schema, str(tmp_path / "c")).awaitTermination()
     assert store.read("dwd_orders").count() == 1 and store.read("rejected_orders").count() == 2
     assert ODS.names[0] == "invoice_no" and isinstance(datetime.date.today(), datetime.date)
+
+
+def test_daily_stream(spark, tmp_path):
+    """Days met in a batch are summed anew from all of the detail."""
+    detail = spark.createDataFrame([("1", "a", datetime.datetime(2024, 1, 1), 5), ("2", "b", datetime.datetime(2024, 1, 2), 7)], "invoice_no string, customer_id string, invoice_date timestamp_ntz, order_amount int").withColumn("order_amount", F.col("order_amount").cast("decimal(12,4)"))
+    store = Store(spark, str(tmp_path / "s"))
+    store.append("dwd_orders", detail)
+    late = detail.where("invoice_no = '1'").withColumn("invoice_no", F.lit("3"))
+    store.append("dwd_orders", late)
+    late.write.parquet(str(tmp_path / "in"))
+    intake.daily_stream(intake.read_stream(spark, str(tmp_path / "in"), late.schema), store, "invoice_date", str(tmp_path / "c")).awaitTermination()
+    assert [(str(r.stat_date), r.daily_order_count, float(r.daily_sales_amount)) for r in store.read("dws_sales_daily").collect()] == [("2024-01-01", 2, 10.0)]

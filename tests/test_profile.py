@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from stratum.operators.profile import Column, numeric_text, profile, progressive, role
+from stratum.operators.profile import Column, numeric_text, profile, progressive, role, roles_table, sampled
 
 
 def of(name, values, kind="string", dates=0.0):
@@ -55,8 +56,15 @@ def test_frame(spark):
 
 
 def test_sampling_does_not_depend_on_partitions(spark):
-    from stratum.operators.profile import sampled
+    df = spark.range(6000).selectExpr("id", "concat('n', id % 97) as v")
+    ids = [{r.id for r in sampled(part, 100).collect()} for part in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("id")))]
+    assert len(ids[0]) == 100 and ids[0] == ids[1] == ids[2]
 
-    df = spark.range(6000).coalesce(1)
-    assert sampled(df, 100).count() == 100
-    assert {r.id for r in sampled(df, 100).collect()} == {r.id for r in sampled(df, 100).collect()}
+
+def test_roles_of_all_rows_and_of_a_sample(spark):
+    """Numbers that are nearly all different in a sample need not be so in the table."""
+    df = spark.range(40_000).selectExpr("cast(pmod(hash(id), 20000) as int) as number", "id as key", "concat('c', id % 5) as category", "if(id < 39000, null, 'late') as sparse")
+    whole = {r.column_name: r for r in roles_table(df, None).collect()}
+    assert whole["number"].role == "numeric" and whole["key"].role == "id" and whole["category"].role == "categorical"
+    assert (whole["sparse"].known, whole["sparse"].different, whole["category"].different) == (1000, 1, 5)
+    assert profile(df).cardinality["category"] == 5
