@@ -14,11 +14,13 @@ counted for that share alone, and the prefix still holds the rarest shingles the
    long has no partner and is done; this settles all unique texts exactly.
 3. Each remaining set chooses l by estimated candidate cost. Sets that share a 1-prefix shingle are
    joined to that shingle's first set; connected components of these edges hold all links.
-4. Components of small size share tasks, dealt by their weight. In larger ones each set is first verified
-   against one set of each of its prefix shingles, by joins; what is then connected over all sets of a shingle
-   needs no more, so a large group of near copies is settled there. What is left open is
-   joined to components again; of these, large ones are cut in blocks, each pair of blocks being a task. In
-   a task a pair is verified exactly once it shares min(l, l') prefix shingles and is not
+4. Components of small size share tasks, dealt by their weight. Of larger ones all shingles are counted: a set
+   with more shingles that no other of them has than a partner may lack is done, so texts that share
+   but a passage leave, and what stays is joined to components again. In those that are still large each set is
+   first verified against one set of each of its prefix shingles, by joins; what is then connected over all
+   sets of a shingle needs no more, so a large group of near copies is settled there. What is left
+   open is joined to components a last time; of these, large ones are cut in blocks, each pair of blocks being
+   a task. In a task a pair is verified exactly once it shares min(l, l') prefix shingles and is not
    yet connected. Links form the classes.
 
 No pairs of a group are emitted: each task gives a spanning forest of its links.
@@ -46,8 +48,8 @@ from .textops import Words, buffers, mix, slices
 
 #: Longest extension of a prefix, shingles, and the verification cost of a set's shingle against a prefix hit.
 MOST_MATCHES, VERIFY_COST = 4, 0.05
-#: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a block; rounds of verification by joins.
-PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, STAR_ROUNDS = 1_000_000, 8192, 400_000, 2
+#: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a component that one task solves, and in a bin of small ones; rounds of verification by joins.
+PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 1_000_000, 8192, 100_000, 400_000, 2
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
 _LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
@@ -345,10 +347,34 @@ def _whole(k: int):
 
 def _homes(token: DataFrame) -> DataFrame:
     """node and root of the components of sets that share a token, of token(fp, token): each joins the token's first set."""
-    heads = token.groupBy("token").agg(F.min("fp").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    heads = written(token.groupBy("token").agg(F.min("fp").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"), "heads")
     return connected_components(token.join(heads, "token").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")))
 
 
+def _sized(member: DataFrame) -> DataFrame:
+    """member(home, n, ...) with the shingles of each component. The sums are written, so that the join may be broadcast or split where a component is large."""
+    return written(member.join(written(member.groupBy("home").agg(F.sum("n").alias("total")), "sizes"), "home"), "members")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of a batch of sets, the number of sets that hold each, and one of these."""
+    for batch in batches:
+        sets = [np.frombuffer(x, _U8) for x in batch.column("shingles").to_pylist()]
+        if sets:
+            tokens, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
+            names = np.array([bytes.fromhex(x[:24]) for x in batch.column("fp").to_pylist()], object)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n), pa.array(names[holder], pa.binary())], ["token", "n", "holder"])
+
+
+def _partnered(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without the sets that have more shingles of their own than a partner may lack. A shingle that one set holds is counted for that set."""
+    counted = member.select("fp").join(sets, "fp").select("fp", "shingles").mapInArrow(_shared, "token long, n long, holder binary")
+    own = counted.groupBy("token").agg(F.sum("n").alias("n"), F.min("holder").alias("holder")).where("n = 1").groupBy("holder").agg(F.count("*").alias("own"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return member.withColumn("holder", F.unhex(F.substring("fp", 1, 24))).join(own, "holder", "left").where(F.coalesce("own", F.lit(0)) <= most).drop("holder", "own")
+
+
 def _relabelled(member: DataFrame, edges: DataFrame) -> DataFrame:
     """member(fp, known, ...) with the classes that links between its sets join, and the links as they are."""
     found = connected_components(edges).select(F.col("node").alias("fp"), F.col("root"))
@@ -364,7 +390,7 @@ def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tup
     for turn in range(rounds + 1):
         token = now.select("fp", "known", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
         heads = token.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min_by(F.struct("fp", "known"), F.xxhash64("fp", F.lit(turn))).alias("head")).where("low <> high").drop("low", "high")
-        open_ = token.join(heads, "token")
+        open_ = token.join(written(heads, "heads"), "token")
         if turn == rounds:
             return links, open_.select("fp", "known", "token")
         pairs = open_.where("known <> head.known").select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct()
@@ -396,36 +422,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
     held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min(least).alias("least"), F.min("key").alias("key"))
 
-    near = _homes(prefixes.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token")))
-    member = near.select(F.col("node").alias("fp"), F.col("root").alias("home")).join(prefixes, "fp")
-    sizes = member.groupBy("home").agg(F.sum("n").alias("total"))
-    member = written(member.join(sizes, "home"), "members")
-    weight, heaviest = member.agg(F.coalesce(F.sum(F.when(F.col("total") <= block_shingles // 8, F.col("n"))), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
+    ones = lambda df: df.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
+    homes = lambda token: _homes(token).select(F.col("node").alias("fp"), F.col("root").alias("home"))
+    member = _sized(homes(ones(prefixes)).join(prefixes, "fp"))
     wanted = member.select("fp").join(held, "fp").select("key").distinct()
     whole = rows.join(wanted, "key", "left_semi").select("text")
     sets = whole.mapInArrow(_whole(k), "fp string, shingles binary").dropDuplicates(["fp"])
+    heaviest = member.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
     if heaviest > block_shingles:
         sets = written(sets, "sets")
-    # the smallest components are dealt to bins by a hash, the others are bins of their own
-    bins = max(1, -(-2 * weight // block_shingles))
-    place = F.when(F.col("total") <= block_shingles // 8, F.pmod(F.xxhash64("home"), F.lit(bins)).cast("string")).otherwise(F.col("home"))
     columns = ["bin", "home", "fp", "known", "matches", "prefix", "shingles"]
-    small = member.where(F.col("total") <= block_shingles).withColumn("bin", place).withColumn("known", F.col("fp"))
-    edges = small.join(sets, "fp").select(*columns).groupBy("bin").applyInArrow(_solve(percent), "u string, v string")
+
+    def solved(some: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links of components that fit into a task: the smallest are dealt to bins by a hash, the others are bins of their own."""
+        few = F.col("total") <= block_shingles // 2
+        weight = some.agg(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0))).first()[0]
+        bins = max(1, -(-weight // BIN_SHINGLES))
+        place = F.when(few, F.pmod(F.xxhash64("home"), F.lit(bins)).cast("string")).otherwise(F.col("home"))
+        dealt = some.withColumn("bin", place).withColumn("known", F.col("fp")).join(sets, "fp")
+        return dealt.select(*columns).groupBy("bin").applyInArrow(_solve(percent), "u string, v string")
+
+    fits = F.col("total") <= block_shingles
+    edges = solved(member.where(fits), sets)
     if heaviest > block_shingles:
-        large = member.where(F.col("total") > block_shingles).drop("home", "total")
-        links, open_ = _stars(large, sets, percent, star_rounds)
-        open_ = written(open_, "open")
-        left = _homes(open_.select("fp", "token")).select(F.col("node").alias("fp"), F.col("root").alias("home")).join(open_.select("fp", "known").distinct(), "fp").join(large, "fp")
-        left = written(left.join(left.groupBy("home").agg(F.sum("n").alias("total")), "home"), "left")
-        blocks = F.ceil(F.col("total") * 2 / block_shingles)
-        cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
-        pairs = F.explode(F.expr("if(total <= {0}, array(home), transform(sequence(0L, blocks - 1), j -> concat_ws(':', home, least(block, j), greatest(block, j))))".format(block_shingles)))
-        rest = cut.select(pairs.alias("bin"), "home", "fp", "known", "matches", "prefix").join(sets, "fp").select(*columns)
-        edges = edges.unionByName(links).unionByName(rest.groupBy("bin").applyInArrow(_solve(percent), "u string, v string"))
+        large = written(_partnered(member.where(~fits).drop("home", "total"), sets, percent), "partnered")
+        large = _sized(homes(ones(large)).join(large, "fp"))
+        sets = written(sets.join(large.select("fp"), "fp", "left_semi"), "sets")
+        edges = edges.unionByName(solved(large.where(fits), sets))
+        large = large.where(~fits).drop("home", "total")
+        if large.take(1):
+            links, open_ = _stars(large, sets, percent, star_rounds)
+            open_ = written(open_, "open")
+            left = homes(open_.select("fp", "token")).join(open_.select("fp", "known").distinct(), "fp").join(large, "fp")
+            left = _sized(left)
+            blocks = F.ceil(F.col("total") * 2 / block_shingles)
+            cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+            pairs = F.explode(F.expr(f"if(total <= {block_shingles}, array(home), transform(sequence(0L, blocks - 1), j -> concat_ws(':', home, least(block, j), greatest(block, j))))"))
+            rest = cut.select(pairs.alias("bin"), "home", "fp", "known", "matches", "prefix").join(sets, "fp").select(*columns)
+            edges = edges.unionByName(links).unionByName(rest.groupBy("bin").applyInArrow(_solve(percent), "u string, v string"))
     found = connected_components(edges)
-    classes = found.join(held, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first"))
+    # classes and sets are written before they are joined to what may be many rows of one of them
+    classes = written(found.join(held, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("first")), "classes")
     of_set = held.join(found.join(classes, "root").select(F.col("node").alias("fp"), "first"), "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    of_set = written(of_set, "set_classes")
     some = docs_.where("n_shingles > 0").join(of_set, "fp").select("doc_id", F.col("n_shingles").cast("long"), F.col("first.doc_id").alias("component_id"), "tag", F.col("tag").eqNullSafe(F.col("first.tag")).alias("kept"))
     none = docs_.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("kept"))
     return some.unionByName(none).select("doc_id", "n_shingles", "component_id", *more)
