@@ -4,23 +4,27 @@ One pattern marks candidates in a text: values assigned to a name that has a sec
 (DB_PASSWORD, dbPassword, auth_token, SECRET_KEY_BASE), keys of known shapes, private key blocks, and long runs of key letters with a digit. Each candidate is described by
 its length, character transitions, dictionary coverage, the document's path and the words
 beside it; a random forest, trained from labelled findings, gives the probability that it is a secret.
+The dictionary is the first words of a public vocabulary, and some that keys in code are made of.
 The findings to learn from are made by rule in labelled_findings() and can be replaced by a table
 of the same columns. The fitted trees become one Column, so scanning is a projection: no Python runs
 on executors, nothing is shuffled for it, and hot sources or copies are spread as the input is.
 
 Defined cases: null or empty texts and empty tables have no findings; a null path is an empty path;
-repeated rows are scanned each; the control signs U+0001 and U+0002 count as blanks; columns other than
+repeated rows are scanned each; very long texts are scanned whole; the control signs U+0001 and U+0002 count as blanks; columns other than
 those named are not read by scan() and are kept by redact().
 """
 
 from __future__ import annotations
 
+import json
+from functools import cache
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import tokenizer_path, unused
 
 OPEN, CLOSE, THRESHOLD, TREES, DEPTH, FINDINGS = "\x01", "\x02", 0.5, 20, 6, 3000
 _KEYS = "api|access|private|signing|client|secret|encryption|master"
@@ -45,11 +49,30 @@ PATTERN = (
 KINDS = {"private_key": r"^-----BEGIN ", "cloud_key_id": r"^(?:AKIA|ASIA)[0-9A-Z]{16}$", "forge_token": r"^gh[pousr]_[0-9A-Za-z]{30,}$", "signed_token": r"^eyJ[0-9A-Za-z_-]{10,}\."}
 #: Words that fill keys that are none, and names in code.
 DICTIONARY = "your example sample dummy placeholder changeme change insert replace enter value here secret password passwd token key api access client user admin test testing demo fake mock default null none todo get set name file path index list item data type id handler service request response config version main java src lib com org http https www html json page image static assets build the and for with from".split()
+#: Words taken from the public vocabulary, in its order, and the letters that a word has at least.
+VOCABULARY_WORDS, WORD_LETTERS = 4000, 4
 BESIDE_HASH = r"(?i)(?:commit|revision|rev|sha-?\d*|md5|crc|checksum|digest|hash|etag|uuid|guid|build|version|fingerprint|card|order|invoice|phone|id)\W{0,4}(?:\w{0,12}\W{1,4})?$"
 BESIDE_EXAMPLE = r"(?i)example|sample|dummy|placeholder|for instance|replace|fake|your"
 PATH_TEST, PATH_CONFIG = r"(?i)test|spec|example|sample|fixture|doc|readme", r"(?i)\.env|config|settings|secret|deploy|prod|\.ya?ml|\.ini|\.tf"
 
 
+@cache
+def vocabulary(path: str | None = None, most: int = VOCABULARY_WORDS) -> str:
+    """Whole words of a public vocabulary and those of DICTIONARY, each between blanks."""
+    with open(path or tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = [w[:-4] for w in sorted(ids, key=ids.get) if w.endswith("</w>")]
+    words = [w for w in words if len(w) >= WORD_LETTERS and w.isascii() and w.isalpha()]
+    return f" {' '.join(dict.fromkeys([*words[:most], *DICTIONARY]))} "
+
+
+def worded(c: Column, n: Column) -> Column:
+    """The share of a candidate's letters in runs or humps that are words of the vocabulary."""
+    parts = F.filter(F.split(F.regexp_replace(c, F.lit("(?<=[a-z])(?=[A-Z])"), F.lit(" ")), "[^A-Za-z]+"), lambda p: F.length(p) >= WORD_LETTERS)
+    known = F.filter(parts, lambda p: F.contains(F.lit(vocabulary()), F.concat(F.lit(" "), F.lower(p), F.lit(" "))))
+    return F.length(F.array_join(known, "")) / n
+
+
 def features(c: Column, left: Column, right: Column, path: Column) -> list[Column]:
     """The description of one candidate, as doubles."""
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
@@ -64,6 +87,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
         count(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
         F.size(F.array_distinct(F.split(F.substring(c, 1, 64), ""))) / F.least(n, F.lit(64.0)),
         1.0 - F.length(F.regexp_replace(F.lower(c), F.lit(words), F.lit(""))) / n,
+        worded(c, n),
         count(r"(.)\1\1") / n,
         flag(F.lower(c).rlike("1234|abcd|0123|qwerty")),
         flag(c.rlike("^(?:[0-9a-f]{20,}|[0-9A-F]{20,})$")),
@@ -80,7 +104,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """candidate, left_words, right_words, path, label: findings whose truth is known as they are made by rule.
+    """candidate, left_words, right_words, path, label, and the number of the rule that made it (kind): findings whose truth is known as they are made by rule.
 
     A bounded table of one partition, so that the forest's draws do not depend on the cluster.
     """
@@ -137,8 +161,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (0, hex40, pick("the tree ", "see ", "at object ", "parent ", "merged ")),
     ]
     one = lambda i: F.element_at(F.array(*[k[i] if isinstance(k[i], Column) else F.lit(k[i]) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
-    path = pick("", "src", "app/config.yaml", "deploy/.env", "docs/readme", "tests/test_app", "src0", "crawl")
-    return spark.range(0, rows, 1, 1).select(one(1).alias("candidate"), one(2).alias("left_words"), pick("\" and", " ,", "'", "", "\"!!").alias("right_words"), path.alias("path"), one(0).cast("double").alias("label"))
+    path = pick("", "src", "app/config.yaml", "deploy/.env", "docs/readme", "tests/test_app", "web", "crawl")
+    return spark.range(0, rows, 1, 1).select(one(1).alias("candidate"), one(2).alias("left_words"), pick("\" and", " ,", "'", "", "\"!!").alias("right_words"), path.alias("path"), one(0).cast("double").alias("label"), (F.col("id") % len(kinds)).alias("kind"))
 
 
 class Forest:

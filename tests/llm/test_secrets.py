@@ -110,3 +110,26 @@ def test_whole_candidates(spark):
     found = {r.doc_id: (r.digest, r.length) for r in secrets.secrets(docs).collect()}
     assert found == {i: (hashlib.sha256(s.encode()).hexdigest(), len(s)) for i, (_, s, _) in enumerate(cases)}
     assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == [clean for _, _, clean in cases]
+
+
+def test_dictionary_coverage(spark):
+    rows = spark.createDataFrame([("changeThisPassword-now",), ("x9Qz7Lk2",), ("",)], "c string")
+    found = [r[0] for r in rows.select(secrets.worded(F.col("c"), F.greatest(F.length("c"), F.lit(1)).cast("double"))).collect()]
+    assert found[0] > 0.7 and found[1:] == [0.0, 0.0]
+    words = secrets.vocabulary().split()
+    assert len(words) > secrets.VOCABULARY_WORDS and {"with", "this", "password"} <= set(words)
+
+
+def test_kinds_that_were_not_learned(spark):
+    """The forest judges findings of rules that it has not seen."""
+    findings = secrets.labelled_findings(spark).persist()
+    kinds = sorted({r.kind for r in findings.select("kind").distinct().collect()})
+    right = total = 0
+    for part in range(0, 6):
+        left_out = [k for k in kinds if k % 6 == part]
+        trees = secrets.Forest(findings.where(~F.col("kind").isin(left_out)))
+        x = F.array(*secrets.features(*map(F.col, ("candidate", "left_words", "right_words", "path"))))
+        judged = findings.where(F.col("kind").isin(left_out)).select("label", (trees.probability(x) >= secrets.THRESHOLD).cast("double").alias("said"))
+        row = judged.agg(F.sum((F.col("label") == F.col("said")).cast("long")), F.count("*")).first()
+        right, total = right + row[0], total + row[1]
+    assert right / total > 0.7
