@@ -8,7 +8,7 @@ who want that. All of it is DataFrame functions.
 
 Pairs of the query: conversations that open with the same turn are alternatives to each other. They are
 paired in the order of conv_id, the first being the chosen one: first among ids that share all but their
-last 12 bits, then the ones left over among ids that share all but 24, then all of them. A conversation left
+last 8 bits, then the ones left over among ids that share all but 20, then all of them. A conversation left
 alone is paired with itself: the last assistant turn, put in place of the assistant turn before it, is chosen
 over that one, so that the conversation up to there is the prompt. One with a single
 assistant turn has no rejected side; that turn is the completion.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bits of conv_id within which conversations of one opening are paired first, and then the ones left over.
-LEVELS = (12, 24)
+LEVELS = (8, 20)
 _FIRST = -(1 << 63)
 
 

@@ -80,9 +80,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
     "op7_preferences": """
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
   f AS (SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t) WHERE n = 1),
-  n1 AS (SELECT *, conv_id >> 12 AS block, row_number() OVER (PARTITION BY role, text, conv_id >> 12 ORDER BY conv_id) AS n FROM f),
+  n1 AS (SELECT *, conv_id >> 8 AS block, row_number() OVER (PARTITION BY role, text, conv_id >> 8 ORDER BY conv_id) AS n FROM f),
   p1 AS (SELECT role, text, min(conv_id) AS a, max(conv_id) AS b, count(*) AS c FROM n1 GROUP BY role, text, block, (n - 1) // 2),
-  n2 AS (SELECT *, a >> 24 AS block, row_number() OVER (PARTITION BY role, text, a >> 24 ORDER BY a) AS n FROM p1 WHERE c = 1),
+  n2 AS (SELECT *, a >> 20 AS block, row_number() OVER (PARTITION BY role, text, a >> 20 ORDER BY a) AS n FROM p1 WHERE c = 1),
   p2 AS (SELECT role, text, min(a) AS a, max(a) AS b, count(*) AS c FROM n2 GROUP BY role, text, block, (n - 1) // 2),
   n3 AS (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY a) AS n FROM p2 WHERE c = 1),
   p3 AS (SELECT min(a) AS a, max(a) AS b, count(*) AS c FROM n3 GROUP BY role, text, (n - 1) // 2),
