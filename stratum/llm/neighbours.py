@@ -123,8 +123,7 @@ class Router:
 def probes_needed(router: Router, unit: np.ndarray, kept: np.ndarray, x: np.ndarray, target_recall: float, degree: int = DEGREE) -> int:
     """Parts to probe so that kept vectors find their nearest ones of the sample x (unit: x at length one) at that rate."""
     parts = len(router.w[3])
-    near = kept @ x.T
-    near = np.argpartition(-near, degree - 1, axis=1)[:, :degree]
+    near = np.concatenate([np.argpartition(-(kept[a : a + 128] @ x.T), degree - 1, axis=1)[:, :degree] for a in range(0, len(kept), 128)])
     own = router.logits(unit).argmax(1)
     rank = np.argsort(np.argsort(-router.logits(_unit(kept)), axis=1, kind="stable"), axis=1)
     place = np.take_along_axis(rank, own[near], 1).ravel()
