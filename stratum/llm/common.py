@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder (by: a column whose values have folders of their own) and read it back.
 
     Results are lazy, so what they read stays until drop_written(), or the end of temporary().
     """
@@ -44,17 +44,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stratum_path = path
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written() once nothing reads it any more."""
+def drop_written(df: DataFrame, part: str | None = None) -> None:
+    """Delete the files of a table made by written(), or one of its folders, once nothing reads them any more."""
     path = getattr(df, "stratum_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        _delete(df.sparkSession, path if part is None else f"{path}/{part}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

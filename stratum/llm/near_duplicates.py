@@ -42,14 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .components import connected_components
 from .textops import Words, buffers, mix, slices
 
 #: Longest extension of a prefix, shingles, and the verification cost of a set's shingle against a prefix hit.
 MOST_MATCHES, VERIFY_COST = 4, 0.05
 #: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a component that one task solves, and in a bin of small ones; rounds of verification by joins.
-PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 1_000_000, 8192, 100_000, 400_000, 2
+PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 300_000, 4096, 100_000, 200_000, 2
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
 _LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
@@ -127,9 +127,16 @@ def _send(k: int, percent: int, share: float, buckets: int, parcel_size: int):
             order = np.lexsort((tokens, bucket))
             tokens, holder, bucket = tokens[order], holder[order], bucket[order]
             first = _runs(tokens)
-            packed = {"tokens": tokens[first].astype(_U8), "counts": np.diff(np.append(first, len(tokens))).astype(_U4), "lows": np.minimum.reduceat(holder, first).astype(_I8), "highs": np.maximum.reduceat(holder, first).astype(_I8)}
-            cuts = np.append(_runs(bucket[first]), len(first)).tolist()
-            rows = {"bucket": bucket[first][cuts[:-1]].tolist()} | {c: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for c, x in packed.items()}
+            counts, lows, highs = np.diff(np.append(first, len(tokens))), np.minimum.reduceat(holder, first), np.maximum.reduceat(holder, first)
+            # in each bucket those of one set come first; counts and largest sets are sent of the others alone
+            order = np.lexsort((counts > 1, bucket[first]))
+            token, of, counts, lows, highs = tokens[first][order].astype(_U8), bucket[first][order], counts[order], lows[order].astype(_I8), highs[order].astype(_I8)
+            cuts = np.append(_runs(of), len(of)).tolist()
+            rows = {c: [] for c in ("bucket", "tokens", "lows", "counts", "highs")}
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                more = a + int(np.searchsorted(counts[a:b] > 1, True))
+                for c, x in zip(rows, (int(of[a]), token[a:b].tobytes(), lows[a:b].tobytes(), counts[more:b].astype(_U4).tobytes(), highs[more:b].tobytes())):
+                    rows[c].append(x)
             yield _emit(rows | {"kind": [1] * len(cuts[1:]), "parcel": [parcel] * len(cuts[1:])})
 
         for whole in batches:
@@ -165,8 +172,12 @@ def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
 
 def _count(table: pa.Table) -> pa.Table:
     """Stage 2, for one bucket of shingles: those that more than one set holds go back to their parcels, with the number of sets of all parcels."""
-    tokens, counts, lows, highs = (_joined(table, c, k) for c, k in (("tokens", _U8), ("counts", _U4), ("lows", _I8), ("highs", _I8)))
-    parcel = np.repeat(np.array(table.column("parcel").to_pylist(), np.int64), [len(x) // 8 for x in table.column("tokens").to_pylist()])
+    tokens, lows = _joined(table, "tokens", _U8), _joined(table, "lows", _I8)
+    counts, highs = np.ones(len(tokens), _U4), lows.copy()
+    sizes, more = ([len(x) // 8 for x in table.column(c).to_pylist()] for c in ("tokens", "highs"))
+    several = np.concatenate([np.zeros(0, np.int64), *(np.arange(end - m, end) for end, m in zip(np.cumsum(sizes).tolist(), more))])
+    counts[several], highs[several] = _joined(table, "counts", _U4), _joined(table, "highs", _I8)
+    parcel = np.repeat(np.array(table.column("parcel").to_pylist(), np.int64), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, parcel = tokens[order], parcel[order]
     first = _runs(tokens)
@@ -409,14 +420,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = [] if tag is None else ["tag", "kept"]
     # key finds a row's text again; rows of one doc_id, or without, differ in it by their texts
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("long") if tag is None else tag).alias("tag")).withColumn("key", F.xxhash64("doc_id", "text"))
-    share = min(0.9, 2.0 * (100 - percent) / 100)
+    share = min(0.9, 1.5 * (100 - percent) / 100)
     buckets = max(4, -(-docs.select(id_col).count() // docs_per_bucket))
-    # one pass over the texts writes all kinds of rows
-    sent = written(rows.mapInArrow(_send(k, percent, share, buckets, parcel), _SENT), "sent")
+    # one pass over the texts writes all kinds of rows, each to its own folder
+    sent = written(rows.mapInArrow(_send(k, percent, share, buckets, parcel), _SENT), "sent", by="kind")
     documents = sent.where("kind = 0")
     back = sent.where("kind = 1").groupBy("bucket").applyInArrow(_count, _BACK)
     parcels = sent.where("kind = 2").select("parcel", "fas", "fbs", "ns", "ss", "sizes", "tokens")
     prefixes = written(parcels.groupBy("parcel").cogroup(back.groupBy("parcel")).applyInArrow(_prefixes(percent, share), _PREFIXES).dropDuplicates(["fp"]), "prefixes")
+    for kind in (1, 2):
+        drop_written(sent, f"kind={kind}")
 
     docs_ = documents.select("doc_id", "tag", "key", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
     least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
