@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_top_k import exact_top_k
+from .fill_in_middle import fill_in_middle_digest
 from .language_id import language_id
 from .mixing import mix
 from .near_duplicates import near_duplicates
@@ -59,8 +60,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality)
+    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality, op11_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +104,12 @@ WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn
 SELECT chosen_id, rejected_id, CASE WHEN parts IS NULL OR turn < parts THEN 'prompt' ELSE side END AS part, turn, role,
   '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered, CAST(NOT (parts IS NULL OR turn < parts) AND role = 'assistant' AS INTEGER) AS loss
 FROM s JOIN parting ON chosen_id = c AND rejected_id IS NOT DISTINCT FROM r WHERE side = 'chosen' OR NOT (parts IS NULL OR turn < parts)""",
+    "op11_fill_in_middle": """
+WITH s AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+  h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM s),
+  c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
