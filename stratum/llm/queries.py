@@ -17,6 +17,7 @@ from .packing import pack
 from .preferences import preferences
 from .quality import quality
 from .secrets import secrets
+from .source_divergence import source_divergence
 from .token_files import tokens_round_trip
 
 
@@ -64,8 +65,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality, op11_fill_in_middle)
+    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality, op11_fill_in_middle, op12_source_divergence)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +117,20 @@ WITH s AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(
   p AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1) AS z FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+  k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+  c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+  gn AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v ON g.lang = v.lang GROUP BY g.lang, g.source, v),
+  p AS (SELECT gn.lang, gn.source, k.term, coalesce(c, 0) AS c, 1 + CAST(1000000000 * CAST(coalesce(c, 0) + 1 AS HUGEINT) // (n + v) AS HUGEINT) AS p FROM gn JOIN k ON gn.lang = k.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+  q AS (SELECT lang, term, 1 + CAST(1000000000 * CAST(sum(c) + 1 AS HUGEINT) // (any_value(n) + any_value(v)) AS HUGEINT) AS q FROM p JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM gn GROUP BY lang) USING (lang) GROUP BY lang, term),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+  r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200""",
 }

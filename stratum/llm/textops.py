@@ -60,15 +60,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
 
 
 class Words:
-    """Words of a batch: byte ranges [starts, ends), the number of each text, and first[i]:first[i+1] as those of text i."""
+    """Words of a batch: byte ranges [starts, ends), the number of each text, and first[i]:first[i+1] as those of text i. breaks: the bytes between words."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
         self.buf, self.offsets = buf, offsets
         n = len(buf)
         if not n:
             self.starts = self.ends = np.zeros(0, np.int64)
         else:
-            space = _SPACE[buf]
+            space = breaks[buf]
             edge = offsets[:-1][np.diff(offsets) > 0]
             before, after = np.empty(n, bool), np.empty(n, bool)
             before[0], after[-1] = True, True
