@@ -16,6 +16,7 @@ from .neighbours import approximate_neighbours
 from .packing import pack
 from .preferences import preferences
 from .quality import quality
+from .repeated_passages import repeated_passages_digest
 from .secrets import secrets
 from .source_divergence import source_divergence
 from .token_files import tokens_round_trip
@@ -69,8 +70,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality, op11_fill_in_middle, op12_source_divergence)
+    f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_exact_top_k, op4_mixing, op5_secrets, op6_neighbours, op7_preferences, op8_packing, op9_token_files, op10_quality, op11_fill_in_middle, op12_source_divergence, op13_repeated_passages)
 }
 
 ORACLE_SQL: dict[str, str] = {
