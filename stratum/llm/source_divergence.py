@@ -87,35 +87,56 @@ def _picked(at: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(begin[-1]) - np.repeat(begin[:-1], sizes) + np.repeat(at[leaves], sizes), begin
 
 
+def _prefixes(terms: list[bytes], depth: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted terms that have the same first bytes."""
+    a = 0
+    while a < len(terms):
+        prefix, b = terms[a][:depth], a + 1
+        while b < len(terms) and terms[b].startswith(prefix) and len(prefix) == depth:
+            b += 1
+        yield a, b
+        a = b
+
+
+def _subtrie(terms: list[bytes], shared: list[int], depth: int, names: list[tuple[str, str]], at: np.ndarray, grp: np.ndarray, cnt: np.ndarray, dat: np.ndarray, dgrp: np.ndarray, docs: np.ndarray) -> dict:
+    """A row of sorted terms with their counters, and the names of the groups that these have."""
+    used, local = np.unique(np.concatenate([grp, dgrp]), return_inverse=True)
+    ints, longs = (lambda x: x.astype(U4).tobytes()), (lambda x: x.astype(_I8).tobytes())
+    cells = (terms[0][:depth], depth, len(terms), *packed(terms, shared), [names[g][0] for g in used], [names[g][1] for g in used], ints(at), ints(local[: len(grp)]), longs(cnt), ints(dat), ints(local[len(grp) :]), longs(docs))
+    return dict(zip(_NAMES, cells))
+
+
 class Counted:
     """A trie with the counters of its leaves and the names of their groups."""
 
     def __init__(self) -> None:
         self.trie, self.groups, self.counts, self.docs = RadixTrie(), {}, Counters(), Counters()
+        #: Leaves of merged terms, so that one met again is not looked for byte by byte.
+        self.known: dict[bytes, int] = {}
 
     def group(self, lang: str, source: str) -> int:
         return self.groups.setdefault((lang, source), len(self.groups))
 
     def subtries(self, depth: int) -> Iterator[dict]:
         """A row for each prefix of that many bytes."""
-        terms, leaves = zip(*self.trie.walk()) if self.trie.size else ((), ())
+        if not self.trie.size:
+            return
+        terms, leaves, shared = map(list, zip(*self.trie.walk()))
         leaves, names = np.array(leaves, np.int64), list(self.groups)
-        (at, grp, cnt), (dat, dgrp, docs) = self.counts.by_leaf(self.trie.size), self.docs.by_leaf(self.trie.size)
-        a = 0
-        while a < len(terms):
-            prefix, b = terms[a][:depth], a + 1
-            while b < len(terms) and terms[b][:depth] == prefix:
-                b += 1
-            row, begin = _picked(at, leaves[a:b])
-            drow, dbegin = _picked(dat, leaves[a:b])
-            used, local = np.unique(np.concatenate([grp[row], dgrp[drow]]), return_inverse=True)
-            shared, lengths, rest = packed(list(terms[a:b]))
-            yield dict(zip(_NAMES, (prefix, depth, b - a, shared, lengths, rest, [names[g][0] for g in used], [names[g][1] for g in used], begin.astype(U4).tobytes(), local[: len(row)].astype(U4).tobytes(), cnt[row].astype(_I8).tobytes(), dbegin.astype(U4).tobytes(), local[len(row) :].astype(U4).tobytes(), docs[drow].astype(_I8).tobytes())))
-            a = b
+        counts, docs = self.counts.by_leaf(self.trie.size), self.docs.by_leaf(self.trie.size)
+        for a, b in _prefixes(terms, depth):
+            (row, begin), (drow, dbegin) = _picked(counts[0], leaves[a:b]), _picked(docs[0], leaves[a:b])
+            yield _subtrie(terms[a:b], shared[a:b], depth, names, begin, counts[1][row], counts[2][row], dbegin, docs[1][drow], docs[2][drow])
 
     def take(self, row: dict) -> None:
         """Merge a subtrie."""
-        leaves = self.trie.merge(unpacked(row["shared"], row["lengths"], row["rest"]))
+        known, leaf, leaves = self.known, self.trie.leaf, []
+        for term in unpacked(row["shared"], row["lengths"], row["rest"]):
+            at = known.get(term)
+            if at is None:
+                at = known[term] = leaf(term)
+            leaves.append(at)
+        leaves = np.array(leaves, np.int64)
         number = np.array([self.group(*g) for g in zip(row["langs"], row["sources"])], np.int64)
         for at, grp, cnt, counters in ((row["at"], row["grp"], row["cnt"], self.counts), (row["dat"], row["dgrp"], row["docs"], self.docs)):
             sizes = np.diff(np.frombuffer(at, U4).astype(np.int64))
@@ -145,7 +166,11 @@ def _count(trie_leaves: int, depth: int):
         found, leaf_of = Counted(), []
 
         def fill(words: list[bytes]) -> None:
-            leaf_of.extend(map(found.trie.leaf, words))
+            # in order of their bytes, so that neighbours take the same path
+            order = sorted(range(len(words)), key=words.__getitem__)
+            new = np.empty(len(words), np.int64)
+            new[order] = [found.trie.leaf(words[i]) for i in order]
+            leaf_of.extend(new.tolist())
 
         table = WordTable(fill, leaf_of.clear, most=1 << 40)
         for whole in batches:
@@ -181,9 +206,12 @@ def _deeper(depth: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
-                one = Counted()
-                one.take(row)
-                yield from one.subtries(depth)
+                terms, shared = list(unpacked(row["shared"], row["lengths"], row["rest"])), np.frombuffer(row["shared"], U4).tolist()
+                names = list(zip(row["langs"], row["sources"]))
+                (at, dat, grp, dgrp), (cnt, docs) = ([np.frombuffer(row[c], k).astype(np.int64) for c in own] for own, k in ((("at", "dat", "grp", "dgrp"), U4), (("cnt", "docs"), _I8)))
+                for a, b in _prefixes(terms, depth):
+                    own, down = slice(at[a], at[b]), slice(dat[a], dat[b])
+                    yield _subtrie(terms[a:b], shared[a:b], depth, names, at[a : b + 1] - at[a], grp[own], cnt[own], dat[a : b + 1] - dat[a], dgrp[down], docs[down])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(rows(batches))
@@ -199,7 +227,7 @@ def _merge(least: int, block: int):
         for batch in table.to_batches(max_chunksize=64):
             for row in batch.to_pylist():
                 found.take(row)
-        terms, leaves = zip(*found.trie.walk()) if found.trie.size else ((), ())
+        terms, leaves, _ = zip(*found.trie.walk()) if found.trie.size else ((), (), ())
         leaves, names = np.array(leaves, np.int64), list(found.groups)
         langs = sorted({lang for lang, _ in names})
         lang_of = np.array([langs.index(lang) for lang, _ in names], np.int64)

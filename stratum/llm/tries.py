@@ -2,94 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
 U4 = "<u4"
+#: First bytes of a term that are looked up at once; below them each node branches by one byte.
+HEAD = 3
 
 
 class RadixTrie:
     """Leaves are numbered in the order they come. An edge is [label, leaf or -1, children by their first byte or None]."""
 
     def __init__(self) -> None:
-        self.root: dict[int, list] = {}
+        self.heads: dict[bytes, list] = {}
         self.size = 0
-        #: The leaf of the empty term.
-        self.empty = -1
-
-    def _new(self) -> int:
-        self.size += 1
-        return self.size - 1
 
     def leaf(self, term: bytes) -> int:
         """The leaf of a term, made where there is none."""
-        at, end, node = 0, len(term), self.root
-        if not end:
-            if self.empty < 0:
-                self.empty = self._new()
-            return self.empty
-        while True:
-            edge = node.get(term[at])
-            if edge is None:
-                node[term[at]] = [term[at:], self._new(), None]
+        end, head = len(term), term[:HEAD]
+        edge = self.heads.get(head)
+        if edge is None:
+            edge = self.heads[head] = [head, -1, None]
+        at = len(head)
+        while at < end:
+            if edge[2] is None:
+                edge[2] = {term[at]: [term[at:], self.size, None]}
+                self.size += 1
+                return self.size - 1
+            below = edge[2].get(term[at])
+            if below is None:
+                edge[2][term[at]] = [term[at:], self.size, None]
+                self.size += 1
                 return self.size - 1
-            label = edge[0]
+            label = below[0]
             if term.startswith(label, at):
                 at += len(label)
-                if at == end:
-                    if edge[1] < 0:
-                        edge[1] = self._new()
-                    return edge[1]
-                if edge[2] is None:
-                    edge[2] = {}
-                node = edge[2]
+                edge = below
                 continue
             same, most = 1, min(len(label), end - at)
             while same < most and label[same] == term[at + same]:
                 same += 1
-            below = [label[same:], edge[1], edge[2]]
-            edge[0], edge[1], edge[2] = label[:same], -1, {label[same]: below}
+            # the edge is split where the term leaves it
+            below[:] = label[:same], -1, {label[same]: [label[same:], below[1], below[2]]}
             at += same
-            if at == end:
-                edge[1] = self._new()
-            else:
-                edge[2][term[at]] = [term[at:], self._new(), None]
-            return self.size - 1
+            edge = below
+        if edge[1] < 0:
+            edge[1] = self.size
+            self.size += 1
+        return edge[1]
 
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, leaf) in the order of the terms' bytes."""
-        if self.empty >= 0:
-            yield b"", self.empty
-        stack = [(b"", self.root[b]) for b in sorted(self.root, reverse=True)]
-        while stack:
-            above, (label, leaf, below) = stack.pop()
-            term = above + label
-            if leaf >= 0:
-                yield term, leaf
-            if below:
-                stack.extend((term, below[b]) for b in sorted(below, reverse=True))
+    def walk(self) -> Iterator[tuple[bytes, int, int]]:
+        """Each term, its leaf, and bytes that it shares with the term before, in the order of the terms' bytes."""
+        for head in sorted(self.heads):
+            shared, stack = 0, [(b"", self.heads[head])]
+            while stack:
+                above, (label, leaf, below) = stack.pop()
+                if len(above) < shared:
+                    shared = len(above)
+                term = above + label
+                if leaf >= 0:
+                    yield term, leaf, shared
+                    shared = len(term)
+                if below:
+                    stack.extend([(term, below[b]) for b in sorted(below, reverse=True)])
 
-    def merge(self, terms: Iterable[bytes]) -> np.ndarray:
-        """Take in the terms of another trie; gives their leaves here."""
-        leaf = self.leaf
-        return np.fromiter((leaf(t) for t in terms), np.int64)
 
-
-def packed(terms: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Terms in byte order as the lengths they share with the one before, the lengths of what follows, and its bytes."""
-    shared, rest, before = [], [], b""
-    for term in terms:
-        same, most = 0, min(len(before), len(term))
-        if before[:most] == term[:most]:
-            same = most
-        else:
-            while before[same] == term[same]:
-                same += 1
-        shared.append(same)
-        rest.append(term[same:])
-        before = term
-    return np.array(shared, U4).tobytes(), np.array([len(r) for r in rest], U4).tobytes(), b"".join(rest)
+def packed(terms: list[bytes], shared: list[int]) -> tuple[bytes, bytes, bytes]:
+    """Terms as the lengths that they share with the one before, the lengths of what follows, and its bytes. The first is whole."""
+    shared = [0, *shared[1:]]
+    rest = [t[n:] for t, n in zip(terms, shared)]
+    return np.array(shared, U4).tobytes(), np.fromiter(map(len, rest), U4, len(rest)).tobytes(), b"".join(rest)
 
 
 def unpacked(shared: bytes, lengths: bytes, rest: bytes) -> Iterator[bytes]:

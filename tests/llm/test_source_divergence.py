@@ -3,10 +3,11 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
-from stratum.llm.source_divergence import source_divergence
+from stratum.llm.source_divergence import Counted, source_divergence
 from stratum.llm.tries import RadixTrie, packed, unpacked
 
 from .common import SF, empty, odd
@@ -18,20 +19,28 @@ def test_trie_holds_terms_in_byte_order():
     trie, numbers = RadixTrie(), {}
     for t in terms:
         assert trie.leaf(t) == numbers.setdefault(t, len(numbers))
-    assert list(trie.walk()) == sorted(numbers.items())
-    whole = sorted(numbers)
-    assert list(unpacked(*packed(whole))) == whole
-
-
-def test_tries_merge_to_the_trie_of_all_terms():
-    a, b = RadixTrie(), RadixTrie()
-    for t in (b"romane", b"romanus", b"rom"):
-        a.leaf(t)
-    for t in (b"romulus", b"romane", b"x" * 5000, b""):
-        b.leaf(t)
-    leaves = a.merge(t for t, _ in b.walk())
-    assert [t for t, _ in a.walk()] == sorted({b"romane", b"romanus", b"rom", b"romulus", b"x" * 5000, b""})
-    assert leaves[1] == 0  # romane
+    found = list(trie.walk())
+    assert [x[:2] for x in found] == sorted(numbers.items())
+    whole = [t for t, _, _ in found]
+    assert all(t[:n] == before[:n] for before, (t, _, n) in zip(whole, found[1:]))
+    assert list(unpacked(*packed(whole, [n for _, _, n in found]))) == whole
+    assert list(unpacked(*packed(whole[50:60], [n for _, _, n in found[50:60]]))) == whole[50:60]
+
+
+def test_subtries_merge_to_the_trie_of_all_terms():
+    parts = [["romane", "romanus", "rom", "é"], ["romulus", "romane", "x" * 5000, ""]]
+    whole = Counted()
+    for n, terms in enumerate(parts):
+        one = Counted()
+        leaves = np.array([one.trie.leaf(t.encode()) for t in terms])
+        one.counts.add(leaves, np.full(4, one.group("en", "ab"[n])), np.arange(4) + 1)
+        one.docs.add(leaves, np.full(4, one.group("en", "ab"[n])), np.ones(4, np.int64))
+        for row in one.subtries(2):
+            whole.take(row)
+    assert [t.decode() for t, _, _ in whole.trie.walk()] == sorted({t for terms in parts for t in terms}, key=str.encode)
+    at, group, count = whole.counts.by_leaf(whole.trie.size)
+    leaf = whole.trie.leaf(b"romane")
+    assert dict(zip(group[at[leaf] : at[leaf + 1]].tolist(), count[at[leaf] : at[leaf + 1]].tolist())) == {whole.group("en", "a"): 1, whole.group("en", "b"): 2}
 
 
 def plain(docs, least=3, top=200):
