@@ -17,11 +17,11 @@ counted for that share alone, and the prefix still holds the rarest shingles the
 4. Components of small size share tasks, dealt by their weight. Of larger ones all shingles are counted: a set
    with more shingles that no other of them has than a partner may lack is done, so texts that share
    but a passage leave, and what stays is joined to components again. In those that are still large each set is
-   first verified against one set of each of its prefix shingles, by joins; what is then connected over all
-   sets of a shingle needs no more, so a large group of near copies is settled there. What is left
-   open is joined to components a last time; of these, large ones are cut in blocks, each pair of blocks being
-   a task. In a task a pair is verified exactly once it shares min(l, l') prefix shingles and is not
-   yet connected. Links form the classes.
+   first counted against the first sets of its prefix shingles, by joins, and verified where they share min(l, l') of them;
+   what is then connected over all sets of a shingle needs no more, so a large group of near copies is settled
+   there. What is left open is joined to components a last time; of these, large ones are cut in blocks, each pair
+   of blocks being a task. In a task a pair is verified exactly once it shares min(l, l') prefix shingles and
+   is not yet connected. Links form the classes.
 
 No pairs of a group are emitted: each task gives a spanning forest of its links.
 
@@ -250,61 +250,44 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int, known: list[str] | None = None) -> list[tuple[int, int]]:
     """Links that connect all linked sets, a spanning forest of them; sets of one known class count as connected.
 
-    First each set meets the first one of each of its prefix shingles; then the shingles whose sets
-    are not all connected are counted for each set, and a pair with min(l, l') of them is verified
-    unless connected by then. Every link of two sets not connected otherwise is found.
+    The sets are taken in order, and the shingles of each are counted for the later sets that hold them, too. A pair with
+    min(l, l') of these is verified unless connected by then; no other pair is. A shingle whose sets are all connected
+    is not looked at again, so a large group of copies costs its first sets' counts. Every link of two sets not
+    connected otherwise is found.
     """
     head: dict[str, int] = {}
-    parent = [i if known is None else head.setdefault(known[i], i) for i in range(len(sets))]
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    roots = np.array([i if known is None else head.setdefault(known[i], i) for i in range(len(sets))], np.int64)
     out: list[tuple[int, int]] = []
-
-    def meet(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b and linked(sets[i], sets[j], percent):
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-
     size = np.array([len(x) for x in prefixes], np.int64)
     if not size.sum():
         return out
     token, doc = np.concatenate(prefixes), np.repeat(np.arange(len(sets)), size)
     order = np.lexsort((doc, token))
     token, doc = token[order], doc[order]
-    for turn in range(3):
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-        length = np.diff(np.append(begin, len(token)))
-        first = doc[begin + (length * turn // 3)][group]
-        for i, j in np.unique(np.stack([first, doc], 1)[first != doc], axis=0).tolist():
-            meet(i, j)
-        root = np.array([find(i) for i in range(len(sets))])[doc]
-        low, high = np.minimum.reduceat(root, begin), np.maximum.reduceat(root, begin)
-        open_ = (low != high)[group]
-        token, doc = token[open_], doc[open_]
-        if not len(token):
-            return out
-    order = np.argsort(doc, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    begin = _runs(token)
     end = np.append(begin[1:], len(token))
     group = np.repeat(np.arange(len(begin)), end - begin)
-    own = np.searchsorted(doc[order], np.arange(len(sets) + 1))
-    roots = np.array([find(i) for i in range(len(sets))])
+    by_doc = np.argsort(doc, kind="stable")
+    own = np.searchsorted(doc[by_doc], np.arange(len(sets) + 1))
+    done = end - begin < 2
     for i in range(len(sets)):
-        mine = group[order[own[i] : own[i + 1]]]
+        mine = group[by_doc[own[i] : own[i + 1]]]
+        mine = mine[~done[mine]]
         if not len(mine):
             continue
-        others = np.concatenate([doc[begin[g] : end[g]] for g in mine.tolist()])
+        held = [doc[begin[g] : end[g]] for g in mine.tolist()]
+        others = np.concatenate(held)
         others = others[(others > i) & (roots[others] != roots[i])]
         partners, count = np.unique(others, return_counts=True)
+        met = False
         for j in partners[count >= np.minimum(matches[i], matches[partners])].tolist():
-            meet(i, j)
+            if roots[i] != roots[j] and linked(sets[i], sets[j], percent):
+                low, high = sorted((roots[i], roots[j]))
+                roots[roots == high] = low
+                out.append((i, j))
+                met = True
+        if met or not len(others):
+            done[mine] = [(roots[x] == roots[i]).all() for x in held]
     return out
 
 
@@ -393,18 +376,21 @@ def _relabelled(member: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links found by verifying each set against one set of each of its 1-prefix shingles, and the (fp, known, token) that are left open.
+    """Links found by verifying each set against the first ones of its prefix shingles, where the two share min(l, l') of these; and the (fp, known, token) that are left open.
 
-    A shingle whose sets are all in one class is closed. Pairs are at most one for each shingle of a set.
+    First is what comes first by a hash of the set, another one in each round, so near copies mostly have the same first set for all their
+    shingles. A shingle whose sets are all in one class is closed. Pairs are at most one for each shingle of a set.
     """
     links, now = None, member.withColumn("known", F.col("fp"))
     for turn in range(rounds + 1):
-        token = now.select("fp", "known", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
-        heads = token.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.min_by(F.struct("fp", "known"), F.xxhash64("fp", F.lit(turn))).alias("head")).where("low <> high").drop("low", "high")
+        token = now.select("fp", "known", "matches", F.explode("prefix").alias("token"))
+        first = F.min_by(F.struct("fp", "known", "matches"), F.xxhash64("fp", F.lit(turn)))
+        heads = token.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), first.alias("head")).where("low <> high").drop("low", "high")
         open_ = token.join(written(heads, "heads"), "token")
         if turn == rounds:
             return links, open_.select("fp", "known", "token")
-        pairs = open_.where("known <> head.known").select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct()
+        shared = open_.where("known <> head.known").groupBy(F.col("fp").alias("u"), F.col("head.fp").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("matches", "head.matches")).alias("least"))
+        pairs = shared.where("c >= least").select("u", "v")
         both = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
         found = both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u string, v string")
         links = written(found if links is None else links.unionByName(found), "links")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratum.llm import near_duplicates as near_duplicates_module
 from stratum.llm.components import connected_components
 from stratum.llm.near_duplicates import linked, near_duplicates
 
@@ -77,6 +78,46 @@ def test_against_all_pairs(spark, k, percent):
         assert found(docs, k=k, percent=percent, block_shingles=300, docs_per_bucket=7) == want
 
 
+def test_pairs_are_verified_once_they_share_enough_prefix_shingles(monkeypatch):
+    """A pair that shares fewer than min(l, l') prefix shingles is never verified, and all links are found by pairs that share so many."""
+    rng = np.random.default_rng(3)
+    sets, prefixes = [], []
+    for i in range(120):
+        base = rng.integers(0, 1 << 30, 40).astype(np.uint64) if i % 6 == 0 else sets[i - i % 6].copy()
+        base[rng.integers(0, 40, i % 3)] = rng.integers(0, 1 << 30, i % 3)
+        base[:2] = (5, 7)  # shingles that all sets hold
+        sets.append(np.unique(base))
+        prefixes.append(sets[-1][: len(sets[-1]) - -(-90 * len(sets[-1]) // 100) + 2])
+    matches, verified = np.full(len(sets), 2), []
+    plain = near_duplicates_module.linked
+
+    def watched(a, b, percent):
+        verified.append((a, b))
+        return plain(a, b, percent)
+
+    monkeypatch.setattr(near_duplicates_module, "linked", watched)
+    links = near_duplicates_module.forest(sets, prefixes, matches, 90)
+    assert all(len(np.intersect1d(prefixes[i], prefixes[j])) >= 2 for i, j in links)
+    where = {id(s): i for i, s in enumerate(sets)}
+    assert all(len(np.intersect1d(prefixes[where[id(a)]], prefixes[where[id(b)]])) >= 2 for a, b in verified)
+    parent = list(range(len(sets)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i, j in links:
+        parent[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(len(sets)) for j in range(i) if plain(sets[i], sets[j], 90))
+
+
+def test_large_group_of_copies_costs_few_verifications(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 1).astype(np.uint64)])) for _ in range(800)]
+    verified = []
+    plain = near_duplicates_module.linked
+    monkeypatch.setattr(near_duplicates_module, "linked", lambda a, b, p: verified.append(1) or plain(a, b, p))
+    prefixes = [np.sort(base)[:9] for _ in sets]
+    assert len(near_duplicates_module.forest(sets, prefixes, np.full(800, 3), 90)) == 799 and len(verified) == 799
+
+
 def test_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert found(docs, k=3, percent=90) == brute(docs.collect(), 3, 90)
