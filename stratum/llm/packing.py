@@ -3,7 +3,8 @@
 A document costs linear * n + quadratic * n^2 for n tokens. A document longer than a sequence is
 cut into full sequences and a rest; the rests are dealt into groups of bounded size, and in each
 group documents go, the dearest first, to the cheapest sequence that has room for them. What fits
-nowhere is cut at the cheapest sequence's room, so all sequences of a group are full but one.
+nowhere is cut at the cheapest sequence's room, so all sequences of a group are full. What a group has beyond
+full sequences makes shorter ones, each as long as a power of two, which need no padding.
 
 Defined cases: a null text is the empty text and gives one piece, the end id; equal documents are
 packed apart; an empty table gives no row; columns other than the two named ones are not read.
@@ -27,23 +28,23 @@ from .textops import slices
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
-#: Rests in a group: at most that many times CAPACITY tokens of two bytes are in one task.
-DOCS_PER_GROUP = 2048
+#: Bytes of text and documents of a group, whose rests are in one task: many sequences, so that only few are short ones.
+GROUP_BYTES, DOCS_PER_GROUP = 4 << 20, 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = "bucket long, place long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def balance(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece. All sequences are full but the last, which is as long as what is left.
+    """(document, start, length, sequence, offset) of each piece. All sequences are full; behind those of full capacity come one for each power of two in what is left.
 
     Documents come by descending cost, ties by position; the cheapest sequence with room for the whole document takes it.
     """
     total = int(sizes.sum())
     if not total:
         return []
-    count = -(-total // capacity)
-    room = np.full(count, capacity, np.int64)
-    room[-1] = total - capacity * (count - 1)
+    left = total % capacity
+    room = np.array([capacity] * (total // capacity) + [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1], np.int64)
+    count = len(room)
     used, costs, out = np.zeros(count, np.int64), np.zeros(count), []
     waiting = [(-(linear * n + quadratic * n * n), i, 0, n) for i, n in enumerate(sizes.tolist()) if n]
     heapq.heapify(waiting)
@@ -63,11 +64,12 @@ def balance(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, qu
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY, docs_per_group: int = DOCS_PER_GROUP, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY, docs_per_group: int = DOCS_PER_GROUP, group_bytes: int = GROUP_BYTES, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with their sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     vocabulary = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    groups = max(1, -(-docs.select(id_col).count() // docs_per_group))
+    count, volume = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-count // docs_per_group), -(-volume // group_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full sequences with their digest, and the rest of each document with its ids; bucket deals by the row's place, so equal rows spread."""

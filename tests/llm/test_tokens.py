@@ -153,10 +153,30 @@ def check_pack(pieces, docs, library, capacity=4096):
     return by
 
 
+def padding(by, capacity=4096):
+    """Tokens added to the sequences, which have the capacity's length unless theirs is a power of two."""
+    lengths = [sum(p.length for p in own) for own in by.values()]
+    return sum(capacity - n for n in lengths if n & (n - 1))
+
+
+def test_short_documents_leave_no_padding(spark, library):
+    rng = np.random.default_rng(2)
+    for texts in (["word"] * 3000, ["a few words " * int(n) for n in rng.integers(1, 6, 3000)], ["one", "a longer text " * 300, ""] * 200):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        pieces = packing.pack(docs).collect()
+        by = {}
+        for p in pieces:
+            by.setdefault(p.sequence_id, []).append(p)
+        assert padding(by) == 0
+        assert sum(p.length for p in pieces) == sum(len(x) for x in map(library, texts))
+        lengths = [sum(p.length for p in own) for own in by.values()]
+        assert sum(n < 4096 for n in lengths) <= 12
+
+
 def test_packing(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     by = check_pack(packing.pack(docs).collect(), docs.collect(), library)
-    assert sum(sum(p.length for p in own) < 4096 for own in by.values()) == 1
+    assert padding(by) == 0
     check_pack(packing.pack(odd(spark), capacity=64, docs_per_group=3).collect(), odd(spark).collect(), library, 64)
     assert packing.pack(empty(spark)).collect() == []
 
@@ -173,7 +193,8 @@ def test_balance(sizes):
         assert offset == full.get(s, 0)
         full[s] = offset + n
     assert [len(c) for c in covered] == sizes
-    assert sum(n < 100 for n in full.values()) <= 1 and all(n <= 100 for n in full.values())
+    short = [n for n in full.values() if n != 100]
+    assert all(n < 100 and n & (n - 1) == 0 for n in short) and len(set(short)) == len(short)
 
 
 def test_balance_takes_the_cheapest():
@@ -195,8 +216,7 @@ def test_balance_cuts_only_what_fits_nowhere():
     sizes = np.concatenate([rng.integers(1500, 4000, 400), rng.integers(1, 900, 900)])
     found = packing.balance(sizes, 4096)
     total = int(sizes.sum())
-    room = np.full(-(-total // 4096), 4096)
-    room[-1] = total - 4096 * (len(room) - 1)
+    room = np.array([4096] * (total // 4096) + [1 << k for k in range(11, -1, -1) if total >> k & 1])
     for i, start, n, s, _ in found:
         assert start + n == sizes[i] or room.max() < sizes[i] - start
         room[s] -= n
