@@ -6,7 +6,8 @@ a text's is the product over its words. Probabilities come from labelled texts b
 maximisation over the same lattice.
 
 Learning reads a bounded sample: about docs_per_language labelled documents of each language, chosen
-by a hash of the doc_id, and of these the words of up to learn_letters letters. There is no bound on the
+by a hash of the doc_id, and all their words; those of more than learn_letters letters, as scripts without blanks have them,
+are learned window by window, so that no letter is left out. There is no bound on the
 number of languages: the table of probabilities takes 256 KB a language in each worker, and all else is
 sized so that it does not grow with it. Prediction covers every text, whatever the length of its
 words, and reads nothing but the text.
@@ -62,6 +63,15 @@ def letter_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return out, np.append(opens + np.arange(len(some)), len(out)), some, count
 
 
+def windows(begin: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut into windows of at most that many letters: their offsets, and the run of each."""
+    length = np.diff(begin)
+    count = -(-length // most)
+    run = np.repeat(np.arange(len(length)), count)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    return np.append(begin[:-1][run] + nth * most, begin[-1]), run
+
+
 class Lattice:
     """The pieces of a vocabulary, found in runs of code points by hash."""
 
@@ -299,10 +309,8 @@ def learn(labelled: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANG
                     continue
                 weight = batch.column("n").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
                 codes, begin, word, count = letter_words(batch.column("word").to_pylist())
-                short = np.flatnonzero(np.diff(begin) <= learn_letters + 1)
-                keep = np.repeat(np.diff(begin) <= learn_letters + 1, np.diff(begin))
-                begin = np.append(0, np.cumsum(np.diff(begin)[short]))
-                own, gained = lattice(path).expected(codes[keep], begin, weight[word[short]], shared.value)
+                begin, run = windows(begin, learn_letters + 1)
+                own, gained = lattice(path).expected(codes, begin, weight[word[run]], shared.value)
                 total, likelihood = own if total is None else total + own, likelihood + gained
             if total is not None:
                 piece, language = np.nonzero(total)

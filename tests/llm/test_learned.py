@@ -113,6 +113,21 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_languages_written_without_blanks(spark):
+    """Runs of 40 letters are learned like others: two languages of one script, told apart by their letters' frequencies."""
+    rng = np.random.default_rng(3)
+    letters = {"xa": "アイウエオカキ", "xb": "ラリルレロワン"}
+    run = lambda lang: "".join(rng.choice(list(letters[lang] + "ーノ"), 40))
+    rows = [(i, "。".join(run(lang) for _ in range(5)).replace("。", " "), lang) for i in range(400) for lang in [("xa", "xb")[i % 2]]]
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_windows_hold_every_letter():
+    begin, run = language_id.windows(np.array([0, 3, 3, 40, 41]), 16)
+    assert begin.tolist() == [0, 3, 19, 35, 40, 41] and run.tolist() == [0, 2, 2, 2, 3]
+
+
 def test_language_of_odd_rows(spark):
     rows = language_id.language_id(odd(spark)).collect()
     assert len(rows) == odd(spark).count()
