@@ -8,7 +8,8 @@ parts, exactly, in double precision.
 The sample has at most sample_rows vectors, the first by a hash of the id; all rows are indexed. The
 number of parts grows with the root of the table, up to one for each ROWS_PER_PART sampled vectors. A
 tenth of the sample is kept from learning: the number of parts to probe is the smallest with
-which the kept vectors' neighbours in the sample are found at the rate target_recall. So clustered
+which the kept vectors' k nearest in the sample, k being that of the search, are found at the rate target_recall. As the
+k nearest of a sample lie farther off than those of the table, and the rate is above the one to reach, there is a margin. So clustered
 vectors are searched in few parts, and vectors without clusters in as many as it takes.
 
 Parts are packed into blocks of bounded size, a larger part being cut into several by a hash; a
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .vectors import best, divisible, lists, matrix, usable, width
 
-SAMPLE_ROWS, ROWS_PER_PART, DEGREE, TARGET_RECALL, BLOCK_ROWS, BLOCK_QUERIES = 16_384, 64, 10, 0.95, 65_536, 65_536
+SAMPLE_ROWS, ROWS_PER_PART, DEGREE, TARGET_RECALL, BLOCK_ROWS, BLOCK_QUERIES = 16_384, 64, 10, 0.97, 65_536, 65_536
 
 
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -122,7 +123,7 @@ class Router:
 
 def probes_needed(router: Router, unit: np.ndarray, kept: np.ndarray, x: np.ndarray, target_recall: float, degree: int = DEGREE) -> int:
     """Parts to probe so that kept vectors find their nearest ones of the sample x (unit: x at length one) at that rate."""
-    parts = len(router.w[3])
+    parts, degree = len(router.w[3]), min(degree, len(x))
     near = np.concatenate([np.argpartition(-(kept[a : a + 128] @ x.T), degree - 1, axis=1)[:, :degree] for a in range(0, len(kept), 128)])
     own = router.logits(unit).argmax(1)
     rank = np.argsort(np.argsort(-router.logits(_unit(kept)), axis=1, kind="stable"), axis=1)
@@ -134,7 +135,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def learn(rows: DataFrame, count: int, sample_rows: int = SAMPLE_ROWS, rows_per_part: int = ROWS_PER_PART, target_recall: float = TARGET_RECALL) -> tuple[Router | None, int, int]:
+def learn(rows: DataFrame, count: int, sample_rows: int = SAMPLE_ROWS, rows_per_part: int = ROWS_PER_PART, target_recall: float = TARGET_RECALL, k: int = DEGREE) -> tuple[Router | None, int, int]:
     """Fit the router on the sample; the sampled vectors' width, and the parts to probe."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     if not sample.num_rows:
@@ -154,7 +155,7 @@ def learn(rows: DataFrame, count: int, sample_rows: int = SAMPLE_ROWS, rows_per_
     target[np.arange(len(x)), part] += 1
     target /= target.sum(1, keepdims=True)
     router = Router(wide, parts).fit(unit, target)
-    return router, wide, probes_needed(router, unit, kept, x, target_recall)
+    return router, wide, probes_needed(router, unit, kept, x, target_recall, k)
 
 
 def deal(counts: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -212,7 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | No
     """query_id, rank, vec_id, score: the k nearest found of each query. probes: parts to search instead of those that target_recall takes."""
     rows = usable(vectors, id_col, vector_col, zero=False)
     asked = usable(queries, id_col, vector_col, zero=False).groupBy("vec_id").agg(F.min("v").alias("v"))
-    router, wide, enough = learn(rows, vectors.select(id_col).count(), sample_rows, rows_per_part, target_recall)
+    router, wide, enough = learn(rows, vectors.select(id_col).count(), sample_rows, rows_per_part, target_recall, k)
     if router is None:
         return rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     parts = len(router.w[3])

@@ -100,7 +100,7 @@ def recall_and_share(spark, rows, **options):
     near[asking[:, None] == ids[None, :]] = -np.inf
     want = {int(q): [(int(i), 0.0) for i in np.lexsort((ids, -row))[:20]] for q, row in zip(asking, near)}
     usable = vectors(spark, rows)
-    router, wide, probes = neighbours.learn(usable.selectExpr("vec_id", "cast(embedding as array<double>) as v"), len(rows))
+    router, wide, probes = neighbours.learn(usable.selectExpr("vec_id", "cast(embedding as array<double>) as v"), len(rows), k=20)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sizes = np.bincount(router.logits(unit).argmax(1), minlength=len(router.w[3]))
     share = sizes[np.argsort(-router.logits(unit[asking]), 1)[:, :probes]].sum() / (len(asking) * len(x))
@@ -121,6 +121,22 @@ def test_clusters_are_searched_in_few_parts(spark):
     assert got >= 0.9 and share < 0.3
 
 
+def test_recall_where_one_cluster_holds_most(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (20, 32))
+    which = np.where(rng.random(6000) < 5 / 6, 0, rng.integers(1, 20, 6000))
+    x = (centres[which] + rng.normal(0, 0.3, (6000, 32))).astype(np.float32)
+    got, _ = recall_and_share(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    assert got >= 0.93
+
+
+def test_recall_with_uneven_lengths(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(0, 1, (5000, 32)) * rng.lognormal(0, 1, (5000, 1))).astype(np.float32)
+    got, _ = recall_and_share(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    assert got >= 0.93
+
+
 def test_equal_vectors(spark):
     """A third of all rows are one vector: each query finds the smallest ids, and no block puts out more than k rows a query."""
     rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else v) for i, v in rows_of(7, 3000, 3)]
