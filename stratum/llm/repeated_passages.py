@@ -17,6 +17,9 @@ window of the anchor holds.
    in ranges, with a key of the longer string that all windows of a range hold, and at last window by window, where the
    string is the window itself and counting settles it. So no key is ever gathered beyond a bin's bound, and none is dropped.
 
+The texts are dealt once, into a bucketed table of the session's catalogue; the reading of contexts and the last step find
+them there without another shuffle. Like other intermediate tables it lies in the shared folder and is read by the lazy result.
+
 Windows are in one context each, so a context never meets itself at the same place. Hashes route and count; equal
 contexts are taken as equal by 128 bits of hash (that of the key and its own).
 
@@ -33,19 +36,20 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 from .run_length_index import RunLengthIndex, _eights
 from .textops import buffers, slices
 
 #: Bytes of a window, and its first bytes among which the anchor is chosen.
-LENGTH, SPAN = 400, 256
-#: Contexts of a key that a bin takes; bytes of a bin; distances of a range when a key is split, from coarse to single ones; windows worked through at once.
-KEY_CONTEXTS, BIN_BYTES, RANGES, PIECE = 1000, 1_000_000, (32, 1), 1 << 20
-_CONTEXTS = "key long, ctx long, several boolean, body binary"
-_PICKS = "struct<key: bigint, ctx: bigint, several: boolean, a: int, b: int, p: int>"
+LENGTH, SPAN = 400, 344
+#: Contexts of a key that a bin takes; bytes of a bin; distances of a range when a key is split, from coarse to single ones; windows worked through at once; bytes of texts in a bucket.
+KEY_CONTEXTS, BIN_BYTES, RANGES, PIECE, BUCKET_BYTES = 1000, 1_000_000, (32, 1), 1 << 20, 32 << 20
+#: width: windows of a context; p: bytes from its first to its anchor; several: whether it stands for more than one string of the corpus.
+_CONTEXTS = "key long, ctx long, several boolean, k long, width int, p int, body binary"
+_PICKS = "struct<key: bigint, ctx: bigint, several: boolean, k: bigint, width: int, p: int, a: int>"
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -78,6 +82,9 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, span: int) -> Ite
         yield doc[first], starts[first], starts[np.append(first[1:], len(starts)) - 1], p[first]
 
 
+_ANCHORS = "did long, th long, a int, width int, p int, key long, ctx long"
+
+
 def _anchors(length: int, span: int):
     """Stage 1."""
     held = length - span + 1
@@ -94,7 +101,7 @@ def _anchors(length: int, span: int):
                         ctx.append(xxhash.xxh3_64_intdigest(data[i : j + length], k - i))
                     at = offsets[doc]
                     rows = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("th").take(rows), *(pa.array((x - at).astype(np.int32)) for x in (a, b, p)), _signed(key), _signed(ctx)], ["did", "th", "a", "b", "p", "key", "ctx"])
+                    yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("th").take(rows), *(pa.array(x.astype(np.int32)) for x in (a - at, b - a + 1, p - a)), _signed(key), _signed(ctx)], ["did", "th", "a", "width", "p", "key", "ctx"])
 
     return run
 
@@ -117,30 +124,34 @@ def _contexts(length: int):
         for _, text, picks in _texts(batches):
             for at in range(0, len(picks), 5000):
                 some = picks[at : at + 5000]
-                body = [text[x["a"] : x["b"] + length].tobytes() for x in some]
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in some], pa.int64()), pa.array([x["ctx"] for x in some], pa.int64()), pa.array([x["several"] for x in some], pa.bool_()), pa.array(body, pa.binary())], ["key", "ctx", "several", "body"])
+                body = [text[x["a"] : x["a"] + x["width"] - 1 + length].tobytes() for x in some]
+                cells = [pa.array([x[c] for x in some], k) for c, k in (("key", pa.int64()), ("ctx", pa.int64()), ("several", pa.bool_()), ("k", pa.int64()), ("width", pa.int32()), ("p", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(body, pa.binary())], ["key", "ctx", "several", "k", "width", "p", "body"])
 
     return run
 
 
+_PARTS = "pkey long, pctx long, off int, key long, ctx long, several boolean, width int, p int, body binary"
+
+
 def _parts(length: int, size: int):
-    """Stage 4: the picked contexts of each text, cut by the windows' distance from the anchor."""
-    names = ["pkey", "pctx", "off", "did", "th", "a", "b", "p", "key", "ctx", "several"]
+    """Stage 4: contexts cut by the windows' distance from the anchor. Single windows need no bytes: they are settled by counting."""
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), None, None, pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for (did, th), text, picks in _texts(batches):
-            for x in picks:
-                a, b, p = x["a"], x["b"], x["p"]
-                for q in range((p - b) // size, (p - a) // size + 1):
-                    low, high = max(a, p - q * size - size + 1), min(b, p - q * size)
-                    begin, end = p - q * size, p - q * size - size + 1 + length
-                    key = xxhash.xxh3_64_intdigest(text[begin:end], size << 16 | q)
-                    yield x["key"], x["ctx"], low - a, did, th, low, high, p, key, xxhash.xxh3_64_intdigest(text[low : high + length], p - low), x["several"]
+        for batch in batches:
+            for x in batch.to_pylist():
+                body, last, p = memoryview(x["body"]), x["width"] - 1, x["p"]
+                for q in range((p - last) // size, p // size + 1):
+                    low, high = max(0, p - q * size - size + 1), min(last, p - q * size)
+                    key = xxhash.xxh3_64_intdigest(body[p - q * size : p - q * size - size + 1 + length], size << 16 | q)
+                    part = body[low : high + length]
+                    yield x["key"], x["ctx"], low, key, xxhash.xxh3_64_intdigest(part, p - low), x["several"], high - low + 1, p - low, part.tobytes() if size > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), None, None, pa.bool_()]
         found = rows(batches)
-        while some := list(islice(found, 20_000)):
+        while some := list(islice(found, 5_000)):
             yield pa.RecordBatch.from_arrays([_signed(c) if k is None else pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
 
     return run
@@ -172,38 +183,42 @@ def _solve(length: int):
     return run
 
 
-def _repeated(cands: DataFrame, texts: DataFrame, ids: list[Column], length: int, level: int, ranges: tuple[int, ...], key_contexts: int, bin_bytes: int) -> DataFrame:
-    """id1, id2, lo, hi: ranges of repeated windows of all candidates, where ids gives id1, id2 and what is added to a range of a candidate.
-
-    cands: did, th, a, b, p, key, ctx, several (whether the candidate stands for more than one string in the corpus).
-    """
-    id1, id2, base = ids
-    span = lambda lo, hi: [id1.alias("id1"), id2.alias("id2"), (base + lo).cast("int").alias("lo"), (base + hi).cast("int").alias("hi")]
-    whole = span(F.lit(0), F.col("b") - F.col("a"))
-    repeats = cands.groupBy("key").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("c > 1")
-    live = written(cands.join(written(repeats, "keys"), "key"), "live")
-    out = live.where("low = high").select(*whole)
-    open_ = live.where("low <> high")
-    items = open_.groupBy("key", "ctx").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("m"), F.min(F.struct("did", "th", "a", "b", "p")).alias("place"))
-    items = written(items.select("key", "ctx", (F.col("m") > 1).alias("several"), "place.*"), "contexts")
-    sizes = written(items.groupBy("key").agg(F.count("*").alias("k")), "sizes")
-    items = written(items.join(sizes, "key"), "sized")
+def _found(items: DataFrame, length: int, level: int, ranges: tuple[int, ...], key_contexts: int, bin_bytes: int) -> DataFrame:
+    """key, ctx, lo, hi: ranges of the repeated windows of contexts, which are distinct, of keys with k > 1 of them."""
     few, many = items.where(F.col("k") <= key_contexts), items.where(F.col("k") > key_contexts)
-    picks = lambda some: some.groupBy("did", "th").agg(F.collect_list(F.struct("key", "ctx", "several", "a", "b", "p").cast(_PICKS)).alias("picks"))
-    volume = few.agg(F.coalesce(F.sum(F.col("b") - F.col("a") + length), F.lit(0))).first()[0]
-    found = items.where("several").select("key", "ctx", F.lit(0).alias("lo"), (F.col("b") - F.col("a")).alias("hi"))
+    out = items.where("several").select("key", "ctx", F.lit(0).alias("lo"), (F.col("width") - 1).alias("hi"))
+    volume = few.agg(F.coalesce(F.sum(F.col("width") + length), F.lit(0))).first()[0]
     if volume:
-        bins = max(1, -(-volume // bin_bytes))
-        bodies = texts.join(picks(few), ["did", "th"]).select("did", "th", "text", "picks").mapInArrow(_contexts(length), _CONTEXTS)
-        solved = bodies.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInArrow(_solve(length), "key long, ctx long, lo int, hi int")
-        found = found.unionByName(solved)
+        dealt = few.select("key", "ctx", "several", "body", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-volume // bin_bytes)))).alias("bin"))
+        out = out.unionByName(dealt.groupBy("bin").applyInArrow(_solve(length), "key long, ctx long, lo int, hi int"))
     if level < len(ranges) and many.take(1):
-        schema = "pkey long, pctx long, off int, did long, th long, a int, b int, p int, key long, ctx long, several boolean"
-        parts = written(texts.join(picks(many), ["did", "th"]).select("did", "th", "text", "picks").mapInArrow(_parts(length, ranges[level]), schema), "parts")
-        inner = _repeated(parts, texts, [F.col("pkey"), F.col("pctx"), F.col("off")], length, level + 1, ranges, key_contexts, bin_bytes)
-        found = found.unionByName(inner.select(F.col("id1").alias("key"), F.col("id2").alias("ctx"), "lo", "hi"))
-    found = written(found, "found")
-    return out.unionByName(open_.join(found, ["key", "ctx"]).select(*span(F.col("lo"), F.col("hi"))))
+        parts = written(many.mapInArrow(_parts(length, ranges[level]), _PARTS), "parts")
+        weight = F.sum(F.when(F.col("several"), 2).otherwise(1))
+        keys = parts.groupBy("key").agg(weight.alias("c"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("c > 1")
+        live = written(parts.join(written(keys, "keys"), "key"), "live")
+        of_parent = lambda lo, hi: [F.col("pkey").alias("key"), F.col("pctx").alias("ctx"), (F.col("off") + lo).alias("lo"), (F.col("off") + hi).alias("hi")]
+        out = out.unionByName(live.where("low = high").select(*of_parent(F.lit(0), F.col("width") - 1)))
+        open_ = live.where("low <> high")
+        inner = open_.groupBy("key", "ctx").agg(weight.alias("m"), F.any_value(F.struct("width", "p", "body")).alias("x"))
+        inner = written(inner.select("key", "ctx", (F.col("m") > 1).alias("several"), "x.*"), "inner")
+        inner = written(inner.join(written(inner.groupBy("key").agg(F.count("*").alias("k")), "sizes"), "key"), "contexts")
+        found = written(_found(inner, length, level + 1, ranges, key_contexts, bin_bytes), "found")
+        out = out.unionByName(open_.drop("low", "high").join(found, ["key", "ctx"]).select(*of_parent(F.col("lo"), F.col("hi"))))
+    return out
+
+
+def _repeated(cands: DataFrame, texts: DataFrame, length: int, ranges: tuple[int, ...], key_contexts: int, bin_bytes: int) -> DataFrame:
+    """did, th, lo, hi: ranges of repeated windows, of cands(did, th, a, width, p, key, ctx)."""
+    keys = cands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    live = written(cands.join(written(keys, "keys"), "key", "left_semi"), "live")
+    items = live.groupBy("key", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("did", "th", "a", "width", "p")).alias("place"))
+    items = written(items.select("key", "ctx", (F.col("m") > 1).alias("several"), "place.*"), "items")
+    items = written(items.join(written(items.groupBy("key").agg(F.count("*").alias("k")), "sizes"), "key"), "sized")
+    alone = items.where("k = 1").select("key", "ctx", F.lit(0).alias("lo"), (F.col("width") - 1).alias("hi"))
+    picks = items.where("k > 1").groupBy("did", "th").agg(F.collect_list(F.struct("key", "ctx", "several", "k", "width", "p", "a").cast(_PICKS)).alias("picks"))
+    contexts = written(texts.join(picks, ["did", "th"]).select("did", "th", "text", "picks").mapInArrow(_contexts(length), _CONTEXTS), "contexts")
+    found = written(alone.unionByName(_found(contexts, length, 0, ranges, key_contexts, bin_bytes)), "found")
+    return live.join(found, ["key", "ctx"]).select("did", "th", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
 
 
 def _spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -236,18 +251,26 @@ def _cut(length: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", key_contexts: int = KEY_CONTEXTS, bin_bytes: int = BIN_BYTES, ranges: tuple[int, ...] = RANGES) -> DataFrame:
+def _bucketed(rows: DataFrame, bucket_bytes: int) -> DataFrame:
+    """rows as a table in buckets by did and th, whose joins on these need no shuffle of the texts."""
+    spark = rows.sparkSession
+    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets, path = min(100_000, max(4, -(-volume // bucket_bytes))), shared_dir(spark)
+    name = f"texts_{path[-32:]}"
+    rows.repartition(buckets, "did", "th").write.bucketBy(buckets, "did", "th").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", key_contexts: int = KEY_CONTEXTS, bin_bytes: int = BIN_BYTES, ranges: tuple[int, ...] = RANGES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of the removed runs, in bytes) and kept (the remaining bytes) of each document."""
     if not 8 <= length - span + 1 <= length or ranges[-1] != 1:
         raise ValueError("a window must hold eight bytes from its anchor on, and keys must be split down to single windows")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # a row is known by its id and a hash of id and text; rows equal in both have equal results
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"), "text")
-    found = rows.select("did", "th", "text").mapInArrow(_anchors(length, span), "did long, th long, a int, b int, p int, key long, ctx long")
-    cands = written(found, "anchors").withColumn("several", F.lit(False))
-    texts = rows.where(F.octet_length("text") >= length).select("did", "th", "text")
-    hits = _repeated(cands, texts, [F.col("did"), F.col("th"), F.col("a")], length, 0, ranges, key_contexts, bin_bytes)
-    by_row = written(hits.groupBy(F.col("id1").alias("did"), F.col("id2").alias("th")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    rows = _bucketed(rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"), "text"), bucket_bytes)
+    cands = written(rows.select("did", "th", "text").mapInArrow(_anchors(length, span), _ANCHORS), "anchors")
+    hits = _repeated(cands, rows.where(F.octet_length("text") >= length).select("did", "th", "text"), length, ranges, key_contexts, bin_bytes)
+    by_row = written(hits.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     return rows.join(by_row, ["did", "th"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
 
 

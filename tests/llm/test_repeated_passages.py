@@ -64,14 +64,14 @@ def test_each_window_has_one_anchor_that_its_bytes_decide():
     texts = [draw.integers(97, 100, n).astype(np.uint8) for n in (10, 400, 0, 1500, 399)] + [np.full(900, 120, np.uint8)]
     buf, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     seen = {}
-    for doc, a, b, p in anchors(buf, offsets, 400, 256):
+    for doc, a, b, p in anchors(buf, offsets, 400, 344):
         for d, i, j, k in zip(doc.tolist(), a.tolist(), b.tolist(), p.tolist()):
             for s in range(i, j + 1):
-                assert s not in seen and offsets[d] <= s <= offsets[d + 1] - 400 and s <= k < s + 256
+                assert s not in seen and offsets[d] <= s <= offsets[d + 1] - 400 and s <= k < s + 344
                 seen[s] = k - s
     assert len(seen) == sum(max(0, len(t) - 399) for t in texts)
     again = np.concatenate([buf[1000:1400], buf])
-    moved = {s: k - s for _, a, b, p in anchors(again[:400], np.array([0, 400]), 400, 256) for s, k in zip(a.tolist(), p.tolist())}
+    moved = {s: k - s for _, a, b, p in anchors(again[:400], np.array([0, 400]), 400, 344) for s, k in zip(a.tolist(), p.tolist())}
     if 1000 in seen:
         assert moved[0] == seen[1000]
 
