@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from ..fixed import COLUMN_MAPPING
 from ..functions.dates import clean_dates, strict_date
 from ..operators import aggregate, clean, quality
+from ..operators.archive import to_archive
 from ..operators.profile import profile
-from ..schema import DATED, DWD, DWS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge, typed
+from ..schema import DATED, DWD, DWS, LAYOUTS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge, typed
 from ..sources.files import read_orders, read_unknown
-from ..sources.store import Store
+from ..sources.warehouse import Warehouse
 from .alerts import Alerts
 from .report import daily_report, data_report
 
@@ -62,7 +63,7 @@ def since(df: DataFrame, date: str, lower: str | datetime | None) -> DataFrame:
 
 
 @step("extract")
-def extract(store: Store, path: str, since_date: str | None = None, incremental: bool = False) -> Result:
+def extract(store: Warehouse, path: str, since_date: str | None = None, incremental: bool = False) -> Result:
     store.create("ods_orders", ODS)
     rows = since(to_ods(read_orders(store.spark, path)), "invoice_date", since_date)
     if incremental:
@@ -74,35 +75,40 @@ def extract(store: Store, path: str, since_date: str | None = None, incremental:
 
 
 @step("quality_check")
-def quality_check(store: Store, threshold: float | None = None) -> Result:
+def quality_check(store: Warehouse, threshold: float | None = None) -> Result:
     row = quality.verdict(quality.classic_check(store.read("ods_orders"), RuntimeSchema(quality_null_threshold=threshold).threshold()).first())
     return {"status": row.pop("status"), "checks": row}
 
 
+def archive(store: Warehouse, rejected: DataFrame, run_id: str, now: datetime) -> int:
+    """Rejected rows in the archive's partition of the run; a run that is repeated replaces its own rows and no other's."""
+    store.layouts.setdefault("rejected_orders", LAYOUTS["rejected_orders"])
+    store.create("rejected_orders", REJECTED)
+    return store.replace_parts("rejected_orders", to_archive(rejected, run_id, now))
+
+
 @step("transform")
-def transform(store: Store, since_date: str | None = None, incremental: bool = False, now: datetime | None = None) -> Result:
-    """Clean detail and rejected rows, each from the tagged rows, which are written once; a null where the detail must have none fails the step."""
-    now = now or datetime.now()
-    for table, schema in (("dwd_orders", DWD), ("rejected_orders", REJECTED)):
-        store.create(table, schema)
+def transform(store: Warehouse, since_date: str | None = None, incremental: bool = False, now: datetime | None = None, run_id: str | None = None) -> Result:
+    """Clean detail, and rejected rows in the archive, each from the tagged rows, which are written and counted once; a null where the detail must have none fails the step."""
+    now, run_id = now or datetime.now(), run_id or uuid.uuid4().hex
+    store.create("dwd_orders", DWD)
     ods = since(store.read("ods_orders"), "invoice_date", since_date)
-    with store.staged(clean.first_match(ods)) as tagged:
-        figures = {r["outcome"]: r["count"] for r in tagged.groupBy("outcome").count().collect()}
-        if not figures:
+    outcomes = {x: F.count_if(F.col("outcome") == x) for x in ("clean", "rejected", "lost")}
+    with store.staged(clean.first_match(ods), **outcomes) as (tagged, seen):
+        if not seen["n"]:
             return {"status": "skipped", "reason": "ODS 表为空", "rows": 0}
         good, bad, _ = clean.split_first(tagged)
-        stamp = F.lit(now).cast("timestamp_ntz")
-        frames = {"dwd_orders": good.withColumn("etl_time", stamp), "rejected_orders": bad.withColumn("rejected_at", stamp)}
+        detail = good.withColumn("etl_time", F.lit(now).cast("timestamp_ntz"))
         if incremental:
-            for table, df in frames.items():
-                store.replace_range(table, df, "invoice_date")
+            store.replace_range("dwd_orders", detail, "invoice_date")
         else:
-            store.publish_each(frames)
-    return {"status": "success"} | {"clean": 0, "rejected": 0, "lost": 0} | figures
+            store.replace("dwd_orders", detail)
+        archive(store, bad, run_id, now)
+    return {"status": "success", "run_id": run_id} | {x: seen[x] for x in outcomes}
 
 
 @step("aggregate")
-def aggregate_daily(store: Store, now: datetime | None = None, replace: bool = False) -> Result:
+def aggregate_daily(store: Warehouse, now: datetime | None = None, replace: bool = False) -> Result:
     """The daily table from all of the detail; by key unless replace, so that dates that vanished stay."""
     detail = store.read("dwd_orders")
     if not detail.take(1):
@@ -114,7 +120,7 @@ def aggregate_daily(store: Store, now: datetime | None = None, replace: bool = F
 
 
 @step("report")
-def report(store: Store, folder: str, now: datetime | None = None) -> Result:
+def report(store: Warehouse, folder: str, now: datetime | None = None) -> Result:
     daily = store.read("dws_sales_daily").drop("etl_time")
     summary = aggregate.summary(daily)
     if "message" in summary:
@@ -123,7 +129,7 @@ def report(store: Store, folder: str, now: datetime | None = None) -> Result:
 
 
 @step("auto_extract")
-def auto_extract(store: Store, path: str, declared: RuntimeSchema | None = None) -> Result:
+def auto_extract(store: Warehouse, path: str, declared: RuntimeSchema | None = None) -> Result:
     """A file of unknown shape into the raw table, under its declared names, with the schema inferred once."""
     declared = declared or RuntimeSchema()
     df = read_unknown(store.spark, path, overrides=declared.dtype_overrides, encodings=declared.csv_encodings)
@@ -134,27 +140,28 @@ def auto_extract(store: Store, path: str, declared: RuntimeSchema | None = None)
 
 
 @step("auto_quality")
-def auto_quality(store: Store, schema: RuntimeSchema) -> Result:
+def auto_quality(store: Warehouse, schema: RuntimeSchema) -> Result:
     row = quality.verdict(quality.schema_check(store.read("ods_orders"), schema).first())
     return {"status": row.pop("status"), "checks": row}
 
 
 @step("auto_transform")
-def auto_transform(store: Store, schema: RuntimeSchema, now: datetime | None = None) -> Result:
-    """Rows by all rules; rejected ones keep all their columns."""
+def auto_transform(store: Warehouse, schema: RuntimeSchema, now: datetime | None = None, run_id: str | None = None) -> Result:
+    """Rows by all rules; rejected ones keep all their columns in the archive, whatever these are."""
+    now, run_id = now or datetime.now(), run_id or uuid.uuid4().hex
     ods = store.read("ods_orders")
     warnings: list[str] = []
-    with store.staged(clean.all_matches(ods, clean.compile_rules(schema, ods.schema))) as tagged:
-        if not tagged.take(1):
+    with store.staged(clean.all_matches(ods, clean.compile_rules(schema, ods.schema))) as (tagged, seen):
+        if not seen["n"]:
             return {"status": "skipped", "rows": 0}
         good, bad = clean.split_all(tagged, schema, warnings.append)
-        stamp = F.lit(now or datetime.now()).cast("timestamp_ntz")
-        store.publish_each({"dwd_orders": good.withColumn("etl_time", stamp), "rejected_orders": bad.withColumn("rejected_at", stamp)})
-    return {"status": "success", "clean": store.read("dwd_orders").count(), "rejected": store.read("rejected_orders").count(), "warnings": warnings}
+        kept = store.dynamic_load("dwd_orders", good.withColumn("etl_time", F.lit(now).cast("timestamp_ntz")))
+        rejected = archive(store, bad, run_id, now)
+    return {"status": "success", "run_id": run_id, "clean": kept, "rejected": rejected, "warnings": warnings}
 
 
 @step("auto_aggregate")
-def auto_aggregate(store: Store, schema: RuntimeSchema, categories: bool = True, **options: Any) -> Result:
+def auto_aggregate(store: Warehouse, schema: RuntimeSchema, categories: bool = True, **options: Any) -> Result:
     """Sums and means, and distinct counts of the categorical columns that the profile found few values of."""
     options["categories"] = categories
     found = aggregate.adaptive(store.read("dwd_orders").drop("etl_time"), schema, **options)
@@ -165,17 +172,20 @@ def auto_aggregate(store: Store, schema: RuntimeSchema, categories: bool = True,
 
 
 @step("auto_report")
-def auto_report(store: Store, folder: str, summary: dict[str, Any], now: datetime | None = None) -> Result:
+def auto_report(store: Warehouse, folder: str, summary: dict[str, Any], now: datetime | None = None) -> Result:
     return {"status": "success", "path": data_report(store.read("dws_adaptive"), summary, folder, now)}
 
 
 class RunLog:
-    """Start and end of each run as appended events; the state of a run is its last event."""
+    """Start and end of each run as appended events; the state of a run is its last event. Each event is a file until compact() merges them."""
 
-    def __init__(self, store: Store, table: str = "etl_task_logs"):
+    def __init__(self, store: Warehouse, table: str = "etl_task_logs"):
         self.store, self.table = store, table
         store.create(table, RUN_LOG)
 
+    def compact(self) -> int:
+        return self.store.compact(self.table)
+
     def _add(self, run_id: str, task: str, status: str, duration: float | None = None, error: str | None = None) -> None:
         row = [(run_id, task, status, datetime.now(), None if duration is None else f"{duration:.2f}", None if error is None else error[:1000])]
         df = self.store.spark.createDataFrame(row, "run_id string, task_name string, status string, at timestamp_ntz, duration string, error_message string")
@@ -231,13 +241,13 @@ class Pipeline:
 
 def classic_pipeline(spark: SparkSession, root: str, csv_path: str, reports: str, since_date: str | None = None, incremental: bool = False, **options: Any) -> Pipeline:
     """Extract, check, transform, aggregate, report."""
-    store = Store(spark, root, DATED)
-    lower = since_date if incremental else None
+    store = Warehouse(spark, root, DATED, layouts=LAYOUTS)
+    lower, run_id = since_date if incremental else None, uuid.uuid4().hex
     return Pipeline(
         [
             ("extract", lambda: extract(store, csv_path, lower, incremental)),
             ("quality_check", lambda: quality_check(store)),
-            ("transform", lambda: transform(store, lower, incremental)),
+            ("transform", lambda: transform(store, lower, incremental, run_id=run_id)),
             ("aggregate", lambda: aggregate_daily(store)),
             ("report", lambda: report(store, reports)),
         ],
@@ -248,7 +258,7 @@ def classic_pipeline(spark: SparkSession, root: str, csv_path: str, reports: str
 
 def auto_pipeline(spark: SparkSession, root: str, csv_path: str, reports: str, declared: RuntimeSchema | None = None) -> list[Result]:
     """The adaptive steps over one file; the schema is inferred once and handed on."""
-    store = Store(spark, root)
+    store = Warehouse(spark, root, layouts={"rejected_orders": LAYOUTS["rejected_orders"]})
     out = [auto_extract(store, csv_path, declared)]
     if out[0]["status"] != "success":
         return out

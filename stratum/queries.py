@@ -7,6 +7,8 @@ expressions that both engines read alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 from .fixed import COLUMN_MAPPING, REASON_CANCELLED, REASON_NO_CUSTOMER, REASON_PRICE, REASON_QUANTITY, SENTINELS
 from .functions.dates import clean_dates
 from .functions.numbers import number_text
-from .operators import aggregate, clean, quality, writes
+from .operators import aggregate, archive, clean, quality, writes
 from .operators.profile import profile, roles_table
 from .plans import steps
 from .plans.steps import since
-from .schema import ODS, RuntimeSchema
+from .schema import LAYOUTS, ODS, RuntimeSchema
 from .session import scratch
 from .sources.files import read_orders, read_unknown
-from .sources.store import Store
+from .sources.warehouse import Layout, Warehouse
 from .streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,8 +432,8 @@ def file_orders(spark, sf_dir):
     return steps.to_ods(read_orders(spark, _orders_file(spark, sf_dir)))
 
 
-def _store(spark: SparkSession, dated: dict[str, str] | None = None) -> Store:
-    return Store(spark, scratch(spark, "store"), dated)
+def _store(spark: SparkSession, dated: dict[str, str] | None = None, **layouts: Layout) -> Warehouse:
+    return Warehouse(spark, scratch(spark, "warehouse"), dated, layouts=layouts)
 
 
 @_register("SELECT o_orderkey, o_custkey FROM orders")
@@ -477,7 +479,7 @@ def store_dynamic_load(spark, sf_dir):
     return store.read("t")
 
 
-def _transformed(spark: SparkSession, sf_dir: str) -> Store:
+def _transformed(spark: SparkSession, sf_dir: str) -> Warehouse:
     store = _store(spark)
     store.create("ods_orders", ODS)
     store.replace("ods_orders", dirty(spark, sf_dir))
@@ -497,6 +499,68 @@ def step_rejected(spark, sf_dir):
     return _transformed(spark, sf_dir).read("rejected_orders").groupBy("rejected_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_register(
+    f"""SELECT 'customers' AS run_id, 'r' AS rejected_reason, c_custkey AS id, c_name AS name, CAST(NULL AS DECIMAL(10, 4)) AS price, CAST(NULL AS TIMESTAMP) AS at FROM customer WHERE c_nationkey = 7
+  UNION ALL SELECT 'orders', {_REASON_SQL}, CAST(replace(invoice_no, 'C', '') AS BIGINT), NULL, unit_price, invoice_date FROM dirty WHERE {_REASON_SQL} IS NOT NULL""",
+    True,
+)
+def archive_two_runs(spark, sf_dir):
+    """Rejected rows of two runs with other columns; the second is run twice, and replaces its own."""
+    store, now = _store(spark), datetime(2024, 1, 1)
+    customers = _rejected(table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("long")).withColumn("name", F.col("c_name")), cancel_rules=[{"column": "c_nationkey", "method": "column_equals", "value": 7, "reason": "r"}])
+    orders = clean.clean_first_match(dirty(spark, sf_dir))[1].withColumn("id", F.replace("invoice_no", F.lit("C"), F.lit("")).cast("long"))
+    steps.archive(store, customers, "customers", now)
+    for rows in (orders.limit(10), orders):
+        steps.archive(store, rows.select("id", F.col("unit_price").alias("price"), F.col("invoice_date").alias("at"), "rejected_reason"), "orders", now)
+    return archive.unfolded(store.read("rejected_orders"), {"id": "bigint", "name": "string", "price": "decimal(10,4)", "at": "timestamp_ntz"})
+
+
+@_register(f"SELECT {_REASON_SQL} AS rejected_reason, sum(unit_price) AS price, min(invoice_date) AS first FROM dirty WHERE {_REASON_SQL} IS NOT NULL GROUP BY 1", True)
+def archive_by_reason(spark, sf_dir):
+    """Figures over archived rows, from their fields."""
+    rows = _transformed(spark, sf_dir).read("rejected_orders")
+    return rows.groupBy("rejected_reason").agg(F.sum(archive.field("unit_price", "decimal(10,4)")).cast("decimal(38,4)").alias("price"), F.min(archive.field("invoice_date", "timestamp_ntz")).alias("first"))
+
+
+def _catalogued(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """Clean detail by month and customer, and customers, both in buckets by customer."""
+    store = _store(spark, {"dwd_orders": "invoice_date"}, dwd_orders=LAYOUTS["dwd_orders"], customers=Layout(bucketed="customer_id"))
+    store.append("dwd_orders", _clean(spark, sf_dir).select("invoice_no", "stock_code", "quantity", "invoice_date", "customer_id", "order_amount"))
+    store.append("customers", table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), "c_name", "c_nationkey"))
+    return store
+
+
+@_register("SELECT c_name, c_nationkey, count(*) AS lines, sum(order_amount) AS amount FROM clean JOIN customer ON customer_id = CAST(c_custkey AS VARCHAR) GROUP BY c_name, c_nationkey, customer_id", True)
+def catalog_customers(spark, sf_dir):
+    """A join and a sum by customer over bucketed tables: no shuffle."""
+    store = _catalogued(spark, sf_dir)
+    by = store.read("dwd_orders").join(store.read("customers"), "customer_id").groupBy("customer_id", "c_name", "c_nationkey")
+    return by.agg(F.count(F.lit(1)).alias("lines"), F.sum("order_amount").cast("decimal(38,4)").alias("amount")).drop("customer_id")
+
+
+@_register("SELECT invoice_no, stock_code, quantity FROM clean WHERE invoice_no IN (SELECT max(invoice_no) FROM clean)", True)
+def catalog_invoice(spark, sf_dir):
+    """The lines of one invoice, found by the files' Bloom filters."""
+    rows = _catalogued(spark, sf_dir).read("dwd_orders")
+    wanted = rows.agg(F.max("invoice_no")).first()[0]
+    return rows.where(F.col("invoice_no") == F.lit(wanted)).select("invoice_no", "stock_code", "quantity")
+
+
+@_register("SELECT 'customers' AS name, 3 AS columns, count(*) AS rows FROM customer UNION ALL SELECT 'dwd_orders', 6, count(*) FROM clean", True)
+def catalog_tables(spark, sf_dir):
+    """The catalogue's tables with their columns, and their rows."""
+    store = _catalogued(spark, sf_dir)
+    counted = [store.read(n).agg(F.lit(n).alias("name"), F.lit(c).alias("columns"), F.count(F.lit(1)).alias("rows")) for n, c in store.tables()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@_register("SELECT CAST(invoice_date AS DATE) AS day, count(*) AS lines FROM clean WHERE invoice_date >= TIMESTAMP '1996-02-10' AND invoice_date < TIMESTAMP '1996-03-05' GROUP BY 1", True)
+def catalog_days(spark, sf_dir):
+    """Days of a dated table: other months' partitions are not read."""
+    span = _catalogued(spark, sf_dir).between("dwd_orders", "1996-02-10", "1996-03-05")
+    return span.groupBy(F.col("invoice_date").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @_register(f"SELECT * REPLACE (CAST(daily_avg_order_amount AS DECIMAL(18, 4)) AS daily_avg_order_amount) FROM ({_DAILY_SQL})", True)
 def step_aggregate(spark, sf_dir):
     store = _transformed(spark, sf_dir)

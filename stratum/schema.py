@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fixed import NULL_RATE_THRESHOLD
+from .sources.warehouse import Layout
 
 _ODS = [
     ("invoice_no", T.StringType()),
@@ -31,7 +32,8 @@ def _struct(columns: list[tuple[str, T.DataType]], required: tuple[str, ...] = (
 
 
 ODS = _struct(_ODS)
-REJECTED = _struct([*_ODS, ("rejected_reason", T.StringType()), ("rejected_at", T.TimestampNTZType())], ("rejected_reason", "rejected_at"))
+#: Rejected rows of all runs, whatever columns they have.
+REJECTED = _struct([("rejected_reason", T.StringType()), ("rejected_at", T.TimestampNTZType()), ("rejected_row", T.VariantType()), ("run_id", T.StringType())], ("rejected_reason", "rejected_at", "run_id"))
 DWD = _struct([*_ODS, ("order_amount", T.DecimalType(12, 4)), ("etl_time", T.TimestampNTZType())], tuple(n for n, _ in _ODS if n != "description") + ("order_amount", "etl_time"))
 DWS = _struct(
     [("stat_date", T.DateType()), ("daily_order_count", T.LongType()), ("daily_customer_count", T.LongType()), ("daily_sales_amount", T.DecimalType(18, 4)), ("daily_avg_order_amount", T.DecimalType(18, 4)), ("etl_time", T.TimestampNTZType())],
@@ -42,7 +44,9 @@ RUN_LOG = _struct(
     ("run_id", "task_name", "status", "at"),
 )
 #: The date column of tables that are partitioned by it.
-DATED = {"ods_orders": "invoice_date", "dwd_orders": "invoice_date", "rejected_orders": "invoice_date"}
+DATED = {"ods_orders": "invoice_date", "dwd_orders": "invoice_date"}
+#: The archive has a partition a run; the detail's rows lie by customer and are found by invoice.
+LAYOUTS = {"rejected_orders": Layout(parts=("run_id",)), "dwd_orders": Layout(bucketed="customer_id", bloom=("invoice_no",))}
 TABLES = {"ods_orders": ODS, "dwd_orders": DWD, "rejected_orders": REJECTED, "dws_sales_daily": DWS, "etl_task_logs": RUN_LOG}
 
 

@@ -10,27 +10,27 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.aggregate import daily_sales
 from ..operators.clean import clean_all_matches
 from ..schema import RuntimeSchema
-from ..sources.store import Store
+from ..sources.warehouse import Layout, Warehouse
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def clean_stream(rows: DataFrame, store: Store, schema: RuntimeSchema, checkpoint: str, detail: str = "dwd_orders", rejected: str = "rejected_orders") -> StreamingQuery:
-    """Each micro-batch is cleaned by all rules and appended to the detail and the rejected table; the batch number keeps a repeated batch out."""
+def clean_stream(rows: DataFrame, store: Warehouse, schema: RuntimeSchema, checkpoint: str, detail: str = "dwd_orders", rejected: str = "rejected_orders") -> StreamingQuery:
+    """Each micro-batch is cleaned by all rules into its own partition of the detail and the rejected table, so a batch that is repeated, or was cut off, replaces itself."""
+    for table in (detail, rejected):
+        store.layouts.setdefault(table, Layout(parts=("_batch",)))
 
     def take(batch: DataFrame, number: int) -> None:
         good, bad = clean_all_matches(batch, schema)
         for table, df in ((detail, good), (rejected, bad)):
-            if store.exists(table) and "_batch" in store.read(table).columns and store.read(table).where(F.col("_batch") == number).take(1):
-                continue
-            store.append(table, df.withColumn("_batch", F.lit(number).cast("long")))
+            store.replace_parts(table, df.withColumn("_batch", F.lit(number).cast("long")))
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_stream(rows: DataFrame, store: Store, date: str, checkpoint: str, detail: str = "dwd_orders", table: str = "dws_sales_daily") -> StreamingQuery:
+def daily_stream(rows: DataFrame, store: Warehouse, date: str, checkpoint: str, detail: str = "dwd_orders", table: str = "dws_sales_daily") -> StreamingQuery:
     """Days met in a micro-batch are summed anew from the detail table and upserted, so late rows count."""
 
     def take(batch: DataFrame, number: int) -> None:
