@@ -110,7 +110,8 @@ class Warehouse:
             columns.append(f"{PART} date")
         ddl = f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({', '.join(columns)}) USING parquet"
         if layout.bloom:
-            ddl += " OPTIONS (" + ", ".join(f"'parquet.bloom.filter.enabled#{c}' 'true'" for c in layout.bloom) + ")"
+            options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in layout.bloom} | {"parquet.bloom.filter.adaptive.enabled": "true"}  # as large as a file's values need
+            ddl += " OPTIONS (" + ", ".join(f"'{k}' '{v}'" for k, v in options.items()) + ")"
         if layout.parts:
             ddl += f" PARTITIONED BY ({', '.join(f'`{c}`' for c in layout.parts)})"
         if layout.bucketed:
