@@ -395,6 +395,37 @@ def file_folder(spark, sf_dir):
     return read_unknown(spark, path)
 
 
+@_register("SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 4 = 2 THEN n_regionkey END AS region FROM nation")
+def file_layouts(spark, sf_dir):
+    """One folder: columns in other orders, a title in one file, other separators, a column that one file alone has."""
+    path, nation = scratch(spark, "layouts"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    shapes = [(["id", "name"], ",", None), (["name", "id"], ";", None), (["region", "id", "name"], "\t", "Nations by region"), (["id", "name"], "|", None)]
+    for k, (columns, sep, title) in enumerate(shapes):
+        own = nation.where(F.col("id") % 4 == k)
+        lines = own.select(F.concat(F.lit("2"), F.lpad("id", 3, "0")).alias("at"), F.concat_ws(sep, *columns).alias("line"))
+        ahead = spark.createDataFrame([("1", sep.join(columns)), *([("0", title)] if title else [])], "at string, line string")
+        lines.unionByName(ahead).coalesce(1).sortWithinPartitions("at").select("line").write.mode("append").text(path)
+    return read_unknown(spark, path)
+
+
+@_register("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'Zürich ' || chr(65533) ELSE c_name END AS name FROM customer")
+def file_replacement_signs(spark, sf_dir):
+    """Text that holds replacement signs is read as it is."""
+    path = scratch(spark, "signs")
+    name = F.when(F.col("c_custkey") % 5 == 0, F.lit("Zürich \ufffd")).otherwise(F.col("c_name"))
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("name")).write.option("header", True).csv(path)
+    return read_unknown(spark, path)
+
+
+@_register("SELECT c_custkey AS id, 'Zoë Müller-' || c_name AS name, c_nationkey AS nation FROM customer")
+def file_encodings(spark, sf_dir):
+    """Files of three encodings in one folder, none of them declared."""
+    path, rows = scratch(spark, "encodings"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Zoë Müller-"), "c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    for k, encoding in enumerate(("ISO-8859-1", "UTF-16LE", "UTF-8")):
+        rows.where(F.col("id") % 3 == k).repartition(2).write.mode("append").option("header", True).option("encoding", encoding).csv(path)
+    return read_unknown(spark, path)
+
+
 def _text_file(spark: SparkSession, rows: DataFrame, ahead: list[str], behind: list[str], encoding: str = "UTF-8") -> str:
     """One delimited file: lines, the rows in the order of their first column, lines."""
     path = scratch(spark, "file")

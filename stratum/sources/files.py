@@ -1,100 +1,53 @@
 """Delimited files of unknown shape.
 
-The driver looks at a bounded head of the file (of a folder or pattern: of its first file with text)
-and settles encoding, separator and header; the rows are then read by Spark as text, repaired by
-Column expressions, and typed by one aggregation. Paths are those of any file system that Spark reads.
+One distributed job looks at a bounded head of every file and settles its encoding, separator, title and header, so the files of a
+folder may differ in all of these. Files of one layout are read together by Spark, as lines, cut
+into fields and repaired by Column expressions; their columns meet by name, and are typed by one aggregation. Lines are decoded by
+Spark where it knows the encoding, and by Python's codecs in Arrow batches otherwise. Paths are those of any file system that Spark reads.
+
+What a file has beyond its head is checked, too: lines that are not UTF-8 in a file that looked like it. Where they are more than the
+lines that only UTF-8 explains, the file is read in the encoding that they look like; else their broken bytes become replacement signs.
 """
 
 from __future__ import annotations
 
 import csv
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
+from functools import reduce
 from statistics import median
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..fixed import BOMS, COLUMN_MAPPING, SEPARATORS, STRING_COLUMNS, TAIL_ROW, TRIAL_ENCODINGS
+from ..fixed import COLUMN_MAPPING, SEPARATORS, STRING_COLUMNS, TAIL_ROW
 from ..functions.numbers import known
+from ..session import ship_package
+from .encodings import CODECS, detect_encoding
 
 HEAD_LINES, SNIFF_LINES, PROBE_BYTES = 15, 10, 100_000
 _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
 _INT, _FLOAT, _BOOL = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^(True|False|TRUE|FALSE|true|false)$"
 
 
-@dataclass
+@dataclass(frozen=True)
 class Layout:
-    """What the head of a file tells: skip is the number of lines before the first data line."""
+    """What the head of a file tells: skip is the number of lines with text before the first data line, headed whether one of them names the columns."""
 
     encoding: str
     separator: str
-    columns: list[str]
+    columns: tuple[str, ...]
     skip: int
-    rows_estimate: int
-    files: int = 1
-
-
-def _head(spark: SparkSession, path: str) -> tuple[bytes, int, int]:
-    """The first bytes of the first file that has some, and size and number of all files."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s for s in fs.globStatus(hadoop) or []]
-    if not found:
-        raise FileNotFoundError(path)
-    files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
-    files = sorted((f for f in files if f.getLen()), key=lambda f: f.getPath().toString())
-    if not files:
-        raise ValueError(f"{path} is empty")
-    stream = fs.open(files[0].getPath())
-    try:
-        return bytes(stream.readNBytes(PROBE_BYTES)), sum(f.getLen() for f in files), len(files)
-    finally:
-        stream.close()
-
-
-def _decodes(head: bytes, encoding: str, cut_off: bool) -> bool:
-    """cut_off: whether the head may end inside a character."""
-    for cut in range(4 if cut_off else 1):
-        try:
-            head[: len(head) - cut].decode(encoding)
-            return True
-        except UnicodeDecodeError:
-            continue
-    return False
-
-
-def _double_bytes(head: bytes) -> str | None:
-    """gbk or big5 where the bytes beyond ASCII come as pairs of these: runs of two upper bytes, or lead bytes of common signs before any trail byte."""
-    upper = sum(b >= 0x80 for b in head)
-    if upper < 2:
-        return None
-    runs = [len(r) for r in re.findall(rb"[\x81-\xfe]+", head)]
-    if sum(n for n in runs if n % 2 == 0 or n > 3) >= 0.9 * upper and _decodes(head, "gbk", True):
-        return "gbk"
-    pairs = re.findall(rb"[\x81-\xfe][\x40-\x7e\xa1-\xfe]", head)
-    common = sum(0xA4 <= p[0] <= 0xC6 for p in pairs)
-    return "big5" if len(pairs) >= 4 and common >= 0.95 * len(pairs) and _decodes(head, "big5", True) else None
-
-
-def detect_encoding(head: bytes, cut_off: bool = False, encodings: list[str] | None = None) -> str:
-    """The encoding that the byte order mark names; else the first of encodings that decodes the head; without those, what the bytes look like."""
-    for mark, encoding in BOMS.items():
-        if head.startswith(mark):
-            return encoding
-    if not encodings:
-        zeros = [head[k::2].count(0) for k in (0, 1)]
-        if sum(zeros) > len(head) // 8:
-            return "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
-        if not _decodes(head, "utf-8", cut_off) and (found := _double_bytes(head)):
-            return found
-    return next((e for e in encodings or TRIAL_ENCODINGS if _decodes(head, e, cut_off)), "latin-1")
+    headed: bool = True
+    line_end: str = "\n"
 
 
 def _lines(head: bytes, encoding: str, whole: bool) -> list[str]:
-    text = head.decode(encoding, "replace").lstrip("\ufeff")
-    lines = text.splitlines()
+    lines = head.decode(CODECS.get(encoding, encoding), "replace").lstrip("﻿").splitlines()
     if not whole and len(lines) > 1:
         lines = lines[:-1]
     return [x for x in lines if x.strip()]
@@ -129,110 +82,251 @@ def repair_names(names: list[str]) -> list[str]:
     return out
 
 
-def peek(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> Layout:
-    """Layout of a file from its head: a title line and a missing header are told from the fields they have."""
-    head, size, files = _head(spark, path)
-    encoding = encoding or detect_encoding(head, size > len(head), encodings)
-    lines = _lines(head, encoding, size <= len(head))
+def layout_of(head: bytes, whole: bool, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> Layout | None:
+    """Layout of a file from its head: a title line and a missing header are told from the fields they have. None for a file without text; one without columns is an error."""
+    encoding = encoding or detect_encoding(head, not whole, encodings)
+    lines = _lines(head, encoding, whole)
     if not lines:
-        raise ValueError(f"{path} has no line with text")
+        return None
+    end = "\r" if b"\r" in head and b"\n" not in head else "\n"
     separator = separator or detect_separator(lines)
     counts = [len(_fields(x, separator)) for x in lines[:HEAD_LINES]]
     titled = len(counts) > 1 and counts[0] < 0.5 * median(counts[1:11])
     header = _fields(lines[int(titled)], separator)
     if len(header) <= 1:
-        raise ValueError(f"{path} has a single column")
-    numeric = sum(bool(_NUMBER.fullmatch(x)) for x in header if x.strip())
-    if numeric > 0.5 * len(header):
-        return Layout(encoding, separator, [f"col_{i}" for i in range(len(header))], int(titled), max(1, size // 100), files)
-    return Layout(encoding, separator, repair_names(header), int(titled) + 1, max(1, size // 100), files)
+        raise ValueError("a single column")
+    if sum(bool(_NUMBER.fullmatch(x)) for x in header if x.strip()) > 0.5 * len(header):
+        return Layout(encoding, separator, tuple(f"col_{i}" for i in range(len(header))), int(titled), False, end)
+    return Layout(encoding, separator, tuple(repair_names(header)), int(titled) + 1, True, end)
+
+
+@contextmanager
+def _a_split_each(spark: SparkSession) -> Iterator[None]:
+    """Partitions of one piece of a file each."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _text(spark: SparkSession, paths: list[str], line_end: str = "\n") -> DataFrame:
+    """Lines as they are, with the file of each; bytes are not decoded."""
+    return spark.read.option("lineSep", line_end).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("begin"))
+
+
+def _heads(early: bool):
+    """The first bytes of each file; early: a task ends with the first head it has, so that little more than the heads is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[str, list] = {}
+        for batch in batches:
+            full = None
+            for file, size, begin, line in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "begin", "line"))):
+                if begin == 0:
+                    held = heads.setdefault(file, [size, bytearray()])
+                    if len(held[1]) < PROBE_BYTES:
+                        held[1] += line + b"\n"
+                    else:
+                        full = True
+                else:
+                    full = True
+            if early and full:
+                break
+        for file, (size, head) in heads.items():
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size], pa.int64()), pa.array([bytes(head[: min(size, PROBE_BYTES)])], pa.binary())], ["file", "size", "head"])
+
+    return run
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """file, size and head of each file with bytes, of a file, folder or pattern; one job that reads the first lines of each."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not list(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []):
+        raise FileNotFoundError(path)
+    ship_package(spark)
+    lines = _text(spark, [path]).select("file", "size", "begin", F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(_heads(True), "file string, size long, head binary")
+
+
+def layouts(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> dict[Layout, list[str]]:
+    """Layouts, and the files of each. Files without text are left out; the driver gets a row a file, never a head."""
+    asked = list(encodings or [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size, head in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "head"))):
+                try:
+                    found, error = layout_of(head, size <= PROBE_BYTES, encoding, separator, asked), None
+                except ValueError as e:
+                    found, error = None, str(e)
+                columns = pa.array([list(found.columns) if found else None], pa.list_(pa.string()))
+                cells = [found.encoding, found.separator, found.line_end] if found else [None] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([file]), *(pa.array([c], pa.string()) for c in cells), columns, pa.array([found.skip if found else None], pa.int32()), pa.array([found.headed if found else None], pa.bool_()), pa.array([error], pa.string())], ["file", "encoding", "separator", "line_end", "columns", "skip", "headed", "error"])
+
+    with _a_split_each(spark):
+        rows = heads(spark, path).mapInArrow(run, "file string, encoding string, separator string, line_end string, columns array<string>, skip int, headed boolean, error string").collect()
+    out: dict[Layout, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["file"]):
+        if r["error"]:
+            raise ValueError(f"{unquote(r['file'])} has {r['error']}")
+        if r["encoding"]:
+            out.setdefault(Layout(r["encoding"], r["separator"], tuple(r["columns"]), r["skip"], r["headed"], r["line_end"]), []).append(_plain(r["file"]))
+    if not out:
+        raise ValueError(f"{path} has no line with text")
+    return _named(out)
+
+
+def _plain(file: str) -> str:
+    """A path as Spark's readers take it: without URL escapes, signs of patterns as themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+
+
+def _named(found: dict[Layout, list[str]]) -> dict[Layout, list[str]]:
+    """Files without header take the columns of the others where these have one header among them, of as many columns."""
+    headers = {x.columns for x in found if x.headed}
+    if len(headers) != 1:
+        return found
+    columns, out = headers.pop(), {}
+    for x, files in found.items():
+        own = replace(x, columns=columns) if not x.headed and len(x.columns) == len(columns) else x
+        out.setdefault(own, []).extend(files)
+    return out
+
+
+def peek(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> Layout:
+    """Layout of a file; of the first one of a folder or pattern."""
+    return min(layouts(spark, path, encoding, separator, encodings).items(), key=lambda x: min(x[1]))[0]
 
 
 #: The signs that windows-1252 has where ISO-8859-1 has control characters.
 _UPPER = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-_JAVA = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
-
 
-def read_text_rows(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """All rows as text: too long ones are left out, short ones filled with null; titles, headers, blank lines and trailing totals are no rows.
 
-    Titles, headers and totals are those of each file. What one file has in its first lines and at its end is one row a file.
-    """
-    names = layout.columns
-    raw = [f"__c{i}" for i in range(len(names))]
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in raw], T.StructField("__over", T.StringType()), T.StructField("__line", T.StringType())])
-    java = _JAVA.get(layout.encoding, layout.encoding)
-    if layout.encoding not in _JAVA and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-        raise ValueError(f"{path}: {layout.encoding} is read where spark.sql.legacy.javaCharsets is true")
-    reader = spark.read.schema(schema).option("sep", layout.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").option("quote", '"').option("escape", '"')
-    if layout.encoding.startswith("utf-16"):
-        reader = reader.option("multiLine", "true")  # lines of two bytes a sign cannot be split: a file is one task's
-    rows = reader.option("encoding", java).csv(path).withColumn("_row_id", F.monotonically_increasing_id()).withColumn("__file", F.col("_metadata.file_path"))
-    if layout.encoding == "cp1252":
-        rows = rows.withColumns({c: F.translate(c, "".join(_UPPER), "".join(_UPPER.values())) for c in [*raw, "__line"]})
+def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
+    """lines with `line`, the value as text."""
+    if encoding in ("utf-8", "utf-8-sig", "ascii"):
+        return lines.withColumn("line", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.make_valid_utf8("value")))
+    if encoding in ("cp1252", "latin-1"):
+        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        return lines.withColumn("line", F.translate(text, "".join(_UPPER), "".join(_UPPER.values())) if encoding == "cp1252" else text)
+    codec = CODECS.get(encoding, encoding)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [None if x is None else x.decode(codec, "replace") for x in batch.column("value").to_pylist()]
+            yield batch.append_column("line", pa.array(text, pa.string()))
+
+    schema = ", ".join(f"{c} {k}" for c, k in lines.withColumn("value", F.col("value").cast("binary")).dtypes)
+    return lines.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, f"{schema}, line string")
+
+
+def _parsed(spark: SparkSession, files: list[str], layout: Layout, raw: list[str]) -> DataFrame:
+    """_row_id, file, the fields, what is beyond them, the line where it has not just one field more, and whether it is UTF-8 beyond ASCII, or not UTF-8; of lines with text."""
+    schema = ", ".join(f"{c} string" for c in [*raw, "__over", "__line"])
+    options = {"sep": layout.separator, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line", "quote": '"', "escape": '"'}
+    if layout.encoding.startswith("utf-16"):  # lines of two bytes a sign cannot be split: a file is one task's
+        reader = spark.read.schema(schema).options(**options, multiLine="true", encoding=layout.encoding.upper().replace("-LE", "LE").replace("-BE", "BE"))
+        rows = reader.csv(files).withColumn("file", F.col("_metadata.file_path"))
+        return rows.withColumns({"_row_id": F.monotonically_increasing_id(), "__only_utf8": F.lit(False), "__broken": F.lit(False), "value": F.lit(None).cast("string")})
+    lines = _text(spark, files, layout.line_end).select("file", "value").where(F.length(F.trim(F.regexp_replace(F.make_valid_utf8("value"), "[\\r\\uFEFF]", ""))) > 0)
+    lines = lines.withColumn("_row_id", F.monotonically_increasing_id())
+    valid = F.is_valid_utf8("value")
+    lines = lines.withColumns({"__broken": ~valid, "__only_utf8": valid & (F.octet_length("value") > F.length("value"))})
+    rows = _decoded(lines, layout.encoding).withColumn("line", F.regexp_replace("line", "\\r$", ""))
+    return rows.withColumn("x", F.from_csv("line", schema, options)).select("_row_id", "file", "value", "__broken", "__only_utf8", "x.*")
+
+
+def _data_rows(spark: SparkSession, files: list[str], layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """The rows of files of one layout, and a row for each file: its first row id, that of its last row that is no total, and its lines by what they are as UTF-8."""
+    raw = [f"__c{i}" for i in range(len(layout.columns))]
+    rows = _parsed(spark, files, layout, raw)
     # n fields or fewer: a corrupt record without the extra column; n + 1: no corrupt record; more: both
     unquoted = F.regexp_replace("__line", r'"(?:[^"]|"")*"', "q")
     fields = F.regexp_count(unquoted, F.lit(re.escape(layout.separator))) + 1
-    long_row = F.coalesce(F.col("__line").isNull() | F.col("__over").isNotNull() | (fields > len(names)), F.lit(False))
+    long_row = F.coalesce(F.col("__line").isNull() | F.col("__over").isNotNull() | (fields > len(raw)), F.lit(False))
     first = F.regexp_replace(F.coalesce(F.col(raw[0]), F.lit("")), "^\\uFEFF", "")
     total = F.col("__c0").rlike(TAIL_ROW) & F.forall(F.array(*raw[1:]), lambda x: x.isNull() | x.rlike(r"^\s*[\d.,]*\s*$"))
     rows = rows.withColumn("__c0", F.when(F.col("__c0").isNotNull(), first)).withColumn("__long", long_row).withColumn("__total", F.coalesce(total, F.lit(False)))
-    ends = rows.groupBy("__file").agg(F.min("_row_id").alias("begin"), F.max(F.when(~F.col("__long") & ~F.col("__total"), F.col("_row_id"))).alias("last"))
-    if layout.files == 1:
-        begin, last = rows.agg(F.min("_row_id"), F.max(F.when(~F.col("__long") & ~F.col("__total"), F.col("_row_id")))).first()
-        rows = rows.withColumn("begin", F.lit(begin)).withColumn("last", F.lit(last))
+    broken = F.col("__broken")
+    found = rows.groupBy("file").agg(
+        F.min("_row_id").alias("begin"),
+        F.max(F.when(~F.col("__long") & ~F.col("__total"), F.col("_row_id"))).alias("last"),
+        F.count_if(broken).alias("broken"),
+        F.count_if("__only_utf8").alias("only_utf8"),
+        *[f(F.when(broken, F.col("value").cast("binary"))).alias(f"sample{i}") for i, f in enumerate((F.min, F.max))],
+    )
+    return rows, found
+
+
+def _without_ends(rows: DataFrame, ends: DataFrame, layout: Layout, one_file: bool) -> DataFrame:
+    """Without titles, headers, trailing totals and too long rows; fields under their names, short rows filled with null. What one file has in its first lines and at its end is one row a file."""
+    raw = [f"__c{i}" for i in range(len(layout.columns))]
+    if one_file:
+        row = ends.first()
+        rows = rows.withColumns({"begin": F.lit(row["begin"]).cast("long"), "last": F.lit(row["last"]).cast("long")}) if row else rows.withColumns({"begin": F.lit(0), "last": F.lit(0)})
     else:
-        rows = rows.join(ends, "__file")
+        rows = rows.join(ends.select("file", "begin", "last"), "file")
     rows = rows.where(~F.col("__long") & (F.col("_row_id") >= F.col("begin") + layout.skip) & (F.col("last").isNull() | ~F.col("__total") | (F.col("_row_id") < F.col("last"))))
-    return rows.select("_row_id", *[known(F.trim(F.col(c)) if c == "__c0" else F.col(c)).alias(n) for c, n in zip(raw, names)])
-
-
-class Undecodable(ValueError):
-    """The rows hold bytes that the encoding does not know."""
+    return rows.select("_row_id", *[known(F.trim(F.col(c)) if c == "__c0" else F.col(c)).alias(n) for c, n in zip(raw, layout.columns)])
 
 
-def resolve_types(rows: DataFrame, keep_text: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
-    """Whole numbers, numbers and booleans get their type where all values of a column have it; columns of nulls only are dropped. One job.
+def read_text_rows(spark: SparkSession, found: dict[Layout, list[str]], encodings: list[str] | None = None, fixed_encoding: bool = False) -> DataFrame:
+    """All rows of all files as text, columns by name.
 
-    whole: a replacement sign in a value, which stands for bytes that could not be decoded, is an error.
+    Files whose head is UTF-8 are checked over all their lines; one that has more broken lines than such as only UTF-8 explains is read
+    in the encoding that the broken ones look like.
     """
+    frames, todo = [], list(found.items())
+    while todo:
+        layout, files = todo.pop(0)
+        rows, ends = _data_rows(spark, files, layout)
+        if layout.encoding in ("utf-8", "ascii") and not fixed_encoding:
+            odd = ends.where("broken > only_utf8").select("file", "sample0", "sample1").collect()  # a row a file
+            again: dict[Layout, list[str]] = {}
+            for r in odd:
+                others = [e for e in encodings or [] if e not in ("utf-8", "ascii")]
+                other = detect_encoding(bytes(r["sample0"]) + b"\n" + bytes(r["sample1"]), False, others)
+                again.setdefault(replace(layout, encoding=other), []).append(_plain(r["file"]))
+            if again:
+                todo += again.items()
+                moved = {f for own in again.values() for f in own}
+                files = [f for f in files if f not in moved]
+                if not files:
+                    continue
+                rows, ends = _data_rows(spark, files, layout)
+        frames.append(_without_ends(rows, ends, layout, len(files) == 1))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def resolve_types(rows: DataFrame, keep_text: tuple[str, ...] = ()) -> DataFrame:
+    """Whole numbers, numbers and booleans get their type where all values of a column have it; columns of nulls only are dropped. One job."""
     names = [c for c in rows.columns if c != "_row_id"]
-    figures = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), *[F.count_if(F.col(f"`{c}`").rlike(p)).alias(f"{k}{i}") for k, p in (("i", _INT), ("f", _FLOAT), ("b", _BOOL))])], F.count_if(F.exists(F.array(*[F.col(f"`{c}`") for c in names]), lambda x: x.contains("\ufffd"))).alias("lost")).first()
-    if whole and figures["lost"]:
-        raise Undecodable(f"{figures['lost']} rows")
-    out = []
-    for i, c in enumerate(names):
+    figures = rows.agg(*[x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), *[F.count_if(F.col(f"`{c}`").rlike(p)).alias(f"{k}{i}") for k, p in (("i", _INT), ("f", _FLOAT), ("b", _BOOL))])]).first()
+
+    def typed(i: int, c: str) -> Column | None:
         n, col = figures[f"n{i}"], F.col(f"`{c}`")
         if not n:
-            continue
-        if c in keep_text:
-            out.append(col)
-        elif figures[f"i{i}"] == n:
-            out.append(F.trim(col).cast("bigint").alias(c))
-        elif figures[f"f{i}"] == n:
-            out.append(F.trim(col).cast("double").alias(c))
-        elif figures[f"b{i}"] == n:
-            out.append((F.lower(col) == "true").alias(c))
-        else:
-            out.append(col)
-    return rows.select(*out)
+            return None
+        if c not in keep_text:
+            if figures[f"i{i}"] == n:
+                return F.trim(col).cast("bigint").alias(c)
+            if figures[f"f{i}"] == n:
+                return F.trim(col).cast("double").alias(c)
+            if figures[f"b{i}"] == n:
+                return (F.lower(col) == "true").alias(c)
+        return col
 
+    return rows.select(*[x for i, c in enumerate(names) if (x := typed(i, c)) is not None])
 
-def read_unknown(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, overrides: dict[str, str] | None = None, encodings: list[str] | None = None) -> DataFrame:
-    """A file, folder or pattern of unknown shape as a typed table; overrides names columns that stay text, encodings the only ones to try.
 
-    Where bytes beyond the head turn out not to be of the encoding, the next one that may be is tried.
-    """
+def read_unknown(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, overrides: dict[str, str] | None = None, encodings: list[str] | None = None) -> DataFrame:
+    """A file, folder or pattern of unknown shape as a typed table; overrides names columns that stay text, encodings the only ones to try."""
     keep = tuple(c for c, t in (overrides or {}).items() if t in ("str", "string", str))
-    layout = peek(spark, path, encoding, separator, encodings)
-    after = [layout.encoding, *([] if encoding else [e for e in encodings or TRIAL_ENCODINGS if e != layout.encoding])]
-    for i, e in enumerate(after):
-        own = layout if not i else peek(spark, path, e, separator)
-        try:
-            return resolve_types(read_text_rows(spark, path, own), keep, whole=i + 1 < len(after))
-        except Undecodable:
-            continue
-    raise AssertionError("the last encoding is taken as it is")
+    found = layouts(spark, path, encoding, separator, encodings)
+    return resolve_types(read_text_rows(spark, found, encodings, encoding is not None), keep)
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -247,4 +341,3 @@ def validate_columns(df: DataFrame) -> bool:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return True
-

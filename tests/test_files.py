@@ -1,7 +1,8 @@
 import pytest
 
 from stratum.functions.dates import BadDate, clean_dates, format_of, strict_date
-from stratum.sources.files import detect_encoding, detect_separator, peek, read_orders, read_unknown, repair_names, validate_columns
+from stratum.sources.encodings import CODECS, detect_encoding
+from stratum.sources.files import PROBE_BYTES, detect_separator, heads, layouts, peek, read_orders, read_unknown, repair_names, validate_columns
 
 
 def put(path, text, encoding="utf-8"):
@@ -94,6 +95,71 @@ def test_bytes_beyond_the_head(spark, tmp_path):
     assert df.where("b = 2").first().a == "é€" and df.count() == 40_001
 
 
+TEXTS = {
+    "gbk": "订单编号,客户名称\n我们在北京的仓库已经发货,请注意查收\n数量有误,请回复\n",
+    "big5": "訂單編號,客戶名稱\n我們在台北的倉庫已經出貨,請注意查收\n",
+    "shift_jis": "注文番号,お客様名\n東京の倉庫から商品を発送しました,ご確認ください\nカタログ,です\n",
+    "euc_jp": "注文番号,お客様名\n東京の倉庫から商品を発送しました,ご確認ください\n",
+    "euc_kr": "주문번호,고객이름\n서울 창고에서 상품을 발송했습니다,확인해 주세요\n",
+    "cp1251": "Номер заказа,Имя клиента\nМы отправили товар,со склада в Москве\n",
+    "koi8_r": "Номер заказа,Имя клиента\nМы отправили товар,со склада в Москве\n",
+    "cp1252": "numéro,Straße\nnous avons expédié – “où”,Öl für Ärzte €5\n",
+}
+
+
+@pytest.mark.parametrize("encoding", TEXTS)
+def test_encodings_are_told_apart(spark, tmp_path, encoding):
+    text = TEXTS[encoding]
+    for n in (20, len(text)):
+        assert detect_encoding(text[:n].encode(CODECS[encoding])) == encoding
+    df = read_unknown(spark, put(tmp_path / "e.csv", text, CODECS[encoding]))
+    assert [df.columns, *map(list, rows(df))] == [x.split(",") for x in text.split("\n")[:-1]]
+
+
+def test_replacement_sign_and_broken_bytes_in_utf8(spark, tmp_path):
+    """A replacement sign is a sign like others; a broken byte among lines that only UTF-8 explains does not turn the file into another encoding."""
+    assert rows(read_unknown(spark, put(tmp_path / "f.csv", "city,n\nZürich,1\nX\ufffdY,2\n"))) == [("Zürich", 1), ("X\ufffdY", 2)]
+    path = tmp_path / "b.csv"
+    path.write_bytes("city,n\nZürich,1\nKöln,2\n".encode() + b"x,3\n" * 40_000 + b"bad\xff,4\n")
+    df = read_unknown(spark, str(path))
+    assert {r.city for r in df.where("n <> 3").collect()} == {"Zürich", "Köln", "bad\ufffd"}
+
+
+def test_each_file_has_its_own_layout(spark, tmp_path):
+    """Swapped headers, a title in one file, other separators and encodings, a file without header, all in one folder."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    put(folder / "a.csv", "id,name\n1,ann\n2,bob\n")
+    put(folder / "b.csv", "name,id\nzoe,3\n")
+    put(folder / "c.csv", "Report of May\nid,name,more\n4,dan,\nTotal,,\n")
+    put(folder / "d.csv", "id;name\n5;müller\n", "cp1252")
+    put(folder / "e [1].csv", "name\tid\n中国北京\t6\n", "gbk")
+    put(folder / "f.csv", "7,1.5\n8,2.5\n")
+    put(folder / "g.csv", "\ufeffid,name,more\r\n9,eve,x\r\n", "utf-16-le")
+    put(folder / "h.csv", "")
+    assert len(layouts(spark, str(folder))) == 7
+    df = read_unknown(spark, str(folder), overrides={"name": "str"})
+    found = {r.id: (r.name, r.more) for r in df.where("id is not null").collect()}
+    assert found == {1: ("ann", None), 2: ("bob", None), 3: ("zoe", None), 4: ("dan", None), 5: ("müller", None), 6: ("中国北京", None), 9: ("eve", "x")}
+    assert df.where("id is null").select("col_0", "col_1").count() == 2
+
+
+def test_files_without_header_take_the_others_names(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    put(folder / "1.csv", "id,price\n1,2.5\n")
+    put(folder / "2.csv", "2,3.5\n3,4.5\n")
+    assert sorted(rows(read_unknown(spark, str(folder)))) == [(1, 2.5), (2, 3.5), (3, 4.5)]
+
+
+def test_heads_are_bounded(spark, tmp_path):
+    put(tmp_path / "big.csv", "a,b\n" + "x" * 50 + ",1\n" + "yy,2\n" * 200_000)
+    put(tmp_path / "old.csv", "a,b\rz,3\rw,4\r")
+    found = {r.file.rsplit("/", 1)[1]: len(r.head) for r in heads(spark, str(tmp_path)).collect()}
+    assert found["big.csv"] == PROBE_BYTES and found["old.csv"] == len("a,b\rz,3\rw,4\r")
+    assert read_unknown(spark, str(tmp_path)).count() == 200_003
+
+
 def test_folder_of_files(spark, tmp_path):
     """Title, header and total are each file's own; patterns name some of the files."""
     folder = tmp_path / "days"
