@@ -50,6 +50,8 @@ from .textops import Words, buffers, mix, slices
 MOST_MATCHES, VERIFY_COST = 4, 0.05
 #: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a component that one task solves, and in a bin of small ones; rounds of verification by joins.
 PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 300_000, 4096, 100_000, 200_000, 2
+#: Shingles that a task counts at once where sets are counted whole.
+SHARED_SHINGLES = 1_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
 _LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
@@ -339,10 +341,15 @@ def _whole(k: int):
     return run
 
 
+def _text(name: Column | str) -> Column:
+    """A set's name from its bytes."""
+    return F.lower(F.hex(name))
+
+
 def _homes(token: DataFrame) -> DataFrame:
-    """node and root of the components of sets that share a token, of token(fp, token): each joins the token's first set."""
+    """node and root of the components of sets that share a token, of token(fp, token), fp as bytes: each joins the token's first set."""
     heads = written(token.groupBy("token").agg(F.min("fp").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"), "heads")
-    return connected_components(token.join(heads, "token").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")))
+    return connected_components(token.join(heads, "token").where("fp <> head").select(_text("fp").alias("u"), _text("head").alias("v")))
 
 
 def _sized(member: DataFrame) -> DataFrame:
@@ -351,14 +358,28 @@ def _sized(member: DataFrame) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of a batch of sets, the number of sets that hold each, and one of these."""
+    """The distinct shingles of many sets at once, the number of sets that hold each, and one of these."""
+    sets: list[np.ndarray] = []
+    names: list[bytes] = []
+
+    def flush() -> pa.RecordBatch:
+        tokens, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
+        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n), pa.array(np.array(names, object)[holder], pa.binary())], ["token", "n", "holder"])
+
+    size = 0
     for batch in batches:
-        sets = [np.frombuffer(x, _U8) for x in batch.column("shingles").to_pylist()]
-        if sets:
-            tokens, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-            holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
-            names = np.array([bytes.fromhex(x[:24]) for x in batch.column("fp").to_pylist()], object)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n), pa.array(names[holder], pa.binary())], ["token", "n", "holder"])
+        for fp, shingles in zip(batch.column("fp").to_pylist(), batch.column("shingles").to_pylist()):
+            sets.append(np.frombuffer(shingles, _U8))
+            names.append(bytes.fromhex(fp[:24]))
+            size += len(sets[-1])
+            if size > SHARED_SHINGLES:
+                yield flush()
+                sets.clear()
+                names.clear()
+                size = 0
+    if sets:
+        yield flush()
 
 
 def _partnered(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -383,14 +404,14 @@ def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tup
     """
     links, now = None, member.withColumn("known", F.col("fp"))
     for turn in range(rounds + 1):
-        token = now.select("fp", "known", "matches", F.explode("prefix").alias("token"))
+        token = now.select(F.unhex("fp").alias("fp"), F.unhex("known").alias("known"), "matches", F.explode("prefix").alias("token"))
         first = F.min_by(F.struct("fp", "known", "matches"), F.xxhash64("fp", F.lit(turn)))
         heads = token.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), first.alias("head")).where("low <> high").drop("low", "high")
         open_ = token.join(written(heads, "heads"), "token")
         if turn == rounds:
-            return links, open_.select("fp", "known", "token")
+            return links, open_.select("fp", _text("known").alias("known"), "token")
         shared = open_.where("known <> head.known").groupBy(F.col("fp").alias("u"), F.col("head.fp").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("matches", "head.matches")).alias("least"))
-        pairs = shared.where("c >= least").select("u", "v")
+        pairs = shared.where("c >= least").select(_text("u").alias("u"), _text("v").alias("v"))
         both = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
         found = both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u string, v string")
         links = written(found if links is None else links.unionByName(found), "links")
@@ -421,7 +442,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
     held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min(least).alias("least"), F.min("key").alias("key"))
 
-    ones = lambda df: df.select("fp", F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
+    ones = lambda df: df.select(F.unhex("fp").alias("fp"), F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
     homes = lambda token: _homes(token).select(F.col("node").alias("fp"), F.col("root").alias("home"))
     member = _sized(homes(ones(prefixes)).join(prefixes, "fp"))
     wanted = member.select("fp").join(held, "fp").select("key").distinct()
@@ -452,7 +473,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if large.take(1):
             links, open_ = _stars(large, sets, percent, star_rounds)
             open_ = written(open_, "open")
-            left = homes(open_.select("fp", "token")).join(open_.select("fp", "known").distinct(), "fp").join(large, "fp")
+            left = homes(open_.select("fp", "token")).join(open_.select(_text("fp").alias("fp"), "known").distinct(), "fp").join(large, "fp")
             left = _sized(left)
             blocks = F.ceil(F.col("total") * 2 / block_shingles)
             cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
