@@ -53,27 +53,56 @@ def outliers(df: DataFrame, columns: list[str], deviations: float = 3.0) -> Data
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(f"`{x}`").alias("outliers")) for x in columns])).alias("x")).select("x.*")
 
 
+def fences(df: DataFrame, columns: list[str], reach: float = 1.5, accuracy: int = 100_000) -> DataFrame:
+    """column_name, low and high of each column: its quartiles, moved out by reach times what lies between them.
+
+    Quartiles come from mergeable quantile summaries of bounded size, whose rank is off by at most rows / accuracy. One job.
+    """
+    quartiles = [F.percentile_approx(F.col(f"`{c}`").cast("double"), [0.25, 0.75], accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
+    low, high = F.col("x.q")[0], F.col("x.q")[1]
+    rows = df.agg(*quartiles).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])).alias("x"))
+    return rows.select("x.column_name", (low - reach * (high - low)).alias("low"), (high + reach * (high - low)).alias("high"))
+
+
+def quantile_outliers(df: DataFrame, columns: list[str], reach: float = 1.5, accuracy: int = 100_000) -> DataFrame:
+    """column_name, low, high and the number of values beyond these. Unlike a standard deviation, quartiles are not moved by one extreme value, which then hides others."""
+    found = {r["column_name"]: r for r in fences(df, columns, reach, accuracy).collect()}  # a row a column
+    c = lambda x: F.col(f"`{x}`").cast("double")
+    one = df.agg(*[F.count_if((c(x) < F.lit(found[x]["low"])) | (c(x) > F.lit(found[x]["high"]))).alias(f"o{i}") for i, x in enumerate(columns)])
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.lit(found[x]["low"]).cast("double").alias("low"), F.lit(found[x]["high"]).cast("double").alias("high"), F.col(f"o{i}").alias("outliers")) for i, x in enumerate(columns)]))
+    return one.select(rows.alias("x")).select("x.*")
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule and the number of rows for which its condition, over any columns, is false; a missing value breaks no rule. One job."""
     one = df.agg(*[F.count_if(~r).alias(f"r{i}") for i, r in enumerate(rules.values())])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, n in enumerate(rules)])).alias("x")).select("x.*")
 
 
+def figures(critical: list[str], rates: list[str], price: str | None = None, quantity: str | None = None) -> dict[str, Column]:
+    """The figures of a check that need no distinct values, by name: plain sums, which can be observed while rows are written."""
+    out = {"total": F.count(F.lit(1))} | {f"{c}_nulls": null_count(c) for c in dict.fromkeys([*critical, *rates])}
+    for name, column in (("price", price), ("quantity", quantity)):
+        if column:
+            out |= {f"negative_{name}": F.count_if(F.col(column) < 0), f"zero_{name}": F.count_if(F.col(column) == 0)}
+    return out
+
+
+def judged(seen: dict[str, int], critical: list[str], rates: list[str], threshold: float = NULL_RATE_THRESHOLD) -> dict[str, Any]:
+    """Observed figures with warnings and status, as check() gives them."""
+    warnings = [c for c in rates if seen["total"] and seen[f"{c}_nulls"] / seen["total"] > threshold]
+    broken = any(seen[f"{c}_nulls"] for c in critical)
+    return seen | {"warnings": warnings, "status": "failed" if not seen["total"] else "warning" if broken else "passed"}
+
+
 def check(df: DataFrame, critical: list[str], rates: list[str], key: str | None = None, price: str | None = None, quantity: str | None = None, threshold: float = NULL_RATE_THRESHOLD) -> DataFrame:
     """All figures and the status, as one row of one job.
 
     status: failed for an empty table, warning where a critical column has nulls, else passed. warnings
     holds the columns whose null rate is strictly above the threshold; they do not change the status.
     """
-    total = F.count(F.lit(1))
-    figures = [total.alias("total"), *[null_count(c).alias(f"{c}_nulls") for c in dict.fromkeys([*critical, *rates])]]
-    if key:
-        figures += [F.countDistinct(F.col(f"`{key}`")).alias("unique_keys")]
-    if price:
-        figures += [F.count_if(F.col(price) < 0).alias("negative_price"), F.count_if(F.col(price) == 0).alias("zero_price")]
-    if quantity:
-        figures += [F.count_if(F.col(quantity) < 0).alias("negative_quantity"), F.count_if(F.col(quantity) == 0).alias("zero_quantity")]
-    one = df.agg(*figures)
+    wanted = figures(critical, rates, price, quantity) | ({"unique_keys": F.countDistinct(F.col(f"`{key}`"))} if key else {})
+    one = df.agg(*[c.alias(n) for n, c in wanted.items()])
     if key:
         one = one.withColumn("duplicate_rows", F.col("total") - F.col("unique_keys"))
     broken = F.lit(False)
@@ -83,6 +112,14 @@ def check(df: DataFrame, critical: list[str], rates: list[str], key: str | None
     return one.withColumn("warnings", high).withColumn("status", F.when(F.col("total") == 0, "failed").when(broken, "warning").otherwise("passed"))
 
 
+def classic_figures() -> dict[str, Column]:
+    return figures(list(QUALITY_CRITICAL), list(QUALITY_RATES), "unit_price", "quantity")
+
+
+def classic_judged(seen: dict[str, int], threshold: float = NULL_RATE_THRESHOLD) -> dict[str, Any]:
+    return judged({n: seen[n] for n in classic_figures()}, list(QUALITY_CRITICAL), list(QUALITY_RATES), threshold)
+
+
 def classic_check(df: DataFrame, threshold: float = NULL_RATE_THRESHOLD) -> DataFrame:
     return check(df, list(QUALITY_CRITICAL), list(QUALITY_RATES), "invoice_no", "unit_price", "quantity", threshold)
 

@@ -21,9 +21,9 @@ from ..functions.dates import clean_dates, strict_date
 from ..operators import aggregate, clean, quality
 from ..operators.archive import to_archive
 from ..operators.profile import profile
-from ..schema import DATED, DWD, DWS, LAYOUTS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge, typed
+from ..schema import DATED, DWD, DWS, LAYOUTS, MARKS, ODS, REJECTED, RUN_LOG, RuntimeSchema, merge, typed
 from ..sources.files import read_orders, read_unknown
-from ..sources.warehouse import Warehouse
+from ..sources.warehouse import PART, Warehouse, Watch
 from .alerts import Alerts
 from .report import daily_report, data_report
 
@@ -63,15 +63,18 @@ def since(df: DataFrame, date: str, lower: str | datetime | None) -> DataFrame:
 
 
 @step("extract")
-def extract(store: Warehouse, path: str, since_date: str | None = None, incremental: bool = False) -> Result:
+def extract(store: Warehouse, path: str, since_date: str | None = None, incremental: bool = False, threshold: float | None = None) -> Result:
+    """A fixed file into the raw table. The figures of the quality check that need no distinct values are observed on the way."""
     store.create("ods_orders", ODS)
-    rows = since(to_ods(read_orders(store.spark, path)), "invoice_date", since_date)
+    rows, watch = since(to_ods(read_orders(store.spark, path)), "invoice_date", since_date), Watch(quality.classic_figures())
     if incremental:
-        n = store.replace_range("ods_orders", rows, "invoice_date")
-        return {"status": "success" if n or not since_date else "skipped", "rows": n}
-    if since_date and not rows.take(1):
+        n = store.replace_range("ods_orders", rows, "invoice_date", watch)
+        status = "success" if n or not since_date else "skipped"
+    elif since_date and not rows.take(1):
         return {"status": "skipped", "rows": 0}
-    return {"status": "success", "rows": store.replace("ods_orders", rows)}
+    else:
+        n, status = store.replace("ods_orders", rows, watch), "success"
+    return {"status": status, "rows": n, "checks": quality.classic_judged(watch.found, RuntimeSchema(quality_null_threshold=threshold).threshold())}
 
 
 @step("quality_check")
@@ -107,16 +110,48 @@ def transform(store: Warehouse, since_date: str | None = None, incremental: bool
     return {"status": "success", "run_id": run_id} | {x: seen[x] for x in outcomes}
 
 
+def mark(store: Warehouse, name: str) -> datetime | None:
+    """How far a table has been taken in: the newest etl_time that its last run saw."""
+    store.create("etl_marks", MARKS)
+    row = store.read("etl_marks").where(F.col("name") == name).select("at").first()
+    return row["at"] if row else None
+
+
+def touched(detail: DataFrame, after: datetime | None) -> DataFrame:
+    """Days, with their months, that have rows written after a mark."""
+    fresh = detail if after is None else detail.where(F.col("etl_time") > F.lit(after))
+    return fresh.where("invoice_date is not null").select(F.col("invoice_date").cast("date").alias("stat_date"), PART).distinct()
+
+
+def of_days(detail: DataFrame, days: DataFrame) -> DataFrame:
+    """All detail of some days. The months that the days lie in are found at run time and prune the scan's partitions."""
+    months = days.select(F.col(PART).alias("month")).distinct()
+    near = detail.join(months, F.col(PART) == F.col("month"), "left_semi")
+    return near.join(days.select("stat_date"), F.col("invoice_date").cast("date") == F.col("stat_date"), "left_semi")
+
+
 @step("aggregate")
-def aggregate_daily(store: Warehouse, now: datetime | None = None, replace: bool = False) -> Result:
-    """The daily table from all of the detail; by key unless replace, so that dates that vanished stay."""
-    detail = store.read("dwd_orders")
-    if not detail.take(1):
+def aggregate_daily(store: Warehouse, now: datetime | None = None, replace: bool = False, changed: bool = False) -> Result:
+    """The daily table from the detail; by key unless replace, so that dates that vanished stay.
+
+    changed: only days with rows written since the last such run are summed anew, from all of their rows; the mark is moved when they are in.
+    """
+    detail = store.parted("dwd_orders")
+    newest = detail.agg(F.max("etl_time")).first()[0]
+    if newest is None:
         return {"status": "skipped", "rows": 0}
+    store.create("dws_sales_daily", DWS)
+    if changed:
+        days = touched(detail, mark(store, "dws_sales_daily"))
+        if not days.take(1):
+            return {"status": "skipped", "rows": 0}
+        detail = of_days(detail, days)
     daily = aggregate.daily_sales(detail, F.col("invoice_date")).withColumn("etl_time", F.lit(now or datetime.now()).cast("timestamp_ntz"))
     daily = daily.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DWS])
-    store.create("dws_sales_daily", DWS)
-    return {"status": "success", "rows": store.replace("dws_sales_daily", daily) if replace else store.upsert("dws_sales_daily", daily, "stat_date")}
+    rows = store.replace("dws_sales_daily", daily) if replace else store.upsert("dws_sales_daily", daily, "stat_date")
+    if changed:
+        store.upsert("etl_marks", store.spark.createDataFrame([("dws_sales_daily", newest)], MARKS), "name")
+    return {"status": "success", "rows": rows}
 
 
 @step("report")
@@ -248,7 +283,7 @@ def classic_pipeline(spark: SparkSession, root: str, csv_path: str, reports: str
             ("extract", lambda: extract(store, csv_path, lower, incremental)),
             ("quality_check", lambda: quality_check(store)),
             ("transform", lambda: transform(store, lower, incremental, run_id=run_id)),
-            ("aggregate", lambda: aggregate_daily(store)),
+            ("aggregate", lambda: aggregate_daily(store, changed=incremental)),
             ("report", lambda: report(store, reports)),
         ],
         RunLog(store),

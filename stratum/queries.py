@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from .fixed import COLUMN_MAPPING, REASON_CANCELLED, REASON_NO_CUSTOMER, REASON_PRICE, REASON_QUANTITY, SENTINELS
 from .functions.dates import clean_dates
 from .functions.numbers import number_text
-from .operators import aggregate, archive, clean, quality, writes
+from .operators import aggregate, archive, clean, distinct, quality, sequence, writes
 from .operators.profile import profile, roles_table
 from .plans import steps
 from .plans.steps import since
-from .schema import LAYOUTS, ODS, RuntimeSchema
+from .schema import DATED, DWD, LAYOUTS, ODS, RuntimeSchema
 from .session import scratch
 from .sources.files import read_orders, read_unknown
-from .sources.warehouse import Layout, Warehouse
+from .sources.warehouse import Layout, Warehouse, Watch
 from .streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,3 +621,89 @@ def stream_windows(spark, sf_dir):
     query = rows.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(once=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).select("event_type", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "rows")
+
+
+@_register(
+    """SELECT count(*) AS total, count(*) - count(quantity) AS quantity_nulls, count(*) - count(description) AS description_nulls, count(*) FILTER (unit_price = 0) AS zero_price, count(*) FILTER (quantity < 0) AS negative_quantity,
+  CASE WHEN (count(*) - count(description)) / CAST(count(*) AS DOUBLE) > 0.3 THEN 'description' ELSE '' END AS warned,
+  CASE WHEN count(*) = 0 THEN 'failed' WHEN count(*) > least(count(invoice_no), count(quantity), count(invoice_date), count(unit_price)) THEN 'warning' ELSE 'passed' END AS status FROM dirty""",
+    True,
+)
+def quality_while_loading(spark, sf_dir):
+    """The check's figures, observed while the raw table is loaded."""
+    store, watch = _store(spark, DATED), Watch(quality.classic_figures())
+    store.create("ods_orders", ODS)
+    store.replace("ods_orders", dirty(spark, sf_dir), watch)
+    found = quality.classic_judged(watch.found)
+    row = [found[c] for c in ("total", "quantity_nulls", "description_nulls", "zero_price", "negative_quantity")]
+    return spark.createDataFrame([(*row, ",".join(found["warnings"]), found["status"])], "total long, quantity_nulls long, description_nulls long, zero_price long, negative_quantity long, warned string, status string")
+
+
+@_register("SELECT strftime(invoice_date, '%Y-%m') AS span, country, count(DISTINCT customer_id) AS customers FROM clean GROUP BY 1, 2", True)
+def customers_by_month(spark, sf_dir):
+    """Different customers of each month and country, from bitmaps kept by day."""
+    store, rows = _store(spark), _clean(spark, sf_dir)
+    store.dynamic_load("daily_customers", distinct.daily_bitmaps(rows, F.col("invoice_date"), F.col("customer_id"), ("country",)))
+    return distinct.merged_count(store.read("daily_customers"), F.date_format("day", "yyyy-MM"), ("country",), "customers")
+
+
+@_register("SELECT true AS near, count(DISTINCT strftime(invoice_date, '%Y-%m')) AS months FROM clean", True)
+def customers_estimated(spark, sf_dir):
+    """Estimates from sketches kept by day lie within a twentieth of the counts, in every month."""
+    rows = _clean(spark, sf_dir)
+    month = F.date_format("day", "yyyy-MM")
+    found = distinct.merged_estimate(distinct.daily_sketches(rows, F.col("invoice_date"), F.col("customer_id")), month, name="estimate")
+    real = rows.groupBy(F.date_format("invoice_date", "yyyy-MM").alias("span")).agg(F.countDistinct("customer_id").alias("customers"))
+    both = found.join(real, "span")
+    return both.agg(F.bool_and(F.abs(F.col("estimate") - F.col("customers")) <= F.col("customers") * 0.05).alias("near"), F.count(F.lit(1)).alias("months"))
+
+
+def _fence_sql(column: str, source: str) -> str:
+    inner = f"SELECT quantile_disc(CAST({column} AS DOUBLE), 0.25) AS a, quantile_disc(CAST({column} AS DOUBLE), 0.75) AS b FROM {source}"
+    return f"SELECT '{column}' AS column_name, a - 0.25 * (b - a) AS low, b + 0.25 * (b - a) AS high, count(*) FILTER ({column} < a - 0.25 * (b - a) OR {column} > b + 0.25 * (b - a)) AS outliers FROM {source}, ({inner}) GROUP BY a, b"
+
+
+@_register(" UNION ALL ".join(_fence_sql(c, "lineitem") for c in ("l_linenumber", "l_quantity")))
+def quality_quantile_outliers(spark, sf_dir):
+    """Columns of few values, whose quartiles do not hang on a summary's last rows."""
+    return quality.quantile_outliers(table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_quantity"], 0.25)
+
+
+@_register("SELECT o_orderkey, o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS before FROM orders")
+def sequence_before(spark, sf_dir):
+    """The customer of the order before, over all orders."""
+    return sequence.with_before(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", parts=7)
+
+
+@_register("SELECT step, count(*) AS rows FROM (SELECT event_id - lag(event_id) OVER (ORDER BY event_id) AS step FROM events) WHERE step IS NOT NULL GROUP BY 1")
+def sequence_steps(spark, sf_dir):
+    return sequence.steps(table(spark, sf_dir, "events"), "event_id", "event_id", 7)
+
+
+@_register(f"SELECT * REPLACE (CAST(daily_avg_order_amount AS DECIMAL(18, 4)) AS daily_avg_order_amount) FROM ({_DAILY_SQL.replace('FROM clean', 'FROM twice')})".replace("FROM (SELECT", "FROM (WITH twice AS (SELECT * REPLACE (CASE WHEN invoice_date BETWEEN TIMESTAMP '1996-02-10' AND TIMESTAMP '1996-02-20' THEN order_amount * 2 ELSE order_amount END AS order_amount) FROM clean) SELECT", 1), True)
+def step_changed_days(spark, sf_dir):
+    """After ten days are replaced, only days with fresh rows are summed anew."""
+    store, rows = _store(spark, DATED, **LAYOUTS), _clean(spark, sf_dir)
+    store.create("dwd_orders", DWD)
+    stamped = lambda df, day: df.withColumn("etl_time", F.lit(day).cast("timestamp_ntz"))
+    store.replace("dwd_orders", stamped(rows.fillna("", ["description"]), "2024-01-01"))
+    steps.aggregate_daily(store, changed=True)
+    ten = rows.where("invoice_date between timestamp_ntz '1996-02-10' and timestamp_ntz '1996-02-20'").withColumn("order_amount", (F.col("order_amount") * 2).cast("decimal(12,4)"))
+    store.replace_range("dwd_orders", stamped(ten, "2024-01-02"), "invoice_date")
+    done = steps.aggregate_daily(store, changed=True)
+    if done["status"] != "success" or done["rows"] > 11:
+        raise RuntimeError(str(done))
+    return store.read("dws_sales_daily").drop("etl_time")
+
+
+@_register("SELECT CAST(ts AS DATE) AS stat_date, event_type, CAST(sum(user_id) AS BIGINT) AS amount, count(*) AS rows FROM events WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) - 2 GROUP BY 1, 2")
+def stream_once(spark, sf_dir):
+    """A stream in which every file comes twice: each event counts once, and days are put out when they are over."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"))
+    path, out, state = (scratch(spark, n) for n in ("events", "days", "state"))
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(path)
+    days = intake.daily_windows(intake.read_stream(spark, path, events.schema, 1), ["event_id"], "ts", "user_id", "1 day", ["event_type"])
+    intake.append_files(days, out, state).awaitTermination()
+    last = events.agg(F.max(F.col("ts").cast("date"))).first()[0]
+    return spark.read.schema(days.schema).parquet(out).where(F.col("stat_date") < F.date_sub(F.lit(last), 2))

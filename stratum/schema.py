@@ -43,6 +43,7 @@ RUN_LOG = _struct(
     [("run_id", T.StringType()), ("task_name", T.StringType()), ("status", T.StringType()), ("at", T.TimestampNTZType()), ("duration", T.DecimalType(10, 2)), ("error_message", T.StringType())],
     ("run_id", "task_name", "status", "at"),
 )
+MARKS = _struct([("name", T.StringType()), ("at", T.TimestampNTZType())], ("name", "at"))
 #: The date column of tables that are partitioned by it.
 DATED = {"ods_orders": "invoice_date", "dwd_orders": "invoice_date"}
 #: The archive has a partition a run; the detail's rows lie by customer and are found by invoice.

@@ -45,6 +45,14 @@ class Layout:
     bloom: tuple[str, ...] = ()
 
 
+@dataclass
+class Watch:
+    """Figures to observe while a batch is worked out, and what was found: as many as wanted, without a job of their own."""
+
+    wanted: dict[str, Column]
+    found: dict | None = None
+
+
 def identifier(name: str) -> str:
     if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"not an identifier: {name!r}")
@@ -137,6 +145,10 @@ class Warehouse:
     def read(self, table: str) -> DataFrame:
         return self._rows(table).drop(PART)
 
+    def parted(self, table: str) -> DataFrame:
+        """Rows with the column that a dated table is partitioned by."""
+        return self._rows(table)
+
     def between(self, table: str, low: object, high: object) -> DataFrame:
         """Rows of a dated table from low up to, but without, high; the scan reads the partitions of the span alone."""
         date, (first, last) = F.col(self.dated[table]), (self._part(F.lit(x).cast("timestamp_ntz")) for x in (low, high))
@@ -187,10 +199,12 @@ class Warehouse:
                 self._insert(table, rows)
         return seen["n"]
 
-    def replace(self, table: str, df: DataFrame) -> int:
+    def replace(self, table: str, df: DataFrame, watch: Watch | None = None) -> int:
         """All rows anew; the table must be there. An empty frame empties it."""
         schema = self.schema(table)
-        with self.staged(conformed(df, schema)) as (rows, seen):
+        with self.staged(conformed(df, schema), **(watch.wanted if watch else {})) as (rows, seen):
+            if watch:
+                watch.found = seen
             if seen["n"]:
                 self._insert(table, rows, "overwrite")
             else:
@@ -231,12 +245,14 @@ class Warehouse:
                 self._insert(table, rows, "overwrite", dynamic=True)
         return seen["n"]
 
-    def replace_range(self, table: str, batch: DataFrame, date: str) -> int:
+    def replace_range(self, table: str, batch: DataFrame, date: str, watch: Watch | None = None) -> int:
         """Rows in the batch's span of dates, both ends included, make way for the batch. A dated table's other partitions are not touched.
 
         The span's partitions are shown at once by one commit; those that it leaves without rows are dropped after it, by a run again, too.
         """
-        with self.staged(conformed(batch, self.schema(table)), low=F.min(date), high=F.max(date), undated=F.count_if(F.col(date).isNull())) as (rows, seen):
+        with self.staged(conformed(batch, self.schema(table)), low=F.min(date), high=F.max(date), undated=F.count_if(F.col(date).isNull()), **(watch.wanted if watch else {})) as (rows, seen):
+            if watch:
+                watch.found = seen
             n, low, high = seen["n"], seen["low"], seen["high"]
             if not n:
                 return 0

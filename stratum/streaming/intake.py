@@ -13,8 +13,10 @@ from ..schema import RuntimeSchema
 from ..sources.warehouse import Layout, Warehouse
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: int | None = None) -> DataFrame:
+    """Parquet files of a folder as they come; files: at most so many in a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
 def clean_stream(rows: DataFrame, store: Warehouse, schema: RuntimeSchema, checkpoint: str, detail: str = "dwd_orders", rejected: str = "rejected_orders") -> StreamingQuery:
@@ -41,6 +43,26 @@ def daily_stream(rows: DataFrame, store: Warehouse, date: str, checkpoint: str,
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once(rows: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
+    """Rows whose keys have not been met within the time that rows may be late: a file that comes twice, or a line in two files, counts once.
+
+    Keys are state; it is dropped when the watermark has passed, so it grows with the rows of that time alone.
+    """
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def daily_windows(rows: DataFrame, keys: list[str], time: str, amount: str, late: str = "1 day", by: list[str] | None = None) -> DataFrame:
+    """Amounts by day, each keyed row once. A day is put out when the watermark has passed its end, and does not change after; later rows are left out."""
+    by = by or []
+    days = once(rows, keys, time, late).groupBy(F.window(time, "1 day").alias("w"), *by)
+    return days.agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("rows")).select(F.col("w.start").cast("date").alias("stat_date"), *by, "amount", "rows")
+
+
+def append_files(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """What a stream puts out as Parquet files, each batch once, whatever is run again."""
+    return rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed(rows: DataFrame, time: str, amount: str, late: str = "1 hour", window: str = "1 day", keys: list[str] | None = None) -> DataFrame:
     """Amounts by event-time window (and keys) with a watermark; rows later than that are left out by the stream."""
     keys = keys or []
