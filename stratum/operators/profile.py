@@ -2,7 +2,9 @@
 
 A table of more than SAMPLE rows is judged by a sample of that many, chosen by a hash of the rows'
 content and read in one job; size=None judges all rows by one aggregation and the first values of
-each column. The ladder itself is plain Python over those few figures.
+each column. whole=True takes the sample's values and the figures of all rows, in one scan: while the sample is drawn, counts and
+distinct sketches are observed; a column whose estimate is too near to a bound of the ladder is counted. The
+ladder itself is plain Python over those few figures.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections import Counter
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..fixed import BOOL_SETS, CURRENCY, DATE_NAME, DATE_TEXT, ID_NAME
@@ -20,6 +22,8 @@ from ..functions.dates import FORMATS, parsed
 from ..schema import RuntimeSchema
 
 SAMPLE, HEAD, SEED = 5000, 100, 42
+#: Shares of distinct values at which the ladder turns, the sketches' relative deviation, and how many of these decide without counting.
+TURNS, DEVIATION, SURE = (0.90, 0.95, 0.98), 0.01, 4
 SYSTEM_COLUMNS = ("etl_time", "rejected_at", "rejected_reason")
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
@@ -98,11 +102,28 @@ def sampled(df: DataFrame, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
     return df.withColumn("_row_id", F.monotonically_increasing_id()).orderBy(content, "_row_id").limit(size)
 
 
-def statistics(df: DataFrame, size: int | None = SAMPLE) -> list[Column]:
+def _one_scan(rows: DataFrame, kinds: dict[str, str], size: int) -> list[Column]:
+    """A sample's values with the figures of all rows, observed while it is drawn."""
+    names, seen = rows.columns, Observation()
+    figures = [x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`"), DEVIATION).alias(f"d{i}"))]
+    few = sorted(sampled(rows.observe(seen, *figures), size).collect(), key=lambda r: r["_row_id"])
+    found = seen.get
+    out = [Column(c, kinds[c], found[f"n{i}"], min(found[f"n{i}"], found[f"d{i}"]), [r[c] for r in few if r[c] is not None][:HEAD]) for i, c in enumerate(names)]
+    near = lambda x: x.count and any(abs(x.distinct / x.count - t) <= SURE * DEVIATION * x.distinct / x.count for t in TURNS)
+    if close := [x for x in out if near(x)]:
+        exact = rows.agg(*[F.countDistinct(F.col(f"`{x.name}`")).alias(f"d{i}") for i, x in enumerate(close)]).first()
+        for i, x in enumerate(close):
+            x.distinct = exact[f"d{i}"]
+    return out
+
+
+def statistics(df: DataFrame, size: int | None = SAMPLE, whole: bool = False) -> list[Column]:
     """The figures of each column."""
     names = [c for c in df.columns if c not in SYSTEM_COLUMNS]
     rows, kinds = df.select(*[F.col(f"`{c}`") for c in names]), dict(df.dtypes)
-    if size is not None:
+    if whole:
+        out = _one_scan(rows, kinds, size or SAMPLE)
+    elif size is not None:
         few = sorted(sampled(rows, size).collect(), key=lambda r: r["_row_id"])
         values = {c: [r[c] for r in few if r[c] is not None] for c in names}
         out = [Column(c, kinds[c], len(values[c]), len(set(map(repr, values[c]))), values[c][:HEAD]) for c in names]
@@ -135,10 +156,10 @@ def _date_shares(df: DataFrame, columns: list[Column]) -> None:
         c.dates = sum(r[f"f{k}"] for r in rows) / len(rows) if k is not None else 0.0
 
 
-def profile(df: DataFrame, size: int | None = SAMPLE) -> RuntimeSchema:
+def profile(df: DataFrame, size: int | None = SAMPLE, whole: bool = False) -> RuntimeSchema:
     """The runtime schema of a table: roles, an identity mapping of the columns kept, dates as critical columns, and the categories' distinct values."""
     schema = RuntimeSchema()
-    for c in statistics(df, size):
+    for c in statistics(df, size, whole):
         getattr(schema, f"{role(c)}_columns").append(c.name)
         if c.name in schema.categorical_columns:
             schema.cardinality[c.name] = c.distinct
@@ -147,7 +168,7 @@ def profile(df: DataFrame, size: int | None = SAMPLE) -> RuntimeSchema:
     return schema
 
 
-def roles_table(df: DataFrame, size: int | None = SAMPLE) -> DataFrame:
+def roles_table(df: DataFrame, size: int | None = SAMPLE, whole: bool = False) -> DataFrame:
     """column_name, role, known (values that are not null) and different (distinct ones) of each column."""
-    found = [(c.name, role(c), c.count, c.distinct) for c in statistics(df, size)]
+    found = [(c.name, role(c), c.count, c.distinct) for c in statistics(df, size, whole)]
     return df.sparkSession.createDataFrame(sorted(found), "column_name string, role string, known long, different long")

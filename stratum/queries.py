@@ -382,6 +382,13 @@ def profile_roles_events(spark, sf_dir):
     return roles_table(table(spark, sf_dir, "events"), None)
 
 
+@_register(f"SELECT column_name, role, known FROM ({_roles_sql('lineitem', l_orderkey='whole', l_partkey='whole', l_quantity='numeric', l_shipdate='date', l_returnflag='text', l_linestatus='text')})")
+def profile_one_scan(spark, sf_dir):
+    """Roles by a sample's values and the figures of all rows, in one scan."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    return roles_table(rows, whole=True).select("column_name", "role", "known")
+
+
 # Files and tables: what is written by Spark is read back through the file layer, the store and the steps.
 
 _FILE_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators.profile import Column, numeric_text, profile, progressive, role, roles_table, sampled
+from stratum.operators.profile import Column, numeric_text, profile, progressive, role, roles_table, sampled, statistics
 
 
 def of(name, values, kind="string", dates=0.0):
@@ -68,3 +68,24 @@ def test_roles_of_all_rows_and_of_a_sample(spark):
     assert whole["number"].role == "numeric" and whole["key"].role == "id" and whole["category"].role == "categorical"
     assert (whole["sparse"].known, whole["sparse"].different, whole["category"].different) == (1000, 1, 5)
     assert profile(df).cardinality["category"] == 5
+
+
+def test_one_scan_gives_the_roles_of_all_rows(spark):
+    for name in ("customer", "orders", "events", "lineitem", "part"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        full = profile(df, None).roles()
+        assert profile(df, 500, whole=True).roles() == full
+    rows = spark.range(20_000).selectExpr("id", "concat('n', if(id % 50 = 0, 7, id)) as tag", "concat('n', if(id % 45 = 0, 7, id)) as near", "cast(null as string) as nothing")
+    full = {c.name: c for c in statistics(rows, None)}
+    once = {c.name: c for c in statistics(rows, 1000, whole=True)}
+    assert {n: (c.count, role(c)) for n, c in once.items()} == {n: (c.count, role(c)) for n, c in full.items()}
+    # near a bound of the ladder values are counted
+    assert once["tag"].distinct == full["tag"].distinct and once["near"].distinct == full["near"].distinct
+
+
+def test_one_scan_is_one_job(spark):
+    rows = spark.range(5000).selectExpr("id % 40 as a", "concat('x', id % 9) as b")
+    spark.sparkContext.setJobGroup("scan", "")
+    profile(rows, 100, whole=True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("scan")) == 1
