@@ -4,7 +4,9 @@ Vectors are turned to integers floor(scale * x). A task holds its candidates in
 dimension block by dimension block. For each query it adds up one block for all candidates, bounds
 what the other blocks can still add by the product of the remaining lengths, and compacts the
 candidates whose bound reaches the k-th best score met so far; the next block reads survivors only.
-Integer scores are exact, and the bound is rounded up, so no true result is lost.
+Integer scores are exact, and the bound is rounded up, so no true result is lost. A task takes its
+longest candidates first, so that thresholds are high early, and dimensions by descending variance, so that little mass
+remains after the first blocks; chunks are small, so that each but the first meets a threshold.
 
 Candidates and queries are dealt by a hash into blocks of bounded size; each pair of a candidate and a
 query block is met by one task, so nothing passes through the driver and no task's input grows with
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .vectors import best, divisible, lists, matrix, usable, width
 
-CHUNK, BLOCK_DIMENSIONS, BLOCK_ROWS, BLOCK_QUERIES = 8192, 16, 65_536, 65_536
+CHUNK, BLOCK_DIMENSIONS, BLOCK_ROWS, BLOCK_QUERIES = 512, 8, 65_536, 65_536
 
 
 class Shortlist:
@@ -49,8 +51,9 @@ class Shortlist:
         self.id[q], self.score[q] = ids[order], scores[order]
 
 
-def search_chunk(found: Shortlist, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, block: int = BLOCK_DIMENSIONS) -> None:
-    """Meet all queries with the rows of one chunk; both are whole numbers held as doubles."""
+def search_chunk(found: Shortlist, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, block: int = BLOCK_DIMENSIONS) -> int:
+    """Meet all queries with the rows of one chunk; both are whole numbers held as doubles. Gives the products of components that were worked out."""
+    done = 0
     width = min(queries.shape[1], rows.shape[1])
     queries, columns = queries[:, :width], [np.ascontiguousarray(rows[:, a : min(width, a + block)]) for a in range(0, width, block)]
     rest = lambda x: np.sqrt(np.concatenate([np.cumsum((x**2)[:, ::-1], 1)[:, ::-1], np.zeros((len(x), 1))], 1))
@@ -59,6 +62,7 @@ def search_chunk(found: Shortlist, query_ids: np.ndarray, queries: np.ndarray, i
         alive = None
         for b, part in enumerate(columns):
             dims = queries[q, b * block : b * block + part.shape[1]]
+            done += part.shape[1] * (len(part) if alive is None else len(alive))
             if alive is None:
                 total = part @ dims
             else:
@@ -75,6 +79,19 @@ def search_chunk(found: Shortlist, query_ids: np.ndarray, queries: np.ndarray, i
             stay = (total >= found.least(q)) & (ids[alive] != query_ids[q])
             if stay.any():
                 found.add(q, ids[alive[stay]], total[stay].astype(np.int64))
+    return done
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, chunk: int = CHUNK, block: int = BLOCK_DIMENSIONS) -> tuple[Shortlist, float]:
+    """The k best rows of each query, and the share of all products that were worked out."""
+    found, done = Shortlist(len(query_ids), k), 0
+    order = np.argsort(-(rows * rows).sum(1), kind="stable")
+    dims = np.argsort(-rows.var(0), kind="stable") if len(rows) else np.arange(queries.shape[1])
+    queries = queries[:, dims]
+    for a in range(0, len(ids), chunk):
+        some = order[a : a + chunk]
+        done += search_chunk(found, query_ids, queries, ids[some], rows[some][:, dims], block)
+    return found, done / max(1, queries.size * len(rows))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -96,9 +113,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
         ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         v, w = lists(left, "v"), lists(right, "v")
         wide = width(w)
-        asks, found = matrix(w, wide), Shortlist(len(query_ids), k)
-        for a in range(0, len(ids), CHUNK):
-            search_chunk(found, query_ids, asks, ids[a : a + CHUNK], matrix(v[a : a + CHUNK], wide))
+        found, _ = search(query_ids, matrix(w, wide), ids, matrix(v, wide), k)
         q, j = np.nonzero(found.id != np.iinfo(np.int64).max)
         return pa.table({"query_id": query_ids[q], "vec_id": found.id[q, j], "score": found.score[q, j]})
 

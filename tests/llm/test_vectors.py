@@ -58,6 +58,22 @@ def test_few_and_none(spark):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {0: [1]}
 
 
+def test_bounds_leave_out_work(spark):
+    """The share of products worked out: on the table, and where few dimensions hold most of the mass."""
+    table = np.floor(256 * np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]))
+    rng = np.random.default_rng(2)
+    decaying = np.floor(256 * rng.normal(0, 1, (4000, 64)) * 0.85 ** np.arange(64))
+    for x, most in ((table, 0.95), (decaying, 0.3)):
+        ids = np.arange(len(x))
+        found, share = exact_top_k.search(ids[::50], x[::50], ids, x, 5)
+        assert share < most
+        near = (x[::50] @ x.T).astype(np.int64)
+        near[np.arange(len(near)), ids[::50]] = -(1 << 62)
+        want = [np.lexsort((ids, -row))[:5].tolist() for row in near]
+        assert found.id.tolist() == want
+        print(share)
+
+
 def test_repeated_rows(spark):
     rows = rows_of(2, 60) + rows_of(2, 60)[:10]
     assert len(grouped(exact_top_k.exact_top_k(vectors(spark, rows)))) == 2
