@@ -98,11 +98,14 @@ def _exchange(state: Column, x: Column, seed: int) -> Column:
 def _settled(p: Column, size: Column, q: Column, mass: Column, draw: Column) -> Column:
     """bit of an item with fraction p and q of all items below it, mass words with the common fraction q, after their exchange.
 
-    Where the items below run out, the item is rounded to the nearer side and they take up what they can.
+    Where the items below run out on the drawn side, the item is rounded to the side that they can make up for, or else to the one that misses less.
     """
     amounts = F.struct(F.least((1.0 - p) * size, q * mass).alias("give"), F.least(p * size, (1.0 - q) * mass).alias("take"))
     moved = _let(amounts, lambda m: F.when(draw * (m["give"] + m["take"]) < m["take"], m["give"]).otherwise(-m["take"]))
     bit = F.when(p + moved / size > 0.5, 1.0).otherwise(0.0)
+    words = lambda b: q * mass + (p - b) * size  # noqa: E731  what the items below then have to give
+    miss = lambda b: F.greatest(F.lit(0.0), -words(b), words(b) - mass)
+    bit = _let(bit, lambda b: F.when(miss(b) <= miss(1.0 - b) + _TINY, b).otherwise(1.0 - b))
     left = lambda b: F.when(mass > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + (p - b) * size / mass))).otherwise(0.0)
     return _let(bit, lambda b: F.struct(b.alias("bit"), _snapped(left(b)).alias("q")))
 
