@@ -87,6 +87,13 @@ def adaptive_summary(found: Adaptive) -> dict[str, Any]:
     return {"days": row["days"], "metrics": [f"{m}_sum" for m in found.metrics], "rows": row["rows"]}
 
 
+def adaptive_figures(found: Adaptive) -> DataFrame:
+    """first_date and last_date (null without a date column), days (rows of the summary) and metrics (its sums and means), one row."""
+    days = F.col("_stat_date") if found.date else F.lit(None).cast("date")
+    metrics = sum(c.endswith(("_sum", "_avg")) for c in found.result.columns)
+    return found.result.agg(F.min(days).alias("first_date"), F.max(days).alias("last_date"), F.count(F.lit(1)).alias("days"), F.lit(metrics).alias("metrics"))
+
+
 def monthly_rollup(daily: DataFrame, date: str, metric: str) -> DataFrame:
     """month (yyyy-MM) and the metric's sum."""
     return daily.where(F.col(date).isNotNull()).groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.sum(metric).alias(metric))

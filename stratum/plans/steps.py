@@ -203,7 +203,8 @@ def auto_aggregate(store: Warehouse, schema: RuntimeSchema, categories: bool = T
     if found.note:
         return {"status": "success", "rows": 0, "summary": aggregate.adaptive_summary(found)}
     rows = store.dynamic_load("dws_adaptive", found.result)
-    return {"status": "success", "rows": rows, "summary": aggregate.adaptive_summary(found)}
+    found.result = store.read("dws_adaptive")
+    return {"status": "success", "rows": rows, "summary": aggregate.adaptive_summary(found), "figures": aggregate.adaptive_figures(found).first().asDict()}
 
 
 @step("auto_report")

@@ -275,6 +275,12 @@ def adaptive_global(spark, sf_dir):
     return _adaptive(_money(table(spark, sf_dir, "orders"), "o_totalprice"), [], ["o_totalprice"])
 
 
+@_register("SELECT min(CAST(l_shipdate AS DATE)) AS first_date, max(CAST(l_shipdate AS DATE)) AS last_date, count(DISTINCT CAST(l_shipdate AS DATE)) AS days, 4 AS metrics FROM lineitem")
+def adaptive_figures(spark, sf_dir):
+    rows = _money(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return aggregate.adaptive_figures(aggregate.adaptive(rows, RuntimeSchema(date_columns=["l_shipdate"], numeric_columns=["l_quantity", "l_extendedprice"])))
+
+
 @_register(
     f"""SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS _stat_date, CAST(sum(CAST(l_quantity AS DECIMAL(18, 4))) AS DECIMAL(28, 4)) AS l_quantity_sum,
   {_ROUND.format('(CAST(sum(CAST(l_quantity AS DECIMAL(18, 4))) AS DOUBLE) / count(*))')} AS l_quantity_avg FROM lineitem GROUP BY 1"""

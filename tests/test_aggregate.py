@@ -69,3 +69,11 @@ def test_writes(spark):
     with pytest.raises(writes.DuplicateKeys):
         writes.assert_unique(batch.union(batch), "d")
     assert writes.replace_range(old, batch.limit(0), "d").count() == 6
+
+
+def test_figures_of_an_adaptive_summary(spark):
+    rows = spark.createDataFrame([("2024-01-05", 1), ("2024-01-02", 2), (None, 3)], "d string, m int")
+    dated = aggregate.adaptive_figures(aggregate.adaptive(rows, RuntimeSchema(date_columns=["d"], numeric_columns=["m"]))).first()
+    assert (str(dated.first_date), str(dated.last_date), dated.days, dated.metrics) == ("2024-01-02", "2024-01-05", 3, 2)
+    plain = aggregate.adaptive_figures(aggregate.adaptive(rows, RuntimeSchema(numeric_columns=["m"]))).first()
+    assert (plain.first_date, plain.days, plain.metrics) == (None, 1, 2)
