@@ -171,6 +171,7 @@ class Forest:
     def __init__(self, findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
         described = findings.select("label", array_to_vector(F.array(*features(*map(F.col, ("candidate", "left_words", "right_words", "path"))))).alias("features"))
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(described)
+        self.model = model
         self.trees = [self._node(t._call_java("rootNode")) for t in model.trees]
 
     def _node(self, node) -> tuple | float:

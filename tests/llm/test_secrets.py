@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from stratum.llm import secrets
@@ -23,6 +24,16 @@ def test_forest_on_findings_it_has_not_seen(spark):
     assert right[0] > 0.97 and right[1] > 500
 
 
+def test_forest_as_a_column_is_the_fitted_forest(spark):
+    """The compiled trees give the probabilities of the model's own transform."""
+    findings = secrets.labelled_findings(spark, 1500)
+    trained = secrets.Forest(findings, trees=8)
+    x = F.array(*secrets.features(*map(F.col, ("candidate", "left_words", "right_words", "path"))))
+    rows = findings.select(x.alias("x"), array_to_vector(x).alias("features"))
+    both = trained.model.transform(rows).select(trained.probability(F.col("x")).alias("own"), vector_to_array("probability")[1].alias("model"))
+    assert both.where("abs(own - model) > 1e-9").count() == 0 and both.select("own").distinct().count() > 20
+
+
 @pytest.mark.parametrize(
     "text, secret",
     [
