@@ -25,7 +25,7 @@ from ..schema import DATED, DWD, DWS, LAYOUTS, MARKS, ODS, REJECTED, RUN_LOG, Ru
 from ..sources.files import read_orders, read_unknown
 from ..sources.warehouse import PART, Warehouse, Watch
 from .alerts import Alerts
-from .report import daily_report, data_report
+from .report import daily_report, data_report, print_report
 
 Result = dict[str, Any]
 GOOD = {"success", "passed", "warning", "skipped"}
@@ -155,11 +155,14 @@ def aggregate_daily(store: Warehouse, now: datetime | None = None, replace: bool
 
 
 @step("report")
-def report(store: Warehouse, folder: str, now: datetime | None = None) -> Result:
+def report(store: Warehouse, folder: str, now: datetime | None = None, echo: bool = False) -> Result:
+    """The daily report as a file; echo: its summary on the console, too."""
     daily = store.read("dws_sales_daily").drop("etl_time")
     summary = aggregate.summary(daily)
     if "message" in summary:
         return {"status": "warning", "summary": summary}
+    if echo:
+        print_report(summary)
     return {"status": "success", "summary": summary, "path": daily_report(daily, summary, folder, now)}
 
 
@@ -258,6 +261,8 @@ class Pipeline:
 
     def run(self) -> list[Result]:
         out = []
+        if self.log:
+            self.log.compact()  # the events of earlier runs, a file each
         for name, f in self.steps:
             for attempt in range(self.retries + 1):
                 run_id = self.log.start(name) if self.log else ""

@@ -194,6 +194,18 @@ def test_classic(spark, tmp_path):
     assert (skipped["status"], skipped["rows"]) == ("skipped", 0)
 
 
+def test_report_on_the_console(spark, tmp_path, capsys):
+    csv = put(tmp_path / "o.csv", ORDERS)
+    store = Warehouse(spark, str(tmp_path / "w"), DATED)
+    for result in (steps.extract(store, csv), steps.transform(store), steps.aggregate_daily(store)):
+        assert result["status"] == "success"
+    assert steps.extract(store, csv)["checks"]["status"] == "passed"
+    capsys.readouterr()
+    summary = steps.report(store, str(tmp_path / "r"), echo=True)["summary"]
+    said = capsys.readouterr().out
+    assert summary and all(f"{k}: {v}" in said for k, v in summary.items())
+
+
 def test_failure_alerts(spark, tmp_path):
     heard = []
     channels = alerts.Alerts()
