@@ -36,10 +36,10 @@ _shipped: set[str] = set()
 BATCH_ROWS = "1000"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each application, whatever their path is, and batches that fit their memory."""
+def ship_package(spark: SparkSession, batches: bool = True) -> None:
+    """Give Python workers this package, once for each application, whatever their path is; batches: and Arrow batches that fit their memory, for the session."""
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    if batches and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _shipped:
         return

@@ -141,14 +141,11 @@ def _heads(early: bool):
     return run
 
 
-def heads(spark: SparkSession, path: str) -> DataFrame:
-    """file, size and head of each file with bytes, of a file, folder or pattern; one job that reads the first lines of each."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not list(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []):
-        raise FileNotFoundError(path)
-    ship_package(spark)
-    lines = _text(spark, [path]).select("file", "size", "begin", F.col("value").cast("binary").alias("line"))
-    return lines.mapInArrow(_heads(True), "file string, size long, head binary")
+def heads(spark: SparkSession, paths: list[str], early: bool = True) -> DataFrame:
+    """file, size and head of each file with bytes. early: for partitions of one piece of a file each, which are left after their first lines."""
+    ship_package(spark, batches=False)
+    lines = _text(spark, paths).select("file", "size", "begin", F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(_heads(early), "file string, size long, head binary")
 
 
 def layouts(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, encodings: list[str] | None = None) -> dict[Layout, list[str]]:
@@ -166,8 +163,16 @@ def layouts(spark: SparkSession, path: str, encoding: str | None = None, separat
                 cells = [found.encoding, found.separator, found.line_end] if found else [None] * 3
                 yield pa.RecordBatch.from_arrays([pa.array([file]), *(pa.array([c], pa.string()) for c in cells), columns, pa.array([found.skip if found else None], pa.int32()), pa.array([found.headed if found else None], pa.bool_()), pa.array([error], pa.string())], ["file", "encoding", "separator", "line_end", "columns", "skip", "headed", "error"])
 
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not list(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []):
+        raise FileNotFoundError(path)
+    schema = "file string, encoding string, separator string, line_end string, columns array<string>, skip int, headed boolean, error string"
     with _a_split_each(spark):
-        rows = heads(spark, path).mapInArrow(run, "file string, encoding string, separator string, line_end string, columns array<string>, skip int, headed boolean, error string").collect()
+        rows = heads(spark, [path]).mapInArrow(run, schema).collect()
+    # a file that shared a partition with another one, or that is empty
+    seen = {_place(r["file"]) for r in rows}
+    if missing := [_plain(f) for f in spark.read.text(path).inputFiles() if _place(f) not in seen]:
+        rows += heads(spark, missing, early=False).mapInArrow(run, schema).collect()
     out: dict[Layout, list[str]] = {}
     for r in sorted(rows, key=lambda r: r["file"]):
         if r["error"]:
@@ -179,6 +184,10 @@ def layouts(spark: SparkSession, path: str, encoding: str | None = None, separat
     return _named(out)
 
 
+def _place(file: str) -> str:
+    return re.sub(r"^file:/+", "/", unquote(file))
+
+
 def _plain(file: str) -> str:
     """A path as Spark's readers take it: without URL escapes, signs of patterns as themselves."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))

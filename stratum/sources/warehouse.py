@@ -59,6 +59,10 @@ def identifier(name: str) -> str:
     return name
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df's columns by the schema's names and types; a null where the schema has none is an error of the job that meets it."""
     missing = [f.name for f in schema if f.name not in df.columns]
@@ -90,7 +94,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str, dated: dict[str, str] | None = None, schemas: dict[str, T.StructType] | None = None, grain: str = "month", layouts: dict[str, Layout] | None = None):
         self.spark, self.root, self.dated, self.schemas, self.grain, self.layouts = spark, root.rstrip("/"), dated or {}, dict(schemas or {}), grain, dict(layouts or {})
         self.database = f"stratum_{hashlib.sha256(self.root.encode()).hexdigest()[:16]}"
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION {_literal(self.root)}")
 
     def name(self, table: str) -> str:
         return f"{self.database}.{identifier(table)}"
@@ -124,7 +128,7 @@ class Warehouse:
             ddl += f" PARTITIONED BY ({', '.join(f'`{c}`' for c in layout.parts)})"
         if layout.bucketed:
             ddl += f" CLUSTERED BY (`{layout.bucketed}`) INTO {layout.buckets} BUCKETS"
-        self.spark.sql(ddl + (f" LOCATION '{self.path(table)}'" if kept else ""))
+        self.spark.sql(ddl + (f" LOCATION {_literal(self.path(table))}" if kept else ""))
         if kept and layout.parts:
             self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
 

@@ -1,6 +1,9 @@
+from contextlib import nullcontext
+
 import pytest
 
 from stratum.functions.dates import BadDate, clean_dates, format_of, strict_date
+from stratum.sources import files
 from stratum.sources.encodings import CODECS, detect_encoding
 from stratum.sources.files import PROBE_BYTES, detect_separator, heads, layouts, peek, read_orders, read_unknown, repair_names, validate_columns
 
@@ -155,11 +158,21 @@ def test_files_without_header_take_the_others_names(spark, tmp_path):
 def test_heads_are_bounded(spark, tmp_path):
     put(tmp_path / "big.csv", "a,b\n" + "x" * 50 + ",1\n" + "yy,2\n" * 200_000)
     put(tmp_path / "old.csv", "a,b\rz,3\rw,4\r")
-    found = {r.file.rsplit("/", 1)[1]: len(r.head) for r in heads(spark, str(tmp_path)).collect()}
+    found = {r.file.rsplit("/", 1)[1]: len(r.head) for r in heads(spark, [str(tmp_path)], early=False).collect()}
     assert found["big.csv"] == PROBE_BYTES and found["old.csv"] == len("a,b\rz,3\rw,4\r")
     assert read_unknown(spark, str(tmp_path)).count() == 200_003
 
 
+def test_files_that_share_a_partition_are_not_missed(spark, tmp_path, monkeypatch):
+    """Where pieces of files are packed together after all, the files behind the first are looked at again."""
+    for i in range(6):
+        put(tmp_path / f"{i}.csv", "a,b\n" + f"{i},1\n" * 30_000)
+    put(tmp_path / "empty.csv", "")
+    monkeypatch.setattr(files, "_a_split_each", lambda spark: nullcontext())
+    df = read_unknown(spark, str(tmp_path))
+    assert df.count() == 180_000 and df.select("a").distinct().count() == 6
+
+
 def test_folder_of_files(spark, tmp_path):
     """Title, header and total are each file's own; patterns name some of the files."""
     folder = tmp_path / "days"
