@@ -50,6 +50,22 @@ def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFra
     return out
 
 
+#: Tables of the session's catalogue by their folders.
+_tables: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, buckets: int, *by: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets: its joins on these columns need no shuffle of its rows. Dealt once, here."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    name = f"bucketed_{path[-32:]}"
+    if _open:
+        _open[-1].append(path)
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).option("path", path).saveAsTable(name)
+    _tables[path] = name
+    return spark.table(name)
+
+
 def drop_written(df: DataFrame, part: str | None = None) -> None:
     """Delete the files of a table made by written(), or one of its folders, once nothing reads them any more."""
     path = getattr(df, "stratum_path", None)
@@ -58,6 +74,8 @@ def drop_written(df: DataFrame, part: str | None = None) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if name := _tables.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 

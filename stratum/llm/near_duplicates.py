@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import bucketed, drop_written, written
 from .components import connected_components
 from .textops import Words, buffers, mix, slices
 
@@ -52,6 +52,8 @@ MOST_MATCHES, VERIFY_COST = 4, 0.05
 PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 300_000, 4096, 100_000, 200_000, 2
 #: Shingles that a task counts at once where sets are counted whole.
 SHARED_SHINGLES = 1_000_000
+#: Shingles of whole sets in a bucket of the table that they are joined from.
+BUCKET_SHINGLES = 2_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
 _LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
@@ -326,16 +328,18 @@ def _verify(percent: int):
 
 
 def _whole(k: int):
-    """fp and the whole set of each text."""
+    """fp and the whole set of each text; equal rows that follow each other are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for whole in batches:
             for batch in slices(whole, "text"):
                 fps, sets = [], []
-                for own in shingle_sets(Words(*buffers(batch.column("text"))), k):
-                    if len(own):
+                for key, own in zip(batch.column("key").to_pylist(), shingle_sets(Words(*buffers(batch.column("text"))), k)):
+                    if len(own) and key != before:
                         fps.append(name(*fingerprint(own)))
                         sets.append(own.astype(_U8).tobytes())
+                    before = key
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.string()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
     return run
@@ -412,7 +416,10 @@ def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tup
             return links, open_.select("fp", _text("known").alias("known"), "token")
         shared = open_.where("known <> head.known").groupBy(F.col("fp").alias("u"), F.col("head.fp").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("matches", "head.matches")).alias("least"))
         pairs = shared.where("c >= least").select(_text("u").alias("u"), _text("v").alias("v"))
-        both = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+        # few sets are first ones, of many pairs each: written apart, so that this join can be split
+        pairs = written(pairs, "pairs")
+        firsts = written(sets.join(pairs.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi"), "firsts")
+        both = pairs.join(firsts.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
         found = both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u string, v string")
         links = written(found if links is None else links.unionByName(found), "links")
         now = written(_relabelled(member.withColumn("known", F.col("fp")), links), "known")
@@ -446,11 +453,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     homes = lambda token: _homes(token).select(F.col("node").alias("fp"), F.col("root").alias("home"))
     member = _sized(homes(ones(prefixes)).join(prefixes, "fp"))
     wanted = member.select("fp").join(held, "fp").select("key").distinct()
-    whole = rows.join(wanted, "key", "left_semi").select("text")
-    sets = whole.mapInArrow(_whole(k), "fp string, shingles binary").dropDuplicates(["fp"])
-    heaviest = member.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
-    if heaviest > block_shingles:
-        sets = written(sets, "sets")
+    whole = rows.join(wanted, "key", "left_semi").select("key", "text")
+    sets = whole.mapInArrow(_whole(k), "fp string, shingles binary")
+    heaviest, volume = member.agg(F.coalesce(F.max("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if heaviest > block_shingles:  # they are joined by fp several times, and dealt once
+        sets = bucketed(sets, min(100_000, max(8, -(-volume // BUCKET_SHINGLES))), "fp")
     columns = ["bin", "home", "fp", "known", "matches", "prefix", "shingles"]
 
     def solved(some: DataFrame, sets: DataFrame) -> DataFrame:
@@ -467,7 +474,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if heaviest > block_shingles:
         large = written(_partnered(member.where(~fits).drop("home", "total"), sets, percent), "partnered")
         large = _sized(homes(ones(large)).join(large, "fp"))
-        sets = written(sets.join(large.select("fp"), "fp", "left_semi"), "sets")
         edges = edges.unionByName(solved(large.where(fits), sets))
         large = large.where(~fits).drop("home", "total")
         if large.take(1):

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import bucketed, written
 from .run_length_index import RunLengthIndex, _eights
 from .textops import buffers, slices
 
@@ -251,14 +251,10 @@ def _cut(length: int):
     return run
 
 
-def _bucketed(rows: DataFrame, bucket_bytes: int) -> DataFrame:
-    """rows as a table in buckets by did and th, whose joins on these need no shuffle of the texts."""
-    spark = rows.sparkSession
+def _dealt(rows: DataFrame, bucket_bytes: int) -> DataFrame:
+    """rows in buckets by did and th."""
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets, path = min(100_000, max(4, -(-volume // bucket_bytes))), shared_dir(spark)
-    name = f"texts_{path[-32:]}"
-    rows.repartition(buckets, "did", "th").write.bucketBy(buckets, "did", "th").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, min(100_000, max(4, -(-volume // bucket_bytes))), "did", "th")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", key_contexts: int = KEY_CONTEXTS, bin_bytes: int = BIN_BYTES, ranges: tuple[int, ...] = RANGES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -267,7 +263,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, i
         raise ValueError("a window must hold eight bytes from its anchor on, and keys must be split down to single windows")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # a row is known by its id and a hash of id and text; rows equal in both have equal results
-    rows = _bucketed(rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"), "text"), bucket_bytes)
+    rows = _dealt(rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"), "text"), bucket_bytes)
     cands = written(rows.select("did", "th", "text").mapInArrow(_anchors(length, span), _ANCHORS), "anchors")
     hits = _repeated(cands, rows.where(F.octet_length("text") >= length).select("did", "th", "text"), length, ranges, key_contexts, bin_bytes)
     by_row = written(hits.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
