@@ -51,7 +51,7 @@ MOST_MATCHES, VERIFY_COST = 4, 0.05
 #: Shingles of a parcel; documents for each bucket of shingles; shingles of whole sets in a component that one task solves, and in a bin of small ones; rounds of verification by joins.
 PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 300_000, 4096, 100_000, 200_000, 2
 #: Shingles that a task counts at once where sets are counted whole.
-SHARED_SHINGLES = 1_000_000
+SHARED_SHINGLES = 250_000
 #: Shingles of whole sets in a bucket of the table that they are joined from.
 BUCKET_SHINGLES = 2_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
