@@ -25,6 +25,7 @@ from .session import scratch
 from .sources.files import read_orders, read_unknown
 from .sources.warehouse import Layout, Warehouse, Watch
 from .streaming import intake
+from .streaming import open_days as days_open
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -720,3 +721,21 @@ def stream_once(spark, sf_dir):
     intake.append_files(days, out, state).awaitTermination()
     last = events.agg(F.max(F.col("ts").cast("date"))).first()[0]
     return spark.read.schema(days.schema).parquet(out).where(F.col("stat_date") < F.date_sub(F.lit(last), 2))
+
+
+@_register(
+    """SELECT CAST(ts AS DATE) AS stat_date, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DECIMAL(38, 4)) AS amount, count(*) AS rows,
+  CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS closed FROM events GROUP BY CAST(ts AS DATE)"""
+)
+def stream_open_days(spark, sf_dir):
+    """Days as they stand after a stream of four files, one of which comes twice: totals of open days, and of those that are over."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path, out, state = (scratch(spark, n) for n in ("events", "open", "state"))
+    a, b = events.agg(F.percentile_approx(F.col("ts"), [0.3, 0.7]).alias("q")).first()["q"]
+    spans = [F.col("ts") < F.lit(a), F.col("ts").between(F.lit(a), F.lit(b)), F.col("ts").between(F.lit(a), F.lit(b)), F.col("ts") > F.lit(b)]
+    for span in spans:
+        events.where(span).coalesce(1).write.mode("append").parquet(path)
+    days = days_open.open_days(intake.read_stream(spark, path, events.schema, 1), ["event_id"], "ts", "value")
+    days_open.follow(days, out, state).awaitTermination()
+    found = days_open.latest(spark.read.schema(days.schema).parquet(out))
+    return found.withColumn("amount", F.col("amount").cast("decimal(38,4)"))
