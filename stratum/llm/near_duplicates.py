@@ -361,35 +361,73 @@ def _sized(member: DataFrame) -> DataFrame:
     return written(member.join(written(member.groupBy("home").agg(F.sum("n").alias("total")), "sizes"), "home"), "members")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of many sets at once, the number of sets that hold each, and one of these."""
-    sets: list[np.ndarray] = []
-    names: list[bytes] = []
-
-    def flush() -> pa.RecordBatch:
-        tokens, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-        holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first]
-        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n), pa.array(np.array(names, object)[holder], pa.binary())], ["token", "n", "holder"])
-
-    size = 0
-    for batch in batches:
-        for fp, shingles in zip(batch.column("fp").to_pylist(), batch.column("shingles").to_pylist()):
-            sets.append(np.frombuffer(shingles, _U8))
-            names.append(bytes.fromhex(fp[:24]))
-            size += len(sets[-1])
-            if size > SHARED_SHINGLES:
-                yield flush()
-                sets.clear()
-                names.clear()
-                size = 0
-    if sets:
-        yield flush()
-
-
-def _partnered(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Without the sets that have more shingles of their own than a partner may lack. A shingle that one set holds is counted for that set."""
-    counted = member.select("fp").join(sets, "fp").select("fp", "shingles").mapInArrow(_shared, "token long, n long, holder binary")
-    own = counted.groupBy("token").agg(F.sum("n").alias("n"), F.min("holder").alias("holder")).where("n = 1").groupBy("holder").agg(F.count("*").alias("own"))
+_SHARED = "bucket int, tokens binary, holders binary, sizes binary"
+
+
+def _shared(buckets: int):
+    """The distinct shingles of many sets at once by bucket: those that one of these sets holds, together for each holder (12 bytes of its name), before the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        names: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            # of shingles that several sets hold no holder is needed
+            holder = np.where(n > 1, len(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])[first])
+            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((holder, bucket))
+            tokens, holder, bucket = tokens[order].astype(_U8), holder[order], bucket[order]
+            rows = {c: [] for c in ("bucket", "tokens", "holders", "sizes")}
+            cuts = np.append(_runs(bucket), len(bucket)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                one = int(np.searchsorted(holder[a:b], len(sets)))
+                starts = _runs(holder[a : a + one])
+                who, size = holder[a : a + one][starts].tolist(), np.diff(np.append(starts, one))
+                for c, x in zip(rows, (int(bucket[a]), tokens[a:b].tobytes(), b"".join(names[i] for i in who), size.astype(_U4).tobytes())):
+                    rows[c].append(x)
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), kinds)], list(rows))
+
+        size = 0
+        for batch in batches:
+            for fp, shingles in zip(batch.column("fp").to_pylist(), batch.column("shingles").to_pylist()):
+                sets.append(np.frombuffer(shingles, _U8))
+                names.append(bytes.fromhex(fp[:24]))
+                size += len(sets[-1])
+                if size > SHARED_SHINGLES:
+                    yield flush()
+                    sets.clear()
+                    names.clear()
+                    size = 0
+        if sets:
+            yield flush()
+
+    return run
+
+
+def _owned(table: pa.Table) -> pa.Table:
+    """For one bucket: how many shingles each set holds that no other set does."""
+    tokens, names, owner = [np.zeros(0, _U8)], [], [np.zeros(0, np.int64)]
+    for row, held, sizes in zip(*(table.column(c).to_pylist() for c in ("tokens", "holders", "sizes"))):
+        tokens.append(np.frombuffer(row, _U8))
+        own = np.repeat(np.arange(len(sizes) // 4) + len(names), np.frombuffer(sizes, _U4))
+        names += [held[i : i + 12] for i in range(0, len(held), 12)]
+        owner += [own, np.full(len(tokens[-1]) - len(own), -1)]
+    token, owner = np.concatenate(tokens), np.concatenate(owner)
+    order = np.argsort(token)
+    first = _runs(token[order])
+    alone = owner[order[first[np.diff(np.append(first, len(token))) == 1]]]
+    own = np.bincount(alone[alone >= 0], minlength=len(names))
+    some = np.flatnonzero(own)
+    return pa.table({"holder": pa.array([names[i] for i in some.tolist()], pa.binary()), "own": pa.array(own[some], pa.int64())})
+
+
+def _partnered(member: DataFrame, sets: DataFrame, percent: int, volume: int) -> DataFrame:
+    """Without the sets that have more shingles of their own than a partner may lack; volume: shingles of all sets."""
+    buckets = max(1, -(-volume // BUCKET_SHINGLES))
+    counted = member.select("fp").join(sets, "fp").select("fp", "shingles").mapInArrow(_shared(buckets), _SHARED)
+    own = counted.groupBy("bucket").applyInArrow(_owned, "holder binary, own long").groupBy("holder").agg(F.sum("own").alias("own"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return member.withColumn("holder", F.unhex(F.substring("fp", 1, 24))).join(own, "holder", "left").where(F.coalesce("own", F.lit(0)) <= most).drop("holder", "own")
 
@@ -472,7 +510,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     fits = F.col("total") <= block_shingles
     edges = solved(member.where(fits), sets)
     if heaviest > block_shingles:
-        large = written(_partnered(member.where(~fits).drop("home", "total"), sets, percent), "partnered")
+        large = written(_partnered(member.where(~fits).drop("home", "total"), sets, percent, volume), "partnered")
         large = _sized(homes(ones(large)).join(large, "fp"))
         edges = edges.unionByName(solved(large.where(fits), sets))
         large = large.where(~fits).drop("home", "total")

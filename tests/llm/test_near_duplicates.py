@@ -1,8 +1,11 @@
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +152,24 @@ def test_a_large_group_of_near_copies_and_a_common_passage(spark):
         assert found(docs, k=3, percent=90, **options) == want
 
 
+def test_shingles_are_counted_in_packed_rows(spark, monkeypatch):
+    """A row for each bucket of a batch of sets, not for each shingle; the counts are those of all sets together."""
+    monkeypatch.setattr(near_duplicates_module, "SHARED_SHINGLES", 2000)
+    rng = np.random.default_rng(8)
+    sets = {f"{i:032x}"[::-1]: np.unique(rng.integers(0, 3000, rng.integers(1, 90)).astype(np.uint64)) for i in range(1, 120)}
+    batch = pa.RecordBatch.from_pydict({"fp": list(sets), "shingles": [x.tobytes() for x in sets.values()]})
+    packed = pa.Table.from_batches(list(near_duplicates_module._shared(3)(iter([batch]))))
+    assert packed.num_rows <= 3 * (1 + sum(map(len, sets.values())) // 2000)
+    own = {}
+    for bucket in range(3):
+        table = near_duplicates_module._owned(packed.filter(pc.equal(packed["bucket"], bucket)))
+        for holder, n in zip(table["holder"].to_pylist(), table["own"].to_pylist()):
+            own[holder.hex()] = own.get(holder.hex(), 0) + n
+    held = Counter(np.concatenate(list(sets.values())).tolist())
+    want = {fp[:24]: sum(held[x] == 1 for x in s.tolist()) for fp, s in sets.items()}
+    assert own == {fp: n for fp, n in want.items() if n}
+
+
 def test_kept_rows(spark):
     """One row of each class is kept, also of classes without doc_id; rows without words stay."""
     text = "a b c d e f g h"
