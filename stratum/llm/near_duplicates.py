@@ -19,8 +19,8 @@ counted for that share alone, and the prefix still holds the rarest shingles the
    but a passage leave, and what stays is joined to components again. In those that are still large each set is
    first counted against the first sets of its prefix shingles, by joins, and verified where they share min(l, l') of them;
    what is then connected over all sets of a shingle needs no more, so a large group of near copies is settled
-   there. What is left open is joined to components a last time; of these, large ones are cut in blocks, each pair
-   of blocks being a task. In a task a pair is verified exactly once it shares min(l, l') prefix shingles and
+   there. What is left open is joined to components a last time; of these, large ones are cut in blocks, as many as
+   the root of their size, each pair of blocks being a task. In a task a pair is verified exactly once it shares min(l, l') prefix shingles and
    is not yet connected. Links form the classes.
 
 No pairs of a group are emitted: each task gives a spanning forest of its links.
@@ -52,8 +52,8 @@ MOST_MATCHES, VERIFY_COST = 4, 0.05
 PARCEL, DOCS_PER_BUCKET, BLOCK_SHINGLES, BIN_SHINGLES, STAR_ROUNDS = 300_000, 4096, 100_000, 200_000, 2
 #: Shingles that a task counts at once where sets are counted whole.
 SHARED_SHINGLES = 250_000
-#: Shingles of whole sets in a bucket of the table that they are joined from.
-BUCKET_SHINGLES = 2_000_000
+#: Shingles of whole sets in a bucket of the table that they are joined from, and most shingles of a block where a large component is cut.
+BUCKET_SHINGLES, BLOCK_MOST = 2_000_000, 2_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENT = "kind int, bucket long, parcel long, doc_id long, tag long, key long, n int, fa long, fb long, fas binary, fbs binary, ns binary, ss binary, sizes binary, tokens binary, counts binary, lows binary, highs binary"
 _LONGS, _INTS = {"bucket", "parcel", "doc_id", "tag", "key", "fa", "fb"}, {"kind", "n"}
@@ -251,8 +251,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int, known: list[str] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, a spanning forest of them; sets of one known class count as connected.
+def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int, known: list[str] | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, a spanning forest of them; sets of one known class count as connected. Where side is given, links within a side are left to other calls.
 
     The sets are taken in order, and the shingles of each are counted for the later sets that hold them, too. A pair with
     min(l, l') of these is verified unless connected by then; no other pair is. A shingle whose sets are all connected
@@ -282,6 +282,8 @@ def forest(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarr
         held = [doc[begin[g] : end[g]] for g in mine.tolist()]
         others = np.concatenate(held)
         others = others[(others > i) & (roots[others] != roots[i])]
+        if side is not None:
+            others = others[side[others] != side[i]]
         partners, count = np.unique(others, return_counts=True)
         met = False
         for j in partners[count >= np.minimum(matches[i], matches[partners])].tolist():
@@ -303,12 +305,13 @@ def _solve(percent: int):
         sets = [np.frombuffer(x, _U8) for x in table.column("shingles").to_pylist()]
         prefixes = [np.array(x, np.int64).view(np.uint64) for x in table.column("prefix").to_pylist()]
         matches = np.array(table.column("matches").to_pylist(), np.int64)
+        side = np.array(table.column("side").to_pylist(), np.int64)
         us, vs = [], []
         order = np.argsort(home, kind="stable")
         cuts = np.append(_runs(home[order]), len(order)).tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = sorted(order[a:b].tolist(), key=lambda i: (len(sets[i]), fp[i]))
-            for i, j in forest([sets[i] for i in own], [prefixes[i] for i in own], matches[own], percent, [known[i] for i in own]):
+            for i, j in forest([sets[i] for i in own], [prefixes[i] for i in own], matches[own], percent, [known[i] for i in own], side[own] if side[own].any() else None):
                 us.append(fp[own[i]])
                 vs.append(fp[own[j]])
         return pa.table({"u": pa.array(us, pa.string()), "v": pa.array(vs, pa.string())})
@@ -438,6 +441,29 @@ def _relabelled(member: DataFrame, edges: DataFrame) -> DataFrame:
     return member.drop("known").join(found, "fp", "left").withColumn("known", F.coalesce("root", "fp")).drop("root")
 
 
+def _bins(block_shingles: int) -> Column:
+    """(bin, side) of each bin that a set of a component goes to, of its home, total and fp: the component, or each pair of its blocks.
+
+    A set is sent as often as there are blocks, so these grow in number with the root of the component's size, and in size
+    up to BLOCK_MOST. In a pair of blocks the sets of one are compared to those of the other, in a block with itself all are.
+    """
+    blocks = f"greatest(ceil(sqrt(2 * total / {block_shingles})), ceil(total / {BLOCK_MOST}))"
+    block = f"pmod(xxhash64(fp), {blocks})"
+    pair = f"struct(concat_ws(':', home, least({block}, j), greatest({block}, j)) AS bin, CASE WHEN j = {block} THEN 0 WHEN j < {block} THEN 1 ELSE 2 END AS side)"
+    return F.expr(f"if(total <= {block_shingles}, array(struct(home AS bin, 0 AS side)), transform(sequence(0L, {blocks} - 1), j -> {pair}))")
+
+
+def _read_again(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted(doc_id, key), found by a bitmap of their ids, which is small enough to be broadcast where a list of keys is not; so texts of other rows are not shuffled."""
+    number = F.coalesce("doc_id", F.lit(0))
+    word, bit = F.shiftright(number, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(64)).cast("int"))
+    words = written(wanted.groupBy(word).agg(F.bit_or(bit).alias("bits")), "words")
+    found = rows.withColumn("word", word).join(words, "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    if found.count() > wanted.count():  # ids that several rows have
+        found = found.join(wanted.select("key").distinct(), "key", "left_semi")
+    return found
+
+
 def _stars(member: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Links found by verifying each set against the first ones of its prefix shingles, where the two share min(l, l') of these; and the (fp, known, token) that are left open.
 
@@ -484,19 +510,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         drop_written(sent, f"kind={kind}")
 
     docs_ = documents.select("doc_id", "tag", "key", F.col("n").alias("n_shingles"), F.concat(F.lower(F.lpad(F.hex("fa"), 16, "0")), F.lower(F.lpad(F.hex("fb"), 16, "0"))).alias("fp"))
-    least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")
-    held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min(least).alias("least"), F.min("key").alias("key"))
+    least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag", "key")
+    held = docs_.where("n_shingles > 0").groupBy("fp").agg(F.min(least).alias("least"))
 
     ones = lambda df: df.select(F.unhex("fp").alias("fp"), F.explode(F.expr("slice(prefix, 1, one)")).alias("token"))
     homes = lambda token: _homes(token).select(F.col("node").alias("fp"), F.col("root").alias("home"))
     member = _sized(homes(ones(prefixes)).join(prefixes, "fp"))
-    wanted = member.select("fp").join(held, "fp").select("key").distinct()
-    whole = rows.join(wanted, "key", "left_semi").select("key", "text")
+    wanted = written(member.select("fp").join(held, "fp").select("least.doc_id", "least.key").distinct(), "wanted")
+    whole = _read_again(rows, wanted).select("key", "text")
     sets = whole.mapInArrow(_whole(k), "fp string, shingles binary")
     heaviest, volume = member.agg(F.coalesce(F.max("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if heaviest > block_shingles:  # they are joined by fp several times, and dealt once
         sets = bucketed(sets, min(100_000, max(8, -(-volume // BUCKET_SHINGLES))), "fp")
-    columns = ["bin", "home", "fp", "known", "matches", "prefix", "shingles"]
+    columns = ["bin", "side", "home", "fp", "known", "matches", "prefix", "shingles"]
 
     def solved(some: DataFrame, sets: DataFrame) -> DataFrame:
         """Links of components that fit into a task: the smallest are dealt to bins by a hash, the others are bins of their own."""
@@ -504,7 +530,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         weight = some.agg(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0))).first()[0]
         bins = max(1, -(-weight // BIN_SHINGLES))
         place = F.when(few, F.pmod(F.xxhash64("home"), F.lit(bins)).cast("string")).otherwise(F.col("home"))
-        dealt = some.withColumn("bin", place).withColumn("known", F.col("fp")).join(sets, "fp")
+        dealt = some.withColumn("bin", place).withColumn("side", F.lit(0)).withColumn("known", F.col("fp")).join(sets, "fp")
         return dealt.select(*columns).groupBy("bin").applyInArrow(_solve(percent), "u string, v string")
 
     fits = F.col("total") <= block_shingles
@@ -518,11 +544,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             links, open_ = _stars(large, sets, percent, star_rounds)
             open_ = written(open_, "open")
             left = homes(open_.select("fp", "token")).join(open_.select(_text("fp").alias("fp"), "known").distinct(), "fp").join(large, "fp")
-            left = _sized(left)
-            blocks = F.ceil(F.col("total") * 2 / block_shingles)
-            cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
-            pairs = F.explode(F.expr(f"if(total <= {block_shingles}, array(home), transform(sequence(0L, blocks - 1), j -> concat_ws(':', home, least(block, j), greatest(block, j))))"))
-            rest = cut.select(pairs.alias("bin"), "home", "fp", "known", "matches", "prefix").join(sets, "fp").select(*columns)
+            left = _sized(left).withColumn("to", F.explode(_bins(block_shingles)))
+            rest = left.select("to.bin", "to.side", "home", "fp", "known", "matches", "prefix").join(sets, "fp").select(*columns)
             edges = edges.unionByName(links).unionByName(rest.groupBy("bin").applyInArrow(_solve(percent), "u string, v string"))
     found = connected_components(edges)
     # classes and sets are written before they are joined to what may be many rows of one of them

@@ -152,6 +152,17 @@ def test_a_large_group_of_near_copies_and_a_common_passage(spark):
         assert found(docs, k=3, percent=90, **options) == want
 
 
+def test_blocks_of_a_large_component_do_not_multiply_its_sets(spark):
+    """A component a hundred times as large sends each set ten times as often, and any two sets meet in one bin, once."""
+    copies = lambda total: spark.range(1).select(F.lit("h").alias("home"), F.lit("x").alias("fp"), F.lit(total).cast("long").alias("total")).select(F.size(near_duplicates_module._bins(1000))).first()[0]
+    assert copies(1000) == 1 and copies(5_000) == 4 and copies(500_000) == 32
+    assert copies(4_000_000_000) >= 4_000_000_000 // near_duplicates_module.BLOCK_MOST
+    dealt = spark.range(60).select(F.lit("h").alias("home"), F.col("id").cast("string").alias("fp"), F.lit(9000).cast("long").alias("total"))
+    dealt = dealt.select("fp", F.explode(near_duplicates_module._bins(1000)).alias("to")).select("fp", "to.*").toPandas()
+    met = [(a.fp, b.fp) for _, own in dealt.groupby("bin") for a in own.itertuples() for b in own.itertuples() if a.fp < b.fp and (a.side != b.side or a.side == 0)]
+    assert len(met) == len(set(met)) == 60 * 59 // 2
+
+
 def test_shingles_are_counted_in_packed_rows(spark, monkeypatch):
     """A row for each bucket of a batch of sets, not for each shingle; the counts are those of all sets together."""
     monkeypatch.setattr(near_duplicates_module, "SHARED_SHINGLES", 2000)
@@ -170,6 +181,23 @@ def test_shingles_are_counted_in_packed_rows(spark, monkeypatch):
     assert own == {fp: n for fp, n in want.items() if n}
 
 
+def test_texts_are_found_again_without_a_shuffle(spark):
+    """Texts of many sets are read again by a broadcast of few rows, also where a list of their keys is too long for one."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.xxhash64("id").alias("key"))
+    rows = near_duplicates_module.written(rows, "rows")
+    wanted = near_duplicates_module.written(rows.where("doc_id % 3 = 0").select("doc_id", "key"), "wanted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        found = near_duplicates_module._read_again(rows, wanted)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in found.collect()} == set(range(0, 20_000, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    odd_ids = spark.createDataFrame([(None, "a", 1), (None, "b", 2), (0, "c", 3), (-1, "d", 4), (-64, "e", 5), (63, "f", 6)], "doc_id long, text string, key long")
+    assert sorted(r.text for r in near_duplicates_module._read_again(odd_ids, odd_ids.where("key in (2, 4, 6)").select("doc_id", "key")).collect()) == ["b", "d", "f"]
+
+
 def test_kept_rows(spark):
     """One row of each class is kept, also of classes without doc_id; rows without words stay."""
     text = "a b c d e f g h"
